@@ -3,9 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vesselwatch.llm.common import table
 
+#: (verdict, host, path)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.embeddings import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.topk import exact_top_k
+
+    whole = F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double"))
+    vectors = table(spark, sf_dir, "embeddings").where(
+        F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    )
+    return exact_top_k(vectors.select("vec_id", whole.alias("embedding")), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.urls import judge_urls
+
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), bad.alias("bad"))
+    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.minhash import near_duplicates
@@ -14,6 +48,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_embedding": op2_embedding,
+    "op3_topk": op3_topk,
+    "op5_urls": op5_urls,
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}
