@@ -17,6 +17,20 @@ URL_RULES = [
 ]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vesselwatch.llm.pieces import round_trip
+
+    both = round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.embeddings import embedding_duplicates
 
@@ -41,6 +55,15 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vesselwatch.llm.packing import pack_documents
+
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.minhash import near_duplicates
 
@@ -48,9 +71,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding": op2_embedding,
     "op3_topk": op3_topk,
     "op5_urls": op5_urls,
+    "op7_packing": op7_packing,
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}
