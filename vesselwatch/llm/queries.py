@@ -47,6 +47,16 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(vectors.select("vec_id", whole.alias("embedding")), F.col("vec_id") % 100 == 0, k=10)
 
 
+#: Demonstration key; a deployment passes its own secret.
+PII_KEY = "demonstration-key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.pii import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.urls import judge_urls
 
@@ -74,6 +84,7 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding": op2_embedding,
     "op3_topk": op3_topk,
+    "op4_pii": op4_pii,
     "op5_urls": op5_urls,
     "op7_packing": op7_packing,
     "op10_minhash": op10_minhash,
