@@ -74,6 +74,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.html import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.archives import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.minhash import near_duplicates
 
@@ -87,6 +99,8 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_urls": op5_urls,
     "op7_packing": op7_packing,
+    "op8_html": op8_html,
+    "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
 }
 ORACLES: dict[str, str] = {}
