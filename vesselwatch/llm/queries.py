@@ -65,6 +65,16 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.quality import THRESHOLD, is_held_out, score_quality, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -98,6 +108,7 @@ QUERIES = {
     "op3_topk": op3_topk,
     "op4_pii": op4_pii,
     "op5_urls": op5_urls,
+    "op6_quality": op6_quality,
     "op7_packing": op7_packing,
     "op8_html": op8_html,
     "op9_warc": op9_warc,
