@@ -66,6 +66,13 @@ def semi_join(big: DataFrame, keys: DataFrame, on: str, rows: int = 1_000_000) -
     return big.join(keys, on, "left_semi")
 
 
+def anti_join(big: DataFrame, keys: DataFrame, on: str, rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``big`` whose ``on`` doesn't occur in ``keys``; nulls stay. Broadcast as in ``semi_join``."""
+    if small_enough(keys, rows):
+        keys = F.broadcast(keys)
+    return big.join(keys, on, "left_anti")
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
