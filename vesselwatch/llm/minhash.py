@@ -12,6 +12,10 @@ above 0.8. Pairs found are confirmed on the full shingle sets; hashes only propo
 Work is kept linear in large groups: texts with equal sets become one class; each key links its
 members to its smallest member only (a star); once these stars are confirmed and joined to components,
 only keys that still hold several components are paired in full.
+
+Before a pair's texts are fetched it must pass two bounds. Sizes: a similarity of s needs sizes within a
+factor s. Odd sketches: a bit for each bin that holds an odd number of a set's shingles; two sketches differ
+in at most as many bits as the sets differ in shingles, so no pair over the threshold is lost.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vesselwatch.llm.common import bounded_batches, connected_components, materialize, semi_join
 
 SLOTS, CHUNKS, DISTANCE = 60, 12, 23
-#: One-bit digest of the slots: pairs of similarity 0.8 exceed this with probability below 1e-6.
-SKETCH_DISTANCE = 18
+#: Bits of a slot; a chunk's slots lie side by side in one 64-bit number.
+BITS, WIDE = 12, SLOTS // CHUNKS
+#: Numbers of 64 bits in an odd sketch.
+ODD = 16
+SKETCH = [f"o{k}" for k in range(ODD)]
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
 _MUL = _rng.integers(1, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,7 +83,7 @@ def shingle_hashes(ws: list[bytes], width: int, known: dict) -> np.ndarray:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Slots of 16 bits for non-empty sets: [len(sets), SLOTS]."""
+    """The chunks of non-empty sets: [len(sets), CHUNKS] of WIDE slots of BITS bits."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     out = np.empty((len(sets), SLOTS), np.uint32)
     first, block = 0, 1 << 15
@@ -94,7 +100,14 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         first = last
     # the minimum itself is small: its bits are mixed before the low ones are kept
     mixed = out * np.uint32(0x9E3779B1)
-    return ((mixed ^ (mixed >> np.uint32(15))) & np.uint32(0xFFFF)).astype(np.uint16)
+    slots = ((mixed ^ (mixed >> np.uint32(15))) & np.uint32((1 << BITS) - 1)).astype(np.uint64)
+    return (slots.reshape(-1, CHUNKS, WIDE) << np.arange(0, BITS * WIDE, BITS, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Parities of the number of distinct shingles in each of 64 * ODD bins."""
+    bins = _mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)  # 10 bits: 1024 bins
+    return np.packbits((np.bincount(bins.astype(np.int64), minlength=64 * ODD) & 1).astype(np.uint8)).tobytes()
 
 
 def _features(width: int):
@@ -105,43 +118,55 @@ def _features(width: int):
             for at in range(0, len(ids), 1024):
                 sets = [shingle_hashes(words(t), width, known) for t in texts[at : at + 1024].to_pylist()]
                 full = [k for k, s in enumerate(sets) if len(s)]
-                slots = signatures([sets[k] for k in full])
-                set_ids, packed = [None] * len(sets), [None] * len(sets)
+                chunks = signatures([sets[k] for k in full])
+                set_ids, packed, odd = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for row, k in enumerate(full):
                     set_ids[k] = xxhash.xxh3_128_digest(sets[k].tobytes())
-                    packed[k] = slots[row].tobytes()
+                    packed[k] = chunks[row].tobytes()
+                    odd[k] = odd_sketch(sets[k])
                 yield pa.record_batch(
-                    [ids[at : at + 1024], pa.array([len(s) for s in sets], pa.int64()), pa.array(set_ids, pa.binary()), pa.array(packed, pa.binary())],
-                    names=["id", "n_shingles", "set_id", "slots"],
+                    [ids[at : at + 1024], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (set_ids, packed, odd))],
+                    names=["id", "n_shingles", "set_id", "chunks", "odd"],
                 )
 
     return run
 
 
-_KEYS = [(chunk, left_out) for chunk in range(CHUNKS) for left_out in range(SLOTS // CHUNKS)]
+_KEYS = [(chunk, left_out) for chunk in range(CHUNKS) for left_out in range(WIDE)]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each class and key: the key, the class and the one-bit digest."""
-    weights = (np.uint64(1) << np.arange(SLOTS, dtype=np.uint64))
-    wide = SLOTS // CHUNKS
+    """A row for each class and key."""
     for batch in batches:
         for at in range(0, len(batch), 1024):
             part = batch.slice(at, 1024)
             ids = part.column(0).to_numpy()
-            slots = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS).astype(np.uint64)
-            sketch = ((slots & np.uint64(1)) * weights).sum(axis=1, dtype=np.uint64).view(np.int64)
-            terms = _mix(slots * np.uint64(SLOTS) + np.arange(SLOTS, dtype=np.uint64) + np.uint64(1))
-            sums = terms.reshape(len(ids), CHUNKS, wide).sum(axis=2, dtype=np.uint64)
+            chunks = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, CHUNKS)
             keys = np.empty((len(ids), len(_KEYS)), np.uint64)
             for k, (chunk, left_out) in enumerate(_KEYS):
-                keys[:, k] = _mix(sums[:, chunk] - terms[:, chunk * wide + left_out] + np.uint64(k))
+                others = np.uint64(~(((1 << BITS) - 1) << (BITS * left_out)) & (2**64 - 1))
+                keys[:, k] = _mix((chunks[:, chunk] & others) + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
             yield pa.record_batch(
-                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, len(_KEYS))), pa.array(np.repeat(sketch, len(_KEYS)))],
-                names=["key", "cls", "sketch"],
+                [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, len(_KEYS)))], names=["key", "cls"]
             )
 
 
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sketch of each class as columns of longs."""
+    for batch in batches:
+        longs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64).reshape(-1, ODD)
+        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(longs[:, k])) for k in range(ODD))], names=["cls", "n", *SKETCH])
+
+
+def _candidate(percent: int) -> Column:
+    """Whether the sides _a and _b may reach the threshold by sizes and sketches."""
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    # 100 |A & B| >= percent |A | B| means: the sets differ in at most (100 - percent) / (100 + percent) of |A| + |B|
+    most = F.floor((100 - percent) * (n_a + n_b) / (100 + percent))
+    bits = sum((F.bit_count(F.col(f"{o}_a").bitwiseXOR(F.col(f"{o}_b"))) for o in SKETCH), F.lit(0))
+    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (bits <= most)
+
+
 def _confirm(width: int, percent: int):
     def shingles(text: str | None) -> set:
         ws = words(text)
@@ -193,32 +218,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = materialize(
-        docs.mapInArrow(_features(width), "id long, n_shingles long, set_id binary, slots binary"), "shingles"
+        docs.mapInArrow(_features(width), "id long, n_shingles long, set_id binary, chunks binary, odd binary"), "shingles"
     )
     known = features.where("n_shingles > 0 and id is not null")
-    classes = materialize(known.groupBy("set_id").agg(F.min("id").alias("cls"), F.first("slots").alias("slots")), "classes")
-    keys = classes.select("cls", "slots").mapInArrow(_keys, "key long, cls long, sketch long")
+    first = [F.first(c).alias(c) for c in ("chunks", "odd", "n_shingles")]
+    classes = materialize(known.groupBy("set_id").agg(F.min("id").alias("cls"), *first), "classes")
+    keys = classes.select("cls", "chunks").mapInArrow(_keys, "key long, cls long")
+    columns = ["n", *SKETCH]
+    numbers = materialize(
+        classes.select("cls", "n_shingles", "odd").mapInArrow(_numbers, ", ".join(f"{c} long" for c in ["cls", *columns])), "numbers"
+    )
+    side = lambda s: numbers.select(F.col("cls").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns))
     shared = keys.groupBy("key").agg(F.min("cls").alias("rep"), F.max("cls").alias("top")).where("rep < top")
     members = materialize(keys.join(shared.select("key", "rep"), "key"), "members")
 
     # first the stars: each member against the smallest of its key
-    near = F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= SKETCH_DISTANCE
-    stars = members.where("cls > rep").select(F.col("rep").alias("a"), F.col("cls").alias("b"), F.col("sketch").alias("sketch_b")).distinct()
-    heads = members.where("cls = rep").select(F.col("cls").alias("a"), F.col("sketch").alias("sketch_a")).distinct()
-    tried = materialize(stars.join(heads, "a").where(near).select("a", "b"), "stars")
+    stars = members.where("cls > rep").select(F.col("rep").alias("a"), F.col("cls").alias("b")).distinct()
+    tried = materialize(stars.join(side("a"), "a").join(side("b"), "b").where(_candidate(percent)).select("a", "b"), "stars")
     linked = materialize(confirm_pairs(tried, docs, width, percent), "links")
     labels = connected_components(linked)
 
     # then all pairs in keys whose members are not yet in one component
-    placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", "sketch", F.coalesce("component", "cls").alias("label")
-    )
+    placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = materialize(placed.join(open_keys, "key"), "open")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("cls", "sketch", "label"))) for side in "ab")
+    rest = materialize(placed.join(open_keys, "key").join(numbers, "cls"), "open")
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "label", *columns))) for s in "ab")
     pairs = (
         a.join(b, "key")
-        .where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & near)
+        .where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _candidate(percent))
         .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
