@@ -1,4 +1,346 @@
-"""All queries over the driver's tables and their DuckDB equivalents."""
+"""All queries over the driver's tables and their DuckDB equivalents.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Doubles are rounded to six places on both sides; times are seconds since 1970 or ISO text.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vesselwatch.config import Detection, Meeting, Sampling
+from vesselwatch.functions.geo import land_by_cell, nearest_port, ports_by_cell, with_near_port, with_on_land
+from vesselwatch.operators import meetings as meet
+from vesselwatch.operators import report, runs, score, tracks
+from vesselwatch.plans.detection import Result, run_detection
+from vesselwatch.sources import demo, tables
+from vesselwatch.streaming.detector import run_available, stream_events
+
+#: Twelve-hour buckets: the demonstration data are too sparse for meetings within minutes.
+SPARSE = Detection(meeting=Meeting(bucket_seconds=43200, min_duration_hours=48.0), sampling=Sampling(meeting_seconds=43200))
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """Doubles rounded, timestamps as seconds, helper structs left out."""
+    columns = []
+    for name, kind in df.dtypes:
+        if kind == "double":
+            columns.append(F.round(name, 6).alias(name))
+        elif kind.startswith("timestamp"):
+            columns.append(F.unix_seconds(name).alias(name))
+        else:
+            columns.append(F.col(name))
+    return df.select(*columns)
+
+
+def _found(spark: SparkSession, d: str, config: Detection | None = None, **options) -> Result:
+    return run_detection(demo.records(spark, d), demo.ports(spark, d), demo.land(spark), config or SPARSE, **options)
+
+
+def _tracks(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.with_track_columns(demo.records(spark, d), SPARSE)
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return meet.meeting_points(_tracks(spark, d), SPARSE, demo.ports(spark, d))
+
+
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    points = _points(spark, d)
+    return meet.meeting_sessions(meet.pair_observations(points, SPARSE), points, SPARSE)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return plain(_found(spark, d).ranked())
+
+
+def parse_records(spark: SparkSession, d: str) -> DataFrame:
+    valid = tables.valid_records(demo.raw_rows(spark, d))
+    return plain(valid.select(F.col("seq.row_no").alias("event_id"), "mmsi", "ts", "latitude", "longitude", "sog", "draught"))
+
+
+def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
+    reason = F.coalesce(tables.reject_reason(), F.lit("valid")).alias("reason")
+    return tables.typed(demo.raw_rows(spark, d)).groupBy(reason).agg(F.count("*").alias("n"))
+
+
+def multi_file_union(spark: SparkSession, d: str) -> DataFrame:
+    """Raw rows written as two CSV files of different column orders and read again."""
+    base = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+    names = {ours: header for header, ours in tables.COLUMNS.items()}
+    raw = demo.raw_rows(spark, d)
+    paths = []
+    for part, order in ((0, list(names)), (1, list(reversed(names)))):
+        path = f"{base}/{part}"
+        raw.where(F.col("event_id") % 2 == part).select(*(F.col(c).alias(names[c]) for c in order)).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        paths.append(path)
+    return tables.valid_records(tables.read_raw(spark, paths)).groupBy("mmsi", F.col("seq.file_no").alias("file_no")).agg(F.count("*").alias("n"), F.round(F.sum("latitude"), 6).alias("latitudes"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-vesselwatch-")).rstrip("/")
+
+
+def track_pairs(spark: SparkSession, d: str) -> DataFrame:
+    t = tracks.detect(demo.records(spark, d), SPARSE).where("prev is not null")
+    return plain(t.select("mmsi", "seq", "prev_seconds", "prev_km", "prev_hours"))
+
+
+def samples(flag: str):
+    return lambda spark, d: _tracks(spark, d).where(flag).select("mmsi", "seq", F.unix_seconds("ts").alias("t"))
+
+
+def b_points(spark: SparkSession, d: str) -> DataFrame:
+    return plain(_points(spark, d))
+
+
+def b_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return plain(meet.pair_observations(_points(spark, d), SPARSE))
+
+
+def b_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return plain(_sessions(spark, d).drop("session"))
+
+
+def b_vessel_counts(spark: SparkSession, d: str) -> DataFrame:
+    return meet.by_vessel(_found(spark, d).meetings).groupBy("mmsi").agg(F.count("*").alias("n"))
+
+
+def near_port_flags(spark: SparkSession, d: str) -> DataFrame:
+    cells = ports_by_cell(demo.ports(spark, d), 15.0)
+    return with_near_port(demo.records(spark, d), cells, "latitude", "longitude", "near").select("seq", "near")
+
+
+def on_land_flags(spark: SparkSession, d: str) -> DataFrame:
+    return with_on_land(demo.records(spark, d), land_by_cell(demo.land(spark)), "latitude", "longitude", "on_land", F.lit(True)).select("seq", "on_land")
+
+
+def nearest(spark: SparkSession, d: str) -> DataFrame:
+    return plain(nearest_port(demo.records(spark, d), demo.ports(spark, d), ["seq"]))
+
+
+def top_n(spark: SparkSession, d: str) -> DataFrame:
+    return plain(score.top_vessels(_found(spark, d).vessels, 10).select("rank", "mmsi", "score", "record_count"))
+
+
+def d1_episodes(spark: SparkSession, d: str) -> DataFrame:
+    starts = score.with_episode_starts(_found(spark, d).detected, SPARSE)
+    return starts.groupBy("mmsi").agg(F.count_if("starts_episode").alias("episodes")).where("episodes > 0")
+
+
+def profile_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Memory samples of benchmark runs made of events: three chunk sizes, four worker counts, several runs."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k = F.col("event_id")
+    return e.select(
+        F.concat(F.lit("run"), (k % 3).cast("string")).alias("run"), (k % 4 + 1).cast("int").alias("workers"), ((F.floor(k / 4) % 3 + 1) * 100000).cast("int").alias("chunk_size"),
+        (k / (k % 4 + 1)).alias("elapsed_time_sec"), (100.0 + k % 50).alias("total_rss_mb"),
+    )
+
+
+def speedup_table(spark: SparkSession, d: str) -> DataFrame:
+    return plain(runs.speedups(runs.run_totals(profile_samples(spark, d))))
+
+
+def parallel_share(spark: SparkSession, d: str) -> DataFrame:
+    return plain(runs.parallel_share(runs.speedups(runs.run_totals(profile_samples(spark, d)))))
+
+
+def memory_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return plain(runs.mean_timeline(profile_samples(spark, d)))
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a stream over the reports' files, run until all is read."""
+    base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    demo.records(spark, d).select("mmsi", F.unix_seconds("ts").alias("epoch"), "seq", "latitude", "longitude").repartition(1).sortWithinPartitions("epoch", "seq").write.option("maxRecordsPerFile", 50_000_000).parquet(f"{base}/in")
+    source = spark.readStream.schema("mmsi long, epoch long, seq long, latitude double, longitude double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    run_available(stream_events(source), f"{base}/out", f"{base}/state")
+    return plain(spark.read.parquet(f"{base}/out"))
+
+
+def streaming_going_dark(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).where("kind = 'A'").select("mmsi", F.col("start_epoch").alias("start_ts"), F.col("end_epoch").alias("end_ts"), "gap_hours", "distance_km")
+
+
+def streaming_teleport(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).where("kind <> 'A'").select("mmsi", F.col("kind").alias("subtype"), F.col("start_epoch").alias("start_ts"), F.col("end_epoch").alias("end_ts"), "gap_hours", "distance_km", "implied_speed_knots")
+
+
+QUERIES = {
+    "suspicion_ranking": flagship,
+    "suspicion_topn": top_n,
+    "vessel_summary": lambda s, d: plain(_found(s, d).vessels.drop("score")),
+    "parse_records": parse_records,
+    "reject_reasons": reject_reasons,
+    "multi_file_union": multi_file_union,
+    "track_pairs": track_pairs,
+    "samples_ac": samples("is_sample"),
+    "samples_b": samples("is_meeting_sample"),
+    "going_dark": lambda s, d: plain(_found(s, d).silences),
+    "draught_change": lambda s, d: plain(_found(s, d).draught_changes),
+    "teleport_events": lambda s, d: plain(_found(s, d).jumps.select("mmsi", "subtype", "start_ts", "end_ts", "gap_hours", "distance_km", "implied_speed_knots")),
+    "teleport_d1": lambda s, d: plain(_found(s, d).jumps.where("subtype = 'D1'").select("mmsi", "start_ts", "end_ts", "distance_km", "quality_flag", "counts")),
+    "teleport_d2_quality": lambda s, d: plain(_found(s, d).jumps.where("subtype = 'D2'").select("mmsi", "start_ts", "end_ts", "distance_km", "start_on_land", "end_on_land", "quality_flag", "counts")),
+    "d1_episodes": d1_episodes,
+    "b_points": b_points,
+    "b_pairs": b_pairs,
+    "b_sessions": b_sessions,
+    "b_events": lambda s, d: plain(_found(s, d).meetings),
+    "b_vessel_counts": b_vessel_counts,
+    "near_port_flags": near_port_flags,
+    "on_land_flags": on_land_flags,
+    "nearest_port": nearest,
+    "top_going_dark_map": lambda s, d: plain(report.silence_map(_found(s, d).silences)),
+    "top_d_map": lambda s, d: plain(report.jump_map(_found(s, d).jumps)),
+    "top_d1_map": lambda s, d: plain(report.jump_map(_found(s, d).jumps, "D1")),
+    "top_d2_map": lambda s, d: plain(report.jump_map(_found(s, d).jumps, "D2")),
+    "top_b_map": lambda s, d: plain(report.meeting_map(_found(s, d).meetings)),
+    "bounding_box": lambda s, d: plain(report.bounding_box(_found(s, d).jumps)),
+    "lat_cluster_split": lambda s, d: plain(report.latitude_split(_found(s, d).jumps)),
+    "streaming_going_dark": streaming_going_dark,
+    "streaming_teleport": streaming_teleport,
+    "speedup_table": speedup_table,
+    "parallel_share": parallel_share,
+    "memory_timeline": memory_timeline,
+}
+
+
+# --- the same in DuckDB ---------------------------------------------------------------------------------------
+
+
+def _hav(a: str, b: str, c: str, d: str) -> str:
+    x = f"least(1e0, greatest(0e0, power(sin(radians({c}-{a})/2),2) + cos(radians({a}))*cos(radians({c}))*power(sin(radians({d}-{b})/2),2)))"
+    return f"(2*6371e0*atan2(sqrt({x}), sqrt(1-{x})))"
+
+
+def _near(lat: str, lon: str, floor_km: float) -> str:
+    return f"exists (select 1 from ports p where {_hav(lat, lon, 'p.latitude', 'p.longitude')} <= greatest(p.radius_km, {floor_km}))"
+
+
+_W = "window w as (partition by mmsi order by t, seq)"
+_AIS = f"""ais as (select *, cast(epoch(ts) as bigint) as t from ({demo.RECORDS})), ports as ({demo.PORTS}),
+tr as (select *, lag(t) over w as pt, lag(latitude) over w as plat, lag(longitude) over w as plon,
+  lag(t // 300) over w is distinct from t // 300 as is_s, lag(t // 43200) over w is distinct from t // 43200 as is_m from ais {_W}),
+sm as (select *, lag(t) over w as st, lag(latitude) over w as slat, lag(longitude) over w as slon, lag(draught) over w as sdr from tr where is_s {_W}),
+a as (select mmsi, st as start_ts, t as end_ts, slat as start_latitude, slon as start_longitude, latitude as end_latitude, longitude as end_longitude,
+  (t-st)/3600e0 as gap_hours, {_hav('slat', 'slon', 'latitude', 'longitude')} as distance_km from sm where (t-st)/3600e0 > 4 and {_hav('slat', 'slon', 'latitude', 'longitude')} > 1),
+c as (select mmsi, st as start_ts, t as end_ts, slat as start_latitude, slon as start_longitude, latitude as end_latitude, longitude as end_longitude,
+  (t-st)/3600e0 as gap_hours, sdr as start_draught, draught as end_draught, abs(draught-sdr) as absolute_change, abs(draught-sdr)/sdr as relative_change
+  from sm where (t-st)/3600e0 > 2 and sdr > 0 and draught is not null and abs(draught-sdr)/sdr > 0.05e0 and not {_near('slat', 'slon', 0)} and not {_near('sm.latitude', 'sm.longitude', 0)}),
+d0 as (select *, (t-pt)/3600e0 as h, {_hav('plat', 'plon', 'latitude', 'longitude')} as km from tr where pt is not null and t-pt >= 30),
+d1 as (select *, km/1.852e0/h as knots from d0 where km > 1 and km/1.852e0/h > 60 and h <= 24 and (latitude <> 0 or longitude <> 0) and (plat <> 0 or plon <> 0)),
+d2 as (select *, case when h <= 0.5 then 'D1' else 'D2' end as subtype, {demo.LAND_SQL.format(lat='plat', lon='plon')} as sl, {demo.LAND_SQL.format(lat='latitude', lon='longitude')} as el,
+  ({_near('plat', 'plon', 15)} or {_near('d1.latitude', 'd1.longitude', 15)}) as np from d1),
+d as (select mmsi, subtype, pt as start_ts, t as end_ts, plat as start_latitude, plon as start_longitude, latitude as end_latitude, longitude as end_longitude, h as gap_hours,
+  km as distance_km, knots as implied_speed_knots, case when subtype = 'D2' then sl end as start_on_land, case when subtype = 'D2' then el end as end_on_land,
+  case when subtype = 'D1' or not (sl or el) then 'ok' when np then 'suspect_land_point_near_port' else 'suspect_land_point' end as quality_flag,
+  subtype = 'D1' or not (sl or el) as counts from d2),
+ep as (select *, max(end_ts) over (partition by mmsi order by start_ts, end_ts rows between unbounded preceding and 1 preceding) as past from d where subtype = 'D1'),
+episodes as (select mmsi, count(*) as episodes from ep where past is null or start_ts > past + 7200 group by mmsi),
+pts as (select mmsi, t // 43200 * 43200 as bucket, latitude, longitude, seq from tr where is_m and sog < 1e0 and not {_near('tr.latitude', 'tr.longitude', 0)}),
+pr as (select x.mmsi as mmsi_a, y.mmsi as mmsi_b, x.bucket, x.latitude as latitude_a, x.longitude as longitude_a, y.latitude as latitude_b, y.longitude as longitude_b,
+  {_hav('x.latitude', 'x.longitude', 'y.latitude', 'y.longitude')} as km from pts x join pts y on x.bucket = y.bucket and x.mmsi < y.mmsi
+  and abs(floor(x.latitude/(0.5e0/111e0*1.2e0)) - floor(y.latitude/(0.5e0/111e0*1.2e0))) <= 1 and abs(floor(x.longitude/(0.5e0/111e0*1.2e0)) - floor(y.longitude/(0.5e0/111e0*1.2e0))) <= 1
+  where {_hav('x.latitude', 'x.longitude', 'y.latitude', 'y.longitude')} <= 0.5e0),
+occ as (select bucket, lag(bucket) over (order by bucket) as before from (select distinct bucket from pts)),
+s0 as (select pr.*, before, lag(pr.bucket) over (partition by mmsi_a, mmsi_b order by pr.bucket) as last from pr join occ using (bucket)),
+s1 as (select *, sum(case when last is null or before - last > 86400 then 1 else 0 end) over (partition by mmsi_a, mmsi_b order by bucket) as session from s0),
+ss as (select mmsi_a, mmsi_b, min(bucket) as start_epoch, max(bucket) as end_epoch, (max(bucket)-min(bucket))/3600e0 as duration_hours, count(*) as observations, min(km) as min_distance_km,
+  avg(km) as avg_distance_km, arg_min(latitude_a, bucket) as start_lat_a, arg_min(longitude_a, bucket) as start_lon_a, arg_min(latitude_b, bucket) as start_lat_b, arg_min(longitude_b, bucket) as start_lon_b,
+  arg_max(latitude_a, bucket) as end_lat_a, arg_max(longitude_a, bucket) as end_lon_a, arg_max(latitude_b, bucket) as end_lat_b, arg_max(longitude_b, bucket) as end_lon_b from s1 group by mmsi_a, mmsi_b, session),
+b as (select * from ss where duration_hours >= 48),
+bv as (select mmsi_a as mmsi, * from b union all select mmsi_b as mmsi, * from b),
+v0 as (select mmsi, count(*) as record_count from ais group by mmsi),
+v as (select v0.mmsi, record_count, coalesce((select max(gap_hours) from a where a.mmsi = v0.mmsi), 0e0) as max_gap_hours,
+  coalesce((select sum(distance_km) from d where d.mmsi = v0.mmsi and subtype = 'D2' and counts), 0e0) as impossible_jump_km,
+  (select count(*) from a where a.mmsi = v0.mmsi) as silence_events, (select count(*) from c where c.mmsi = v0.mmsi) as draught_events, (select count(*) from d where d.mmsi = v0.mmsi) as jump_events,
+  (select count(*) from d where d.mmsi = v0.mmsi and subtype = 'D1') as d1_events, coalesce((select episodes from episodes e where e.mmsi = v0.mmsi), 0) as d1_episodes,
+  (select count(*) from d where d.mmsi = v0.mmsi and subtype = 'D2') as d2_events, (select count(*) from d where d.mmsi = v0.mmsi and subtype = 'D2' and counts) as d2_valid_events,
+  (select count(*) from d where d.mmsi = v0.mmsi and subtype = 'D2' and not counts) as d2_flagged_events, (select count(*) from bv where bv.mmsi = v0.mmsi) as meeting_events from v0),
+sc as (select *, max_gap_hours/2 + impossible_jump_km/1.852e0/10 + draught_events*15e0 + d1_episodes*20e0 as score from v)"""
+
+_ENDS = "mmsi, start_ts, end_ts, round(start_latitude,6) as start_latitude, round(start_longitude,6) as start_longitude, round(end_latitude,6) as end_latitude, round(end_longitude,6) as end_longitude, round(gap_hours,6) as gap_hours"
+_SUMMARY = "mmsi, record_count, round(max_gap_hours,6) as max_gap_hours, round(impossible_jump_km,6) as impossible_jump_km, silence_events, draught_events, jump_events, d1_events, d1_episodes, d2_events, d2_valid_events, d2_flagged_events, meeting_events"
+_SPEEDS = "round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km, round(implied_speed_knots,6) as implied_speed_knots"
+_SESSION = (
+    "mmsi_a, mmsi_b, start_epoch, end_epoch, round(duration_hours,6) as duration_hours, observations, round(min_distance_km,6) as min_distance_km, round(avg_distance_km,6) as avg_distance_km, "
+    + ", ".join(f"round({c},6) as {c}" for c in ("start_lat_a", "start_lon_a", "start_lat_b", "start_lon_b", "end_lat_a", "end_lon_a", "end_lat_b", "end_lon_b"))
+)
+
+
+def _iso(c: str) -> str:
+    return f"strftime(make_timestamp({c} * 1000000), '%Y-%m-%dT%H:%M:%S')"
+
+
+def _top_jumps(where: str) -> str:
+    return _q(f"""select mmsi, row_number() over (order by start_ts, end_ts) as event_index, subtype, {_iso('start_ts')} as point_a_timestamp, round(start_latitude,6) as point_a_latitude,
+round(start_longitude,6) as point_a_longitude, {_iso('end_ts')} as point_b_timestamp, round(end_latitude,6) as point_b_latitude, round(end_longitude,6) as point_b_longitude, {_SPEEDS},
+coalesce(start_on_land::varchar, '') as point_a_on_land, coalesce(end_on_land::varchar, '') as point_b_on_land, quality_flag, counts::varchar as counts_for_dfsi
+from d where {where} and mmsi = (select mmsi from d where {where} group by mmsi order by count(*) desc, mmsi limit 1)""")
+
+
+def _q(text: str) -> str:
+    return f"with {_AIS}\n{text}"
+
+
+_TYPED = f"""select event_id, trim(raw_type) as kind, coalesce(try_strptime(raw_time, '%d/%m/%Y %H:%M:%S'), try_strptime(raw_time, '%d/%m/%Y %H:%M')) as ts,
+  case when try_cast(raw_mmsi as double) = floor(try_cast(raw_mmsi as double)) then try_cast(raw_mmsi as double)::bigint end as mmsi, try_cast(raw_latitude as double) as latitude,
+  try_cast(raw_longitude as double) as longitude, try_cast(raw_sog as double) as sog, try_cast(raw_draught as double) as draught from ({demo.RAW})"""
+_REASON = f"""select *, case when kind <> 'Class A' then 'type' when ts is null then 'time'
+  when mmsi is null or mmsi not between 100000000 and 999999999 or mmsi in (111111111, 123456789, 999999999) or regexp_matches(mmsi::varchar, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$') then 'mmsi'
+  when latitude is null or isnan(latitude) or latitude not between -90 and 90 then 'latitude' when longitude is null or isnan(longitude) or longitude not between -180 and 180 then 'longitude'
+  when abs(latitude) < 1e-6 and abs(longitude) < 1e-6 then 'origin' end as reason from ({_TYPED})"""
+_PROFILE = """prof as (select 'run' || (event_id % 3) as run, (event_id % 4 + 1)::int as workers, ((event_id // 4) % 3 + 1)::int * 100000 as chunk_size,
+  event_id::double / (event_id % 4 + 1) as elapsed_time_sec, 100e0 + event_id % 50 as total_rss_mb from events),
+tot as (select run, workers, chunk_size, max(elapsed_time_sec) as e, max(total_rss_mb) as m from prof group by all),
+sp as (select chunk_size, workers, avg(e) as elapsed_time_sec, max(m) as peak_memory_mb from tot group by all),
+su as (select *, first_value(elapsed_time_sec) over (partition by chunk_size order by workers) / elapsed_time_sec as speedup from sp)"""
+_A_STREAM = "mmsi, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km"
+
+ORACLES = {
+    "suspicion_ranking": _q(f"select {_SUMMARY}, round(score,6) as score, (row_number() over (order by score desc, mmsi))::int as rank from sc"),
+    "suspicion_topn": _q("select (row_number() over (order by score desc, mmsi))::int as rank, mmsi, round(score,6) as score, record_count from sc order by score desc, mmsi limit 10"),
+    "vessel_summary": _q(f"select {_SUMMARY} from v"),
+    "parse_records": f"select event_id, mmsi, epoch(ts)::bigint as ts, round(latitude,6) as latitude, round(longitude,6) as longitude, round(sog,6) as sog, round(draught,6) as draught from ({_REASON}) where reason is null",
+    "reject_reasons": f"select coalesce(reason, 'valid') as reason, count(*) as n from ({_REASON}) group by 1",
+    "multi_file_union": f"select mmsi, (event_id % 2)::int as file_no, count(*) as n, round(sum(latitude),6) as latitudes from ({_REASON}) where reason is null group by 1, 2",
+    "track_pairs": _q(f"select mmsi, seq, t-pt as prev_seconds, round({_hav('plat', 'plon', 'latitude', 'longitude')},6) as prev_km, round((t-pt)/3600e0,6) as prev_hours from tr where pt is not null"),
+    "samples_ac": _q("select mmsi, seq, t from tr where is_s"),
+    "samples_b": _q("select mmsi, seq, t from tr where is_m"),
+    "going_dark": _q(f"select {_ENDS}, round(distance_km,6) as distance_km from a"),
+    "draught_change": _q(f"select {_ENDS}, round(start_draught,6) as start_draught, round(end_draught,6) as end_draught, round(absolute_change,6) as absolute_change, round(relative_change,6) as relative_change from c"),
+    "teleport_events": _q(f"select mmsi, subtype, start_ts, end_ts, {_SPEEDS} from d"),
+    "teleport_d1": _q("select mmsi, start_ts, end_ts, round(distance_km,6) as distance_km, quality_flag, counts from d where subtype = 'D1'"),
+    "teleport_d2_quality": _q("select mmsi, start_ts, end_ts, round(distance_km,6) as distance_km, start_on_land, end_on_land, quality_flag, counts from d where subtype = 'D2'"),
+    "d1_episodes": _q("select mmsi, episodes from episodes"),
+    "b_points": _q("select mmsi, bucket, round(latitude,6) as latitude, round(longitude,6) as longitude, seq from pts"),
+    "b_pairs": _q("select mmsi_a, mmsi_b, bucket, round(latitude_a,6) as latitude_a, round(longitude_a,6) as longitude_a, round(latitude_b,6) as latitude_b, round(longitude_b,6) as longitude_b, round(km,6) as km from pr"),
+    "b_sessions": _q(f"select {_SESSION} from ss"),
+    "b_events": _q(f"select {_SESSION} from b"),
+    "b_vessel_counts": _q("select mmsi, count(*) as n from bv group by mmsi"),
+    "near_port_flags": _q(f"select seq, {_near('ais.latitude', 'ais.longitude', 15)} as near from ais"),
+    "on_land_flags": _q(f"select seq, {demo.LAND_SQL.format(lat='latitude', lon='longitude')} as on_land from ais"),
+    "nearest_port": _q(f"""select seq, port_name, round(km,6) as distance_km from (select ais.seq, p.port_name, {_hav('ais.latitude', 'ais.longitude', 'p.latitude', 'p.longitude')} as km,
+row_number() over (partition by ais.seq order by {_hav('ais.latitude', 'ais.longitude', 'p.latitude', 'p.longitude')}, p.port_no) as k from ais cross join ports p) where k = 1"""),
+    "top_going_dark_map": _q("""select mmsi, row_number() over (order by start_ts, end_ts) as event_index, round(start_latitude,6) as lat_origin, round(start_longitude,6) as lon_origin, round(end_latitude,6) as lat_destination,
+round(end_longitude,6) as lon_destination, round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km from a where mmsi = (select mmsi from a group by mmsi order by count(*) desc, mmsi limit 1)"""),
+    "top_d_map": _top_jumps("true"),
+    "top_d1_map": _top_jumps("subtype = 'D1'"),
+    "top_d2_map": _top_jumps("subtype = 'D2' and counts"),
+    "top_b_map": _q(f"""select mmsi as focus_mmsi, row_number() over (order by start_epoch, end_epoch, mmsi_a, mmsi_b) as event_index, {_iso('start_epoch')} as start_timestamp, {_iso('end_epoch')} as end_timestamp,
+{_SESSION.replace('start_epoch, end_epoch, ', '').replace('observations, ', '')} from bv where mmsi = (select mmsi from bv group by mmsi order by count(*) desc, mmsi limit 1)"""),
+    "bounding_box": _q("select round(min(least(start_latitude,end_latitude)),6) as min_latitude, round(max(greatest(start_latitude,end_latitude)),6) as max_latitude, round(min(least(start_longitude,end_longitude)),6) as min_longitude, round(max(greatest(start_longitude,end_longitude)),6) as max_longitude from d"),
+    "lat_cluster_split": _q("""select round(arg_max((lat+south)/2, (lat-south, -lat)),6) as threshold from (select lat, lag(lat) over (order by lat) as south from
+(select distinct start_latitude as lat from d union select distinct end_latitude from d)) where south is not null"""),
+    "streaming_going_dark": _q(f"select {_A_STREAM} from a"),
+    "streaming_teleport": _q(f"select mmsi, subtype, start_ts, end_ts, {_SPEEDS} from d"),
+    "speedup_table": f"with {_PROFILE} select chunk_size, workers, round(elapsed_time_sec,6) as elapsed_time_sec, round(peak_memory_mb,6) as peak_memory_mb, round(speedup,6) as speedup from su",
+    "parallel_share": f"with {_PROFILE} select chunk_size, round(greatest(0e0, least(1e0, sum((1-1e0/workers)*(1-1e0/speedup)) / nullif(sum((1-1e0/workers)*(1-1e0/workers)),0))),6) as parallel_share from su group by chunk_size",
+    "memory_timeline": f"""with {_PROFILE}, num as (select *, row_number() over (partition by run, workers, chunk_size order by elapsed_time_sec) as sample_no from prof),
+len as (select workers, chunk_size, min(n) as least_n from (select workers, chunk_size, run, count(*) as n from prof group by all) group by all)
+select workers, chunk_size, sample_no::int as sample_no, round(avg(total_rss_mb),6) as mean_mb, round(stddev_pop(total_rss_mb),6) as deviation_mb from num join len using (workers, chunk_size) where sample_no <= least_n group by workers, chunk_size, sample_no""",
+}
