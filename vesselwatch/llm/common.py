@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vesselwatch.session import ship_package
+
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 8 << 20
 
@@ -24,12 +24,7 @@ def bounded_batches(spark: SparkSession, rows: int = 10_000) -> None:
     Arrow batches are limited by bytes (and rows), so that long texts don't pile up in a Python worker.
     The package is shipped once per application, as executors need not have it installed.
     """
-    sc = spark.sparkContext
-    if not any(f.endswith("/vesselwatch-package.zip") for f in sc.listFiles):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        made = tempfile.mkdtemp(prefix="spark-package-")
-        shutil.copytree(f"{root}/vesselwatch", f"{made}/tree/vesselwatch", ignore=shutil.ignore_patterns("__pycache__"))
-        sc.addPyFile(shutil.make_archive(f"{made}/vesselwatch-package", "zip", f"{made}/tree"))
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
