@@ -12,43 +12,49 @@ PLACEHOLDER_MMSI = [0, 111111111, 123456789, 999999999]
 ZERO_DEGREES = 1e-6
 
 
+_EMPTY = r"(?is)^\s*(?:%s)?\s*$|^\s+|\s+$" % "|".join(m for m in NULL_MARKERS if m)
+#: As _EMPTY, and what is a number only with a type suffix.
+_EMPTY_NUMBER = _EMPTY.replace(")?", r"|\S*[0-9.][df])?", 1)
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at either end; null if nothing is left."""
     return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
 
 
 def present(c: Column) -> Column:
-    """Trimmed text, null for the markers of a missing value."""
-    text = trimmed(c)
-    return F.when(~F.lower(text).isin(NULL_MARKERS), text)
+    """Trimmed text; empty for the markers of a missing value. One pass, so that it may be repeated."""
+    return F.regexp_replace(c, _EMPTY, "")
 
 
 def parse_time(c: Column) -> Column:
-    """Day-first date with hours and minutes, seconds optional; null if it can't be read."""
-    text = F.regexp_replace(present(c), r"\s+", " ")
-    return F.coalesce(F.try_to_timestamp(text, F.lit("d/M/yyyy H:m:s")), F.try_to_timestamp(text, F.lit("d/M/yyyy H:m")))
+    """Day-first date with hours and minutes, seconds optional; null if it can't be read.
+
+    The shape is tested first: a failed parse costs an exception, which rejected rows would all pay.
+    """
+    text = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$|(\s)\s+", "$1"), r"(\s\d{1,2}:\d{1,2})$", "$1:0")
+    shape = r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{1,2}:\d{1,2}$"
+    return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_replace(text, r"\s", " "), F.lit("d/M/yyyy H:m:s")))
 
 
 def parse_float(c: Column) -> Column:
     """A double (nan and inf too); null if it can't be read. Type suffixes are not part of a number."""
-    text = present(c)
-    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
+    return F.regexp_replace(c, _EMPTY_NUMBER, "").try_cast("double")
 
 
 def parse_int(c: Column) -> Column:
     """A long from the text of a whole number, also written like 123.0 or 1e5."""
     number = parse_float(c)
-    whole = ~F.isnan(number) & (F.abs(number) < 9e18) & (number == F.floor(number))
-    return F.when(whole, F.when(whole, number).otherwise(0).cast("long"))
+    return F.when(F.abs(number) < 9e18, F.when(number.try_cast("long") == number, number.try_cast("long")))
 
 
 def valid_mobile_type(c: Column) -> Column:
-    return F.coalesce(trimmed(c).isin(MOBILE_TYPES), F.lit(False))
+    return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", "").isin(MOBILE_TYPES), F.lit(False))
 
 
 def valid_mmsi(c: Column) -> Column:
-    """Nine digits, no placeholder, not one digit only."""
-    return F.coalesce(c.between(100_000_000, 999_999_999) & ~c.isin(PLACEHOLDER_MMSI) & ~c.cast("string").rlike(r"^(\d)\1{8}$"), F.lit(False))
+    """Nine digits, no placeholder, not one digit only (a multiple of 111111111)."""
+    return F.coalesce(c.between(100_000_000, 999_999_999) & (c % 111_111_111 != 0) & ~c.isin(PLACEHOLDER_MMSI), F.lit(False))
 
 
 def valid_latitude(c: Column) -> Column:
