@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import nautical_miles
 from vesselwatch.operators.meetings import by_vessel
-from vesselwatch.operators.tracks import ORDER
+from vesselwatch.operators.tracks import in_track
 
 #: Fixed values of the score: points for each unit.
 GAP_HOURS_PER_POINT, MILES_PER_POINT, DRAUGHT_POINTS, EPISODE_POINTS = 2.0, 10.0, 15.0, 20.0
@@ -18,7 +18,7 @@ GAP_HOURS_PER_POINT, MILES_PER_POINT, DRAUGHT_POINTS, EPISODE_POINTS = 2.0, 10.0
 def with_episode_starts(detected: DataFrame, config: Detection) -> DataFrame:
     """``starts_episode``: a D1 jump that begins more than the episode gap after all earlier ones ended."""
     d1 = F.col("subtype") == "D1"
-    ended = F.max(F.when(d1, F.col("ts"))).over(ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    ended = F.max(F.when(d1, F.col("ts"))).over(in_track().rowsBetween(Window.unboundedPreceding, -1))
     apart = F.unix_seconds(F.col("prev.ts")) > F.unix_seconds(ended) + F.lit(int(config.jump.episode_hours * 3600))
     return detected.withColumn("starts_episode", F.coalesce(d1 & (ended.isNull() | apart), F.lit(False)))
 

@@ -10,7 +10,11 @@ from vesselwatch.config import Detection
 from vesselwatch.functions.geo import haversine_km, land_by_cell, ports_by_cell, speed_knots, with_near_port, with_on_land
 
 POINT = ["ts", "latitude", "longitude", "draught"]
-ORDER = Window.partitionBy("mmsi").orderBy("ts", "seq")
+
+
+def in_track():
+    """The window of all track functions: a vessel's records in time."""
+    return Window.partitionBy("mmsi").orderBy("ts", "seq")
 
 
 def epoch(c: str) -> Column:
@@ -27,7 +31,7 @@ def first_in_bucket(seconds: int) -> Column:
     if seconds <= 0:
         return F.lit(True)
     own = bucket(epoch("ts"), seconds)
-    return ~own.eqNullSafe(F.lag(own).over(ORDER))
+    return ~own.eqNullSafe(F.lag(own).over(in_track()))
 
 
 def with_track_columns(records: DataFrame, config: Detection) -> DataFrame:
@@ -39,11 +43,11 @@ def with_track_columns(records: DataFrame, config: Detection) -> DataFrame:
     here = F.struct(*POINT)
     flagged = records.select(
         "mmsi", "seq", *POINT, "sog",
-        F.lag(here).over(ORDER).alias("prev"),
+        F.lag(here).over(in_track()).alias("prev"),
         first_in_bucket(config.sampling.track_seconds).alias("is_sample"),
         first_in_bucket(config.sampling.meeting_seconds).alias("is_meeting_sample"),
     )
-    before = ORDER.rowsBetween(Window.unboundedPreceding, -1)
+    before = in_track().rowsBetween(Window.unboundedPreceding, -1)
     return flagged.withColumn("sample", F.last(F.when(F.col("is_sample"), here), ignorenulls=True).over(before))
 
 
