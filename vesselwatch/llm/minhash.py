@@ -258,5 +258,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return features.join(roots, "set_id", "left").select(
         F.col("id").alias(id_col),
         "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
