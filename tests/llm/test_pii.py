@@ -1,0 +1,79 @@
+import re
+
+import pytest
+from vesselwatch.llm.pii import pseudonymise
+
+KEY = "k"
+
+
+def _luhn(s):
+    d = [int(c) for c in re.sub(r"\D", "", s)][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * c, 10)) for c in d[1::2])) % 10 == 0
+
+
+def run(spark, texts, key=KEY):
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, __other string")
+    return [(r["text"], r["n_pii"]) for r in pseudonymise(df, key).orderBy("doc_id").collect()]
+
+
+FORMS = [
+    ("und.34@mail7.example.com", r"[a-z]{3}\.\d\d@mail7\.example\.com"), ("Él-x.1@Example.org", r"[ÁÀÂÄÃÅÆÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØŒÚÙÛÜÝ][a-z]-[a-z]\.\d@Example\.org"),
+    ("4785380592391139", r"4\d{15}"), ("4111 1111 1111 1111", r"4\d{3} \d{4} \d{4} \d{4}"), ("4111-1111-1111-1111", r"4\d{3}-\d{4}-\d{4}-\d{4}"),
+    ("152.143.123.131", r"\d+\.\d+\.\d+\.\d+"), ("+1 (743) 555-3824", r"\+1 \(\d{3}\) \d{3}-\d{4}"), ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+    ("2024-02-29", r"\d{4}-\d\d-\d\d"), ("01.12.1999", r"\d\d\.\d\d\.\d{4}"), ("31/12/1999", r"\d\d/\d\d/\d{4}"), ("DE89370400440532013000", r"DE\d{20}"), ("GB82WEST12345698765432", r"GB\d\d[A-Z]{4}\d{14}"),
+]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    return run(spark, [f"see {v}, and {v} twice" for v, _ in FORMS])
+
+
+@pytest.mark.parametrize("k", range(len(FORMS)))
+def test_formats_stay_and_equal_values_stay_equal(replaced, k):
+    value, form = FORMS[k]
+    text, n = replaced[k]
+    m = re.fullmatch(rf"see ({form}), and \1 twice", text)
+    assert m and m[1] != value and n == 2
+
+
+def test_results_are_valid(replaced):
+    by = {FORMS[k][0]: replaced[k][0].split(",")[0].removeprefix("see ") for k in range(len(FORMS))}
+    assert all(_luhn(by[c]) for c in ("4785380592391139", "4111 1111 1111 1111", "4111-1111-1111-1111"))
+    assert by["4111 1111 1111 1111"].replace(" ", "") == by["4111-1111-1111-1111"].replace("-", "")
+    assert all(int(x) < 256 for x in by["152.143.123.131"].split("."))
+    for value, code in (("DE89370400440532013000", "DE"), ("GB82WEST12345698765432", "GB")):
+        moved = by[value][4:] + by[value][:4]
+        assert by[value].startswith(code) and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+    import datetime
+
+    datetime.date.fromisoformat(by["2024-02-29"])
+
+
+def test_what_is_not_valid_stays(spark):
+    texts = ["2123465659789240", "300.1.2.3", "1.2.3.4.5", "666-12-3456", "000-12-3456", "2023-02-30", "DE00370400440532013000", "version 2.0.", "a@b", "1234567", "12345678901234567890", "plain text", "", None, "É @ 5 %"]
+    assert run(spark, texts) == [(t, 0) for t in texts]
+
+
+def test_secrets_need_an_assignment(spark):
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    (a, n), (b, m), (c, o) = run(spark, [f'token = "{value}"###', f"digest {value}", f'TOKEN = "{value.upper()}"!!'])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"###', a) and value not in a and n == 1
+    assert (b, m) == (f"digest {value}", 0)
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"!!', c) and o == 1
+
+
+def test_permutations_keep_values_apart_and_follow_the_key(spark):
+    ips = [f"10.0.{k // 250}.{k % 250}" for k in range(600)]
+    out = [t for t, _ in run(spark, ips)]
+    assert len(set(out)) == 600
+    assert [t for t, _ in run(spark, ips[:5], "other")] != out[:5]
+    dates = [f"20{y:02d}-{m:02d}-15" for y in range(30) for m in range(1, 13)]
+    assert len({t for t, _ in run(spark, dates)}) == 360
+    cards = [t for t, _ in run(spark, ["4532015112830366", "4532015112830374", "378282246310005"])]
+    assert len(set(cards)) == 3
+
+
+def test_all_of_a_long_text(spark):
+    ((text, n),) = run(spark, [("x " * 50_000) + "a.b@example.com " + ("y " * 50_000) + "9.8.7.6"])
+    assert n == 2 and "a.b@" not in text and not text.endswith("9.8.7.6") and len(text.split()) == 100_002

@@ -54,7 +54,9 @@ def read_arc(data: bytes) -> Iterator[dict]:
     """The records of an archive: the header's fields and ``block``. Raises ValueError on a broken archive."""
     at, version = 0, 1
     while at < len(data):
-        end = data.index(b"\n", at)
+        end = data.find(b"\n", at)
+        if end < 0:
+            raise ValueError("the archive ends within a header line")
         values = data[at:end].decode("utf-8", "replace").split(" ")
         first = values[0].startswith("filedesc:")
         names = FIELDS[1 if first else version]
