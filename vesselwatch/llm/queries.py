@@ -139,5 +139,23 @@ m as (select u.*, rule, verdict from u left join lateral (select rhost || rpath
   order by length(rhost || rpath) desc, length(rhost) desc limit 1) on true)
 select page_id, m.host, path, rule, coalesce(verdict, case when p - 1.645e0*sqrt(p*(1-p)/(k+1)) > 0.5e0 then 'block' else 'allow' end) as verdict from m left join ph on ph.host = m.host"""
 
-#: The others are tested against brute force or a library; SQL can't express them, or not in reasonable time.
-ORACLES: dict[str, str] = {"op5_urls": _URLS_SQL}
+_TOPK_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0)
+select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10"""
+
+_WARC_SQL = """with p as (select page_id, coalesce(html, '') as h from pages), f as (select h, min(page_id) as first from p where strlen(h) >= 100 group by h)
+select page_id, strlen(h)::bigint as payload_bytes, sha256(h) as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+  case when first <> page_id then first end as refers_to from p left join f using (h)"""
+
+_NEAR_SQL = r"""with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) < 2 then list_transform(ws, lambda x: [x]) else list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]]) end) as sh from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union all select b, a from l),
+r(node, reach) as (select doc_id, doc_id from w union select r.node, e.b from r join e on e.a = r.reach)
+select node as doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(reach) as component_id, node = min(reach) as kept from r left join n on n.doc_id = node group by node"""
+
+#: The others are tested against brute force or a library; SQL can't express them.
+ORACLES: dict[str, str] = {"op3_topk": _TOPK_SQL, "op5_urls": _URLS_SQL, "op9_warc": _WARC_SQL, "op10_minhash": _NEAR_SQL}
