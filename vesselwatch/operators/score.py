@@ -62,6 +62,7 @@ def ranked(scored: DataFrame) -> DataFrame:
     offsets, so no task sees all vessels.
     """
     order = [F.desc("score"), F.asc("mmsi")]
+    scored = scored.persist()  # a row per vessel: finding the ranges must not run the detection once more
     spread = scored.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     spread = spread.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = spread.groupBy("__part").agg(F.count("*").alias("n"))

@@ -60,11 +60,20 @@ def _km(start: str) -> Column:
 
 
 def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None) -> DataFrame:
-    """Tracks with the findings of A, C and D beside each record; flags are never null.
+    """``candidates`` after the look-ups: draught changes at sea only, jumps with their quality.
+
+    ``ports`` None: draught changes count everywhere; ``land`` None: no D2 can be trusted. A filter on either kind
+    of event is pushed below the look-ups, which are left joins.
+    """
+    config = config or Detection()
+    return _with_quality(_without_port_changes(candidates(records, config), config, ports), config, ports, land)
+
+
+def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame:
+    """Tracks with the findings of A, C and D beside each record, before any look-up; flags are never null.
 
     Silence (``is_silence``) and draught change (``is_draught_change``) compare track samples, jumps
-    (``subtype`` D1 or D2, else null) consecutive records. ``ports`` None: draught changes count
-    everywhere; ``land`` None: no D2 can be trusted.
+    (``subtype`` D1 or D2, else null) consecutive records.
     """
     config = config or Detection()
     a, c, d = config.silence, config.draught, config.jump
@@ -87,11 +96,10 @@ def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame
         & (F.col("prev_km") > d.min_distance_km) & (knots > d.max_speed_knots)
     )
     subtype = F.when(fast & (F.col("prev_hours") <= d.d1_max_gap_hours), "D1").when(fast & (F.col("prev_hours") <= d.d2_max_gap_hours), "D2")
-    t = t.select(
+    return t.select(
         "*", F.coalesce(silent, F.lit(False)).alias("is_silence"), F.coalesce(changed, F.lit(False)).alias("is_draught_change"),
         knots.alias("knots"), subtype.alias("subtype"),
     )
-    return _with_quality(_without_port_changes(t, config, ports), config, ports, land)
 
 
 def _without_port_changes(t: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:

@@ -30,6 +30,6 @@ def run_detection(records: DataFrame, ports: DataFrame | None = None, land: Data
     """All detectors and the vessel table over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
     config = config or Detection()
     detected = tracks.detect(records, config, ports, land)
-    met = meet.meetings(detected, config, ports if with_meetings else None, exact_grid, strict_gap)
+    met = meet.meetings(tracks.with_track_columns(records, config), config, ports if with_meetings else None, exact_grid, strict_gap)
     vessels = score.with_score(score.vessel_summary(detected, met if with_meetings else None, config))
-    return Result(detected, tracks.silences(detected), tracks.draught_changes(detected), tracks.jumps(detected), met, vessels)
+    return Result(detected, tracks.silences(tracks.candidates(records, config)), tracks.draught_changes(detected), tracks.jumps(detected), met, vessels)
