@@ -19,7 +19,7 @@ from vesselwatch.llm.common import bounded_batches
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 512, 32, 8, 4, 16
 #: Labelled texts that the network is fitted on, at most, and passes over them.
-SAMPLE, EPOCHS = 3000, 12
+SAMPLE, EPOCHS = 6000, 10
 #: Chunks of one text that a step of the fit draws, about.
 STEP_CHUNKS = 12
 #: Texts up to this score count as low quality.
