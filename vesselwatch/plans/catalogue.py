@@ -154,10 +154,10 @@ def memory_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a stream over the reports' files, run until all is read."""
+    """Events of a stream over the reports' files, run until all is read: one micro-batch, ordered within each vessel."""
     base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    demo.records(spark, d).select("mmsi", F.unix_seconds("ts").alias("epoch"), "seq", "latitude", "longitude").repartition(1).sortWithinPartitions("epoch", "seq").write.option("maxRecordsPerFile", 50_000_000).parquet(f"{base}/in")
-    source = spark.readStream.schema("mmsi long, epoch long, seq long, latitude double, longitude double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    demo.records(spark, d).select("mmsi", F.unix_seconds("ts").alias("epoch"), "seq", "latitude", "longitude").write.parquet(f"{base}/in")
+    source = spark.readStream.schema("mmsi long, epoch long, seq long, latitude double, longitude double").parquet(f"{base}/in")
     run_available(stream_events(source), f"{base}/out", f"{base}/state")
     return plain(spark.read.parquet(f"{base}/out"))
 
