@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +38,14 @@ def _cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / size)
 
 
+_checked: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
+
+
 def _small(catalogue: DataFrame, cells: DataFrame) -> DataFrame:
-    """Broadcast a catalogue's cells if it is small; otherwise the join shuffles."""
-    return F.broadcast(cells) if catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else cells
+    """Broadcast a catalogue's cells if it is small (counted once); otherwise the join shuffles."""
+    if catalogue not in _checked:
+        _checked[catalogue] = catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(cells) if _checked[catalogue] else cells
 
 
 def ports_by_cell(ports: DataFrame, minimum_radius_km: float) -> DataFrame:

@@ -69,6 +69,16 @@ def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame
     return _with_quality(_without_port_changes(candidates(records, config), config, ports), config, ports, land)
 
 
+def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
+    """``candidates`` with draught changes at sea only."""
+    return _without_port_changes(candidates(records, config), config, ports)
+
+
+def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
+    """``candidates`` with the quality of jumps."""
+    return _with_quality(candidates(records, config), config, ports, land)
+
+
 def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame:
     """Tracks with the findings of A, C and D beside each record, before any look-up; flags are never null.
 

@@ -1,8 +1,8 @@
-"""The whole detection as one set of DataFrames."""
+"""The whole detection as one set of DataFrames, each planned when it is first asked for."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -11,25 +11,44 @@ from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import score, tracks
 
 
-@dataclass
 class Result:
-    """Lazy results; ``detected`` is the shared plan behind all of them."""
+    """Lazy results over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
 
-    detected: DataFrame
-    silences: DataFrame
-    draught_changes: DataFrame
-    jumps: DataFrame
-    meetings: DataFrame
-    vessels: DataFrame
+    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool):
+        self.records, self.ports, self.land, self.config = records, ports, land, config
+        self.with_meetings, self.exact_grid, self.strict_gap = with_meetings, exact_grid, strict_gap
+
+    @cached_property
+    def detected(self) -> DataFrame:
+        """The shared plan behind all but silences and meetings, which need no look-up."""
+        return tracks.detect(self.records, self.config, self.ports, self.land)
+
+    @cached_property
+    def silences(self) -> DataFrame:
+        return tracks.silences(tracks.candidates(self.records, self.config))
+
+    @cached_property
+    def draught_changes(self) -> DataFrame:
+        return tracks.draught_changes(tracks.detect_draught(self.records, self.config, self.ports))
+
+    @cached_property
+    def jumps(self) -> DataFrame:
+        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land))
+
+    @cached_property
+    def meetings(self) -> DataFrame:
+        points = tracks.with_track_columns(self.records, self.config)
+        return meet.meetings(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
+
+    @cached_property
+    def vessels(self) -> DataFrame:
+        """One scored row per vessel."""
+        return score.with_score(score.vessel_summary(self.detected, self.meetings if self.with_meetings else None, self.config))
 
     def ranked(self) -> DataFrame:
         return score.ranked(self.vessels)
 
 
 def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False) -> Result:
-    """All detectors and the vessel table over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
-    config = config or Detection()
-    detected = tracks.detect(records, config, ports, land)
-    met = meet.meetings(tracks.with_track_columns(records, config), config, ports if with_meetings else None, exact_grid, strict_gap)
-    vessels = score.with_score(score.vessel_summary(detected, met if with_meetings else None, config))
-    return Result(detected, tracks.silences(tracks.candidates(records, config)), tracks.draught_changes(detected), tracks.jumps(detected), met, vessels)
+    """All detectors and the vessel table."""
+    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap)
