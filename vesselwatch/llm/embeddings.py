@@ -25,9 +25,10 @@ from vesselwatch.llm.common import bounded_batches, connected_components, materi
 
 #: Rows that the codebooks and the number of visits are fitted on, at most.
 SAMPLE = 4096
-#: Share of the hardest partners (those at the least allowed cosine) that the visits must meet.
-TARGET = 0.99
-BLOCK, VISITORS = 512, 2048
+#: Share of the hardest partners (those at the least allowed cosine) that the visits must meet. A link is found
+#: from either side, so two such shares stand between it and being missed.
+TARGET = 0.95
+BLOCK, VISITORS = 1024, 2048
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
