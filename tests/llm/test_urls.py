@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 from vesselwatch.llm.queries import URL_RULES
-from vesselwatch.llm.urls import host_reputation, judge_urls
+from vesselwatch.llm.urls import domain_of, host_reputation, judge_urls
 
 CASES = [
     ("https://www.Example.COM/en/7/x?q=1", "www.example.com", "/en/7/x", "example.com/en/7", "allow"), ("http://a.com/en/1#top", "a.com", "/en/1", "com/en/", "block"),
@@ -34,3 +35,20 @@ def test_labels_join_by_page(spark, bad):
     labels = spark.createDataFrame([(k, bad) for k in range(50)] + [(3, 0), (None, 1)], "id long, bad int")
     verdicts = {r["verdict"] for r in judge_urls(pages, labels, []).collect()}
     assert verdicts == ({"block"} if bad else {"allow"})
+
+
+def test_hosts_without_labels_are_judged_by_their_domain(spark):
+    urls = [f"http://h{k}.{d}/{k}" for d in ("spam.org", "fine.org", "bad.co.uk", "good.co.uk") for k in range(40)]
+    new = ["http://new.spam.org/", "http://new.spam.org:8080/", "http://new.fine.org/", "http://new.bad.co.uk/", "http://new.good.co.uk/", "http://other.co.uk/", "http://n.nowhere/"]
+    pages = spark.createDataFrame(list(enumerate(urls + new)), "page_id long, url string")
+    labels = spark.createDataFrame([(k, int("spam" in u or "bad" in u)) for k, u in enumerate(urls)], "id long, bad int")
+    got = {r["page_id"]: r for r in judge_urls(pages, labels, []).collect()}
+    assert [got[len(urls) + k]["verdict"] for k in range(len(new))] == ["block", "block", "allow", "block", "allow", "allow", "allow"]
+    near, far = got[len(urls)], got[len(urls) + 6]
+    assert near["bad_mean"] > 0.9 and far["bad_mean"] == pytest.approx(0.5, abs=0.05)
+
+
+def test_registered_domain(spark):
+    cases = [("a.b.co.uk", "b.co.uk"), ("b.co.uk:80", "b.co.uk"), ("co.uk", "co.uk"), ("u:p@w.x.com.", "x.com"), ("x.com.:1", "x.com"), ("10.1.2.3:80", "10.1.2.3"), ("[::1]:80", "[::1]"), ("com", "com"), ("", "")]
+    df = spark.createDataFrame(cases, "host string, domain string")
+    assert df.where(domain_of(F.col("host")) != F.col("domain")).collect() == []
