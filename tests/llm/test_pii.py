@@ -77,3 +77,37 @@ def test_permutations_keep_values_apart_and_follow_the_key(spark):
 def test_all_of_a_long_text(spark):
     ((text, n),) = run(spark, [("x " * 50_000) + "a.b@example.com " + ("y " * 50_000) + "9.8.7.6"])
     assert n == 2 and "a.b@" not in text and not text.endswith("9.8.7.6") and len(text.split()) == 100_002
+
+
+WIDER = [
+    ("+14155552671", r"\+1\d{10}"), ("+49 30 12345678", r"\+49 \d\d \d{8}"), ("+1 415 555 2671", r"\+1 \d{3} \d{3} \d{4}"), ("(415) 555-2671", r"\(\d{3}\) \d{3}-\d{4}"), ("415-555-2671", r"\d{3}-\d{3}-\d{4}"),
+    ("+33 6 12 34 56 78", r"\+33 \d \d\d \d\d \d\d \d\d"), ("+44 (0)20 7946 0958", r"\+44 \(\d\)\d\d \d{4} \d{4}"), ("020 7946 0958", r"0\d\d \d{4} \d{4}"), ("030/12345678", r"0\d\d/\d{8}"),
+    ("DE89 3704 0044 0532 0130 00", r"DE\d\d( \d{4}){4} \d\d"), ("GB82 WEST 1234 5698 7654 32", r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d"), ("3782 822463 10005", r"3\d{3} \d{6} \d{5}"), ("3782-822463-10005", r"3\d{3}-\d{6}-\d{5}"),
+    ("иванов@example.org", r"[а-џ]{6}@example\.org"), ("ΝΊΚΟΣ@example.org", r"[^\W\d]{5}@example\.org"), ("山田@example.org", r"[\u4e00-\u9fff]{2}@example\.org"), ("łą@example.org", r"[^\W\d]{2}@example\.org"), ("ðþ@example.org", r"[^\W]{2}@example\.org"),
+]
+
+
+def test_other_forms_are_found(spark):
+    for (value, form), (text, n) in zip(WIDER, run(spark, [f"see {v} EUR 5, and {v}." for v, _ in WIDER]), strict=True):
+        m = re.fullmatch(rf"see (?P<v>{form}) EUR 5, and (?P=v)\.", text)
+        assert m and m["v"] != value and n == 2, (value, text, n)
+
+
+def test_a_number_is_the_same_in_every_form(spark):
+    forms = ["+14155552671", "+1 (415) 555-2671", "415-555-2671", "(415) 555-2671", "415.555.2671"]
+    assert len({re.sub(r"\D", "", t)[-10:] for t, _ in run(spark, forms)}) == 1
+    same = [re.sub(r"[ -]", "", t) for t, _ in run(spark, ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "378282246310005", "3782 822463 10005"])]
+    assert same[0] == same[1] and same[2] == same[3] and _luhn(same[3])
+    moved = same[0][4:] + same[0][:4]
+    assert int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def test_letters_of_other_scripts_keep_values_apart(spark):
+    names = [chr(0x430 + a) + chr(0x430 + b) for a in range(20) for b in range(20)] + [chr(0x100 + k) for k in range(40)]
+    out = [t for t, _ in run(spark, [f"{x}@example.org" for x in names])]
+    assert len(set(out)) == len(names)
+
+
+def test_other_numbers_stay(spark):
+    texts = ["+5", "1 + 234567", "in 415 of 555 cases", "555-12-3456-1", "3782 822463 10006", "DE89 3704 0044 0532 0130 01", "12 345 6789", "115-555-2671", "1,415.555", "0 12 34 56"]
+    assert run(spark, texts) == [(t, 0) for t in texts]

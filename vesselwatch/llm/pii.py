@@ -8,6 +8,10 @@ links survive, and different values stay different. What fails its validation st
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +25,29 @@ ALPHABETS = [
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
-PHONE = r"(?<![\d+])\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+#: Between the digits of a phone number: one separator, with a parenthesis or not.
+_SEP = r"(?:[ \xA0./-]|[ \xA0./-]?\(|\)[ \xA0./-]?)?"
+#: Numbers without a country code: North American ones (3-3-4), and those with a trunk 0 in their usual groups.
+_AMERICAN = r"(?:1[ .-])?(?:\([2-9]\d{2}\)[ .-]?[2-9]\d{2}[ .-]?\d{4}|[2-9]\d{2}(?:-[2-9]\d{2}-|\.[2-9]\d{2}\.| [2-9]\d{2}[ -])\d{4})"
+_TRUNK = r"(?:0[1-9](?:[ .-]\d{2}){4}|\(0\d{2,4}\)[ /-]?\d{3,4}[ -]?\d{3,5}|0[1-9]\d{1,3}[ /-]\d{3,4}[ -]?\d{3,5})"
+#: E.164: 7 to 15 digits after the plus; a single digit after a separator isn't the end of a number.
+PHONE = (
+    rf"(?<![\d+])\+(?:1(?:{_SEP}\d){{10}}(?!\d)|[1-9](?:{_SEP}\d){{6,14}}(?<![ \xA0./-]\d)(?!\d))"
+    rf"|(?<![\p{{L}}\d+(.,/-])(?:{_AMERICAN}|{_TRUNK})(?![\d-]|[.,/]\d)"
+)
+#: Digits of a country code.
+_COUNTRY_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7})(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+#: Lengths of IBANs: they say where one in printed groups ends.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?:[ \xA0-]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_GROUPED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
 SECRET = r"(?<=[=:][ \t]{0,2}[\"']?)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 ANY = "|".join([EMAIL, PHONE, SECRET, IBAN, IP, SSN, DATE, CARD])
@@ -54,14 +76,46 @@ def permute_pair(a: Column, b: Column, sizes: tuple[int, int], key: str, kind: s
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
-def permute_text(text: Column, key: str, kind: str, alphabets: list[str] | None = None) -> Column:
-    """Feistel over the characters of a text: each moves within its alphabet by a shift from the other half."""
+@cache
+def _letter_runs(least: int = 8) -> tuple[tuple[tuple[int, int], ...], str]:
+    """((first code point, length) of runs of letters and digits outside ``ALPHABETS``, all others as one alphabet).
+
+    A run has one kind of letter (case); where these alternate, all kinds. Runs and alphabets have no
+    character in common, so moving within them keeps different texts different.
+    """
+    taken = set("".join(ALPHABETS))
+    others = [k for k in range(0x80, 0x110000) if unicodedata.category(chr(k))[0] in "LN" and chr(k) not in taken]
+    runs, rest = [], others
+    for kind in (lambda k: unicodedata.category(chr(k)), lambda k: ""):
+        groups = [[k for _, k in g] for _, g in groupby(enumerate(rest), lambda e: (e[1] - e[0], kind(e[1])))]
+        runs += [(g[0], len(g)) for g in groups if len(g) >= least]
+        rest = [k for g in groups if len(g) < least for k in g]
+    return tuple(sorted(runs)), "".join(map(chr, rest))
+
+
+def _moved_letter(c: Column, shift: Column) -> Column:
+    """A letter or digit outside ``ALPHABETS`` moved within its run of code points."""
+    runs, rest = _letter_runs()
+    every = F.split(F.lit(" ".join(f"{lo}:{n}" for lo, n in runs)), " ")
+    point = F.ascii(c)
+    low, size = (lambda r: F.substring_index(r, ":", 1).cast("int")), (lambda r: F.substring_index(r, ":", -1).cast("int"))
+    run = F.filter(every, lambda r: (point >= low(r)) & (point < low(r) + size(r)))
+    new = F.transform(run, lambda r: F.decode(F.unhex(F.lpad(F.hex(low(r) + (point - low(r) + shift) % size(r)), 8, "0")), "UTF-32"))
+    at = F.instr(F.lit(rest), c) - 1
+    return F.when(at >= 0, F.substring(F.lit(rest), (at + shift) % len(rest) + 1, F.lit(1))).otherwise(F.coalesce(F.array_join(F.when(F.size(new) > 0, new), ""), c))
+
+
+def permute_text(text: Column, key: str, kind: str, alphabets: list[str] | None = None, all_letters: bool = False) -> Column:
+    """Feistel over the characters of a text: each moves within its alphabet by a shift from the other half.
+
+    ``all_letters``: letters and digits of no alphabet move too, within runs of their script.
+    """
     chars = F.split(text, "")
     half = F.floor(F.size(chars) / 2).cast("int")
     start = F.struct(F.slice(chars, 1, half).alias("l"), F.slice(chars, half + 1, F.size(chars)).alias("r"))
 
     def moved(c: Column, shift: Column) -> Column:
-        out = c
+        out = F.when(c.rlike(r"^[^\x00-\x7F]$"), _moved_letter(c, shift)).otherwise(c) if all_letters else c
         for alphabet in alphabets or ALPHABETS:
             at = F.instr(F.lit(alphabet), c) - 1
             out = F.when((at >= 0) & (c != ""), F.substring(F.lit(alphabet), (at + shift) % len(alphabet) + 1, F.lit(1))).otherwise(out)
@@ -92,10 +146,10 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), value), F.lit(0), lambda s, x: s + x)
 
 
-def _refill(form: Column, digits: Column) -> Column:
-    """``form`` with its digits replaced by ``digits``, in order."""
-    at = lambda k: F.length(_digits(F.substring(form, F.lit(1), k + 1)))
-    return F.array_join(F.transform(F.split(form, ""), lambda c, k: F.when(c.rlike("[0-9]"), F.substring(digits, at(k), F.lit(1))).otherwise(c)), "")
+def _refill(form: Column, digits: Column, kept: str = "0-9") -> Column:
+    """``form`` with its digits (characters of the class ``kept``) replaced by ``digits``, in order."""
+    at = lambda k: F.length(F.regexp_replace(F.substring(form, F.lit(1), k + 1), f"[^{kept}]", ""))
+    return F.array_join(F.transform(F.split(form, ""), lambda c, k: F.when(c.rlike(f"[{kept}]"), F.substring(digits, at(k), F.lit(1))).otherwise(c)), "")
 
 
 def _card(m: Column, key: str) -> Column:
@@ -142,16 +196,24 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), step)
 
 
+def _compact(m: Column) -> Column:
+    return F.regexp_replace(m, r"[ \xA0-]", "")
+
+
 def _iban(m: Column, key: str) -> Column:
-    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
+    plain = _compact(m)
+    country, rest = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
     new = permute_text(rest, key, "iban")
     out = F.concat(country, F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0"), new)
-    return F.when(_mod97(F.concat(rest, F.substring(m, 1, 4))) == 1, out).otherwise(m)
+    return F.when(_mod97(F.concat(rest, F.substring(plain, 1, 4))) == 1, _refill(m, out, "A-Z0-9")).otherwise(m)
 
 
 def _phone(m: Column, key: str) -> Column:
-    country, rest = F.substring_index(m, "(", 1), F.concat(F.lit("("), F.substring_index(m, "(", -1))
-    return F.concat(country, permute_text(rest, key, "phone", ALPHABETS[:1]))
+    """The country code, 1 before an American number and the trunk 0 stay; a number is the same in every form."""
+    digits = _digits(m)
+    kept = F.when(m.startswith("+"), F.regexp_extract(digits, _COUNTRY_CODE, 0)).otherwise(F.regexp_extract(digits, r"^[01]", 0))
+    rest = F.substring(digits, F.length(kept) + 1, F.length(digits))
+    return _refill(m, F.concat(kept, permute_text(rest, key, "phone", ALPHABETS[:1])))
 
 
 def _secret(m: Column, key: str) -> Column:
@@ -160,20 +222,21 @@ def _secret(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email", all_letters=True), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one value found; the value itself if it fails its validation."""
     iso = _date(m, key, r"^\d{4}-", "yyyy-MM-dd")
+    plain = _compact(m)
     dotted, slashed = _date(m, key, r"^\d{2}\.", "dd.MM.yyyy"), _date(m, key, r"^\d{2}/", "dd/MM/yyyy")
     return (
         F.when(m.contains("@"), _email(m, key))
-        .when(m.startswith("+"), _phone(m, key))
+        .when(m.startswith("+") | m.rlike(f"^(?:{_AMERICAN}|{_TRUNK})$"), _phone(m, key))
         .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\."), _ip(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
         .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.coalesce(iso, dotted, slashed, m))
-        .when(m.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$") & (_mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1), _iban(m, key))
+        .when(plain.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$") & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1), _iban(m, key))
         .when(m.rlike(r"^[0-9A-Fa-f]{32,64}$"), _secret(m, key))
         .when(m.rlike(r"^[0-9 -]+$"), _card(m, key))
         .otherwise(m)
@@ -183,10 +246,12 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pii") -> DataFrame:
     """``docs`` with the personal data of ``text_col`` replaced; ``count_col``: values replaced, long.
 
-    Found are e-mail addresses (the domain stays), card numbers (Luhn; the first digit stays), IPv4
-    addresses, international phone numbers (the country code stays), US social security numbers, IBANs
-    (mod 97; the country stays), dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy; 1800 to 2199) and assigned
-    hexadecimal secrets.
+    Found are e-mail addresses (the domain stays), card numbers (Luhn; also in groups; the first digit
+    stays), IPv4 addresses, phone numbers (E.164 with or without separators, the country code stays;
+    North American ones in groups of 3-3-4; those with a trunk 0 in groups), US social security numbers,
+    IBANs (mod 97; also in groups; the country stays), dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy; 1800 to
+    2199) and assigned hexadecimal secrets. A national phone number without any separator is a number
+    like others and stays.
 
     Defined cases: a null text stays null and counts 0; texts without a value stay as they are; texts of
     any length are scanned whole; repeated rows are replaced alike; an empty table gives an empty
