@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from vesselwatch.llm import archives
-from vesselwatch.llm.html import main_text, page_paths
+from vesselwatch.llm.html import extract, main_text, page_paths
 from vesselwatch.llm.packing import Packer, pack_documents
 from vesselwatch.llm.quality import ByteNet, chunks, is_held_out, score_quality, train
 
@@ -118,6 +118,22 @@ def test_the_host_decides(spark):
     assert page_paths(usual.format(1))[1] == ">body>div.c"
 
 
+LONG = "Many words of the article are here, and there are more of them than anywhere else."
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<html><p>text</p><p>more</p>", "text more"), ("text only", "text only"), ("<p>cut <b>off &am", "cut off &am"),
+        (f"<body><div id=content><h1>T</h1><div class=text>{LONG}</div></div></body>", f"T {LONG}"), (f"<body><h1>T</h1><div class=text>{LONG}</div></body>", f"T {LONG}"),
+        (f"<body><div class=post><div class=lead>Lead.</div><div class=body>{LONG}</div><div class=more>End.</div></div><div class=rail>x</div></body>", f"Lead. {LONG} End."),
+        (f"<body><div class=wrap><ul><li><a href=x>One link</a><li><a href=x>Two links</a></ul><div class=text>{LONG}</div></div></body>", LONG),
+    ],
+)
+def test_text_beside_the_best_container(html, want):
+    assert extract(html, page_paths(html)[1]) == want
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [("http://a/b c\n", "20010203040506", "text/html", b"x\r\n\r\nfiledesc://not a header 1 2 3\n"), ("", "20010203040506", "text/html", b"")]

@@ -1,7 +1,8 @@
 """Main text of web pages by consensus of a host's pages.
 
 Each page scores its containers by the text that their blocks hold outside links and boilerplate. The
-best container's path (tags and classes, with what varies from page to page removed) is the page's vote;
+best container, widened to the wrapper that also holds its title, lead and further sections, has a path
+(tags and classes, with what varies from page to page removed) that is the page's vote;
 Spark counts votes for each host, and all of a host's pages are extracted again by the winning path.
 A page that has no container on that path falls back to its own best.
 """
@@ -61,8 +62,9 @@ def _marked(attributes: str) -> tuple[str, bool]:
 
 def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
     """(blocks: text, characters in links, innermost element), (containers in page order)."""
-    root = _Element("", "", False, None, 0)
-    stack, containers, blocks = [root], [], []
+    root = _Element("body", "", False, None, 0)  # the implied body: holds what no container holds
+    root.container = root
+    stack, containers, blocks = [root], [root], []
     parts: list[str] = []
     linked = in_link = 0
 
@@ -145,7 +147,23 @@ def _chain(element: _Element, up: dict[int, _Element | None]) -> Iterator[_Eleme
         inner = up[id(inner)]
 
 
-def page_paths(html: str) -> tuple[list[tuple[str, list[str]]], str | None, int]:
+def _widened(best: _Element, around: list[_Element], held: list[tuple[str, int, list[_Element]]]) -> _Element:
+    """The smallest container around ``best`` that also holds the prose beside it; ``around``: those around it, inner first.
+
+    What a wrapper adds must have at most half as many characters in links as outside. The body holds
+    other parts of the page too: it is taken only if what it adds stands in no container of its own.
+    """
+    for outer in around:
+        added = [(len(text), linked, chain) for text, linked, chain in held if outer in chain and best not in chain]
+        links = sum(linked for _, linked, _ in added)
+        if 3 * links > sum(n for n, _, _ in added) or (outer.tag == "body" and any(chain[0].tag != "body" for _, _, chain in added)):
+            break
+        if added:
+            best = outer
+    return best
+
+
+def page_paths(html: str) -> tuple[list[tuple[str, list[str]]], str | None, float]:
     """(blocks with the paths of their containers, the best container's path or None, its score)."""
     blocks, containers = parse(html)
     up: dict[int, _Element | None] = {}
@@ -157,13 +175,14 @@ def page_paths(html: str) -> tuple[list[tuple[str, list[str]]], str | None, int]
             open_.pop()
         up[id(c)] = open_[-1] if open_ else None
         open_.append(c)
-    out = []
+    out, held = [], []
     for text, linked, element in blocks:
         chain = [c for c in _chain(element, up)] if element.container is not None and id(element.container) in up else []
         out.append((text, [c.path for c in chain]))
+        held.append((text, linked, chain))
         worth = max(0, len(text) - 2 * linked)
-        for share, c in zip((2, 1), chain, strict=False):
-            c.score += share * worth
+        for depth, c in enumerate(chain):
+            c.score += worth / 2**depth
     best = max(containers, key=lambda c: (c.score, -c.order), default=None)
     if best is None or not best.score:
         return out, None, 0
@@ -172,16 +191,16 @@ def page_paths(html: str) -> tuple[list[tuple[str, list[str]]], str | None, int]
         around.append(above)
     for tag in ("article", "main"):
         if semantic := [c for c in around if c.tag == tag]:
-            best = semantic[-1]
-            break
+            return out, semantic[-1].path, semantic[-1].score
+    best = _widened(best, around[1:], held)
     return out, best.path, best.score
 
 
 def extract(html: str, path: str | None) -> str:
     """The text of the blocks in containers on ``path``; without such, of the page's own best container."""
     blocks, own, _ = page_paths(html)
-    found = [text for text, paths in blocks if path in paths] if path else []
-    if not found and own:
+    found = [text for text, paths in blocks if path in paths] if path is not None else []
+    if not found and own is not None:
         found = [text for text, paths in blocks if own in paths]
     return " ".join(found)
 
