@@ -134,6 +134,27 @@ def test_text_beside_the_best_container(html, want):
     assert extract(html, page_paths(html)[1]) == want
 
 
+@pytest.mark.parametrize("mark", ["has-sidebar", "no-sidebar", "ad-free", "social-science", "comment-open", "with-header", "notice-board", "header"])
+@pytest.mark.parametrize("tag", ["div", "main", "article"])
+def test_marks_of_the_whole_page(mark, tag):
+    html = f"<body><nav>No</nav><{tag} class='{mark}'><p>{LONG}</p></{tag}></body>"
+    assert extract(html, page_paths(html)[1]) == LONG
+
+
+@pytest.mark.parametrize("mark", ["sidebar", "ad1", "cookie-notice", "nav-left", "commentList", "site_footer", "mainNav", "share-links"])
+def test_marked_parts_go_unless_nothing_else_is_left(mark):
+    part = f"<div class='x {mark}'><p>Some other words.</p></div>"
+    html = f"<body><div class=wrap><div class=text>{LONG}</div>{part}</div></body>"
+    assert extract(html, page_paths(html)[1]) == LONG
+    assert extract(part, page_paths(part)[1]) == "Some other words."
+    assert extract(f"<p>{LONG} <span class={mark}>No</span> end", "") == f"{LONG} end"
+
+
+def test_math_stays():
+    html = f"<body><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><noscript>No</noscript></body>"
+    assert extract(html, page_paths(html)[1]) == f"{LONG} x=2 holds."
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     records = [("http://a/b c\n", "20010203040506", "text/html", b"x\r\n\r\nfiledesc://not a header 1 2 3\n"), ("", "20010203040506", "text/html", b"")]

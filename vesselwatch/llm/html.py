@@ -20,15 +20,22 @@ from pyspark.sql import functions as F
 from vesselwatch.llm.common import bounded_batches, materialize, small_enough
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp svg math".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes xmp svg".split())
 #: Elements that are never part of the main text.
 DROPPED = RAW | frozenset("head nav header footer aside form button select option menu dialog object video audio canvas map label fieldset".split())
-#: Words of class and id that mark such parts.
+#: Words that, as a whole class or id or as its last word, mark such parts.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "header masthead footer cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus respond replies share sharing social related recommended widget copyright".split()
 )
+#: Last words of a class or id that only say where or how a part is shown, and first ones that turn a mark into a property.
+QUALIFIERS = frozenset("left right top bottom inner outer container wrapper wrap box block area list links item items slot unit bar panel".split())
+PROPERTIES = frozenset("has have no not non with without show hide is".split())
+#: A marked element with more than this share of the page's text is the page itself.
+MOST = 0.8
+#: Marked elements within each other that are told apart, at most.
+DEEPEST_MARK = 16
 CONTAINERS = frozenset("article main section div td body center table tbody tr ul ol dl blockquote".split())
 #: Elements that begin and end a block of text.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption hr th caption details summary thead tfoot html hgroup search".split()) | DROPPED
@@ -38,23 +45,36 @@ SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd":
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_WORDS = re.compile(r"[A-Za-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "container", "score", "order")
+    __slots__ = ("tag", "path", "dropped", "container", "score", "order", "marks")
 
-    def __init__(self, tag: str, path: str, dropped: bool, container: _Element | None, order: int):
+    def __init__(self, tag: str, path: str, dropped: bool, container: _Element | None, order: int, marks: tuple[int, ...] = ()):
         self.tag, self.path, self.dropped, self.order, self.score = tag, path, dropped, order, 0
+        self.marks = marks  # numbers of the marked elements around it, itself included
         self.container = container  # the nearest one, itself included
 
 
+def _is_mark(token: str) -> bool:
+    """True for ``sidebar``, ``ad1``, ``cookie-notice``, ``navLeft``; not for ``has-sidebar``, ``ad-free``, ``notice-board``."""
+    if re.sub(r"[\W\d_]+", "", token).lower() in MARKS:
+        return True
+    words = [w.lower() for w in _WORDS.findall(token)]
+    if not words or words[0] in PROPERTIES:
+        return False
+    while len(words) > 1 and words[-1] in QUALIFIERS and words[-1] not in MARKS:
+        words.pop()
+    return words[-1] in MARKS
+
+
 def _marked(attributes: str) -> tuple[str, bool]:
     """(classes without digits for the path, whether class or id mark boilerplate)."""
     classes, marked = [], False
     for name, a, b, c in _ATTR.findall(attributes):
         value = a or b or c
-        marked |= any(w.lower() in MARKS for w in _WORDS.findall(value))
+        marked |= any(_is_mark(w) for w in value.split())
         if name.lower() == "class":
             classes += [re.sub(r"\d+", "", w) for w in value.split()]
     return "".join(f".{w}" for w in sorted(set(classes)) if w), marked
@@ -66,7 +86,7 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
     root.container = root
     stack, containers, blocks = [root], [root], []
     parts: list[str] = []
-    linked = in_link = 0
+    linked = in_link = marks = 0
 
     def flush() -> None:
         nonlocal linked
@@ -106,6 +126,8 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
                 flush()
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
+                    if stack[depth].marks != stack[-1].marks or stack[depth].marks != stack[depth - 1].marks:
+                        flush()
                     pop_to(depth)
                     break
             continue
@@ -126,8 +148,13 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
             continue
         above = stack[-1]
         classes, marked = _marked(attributes) if attributes else ("", False)
-        dropped = above.dropped or tag in DROPPED or (marked and tag not in ("html", "body"))
-        element = _Element(tag, f"{above.path}>{tag}{classes}" if tag in BLOCKS else above.path, dropped, above.container, len(containers))
+        dropped = above.dropped or tag in DROPPED
+        around = above.marks
+        if len(around) < DEEPEST_MARK and (tag == "noscript" or marked and tag not in ("html", "body", "main", "article")):
+            marks += 1
+            around = (*around, marks)
+            flush()  # its text is a block of its own
+        element = _Element(tag, f"{above.path}>{tag}{classes}" if tag in BLOCKS else above.path, dropped, above.container, len(containers), around)
         if tag in CONTAINERS:
             element.container = element
             if not dropped:
@@ -137,7 +164,24 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
     if at < len(html) and not stack[-1].dropped:
         parts.append(html[at:])
     flush()
-    return blocks, containers
+    return _unmarked(blocks, containers)
+
+
+def _unmarked(blocks: list[tuple[str, int, _Element]], containers: list[_Element]) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
+    """``blocks`` and ``containers`` outside marked elements; all if nothing else is left.
+
+    An element that holds most of the page's text isn't boilerplate, however it is marked.
+    """
+    held: dict[int, int] = {}
+    for text, _, element in blocks:
+        for k in element.marks:
+            held[k] = held.get(k, 0) + len(text)
+    if not held:
+        return blocks, [c for c in containers if not c.marks] if blocks else containers
+    total = sum(len(text) for text, _, _ in blocks)
+    page = {k for k, n in held.items() if n > MOST * total}
+    kept = [b for b in blocks if page.issuperset(b[2].marks)]
+    return (kept, [c for c in containers if page.issuperset(c.marks)]) if kept else (blocks, containers)
 
 
 def _chain(element: _Element, up: dict[int, _Element | None]) -> Iterator[_Element]:
@@ -153,13 +197,15 @@ def _widened(best: _Element, around: list[_Element], held: list[tuple[str, int,
     What a wrapper adds must have at most half as many characters in links as outside. The body holds
     other parts of the page too: it is taken only if what it adds stands in no container of its own.
     """
-    for outer in around:
-        added = [(len(text), linked, chain) for text, linked, chain in held if outer in chain and best not in chain]
+    best_level = len(around)
+    for level, outer in zip(range(len(around) - 1, -1, -1), around, strict=True):  # from the root, 0
+        inside = lambda chain, c, at: len(chain) > at and chain[-1 - at] is c
+        added = [(len(text), linked, chain) for text, linked, chain in held if inside(chain, outer, level) and not inside(chain, best, best_level)]
         links = sum(linked for _, linked, _ in added)
         if 3 * links > sum(n for n, _, _ in added) or (outer.tag == "body" and any(chain[0].tag != "body" for _, _, chain in added)):
             break
         if added:
-            best = outer
+            best, best_level = outer, level
     return best
 
 
@@ -228,7 +274,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text, n_chars) of every page.
 
     Blocks of the main container are stripped of markup and of menus, headers, footers, sidebars, notices,
-    adverts, forms, scripts, styles and comments; character references are decoded, white space inside
+    adverts, forms, scripts, styles and comments; parts that only a class or id marks as such (and noscript)
+    stay if they hold most of the page's text or nothing else is left; character references are decoded, white space inside
     a block becomes one space, blocks are joined in page order by one space.
 
     Defined cases: a null or empty html, or one without text, gives the empty text; a page without a host
