@@ -85,3 +85,15 @@ def test_few_candidates():
 def test_top_k_defined_cases(spark, rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert exact_top_k(df, F.lit(True)).count() == 0
+
+
+def test_each_width_is_searched_for_itself(spark):
+    rows = [(k, [1.0, 0.1 * k, 0.0, 0.0]) for k in range(5)] + [(5, [1.0] * 5), (6, [1.0, 0.0]), (7, [1.0, 0.1]), (8, [0.0, 1.0]), (9, [3.0]), (10, [2.0]), (11, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_duplicates(df).collect()}
+    assert got == {**dict.fromkeys(range(5), (4, 0)), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (0, 8), 9: (1, 9), 10: (1, 9), 11: (0, 11)}
+    whole = [(k, [float(round(10 * x)) for x in v]) for k, v in rows] + [(12, [])]
+    best = {}
+    for r in exact_top_k(spark.createDataFrame(whole, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 5, 6, 12), k=2).orderBy("query_id", "rank").collect():
+        best.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert best == {0: [(1, 100), (2, 100)], 6: [(7, 100), (8, 0)]}

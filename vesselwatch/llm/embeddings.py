@@ -29,6 +29,7 @@ SAMPLE = 4096
 #: from either side, so two such shares stand between it and being missed.
 TARGET = 0.95
 BLOCK, VISITORS = 1024, 2048
+FOUND = "cls long, links long, label long"
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -163,6 +164,26 @@ def _block(k: int, width: int, cosine: float):
     return run
 
 
+def _whole(cosine: float):
+    """Links of all classes of one width, each pair compared."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cls, weight = (table.column(c).to_numpy() for c in ("cls", "weight"))
+        x = unit_rows(table.column("vector").combine_chunks(), table.column("width")[0].as_py())
+        near = x @ x.T >= cosine
+        np.fill_diagonal(near, False)
+        label = cls.copy()
+        while True:
+            low = np.minimum(label, np.where(near, label, np.iinfo(np.int64).max).min(axis=1))
+            if (low == label).all():
+                break
+            label = low
+        rows = near.any(axis=1)
+        return pa.table({"cls": cls[rows], "links": (near @ weight)[rows], "label": label[rows]})
+
+    return run
+
+
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, target: float = TARGET, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
@@ -171,55 +192,34 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     the class's links. ``component_id`` is the smallest id reachable over links.
 
     Defined cases: a vector that is null, empty, zero, or holds null or non-finite components links with
-    nothing, nor does one whose width isn't that of the longest vector. Repeated rows (also of one id)
+    nothing. Vectors of different widths aren't linked; each width is searched for itself: the most frequent one
+    and all with more than ``BLOCK`` classes by an index, the others pair by pair. Repeated rows (also of one id)
     count as vectors of their own for ``n_links``. Rows with null ids are returned as strangers, kept, with
     a null component. An empty table gives an empty result. Other columns are ignored.
 
-    The codebooks and the number of visits are fitted on at most ``sample`` vectors (those with the
-    smallest hashes); all vectors are indexed.
+    The codebooks and the number of visits of a width are fitted on at most ``sample`` vectors (those with
+    the smallest hashes); all vectors are indexed.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     good = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull()).where(F.coalesce(finite, F.lit(False)))
-    width = good.agg(F.max(F.size("vector")).alias("w")).first()["w"] or 0
-    good = good.where(F.size("vector") == width)
-    classes = materialize(good.groupBy("vector").agg(F.min("id").alias("cls"), F.count("*").alias("weight")), "vectors")
-    n = classes.count()
-    if n and width > 1:
-        picked = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("vector").toPandas()["vector"]
-        fit = np.array([np.asarray(v, np.float64) for v in picked])
-        k = max(4, min(512, math.ceil(math.sqrt(n / 32))))
-        index = MultiIndex(fit / _norms(fit), k, cosine, target)
-        placed = materialize(
-            classes.select("cls", "vector", "weight").mapInArrow(
-                _placed(index, width), "cls long, vector array<double>, weight long, cell int, strip int, visits array<int>, strips array<int>"
-            ),
-            "cells",
-        )
-        # at most k strips: their sizes give each strip's blocks
-        residents = {r["strip"]: r["n"] for r in placed.groupBy("strip").agg(F.count("*").alias("n")).collect()}
-        visitors = {r["s"]: r["n"] for r in placed.select(F.explode("strips").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
-        h_cut = F.array(*[F.lit(max(1, -(-residents.get(s, 0) // BLOCK))) for s in range(k)])
-        v_cut = F.array(*[F.lit(max(1, -(-visitors.get(s, 0) // VISITORS))) for s in range(k)])
-        cuts = lambda d, s: d.withColumn("hn", F.element_at(h_cut, F.col(s) + 1)).withColumn("vn", F.element_at(v_cut, F.col(s) + 1))
-        lot = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
-        at_home = cuts(placed, "strip").select(
-            "cls", "vector", "weight", "cell", "visits", F.lit(True).alias("resident"), "strip", (lot % F.col("hn")).alias("hb"), F.explode(F.sequence(F.lit(0), F.col("vn") - 1)).alias("vb")
-        )
-        away = cuts(placed.withColumn("strip", F.explode("strips")), "strip").select(
-            "cls", "vector", "weight", "cell", F.filter("visits", lambda c: F.floor(c / k) == F.col("strip")).alias("visits"), F.lit(False).alias("resident"), "strip",
-            F.explode(F.sequence(F.lit(0), F.col("hn") - 1)).alias("hb"), (lot % F.col("vn")).alias("vb"),
-        )
-        found = materialize(
-            at_home.unionByName(away.withColumn("hb", F.col("hb").cast("long")), allowMissingColumns=False)
-            .groupBy("strip", "hb", "vb")
-            .applyInArrow(_block(k, width, cosine), "cls long, links long, label long"),
-            "found",
-        )
-        labels = connected_components(found, "cls", "label")
-        links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    classes = materialize(good.groupBy("vector").agg(F.min("id").alias("cls"), F.count("*").alias("weight")).withColumn("width", F.size("vector")), "vectors")
+    sizes = {r["width"]: r["n"] for r in classes.groupBy("width").agg(F.count("*").alias("n")).collect()}
+    if sizes:
+        first = max(sizes, key=lambda w: (sizes[w], w))
+        indexed = [w for w, n in sizes.items() if w == first or n > BLOCK]
+        found = [_indexed_links(classes.where(F.col("width") == w), sizes[w], w, cosine, target, sample) for w in indexed]
+        if len(indexed) < len(sizes):
+            found.append(classes.where(~F.col("width").isin(indexed)).groupBy("width").applyInArrow(_whole(cosine), FOUND))
+        together = found[0]
+        for more in found[1:]:
+            together = together.unionByName(more)
+        if len(found) > 1:
+            together = materialize(together, "found")
+        labels = connected_components(together, "cls", "label")
+        links = together.groupBy("cls").agg(F.sum("links").alias("links"))
         classes = classes.join(links, "cls", "left").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     else:
         classes = classes.withColumn("links", F.lit(0).cast("long")).withColumn("component", F.lit(None).cast("long"))
@@ -232,3 +232,37 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
         F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("id").isNotNull(), F.coalesce("root", "id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def _indexed_links(classes: DataFrame, n: int, width: int, cosine: float, target: float, sample: int) -> DataFrame:
+    """(cls, links, label) of the ``n`` classes, all of one width, by the multi-index."""
+    picked = classes.orderBy(F.xxhash64("cls"), "cls").limit(sample).select("vector").toPandas()["vector"]
+    fit = np.array([np.asarray(v, np.float64) for v in picked])
+    k = max(4, min(512, math.ceil(math.sqrt(n / 32))))
+    index = MultiIndex(fit / _norms(fit), k, cosine, target)
+    placed = materialize(
+        classes.select("cls", "vector", "weight").mapInArrow(
+            _placed(index, width), "cls long, vector array<double>, weight long, cell int, strip int, visits array<int>, strips array<int>"
+        ),
+        "cells",
+    )
+    # at most k strips: their sizes give each strip's blocks
+    residents = {r["strip"]: r["n"] for r in placed.groupBy("strip").agg(F.count("*").alias("n")).collect()}
+    visitors = {r["s"]: r["n"] for r in placed.select(F.explode("strips").alias("s")).groupBy("s").agg(F.count("*").alias("n")).collect()}
+    h_cut = F.array(*[F.lit(max(1, -(-residents.get(s, 0) // BLOCK))) for s in range(k)])
+    v_cut = F.array(*[F.lit(max(1, -(-visitors.get(s, 0) // VISITORS))) for s in range(k)])
+    cuts = lambda d, s: d.withColumn("hn", F.element_at(h_cut, F.col(s) + 1)).withColumn("vn", F.element_at(v_cut, F.col(s) + 1))
+    lot = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
+    at_home = cuts(placed, "strip").select(
+        "cls", "vector", "weight", "cell", "visits", F.lit(True).alias("resident"), "strip", (lot % F.col("hn")).alias("hb"), F.explode(F.sequence(F.lit(0), F.col("vn") - 1)).alias("vb")
+    )
+    away = cuts(placed.withColumn("strip", F.explode("strips")), "strip").select(
+        "cls", "vector", "weight", "cell", F.filter("visits", lambda c: F.floor(c / k) == F.col("strip")).alias("visits"), F.lit(False).alias("resident"), "strip",
+        F.explode(F.sequence(F.lit(0), F.col("hn") - 1)).alias("hb"), (lot % F.col("vn")).alias("vb"),
+    )
+    return materialize(
+        at_home.unionByName(away.withColumn("hb", F.col("hb").cast("long")), allowMissingColumns=False)
+        .groupBy("strip", "hb", "vb")
+        .applyInArrow(_block(k, width, cosine), FOUND),
+        "found",
+    )

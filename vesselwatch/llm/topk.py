@@ -71,9 +71,10 @@ def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
 
 
-def _task(k: int, width: int):
+def _task(k: int):
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
+        width = table.column("width")[0].as_py()
         x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         q, there = np.flatnonzero(asks), np.flatnonzero(~asks)
@@ -92,8 +93,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     ``vectors`` holds integer components (as doubles, magnitudes below 2^20 so that sums are exact);
     ``is_query`` says which rows are queries. Every row but those of the query's own id is a candidate.
 
-    Defined cases: rows with a null id or vector, with null or non-finite components, or whose width
-    isn't that of the longest vector take no part. Repeated ids are candidates of their own; a repeated
+    Defined cases: rows with a null id or vector, an empty vector, or null or non-finite components take no
+    part. Candidates of a query are the vectors of its width, whatever widths others have. Repeated ids are candidates of their own; a repeated
     query is answered once. A query with fewer than k candidates gets all. Empty tables give an empty
     result; other columns are ignored.
     """
@@ -103,15 +104,15 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     rows = (
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
         .where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+        .withColumn("width", F.size("vector")).where("width > 0")
     )
-    facts = rows.agg(F.max(F.size("vector")).alias("w"), F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    width, n, q = facts["w"] or 0, facts["n"], facts["q"]
-    rows = rows.where(F.size("vector") == width)
+    facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
+    n, q = facts["n"], facts["q"]
     x_blocks, q_blocks = max(LEAST_BLOCKS, -(-n // ROWS)), max(1, -(-q // QUERIES))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     lot = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "vector", F.lit(True).alias("asks"), lot(q_blocks, 1).alias("qb")).select("*", every(x_blocks).alias("xb"))
-    there = rows.select("id", "vector", F.lit(False).alias("asks"), lot(x_blocks, 2).alias("xb")).select("*", every(q_blocks).alias("qb"))
-    best = asked.unionByName(there).groupBy("xb", "qb").applyInArrow(_task(k, max(width, 1)), "query_id long, vec_id long, score long")
+    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "vector", "width", F.lit(True).alias("asks"), lot(q_blocks, 1).alias("qb")).select("*", every(x_blocks).alias("xb"))
+    there = rows.select("id", "vector", "width", F.lit(False).alias("asks"), lot(x_blocks, 2).alias("xb")).select("*", every(q_blocks).alias("qb"))
+    best = asked.unionByName(there).groupBy("xb", "qb", "width").applyInArrow(_task(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
