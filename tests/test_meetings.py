@@ -63,6 +63,17 @@ def test_exact_grid_finds_all_close_pairs(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("base", [120.0, 179.98, -150.0])
+def test_exact_grid_at_other_longitudes(spark, base):
+    from vesselwatch.streaming.detector import _km
+
+    rng = random.Random(3)
+    rows = [(k, 0, 64 + rng.random() * 0.08, (base + rng.random() * 0.04 + 180) % 360 - 180, 0.1) for k in range(200)]
+    points = meet.meeting_points(tracks.with_track_columns(records(spark, *rows), HALF_HOURS), HALF_HOURS, no_ports(spark))
+    got = {(r["mmsi_a"], r["mmsi_b"]) for r in meet.pair_observations(points, HALF_HOURS, exact_grid=True).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and _km(a[2], a[3], b[2], b[3]) <= 0.5} and got
+
+
 def _walk(observed: dict[int, set], occupied: list[int], gap: int) -> list[list[int]]:
     """Sessions of pairs by walking all occupied buckets in order: an independent statement of the rule."""
     out = []

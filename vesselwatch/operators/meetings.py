@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vesselwatch.config import Detection
-from vesselwatch.functions.geo import exact_lon_cell, grid_degrees, haversine_km, ports_by_cell, with_near_port
+from vesselwatch.functions.geo import grid_degrees, haversine_km, ports_by_cell, with_near_port
 from vesselwatch.operators.tracks import bucket, epoch
 
 #: Ranges that occupied buckets are ordered in, so that no single task orders all of them.
@@ -45,12 +45,13 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
     lat, lon = F.col("latitude"), F.col("longitude")
     celled = points.withColumn("cy", F.floor(lat / size))
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    if exact_grid:  # the width of longitude cells is that of the band of the left side
-        left = celled.withColumn("cx", F.floor(lon / exact_lon_cell(lat, size))).withColumn("band", F.col("cy"))
+    if exact_grid:  # both sides take the width of the left side's band, from its number; the cells of a band go round the earth
+        farthest = F.least(F.lit(90.0), F.greatest(F.abs("band"), F.abs(F.col("band") + 1)) * size + size)
+        cells = F.greatest(F.lit(1), F.floor(360 * F.greatest(F.lit(0.0), F.cos(F.radians(farthest))) / size)).cast("long")
+        cx = F.floor(F.pmod(lon + 180, F.lit(360.0)) / (F.lit(360.0) / cells))
+        left = celled.withColumn("band", F.col("cy")).withColumn("cx", F.pmod(cx, cells))
         right = celled.select("*", F.explode(near).alias("dy")).withColumn("band", F.col("cy") + F.col("dy"))
-        band_lat = F.col("band") * size
-        wide = exact_lon_cell(band_lat, size)
-        right = right.select("*", F.explode(F.array_distinct(F.transform(near, lambda k: F.floor(lon / wide) + k))).alias("to_x")).drop("dy")
+        right = right.select("*", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(cx + k, cells)))).alias("to_x")).drop("dy")
     else:
         left = celled.withColumn("cx", F.floor(lon / size)).withColumn("band", F.col("cy"))
         right = celled.select("*", F.explode(near).alias("dy")).withColumn("band", F.col("cy") + F.col("dy"))
