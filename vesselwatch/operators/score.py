@@ -10,6 +10,7 @@ from vesselwatch.config import Detection
 from vesselwatch.functions.geo import nautical_miles
 from vesselwatch.operators.meetings import by_vessel
 from vesselwatch.operators.tracks import in_track
+from vesselwatch.session import discard, stored
 
 #: Fixed values of the score: points for each unit.
 GAP_HOURS_PER_POINT, MILES_PER_POINT, DRAUGHT_POINTS, EPISODE_POINTS = 2.0, 10.0, 15.0, 20.0
@@ -58,16 +59,23 @@ def with_score(summary: DataFrame) -> DataFrame:
 def ranked(scored: DataFrame) -> DataFrame:
     """``rank`` from 1 by falling score, ties by vessel.
 
-    Scores are range-partitioned and numbered within their range; the ranges' sizes (one row each) give the
-    offsets, so no task sees all vessels.
+    The rows are dealt to ranges of the order, sorted and numbered within them, and written once; ranges and places are
+    read from that one table (a second plan could draw other ranges). The ranges' sizes, one row each,
+    give the offsets, so no task sees all vessels.
     """
     order = [F.desc("score"), F.asc("mmsi")]
-    scored = scored.persist()  # a row per vessel: finding the ranges must not run the detection once more
-    spread = scored.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    spread = spread.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    sizes = spread.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    return spread.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + F.col("__place")).cast("int")).drop("__part", "__place", "__before")
+    scored = stored(scored, "scored")  # a row per vessel: drawing the ranges must not run the detection once more
+    # the number of a row: its partition above bit 33, its place in it below
+    placed = stored(scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    discard(scored)
+    part, place = F.shiftright("__row", 33), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))  # a row for each shuffle partition
+    return (
+        placed.withColumn("__part", part).join(offsets, "__part")
+        .withColumn("rank", (F.col("__before") + place + 1).cast("int")).drop("__part", "__row", "__before")
+    )
 
 
 def top_vessels(scored: DataFrame, n: int) -> DataFrame:

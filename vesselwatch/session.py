@@ -1,4 +1,4 @@
-"""A session with what the engine relies on: UTC and adaptive execution."""
+"""A session with what the engine relies on: UTC and adaptive execution; tables that are written once and read again."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import os
 import shutil
 import tempfile
 
-from pyspark.sql import SparkSession
+from uuid import uuid4
+from weakref import WeakKeyDictionary
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(name: str = "vesselwatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,3 +30,46 @@ def ship_package(spark: SparkSession) -> None:
     made = tempfile.mkdtemp(prefix="spark-package-")
     shutil.copytree(package, f"{made}/tree/vesselwatch", ignore=shutil.ignore_patterns("__pycache__"))
     sc.addPyFile(shutil.make_archive(f"{made}/vesselwatch-package", "zip", f"{made}/tree"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, below ``spark.checkpoint.dir``; it goes when the application ends.
+
+    Where that setting is missing a session on one machine gets a temporary folder; on a cluster only the
+    user knows a folder that driver and executors share.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    return path
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+_stored: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: it is computed once and its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _stored[back] = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that nothing will read any more."""
+    for df in tables:
+        folder, files = _folder(df.sparkSession, _stored.pop(df))
+        files.delete(folder, True)
