@@ -12,44 +12,46 @@ PLACEHOLDER_MMSI = [0, 111111111, 123456789, 999999999]
 ZERO_DEGREES = 1e-6
 
 
-_EMPTY = r"(?is)^\s*(?:%s)?\s*$|^\s+|\s+$" % "|".join(m for m in NULL_MARKERS if m)
-#: As _EMPTY, and what is a number only with a type suffix.
-_EMPTY_NUMBER = _EMPTY.replace(")?", r"|\S*[0-9.][df])?", 1)
+#: White space as it is stripped from either end of a field.
+WHITE = " \t\n\r\x0b\x0c"
+#: A decimal number without a type suffix, white space around it; possessive, so that a field is read once.
+_NUMBER = r"^\s*+[+-]?(?:(?:\d++\.?+\d*+|\.\d++)(?:[eE][+-]?\d++)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*+$"
+_TIME = r"^\s*+(\d{1,2})/(\d{1,2})/(?!0000)(\d{4})\s+(\d{1,2}:\d{1,2}(?::\d{1,2})?)\s*+$"
 
 
 def trimmed(c: Column) -> Column:
     """Without white space at either end; null if nothing is left."""
-    return F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(WHITE)), F.lit(""))
 
 
 def present(c: Column) -> Column:
-    """Trimmed text; empty for the markers of a missing value. One pass, so that it may be repeated."""
-    return F.regexp_replace(c, _EMPTY, "")
+    """Trimmed text; empty for the markers of a missing value."""
+    text = F.btrim(c, F.lit(WHITE))
+    return F.when(F.lower(text).isin(NULL_MARKERS), "").otherwise(text)
 
 
 def parse_time(c: Column) -> Column:
     """Day-first date with hours and minutes, seconds optional; null if it can't be read.
 
-    The shape is tested first: a failed parse costs an exception, which rejected rows would all pay.
+    One pass turns it into the year-first form that a cast reads without exceptions; what has no slash was
+    in another form, what still has one doesn't cast.
     """
-    text = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$|(\s)\s+", "$1"), r"(\s\d{1,2}:\d{1,2})$", "$1:0")
-    shape = r"^\d{1,2}/\d{1,2}/\d{4}\s\d{1,2}:\d{1,2}:\d{1,2}$"
-    return F.when(text.rlike(shape), F.try_to_timestamp(F.regexp_replace(text, r"\s", " "), F.lit("d/M/yyyy H:m:s")))
+    return F.when(c.contains("/"), F.regexp_replace(c, _TIME, "$3-$2-$1 $4").try_cast("timestamp"))
 
 
 def parse_float(c: Column) -> Column:
     """A double (nan and inf too); null if it can't be read. Type suffixes are not part of a number."""
-    return F.regexp_replace(c, _EMPTY_NUMBER, "").try_cast("double")
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
 
 def parse_int(c: Column) -> Column:
     """A long from the text of a whole number, also written like 123.0 or 1e5."""
     number = parse_float(c)
-    return F.when(F.abs(number) < 9e18, F.when(number.try_cast("long") == number, number.try_cast("long")))
+    return F.coalesce(c.try_cast("long"), F.when(F.abs(number) < 9e18, F.when(number.try_cast("long") == number, number.try_cast("long"))))
 
 
 def valid_mobile_type(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, r"^\s+|\s+$", "").isin(MOBILE_TYPES), F.lit(False))
+    return F.coalesce(c.isin(MOBILE_TYPES) | F.btrim(c, F.lit(WHITE)).isin(MOBILE_TYPES), F.lit(False))
 
 
 def valid_mmsi(c: Column) -> Column:

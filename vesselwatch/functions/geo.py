@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 EARTH_RADIUS_KM = 6371.0
 KM_PER_NAUTICAL_MILE = 1.852
-#: Degrees of the cells of the port and land catalogues.
-PORT_CELL, LAND_CELL = 0.25, 5.0
+#: Degrees of the cells of the port catalogue, and of the bands and columns of the land mask.
+PORT_CELL, LAND_BAND, LAND_COLUMN = 0.25, 0.25, 5.0
 #: Kilometres of a degree of latitude, rounded down so that cells cover a radius.
 KM_PER_DEGREE = 111.0
-#: Catalogue rows that are broadcast at most.
-BROADCAST_ROWS = 200_000
+#: Ports or edges in a look-up table that is broadcast, at most (some 40 bytes each).
+BROADCAST_ROWS = 500_000
+#: Degrees of the cells in which candidates for the nearest port are narrowed down, from coarse to fine.
+NEAREST_CELLS = (8.0, 1.0, 0.25)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -38,14 +40,15 @@ def _cell(degrees: Column, size: float) -> Column:
     return F.floor(degrees / size)
 
 
-_checked: WeakKeyDictionary[DataFrame, bool] = WeakKeyDictionary()
+_checked: WeakKeyDictionary[DataFrame, dict[tuple, bool]] = WeakKeyDictionary()
 
 
-def _small(catalogue: DataFrame, cells: DataFrame) -> DataFrame:
-    """Broadcast a catalogue's cells if it is small (counted once); otherwise the join shuffles."""
-    if catalogue not in _checked:
-        _checked[catalogue] = catalogue.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(cells) if _checked[catalogue] else cells
+def _small(catalogue: DataFrame, cells: DataFrame, content: str, *key: float) -> DataFrame:
+    """Broadcast the cells of a catalogue if all they hold is little (summed once for a catalogue); otherwise the join shuffles."""
+    known = _checked.setdefault(catalogue, {})
+    if key not in known:
+        known[key] = (cells.agg(F.sum(F.expr(content))).first()[0] or 0) <= BROADCAST_ROWS
+    return F.broadcast(cells) if known[key] else cells
 
 
 def ports_by_cell(ports: DataFrame, minimum_radius_km: float) -> DataFrame:
@@ -59,7 +62,7 @@ def ports_by_cell(ports: DataFrame, minimum_radius_km: float) -> DataFrame:
     xs = F.array_distinct(F.transform(F.sequence(_cell(F.col("longitude") - d_lon, PORT_CELL), _cell(F.col("longitude") + d_lon, PORT_CELL)), lambda x: F.pmod(x, F.lit(width))))
     cells = ports.select(row.alias("port"), F.explode(F.sequence(_cell(F.col("latitude") - d_lat, PORT_CELL), _cell(F.col("latitude") + d_lat, PORT_CELL))).alias("cell_y"), xs.alias("xs"))
     cells = cells.select("port", "cell_y", F.explode("xs").alias("cell_x"))
-    return _small(ports, cells.groupBy("cell_y", "cell_x").agg(F.collect_list("port").alias("ports")))
+    return _small(ports, cells.groupBy("cell_y", "cell_x").agg(F.collect_list("port").alias("ports")), "size(ports)", float(minimum_radius_km))
 
 
 def with_near_port(df: DataFrame, cells: DataFrame, lat: str, lon: str, out: str, only: Column | None = None) -> DataFrame:
@@ -75,28 +78,50 @@ def with_near_port(df: DataFrame, cells: DataFrame, lat: str, lon: str, out: str
 
 
 def nearest_port(points: DataFrame, ports: DataFrame, key: list[str], lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """``key`` columns with the nearest port's name and distance; ties: the first in the catalogue.
+    """``key`` columns with the nearest port's name and distance; ties: the first in the catalogue. No ports: no rows.
 
-    The catalogue travels as one array of at most BROADCAST_ROWS ports in a single row; none: no row is found.
+    Candidates are narrowed down by cells of the earth, from coarse to fine: the port nearest to a point lies
+    at most a cell's diameter further from the cell's centre than the centre's own nearest port. Only cells
+    with points are followed; a fine cell has one row, whatever the number of points in it.
     """
-    if not ports.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        raise ValueError(f"the port catalogue has more than {BROADCAST_ROWS} rows")
-    all_ports = ports.agg(F.array_sort(F.collect_list(F.struct("port_no", "port_name", "latitude", "longitude"))).alias("ports")).withColumn("one", F.lit(1))
-    ranked = F.transform("ports", lambda p: F.struct(haversine_km(F.col(lat), F.col(lon), p["latitude"], p["longitude"]).alias("km"), p["port_no"].alias("no"), p["port_name"].alias("name")))
-    joined = points.withColumn("one", F.lit(1)).join(F.broadcast(all_ports), "one")
-    return joined.withColumn("best", F.array_min(ranked)).where("best is not null").select(*key, F.col("best.name").alias("port_name"), F.col("best.km").alias("distance_km"))
+    located = points.select(*key, F.col(lat).alias("__lat"), F.col(lon).alias("__lon")).where("__lat is not null and __lon is not null")
+    finest = NEAREST_CELLS[-1]
+    own = F.struct(_cell(F.col("__lat"), finest).alias("y"), _cell(F.col("__lon"), finest).alias("x"))
+    cells = located.select(own.alias("cell")).distinct()  # at most one for each cell of the earth
+    parent = lambda size: F.struct(_cell((F.col("cell.y") + 0.5) * finest, size).alias("y"), _cell((F.col("cell.x") + 0.5) * finest, size).alias("x"))
+    every = ports.select("port_no", "port_name", F.col("latitude").alias("p_lat"), F.col("longitude").alias("p_lon")).where("p_lat is not null and p_lon is not null")
+    near, above = every.withColumn("up", F.lit(0)), F.lit(0)
+    for size in NEAREST_CELLS:
+        here = cells.select(parent(size).alias("at"), above.alias("up")).distinct()
+        # the coarsest cells are about a thousand: ports meet all that hold points
+        met = near.join(F.broadcast(here) if size == NEAREST_CELLS[0] else here, "up")
+        away = haversine_km((F.col("at.y") + 0.5) * size, (F.col("at.x") + 0.5) * size, F.col("p_lat"), F.col("p_lon"))
+        met = met.withColumn("away", away)
+        bounds = met.groupBy("at").agg((F.min("away") + size * 1.4143 * degrees_to_km(1.0) + 0.01).alias("bound"))
+        near = met.join(bounds, "at").where("away <= bound").select("port_no", "port_name", "p_lat", "p_lon", F.col("at").alias("up"))
+        above = parent(size)
+    choice = near.groupBy(F.col("up").alias("cell")).agg(F.collect_list(F.struct("port_no", "port_name", "p_lat", "p_lon")).alias("ports"))
+    ranked = F.transform("ports", lambda p: F.struct(haversine_km(F.col("__lat"), F.col("__lon"), p["p_lat"], p["p_lon"]).alias("km"), p["port_no"].alias("no"), p["port_name"].alias("name")))
+    joined = located.withColumn("cell", own).join(choice, "cell").withColumn("best", F.array_min(ranked))
+    return joined.select(*key, F.col("best.name").alias("port_name"), F.col("best.km").alias("distance_km"))
 
 
 def land_by_cell(land: DataFrame) -> DataFrame:
-    """(land_y, land_x, polygons): polygons by the cells of their bounding box.
+    """(land_y, land_x, polygons): by band of latitude and column, the edges of each polygon that a ray to the east can meet.
 
-    ``land``: polygon_id, edges array<struct<x1,y1,x2,y2>> in degrees (all rings, holes too).
+    ``land``: polygon_id, edges array<struct<x1,y1,x2,y2>> in degrees (all rings, holes too). A cell holds the edges
+    that reach into its band and end east of its western border, so a polygon's size doesn't multiply.
     """
-    box = [F.expr(f"array_min(transform(edges, e -> least(e.{a}1, e.{a}2)))") for a in "xy"] + [F.expr(f"array_max(transform(edges, e -> greatest(e.{a}1, e.{a}2)))") for a in "xy"]
-    boxed = land.select("edges", *(b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)))
-    cells = boxed.select("edges", F.explode(F.sequence(_cell(F.col("y0"), LAND_CELL), _cell(F.col("y1"), LAND_CELL))).alias("land_y"), "x0", "x1")
-    cells = cells.select("edges", "land_y", F.explode(F.sequence(_cell(F.col("x0"), LAND_CELL), _cell(F.col("x1"), LAND_CELL))).alias("land_x"))
-    return _small(land, cells.groupBy("land_y", "land_x").agg(F.collect_list("edges").alias("polygons")))
+    edge = land.select("edges", F.monotonically_increasing_id().alias("polygon")).select("polygon", F.explode("edges").alias("e"))
+    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
+    banded = edge.select("polygon", "e", F.explode(F.sequence(_cell(low, LAND_BAND), _cell(high, LAND_BAND))).alias("land_y"))
+    bands = banded.groupBy("polygon", "land_y").agg(
+        F.collect_list("e").alias("edges"), F.min(F.least("e.x1", "e.x2")).alias("x0"), F.max(F.greatest("e.x1", "e.x2")).alias("x1")
+    )
+    cells = bands.select("edges", "land_y", F.explode(F.sequence(_cell(F.col("x0"), LAND_COLUMN), _cell(F.col("x1"), LAND_COLUMN))).alias("land_x"))
+    mine = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("land_x") * LAND_COLUMN)
+    cells = cells.groupBy("land_y", "land_x").agg(F.collect_list(mine).alias("polygons"))
+    return _small(land, cells, "aggregate(polygons, 0, (n, p) -> n + size(p))")
 
 
 def _inside(lon: Column, lat: Column, edges: Column) -> Column:
@@ -118,7 +143,7 @@ def with_on_land(df: DataFrame, cells: DataFrame | None, lat: str, lon: str, out
     if cells is None:
         return df.withColumn(out, F.lit(None).cast("boolean"))
     found = cells.select(F.col("land_y").alias("__y"), F.col("land_x").alias("__x"), F.col("polygons").alias("__land"))
-    y, x = F.when(only, _cell(F.col(lat), LAND_CELL)), F.when(only, _cell(F.col(lon), LAND_CELL))
+    y, x = F.when(only, _cell(F.col(lat), LAND_BAND)), F.when(only, _cell(F.col(lon), LAND_COLUMN))
     inside = F.exists("__land", lambda edges: _inside(F.col(lon), F.col(lat), edges))
     joined = df.withColumns({"__cy": y, "__cx": x}).join(found, (F.col("__cy") == F.col("__y")) & (F.col("__cx") == F.col("__x")), "left")
     return joined.withColumn(out, F.when(only, F.coalesce(inside, F.lit(False)))).drop("__cy", "__cx", "__y", "__x", "__land")
@@ -129,11 +154,5 @@ def grid_degrees(max_km: float) -> float:
     return max_km / KM_PER_DEGREE * 1.2
 
 
-def exact_lon_cell(lat: Column, cell: float) -> Column:
-    """Longitude degrees of a cell at a latitude band, widened as meridians converge."""
-    band = F.least(F.lit(89.0), F.abs(_cell(lat, cell)) * cell + 2 * cell)
-    return F.lit(cell) / F.cos(F.radians(band))
-
-
-def degrees_km(km: float) -> float:
-    return km / (math.pi * EARTH_RADIUS_KM / 180)
+def degrees_to_km(degrees: float) -> float:
+    return degrees * math.pi * EARTH_RADIUS_KM / 180
