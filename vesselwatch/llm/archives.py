@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vesselwatch.llm.common import bounded_batches, shared_dir
+from vesselwatch.llm.common import bounded_batches
+from vesselwatch.session import shared_dir
 
 #: The fields of a header line in either version of the format.
 FIELDS = {

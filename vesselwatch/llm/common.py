@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselwatch.session import ship_package
+from vesselwatch.session import discard, ship_package, stored
 
 #: Bytes of one Arrow batch handed to Python; bounds a worker's memory whatever the length of texts.
 BATCH_BYTES = 8 << 20
@@ -29,21 +26,21 @@ def bounded_batches(spark: SparkSession, rows: int = 10_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, f"llm-{name}")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:
@@ -102,7 +99,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         last, seen = seen, _fingerprint(now)
         if last == seen:
             break

@@ -9,12 +9,15 @@ links survive, and different values stay different. What fails its validation st
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vesselwatch.llm.common import free_names
+
 ROUNDS = 6
 #: Alphabets: a character moves within its own only; others are part of the format.
 ALPHABETS = [
@@ -23,8 +26,13 @@ ALPHABETS = [
 ]
 #: Days that dates are permuted in: 1800-01-01 to 2199-12-31, 146097 = 189 * 773.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+#: Those of them after the 12th of a month: 88497 = 9 * 9833.
+LATE_DAYS = (9, 9833)
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
+#: Possessive classes without a repeated group: what they take is never given back, whatever its length. Labels are validated apart.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9.-]*+"
+#: From where on a domain isn't one: two separators side by side, or one at the end.
+_NO_DOMAIN = r"(?:\.[.-]|-\.|[.-]$).*$"
 #: Between the digits of a phone number: one separator, with a parenthesis or not.
 _SEP = r"(?:[ \xA0./-]|[ \xA0./-]?\(|\)[ \xA0./-]?)?"
 #: Numbers without a country code: North American ones (3-3-4), and those with a trunk 0 in their usual groups.
@@ -49,8 +57,16 @@ IBAN_LENGTHS = {
 _GROUPED = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?:[ \xA0-]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 IBAN = rf"(?<![A-Za-z0-9])(?:{_GROUPED}|[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)"
-SECRET = r"(?<=[=:][ \t]{0,2}[\"']?)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
-ANY = "|".join([EMAIL, PHONE, SECRET, IBAN, IP, SSN, DATE, CARD])
+SECRET = r"(?<=[=:][ \t]{0,2}[\"']?)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"
+#: Beginnings that access tokens of common services have.
+_PREFIX = r"(?:A(?:KIA|SIA|GPA|IDA|ROA)|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|npm_)"
+TOKEN = rf"(?<![A-Za-z0-9_-]){_PREFIX}[A-Za-z0-9_-]{{16,100}}(?![A-Za-z0-9_-])"
+ANY = "|".join([EMAIL, PHONE, SECRET, TOKEN, IBAN, IP, SSN, DATE, CARD])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _keyed(key: str, kind: str, *parts: Column) -> Column:
@@ -122,11 +138,14 @@ def permute_text(text: Column, key: str, kind: str, alphabets: list[str] | None
         return out
 
     def step(s: Column, r: Column) -> Column:
-        def shift(k: Column) -> Column:
-            digest = _keyed(key, kind, r, F.floor(k / 16), F.array_join(s["r"], ""))
-            return F.conv(F.substring(digest, k % 16 * 4 + 1, F.lit(4)), 16, 10).cast("int")
+        def turn(stream: Column) -> Column:
+            shift = lambda k: F.conv(F.substring(stream, k * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            return F.struct(s["r"].alias("l"), F.transform(s["l"], lambda c, k: moved(c, shift(k))).alias("r"))
 
-        return F.struct(s["r"].alias("l"), F.transform(s["l"], lambda c, k: moved(c, shift(k))).alias("r"))
+        # one digest of the other half a round, drawn out to four hex digits for each character
+        blocks = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(s["l"]) - 1) / 16)).cast("int"))
+        drawn = lambda digest: F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat(digest, b.cast("string")), 256)), "")
+        return _let(_let(_keyed(key, kind, r, F.array_join(s["r"], "")), drawn), turn)
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
     return F.concat(F.array_join(done["l"], ""), F.array_join(done["r"], ""))
@@ -175,6 +194,27 @@ def _date(m: Column, key: str, shape: str, form: str) -> Column:
     return F.when(m.rlike(shape) & n.between(0, DAYS[0] * DAYS[1] - 1), out)
 
 
+def _american_date(m: Column, key: str) -> Column:
+    """mm/dd/yyyy with a day over 12, which can't be dd/mm/yyyy, moved among such dates; null for others.
+
+    Such dates are numbered: those of the months before (their days less 12), then those of the month.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    day = F.when(F.substring(m, 4, 2).cast("int") > 12, F.try_to_timestamp(m, F.lit("MM/dd/yyyy")).cast("date"))
+    start = lambda months: F.datediff(F.add_months(first, months), first) - 12 * months
+    months = (F.year(day) - int(FIRST_DAY[:4])) * 12 + F.month(day) - 1
+    index = start(months) + F.dayofmonth(day) - 13
+    done = permute_pair(F.floor(index / LATE_DAYS[1]), index % LATE_DAYS[1], LATE_DAYS, key, "late-date")
+
+    def date(new: Column) -> Column:
+        about = F.floor(new / (LATE_DAYS[0] * LATE_DAYS[1] / 4800)).cast("int")  # of 4800 months; never off by more than one
+        month = F.array_max(F.filter(F.array(about - 1, about, about + 1), lambda k: (k >= 0) & (start(k) <= new)))
+        return _let(month, lambda k: F.date_format(F.date_add(F.add_months(first, k), (new - start(k) + 12).cast("int")), "MM/dd/yyyy"))
+
+    out = _let(_let(done, lambda d: d["a"] * LATE_DAYS[1] + d["b"]), date)
+    return F.when(m.rlike(r"^\d{2}/") & F.year(day).between(1800, 2199), out)
+
+
 def _ssn(m: Column, key: str) -> Column:
     area, group, serial = (F.substring(m, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
@@ -221,8 +261,16 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m.rlike("[A-F]"), permute_text(m, key, "secret", [high])).otherwise(permute_text(m, key, "secret", [low]))
 
 
+def _token(m: Column, key: str) -> Column:
+    kept = F.regexp_extract(m, f"^{_PREFIX}", 0)
+    return F.concat(kept, permute_text(F.substring(m, F.length(kept) + 1, F.length(m)), key, "token", ALPHABETS[:3]))
+
+
 def _email(m: Column, key: str) -> Column:
-    return F.concat(permute_text(F.substring_index(m, "@", 1), key, "email", all_letters=True), F.lit("@"), F.substring_index(m, "@", -1))
+    domain = F.substring_index(m, "@", -1)
+    valid = F.regexp_replace(domain, _NO_DOMAIN, "")
+    new = F.concat(permute_text(F.substring_index(m, "@", 1), key, "email", all_letters=True), F.lit("@"), domain)
+    return F.when(valid.contains(".") & (F.length(valid) <= 253), new).otherwise(m)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -235,9 +283,10 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.startswith("+") | m.rlike(f"^(?:{_AMERICAN}|{_TRUNK})$"), _phone(m, key))
         .when(m.rlike(r"^\d{1,3}\.\d{1,3}\.\d{1,3}\."), _ip(m, key))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), _ssn(m, key))
-        .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.coalesce(iso, dotted, slashed, m))
+        .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})$"), F.coalesce(iso, dotted, slashed, _american_date(m, key), m))
         .when(plain.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]{11,30}$") & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1), _iban(m, key))
-        .when(m.rlike(r"^[0-9A-Fa-f]{32,64}$"), _secret(m, key))
+        .when(m.rlike(r"^[0-9A-Fa-f]{32,128}$"), _secret(m, key))
+        .when(m.rlike(f"^{_PREFIX}"), _token(m, key))
         .when(m.rlike(r"^[0-9 -]+$"), _card(m, key))
         .otherwise(m)
     )
@@ -249,20 +298,22 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     Found are e-mail addresses (the domain stays), card numbers (Luhn; also in groups; the first digit
     stays), IPv4 addresses, phone numbers (E.164 with or without separators, the country code stays;
     North American ones in groups of 3-3-4; those with a trunk 0 in groups), US social security numbers,
-    IBANs (mod 97; also in groups; the country stays), dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy; 1800 to
-    2199) and assigned hexadecimal secrets. A national phone number without any separator is a number
-    like others and stays.
+    IBANs (mod 97; also in groups; the country stays), dates (yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy, else
+    mm/dd/yyyy; 1800 to 2199), assigned hexadecimal secrets and access tokens that begin as those of common services
+    do. A national phone number without any separator is a number like others and stays.
 
     Defined cases: a null text stays null and counts 0; texts without a value stay as they are; texts of
-    any length are scanned whole; repeated rows are replaced alike; an empty table gives an empty
-    result; all other columns pass through.
+    any length are scanned whole; a name of over 64 characters before the @ or a domain of over 253 is no
+    address; repeated rows are replaced alike; an empty table gives an empty result; a column called as
+    ``count_col`` is replaced, all others pass through.
     """
     text = F.col(text_col)
     has = F.coalesce(text.rlike("[0-9@]"), F.lit(False)) & F.coalesce(text.rlike(ANY), F.lit(False))
     found = F.when(has, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    out = docs.withColumn("__found", found).withColumn("__new", F.transform("__found", lambda m: pseudonym(m, key)))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.col("__new"), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
+    found_col, new_col = free_names(docs, "found", "new")
+    out = docs.withColumn(found_col, found).withColumn(new_col, F.transform(found_col, lambda m: pseudonym(m, key)))
+    joined = F.array_join(F.flatten(F.zip_with(F.split(text, ANY, -1), F.col(new_col), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
     if count_col:
-        changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-        out = out.withColumn(count_col, F.when(F.col("__found").isNotNull(), changed).otherwise(0).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__found").isNotNull(), joined).otherwise(text)).drop("__found", "__new")
+        changed = F.size(F.filter(F.zip_with(found_col, new_col, lambda a, b: a != b), lambda x: x))
+        out = out.withColumn(count_col, F.when(F.col(found_col).isNotNull(), changed).otherwise(0).cast("long"))
+    return out.withColumn(text_col, F.when(F.col(found_col).isNotNull(), joined).otherwise(text)).drop(found_col, new_col)
