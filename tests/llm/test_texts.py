@@ -16,7 +16,7 @@ from vesselwatch.llm.html import extract, main_text, page_paths
 from vesselwatch.llm.packing import Packer, pack_documents
 from vesselwatch.llm.quality import ByteNet, chunks, is_held_out, score_quality, train
 
-RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
 
 
@@ -49,7 +49,6 @@ def test_chunks_cover_every_byte():
 
 def _check_packing(rows, pieces, size=2048):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     tokens = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for k, x in rows}
     at, sequences = defaultdict(int), defaultdict(list)
     for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
@@ -69,12 +68,12 @@ def _check_packing(rows, pieces, size=2048):
 
 def test_packing(spark):
     rng = random.Random(2)
-    texts = [None, "", "<|endoftext|> it's", " \n\t  x  y", "日本 é́  z", "a\x1cb\x85c\xa0 d", "x" * 5000, "word " * 30000]
+    texts = [None, "", "<|endoftext|> it's", "a <|endoftext|> b", "x  <|endoftext|><|endoftext|>\n y<|endoftext", "<|endoftext|>", "<|ENDOFTEXT|>  ", " \n\t  x  y", "日本 é́  z", "a\x1cb\x85c\xa0 d", "x" * 5000, "word " * 30000]
     texts += [" ".join(rng.choice(["Erinst", "resh", "été", "42", "don't", "***", "\n"]) for _ in range(rng.randrange(1500))) for _ in range(120)]
     rows = list(enumerate(texts))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    _check_packing(rows, pack_documents(df, RANKS).collect())
-    assert pack_documents(df.limit(0), RANKS).count() == 0
+    _check_packing(rows, pack_documents(df, TOKENIZER).collect())
+    assert pack_documents(df.limit(0), TOKENIZER).count() == 0
 
 
 def test_packer_minimises_the_sum_of_squares():

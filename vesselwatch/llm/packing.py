@@ -8,7 +8,7 @@ into each other, and the last rest becomes sequences of powers of two, which nee
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,17 +31,58 @@ _WHITE = "\t-\r \x85\xa0  -     　"
 _CHUNKS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
-@lru_cache(2)
-def _tokens(ranks: bytes) -> WordTable:
-    merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    encode = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+class Vocabulary:
+    """A byte-level vocabulary in a tokenizer file (JSON), whose merges are numbered in the order of its ids."""
+
+    def __init__(self, data: bytes):
+        file = json.loads(data)
+        spelled = {c: b for b, c in _byte_letters().items()}
+        ranks = {bytes(spelled[c] for c in token): k for token, k in file["model"]["vocab"].items() if all(c in spelled for c in token)}
+        self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
+        for token in self.added:
+            ranks.pop(token.encode(), None)
+        merges = (m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"])
+        order = [ranks[bytes(spelled[c] for c in a + b)] for a, b in merges]
+        if order != sorted(order):
+            raise ValueError("the ids of merged tokens don't follow the order of merges")
+        encode = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def words(fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            ids = [encode(w) for w in fresh]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((i for w in ids for i in w), np.uint32, sizes.sum()), sizes
+
+        self.table = WordTable(_CHUNKS, words, np.uint32)
+        self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.added), key=len, reverse=True)) + ")") if self.added else None
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, offsets of the texts in them). An added token in a text is its own id; what lies between is encoded by itself."""
+        if self.cut is None or not any(t in text for text in texts for t in self.added):
+            return self.table(texts)
+        parts = [self.cut.split(text) for text in texts]  # ordinary text and added tokens in turn
+        flat, cuts = self.table([p for text in parts for p in text[::2]])
+        out, ends, k = [], [0], 0
+        for text in parts:
+            for at, part in enumerate(text):
+                if at % 2:
+                    out.append(np.array([self.added[part]], np.uint32))
+                else:
+                    out.append(flat[cuts[k] : cuts[k + 1]])
+                    k += 1
+            ends.append(ends[-1] + sum(map(len, out[len(out) - len(text) :])))
+        return np.concatenate(out), np.array(ends)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter for each byte in the vocabulary: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    def words(fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [encode(w) for w in fresh]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for w in ids for i in w), np.uint32, sizes.sum()), sizes
 
-    return WordTable(_CHUNKS, words, np.uint32)
+@lru_cache(2)
+def _vocabulary(data: bytes) -> Vocabulary:
+    return Vocabulary(data)
 
 
 class Packer:
@@ -128,9 +169,9 @@ class Packer:
             yield from self._rows(part)
 
 
-def _pack(ranks, size: int, end: int):
+def _pack(file, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, packer = _tokens(ranks.value), Packer(size)
+        table, packer = _vocabulary(file.value), Packer(size)
         base = TaskContext.get().partitionId() << 40
         open_docs: dict[int, list] = {}  # place: id, tokens, tokens not yet returned
         seen = 0
@@ -175,10 +216,11 @@ def _pack(ranks, size: int, end: int):
     return run
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, size: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids (binary: little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document's tokens are those of its whole text and the id ``end``. Each token lies in one piece,
+    A document's tokens are those of its whole text by the tokenizer file at ``tokenizer_path`` (byte-level BPE; added
+    tokens in a text are their own ids) and the id ``end``. Each token lies in one piece,
     pieces fill a sequence from offset 0 without a gap, sequences hold at most ``size`` tokens. Of each input
     partition all sequences are full but for a last rest, which is cut into powers of two. Sequence ids
     hold the partition's number above bit 40.
@@ -189,8 +231,8 @@ def pack_documents(docs: DataFrame, ranks_path: str, size: int = 2048, end: int
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't follow the data
+    with open(tokenizer_path, "rb") as f:
+        file = spark.sparkContext.broadcast(f.read())  # a vocabulary file: its size doesn't follow the data
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    packed = rows.mapInArrow(_pack(ranks, size, end), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    packed = rows.mapInArrow(_pack(file, size, end), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

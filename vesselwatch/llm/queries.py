@@ -80,7 +80,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from vesselwatch.llm.packing import pack_documents
 
-    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

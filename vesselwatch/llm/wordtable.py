@@ -11,17 +11,19 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Words that a table holds at most.
-LIMIT = 300_000
+#: Words and characters of them that a table holds at most, before the texts at hand.
+LIMIT, CHARACTERS = 300_000, 8_000_000
 
 
 class _Index(dict):
     def __init__(self) -> None:
         self.fresh: list[str] = []
+        self.characters = 0
 
     def __missing__(self, word: str) -> int:
         value = self[word] = len(self)
         self.fresh.append(word)
+        self.characters += len(word)
         return value
 
 
@@ -38,7 +40,7 @@ class WordTable:
 
     def __call__(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts in them); len(offsets) = len(texts) + 1."""
-        if len(self.index) > LIMIT:
+        if len(self.index) > LIMIT or self.index.characters > CHARACTERS:
             self._clear()
         look, codes, counts = self.index.__getitem__, [], [0]
         for text in texts:
