@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
     import public_tokenizers
 
-    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
