@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from vesselwatch.llm import archives
-from vesselwatch.llm.html import extract, main_text, page_paths
+from vesselwatch.llm.html import best_path, extract, main_text, path_number
 from vesselwatch.llm.packing import Packer, pack_documents
 from vesselwatch.llm.quality import ByteNet, chunks, is_held_out, score_quality, train
 
@@ -114,7 +114,7 @@ def test_the_host_decides(spark):
     rows = [(k, "http://h.x/", usual.format(k)) for k in range(5)] + [(9, "http://h.x/", odd), (10, "http://other.x/", odd)]
     got = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == "Few words." and got[10].startswith("This time")
-    assert page_paths(usual.format(1))[1] == ">body>div.c"
+    assert best_path(usual.format(1)) == path_number("div.c", path_number("body"))
 
 
 LONG = "Many words of the article are here, and there are more of them than anywhere else."
@@ -130,28 +130,28 @@ LONG = "Many words of the article are here, and there are more of them than anyw
     ],
 )
 def test_text_beside_the_best_container(html, want):
-    assert extract(html, page_paths(html)[1]) == want
+    assert extract(html, best_path(html)) == want
 
 
 @pytest.mark.parametrize("mark", ["has-sidebar", "no-sidebar", "ad-free", "social-science", "comment-open", "with-header", "notice-board", "header"])
 @pytest.mark.parametrize("tag", ["div", "main", "article"])
 def test_marks_of_the_whole_page(mark, tag):
     html = f"<body><nav>No</nav><{tag} class='{mark}'><p>{LONG}</p></{tag}></body>"
-    assert extract(html, page_paths(html)[1]) == LONG
+    assert extract(html, best_path(html)) == LONG
 
 
 @pytest.mark.parametrize("mark", ["sidebar", "ad1", "cookie-notice", "nav-left", "commentList", "site_footer", "mainNav", "share-links"])
 def test_marked_parts_go_unless_nothing_else_is_left(mark):
     part = f"<div class='x {mark}'><p>Some other words.</p></div>"
     html = f"<body><div class=wrap><div class=text>{LONG}</div>{part}</div></body>"
-    assert extract(html, page_paths(html)[1]) == LONG
-    assert extract(part, page_paths(part)[1]) == "Some other words."
-    assert extract(f"<p>{LONG} <span class={mark}>No</span> end", "") == f"{LONG} end"
+    assert extract(html, best_path(html)) == LONG
+    assert extract(part, best_path(part)) == "Some other words."
+    assert extract(f"<p>{LONG} <span class={mark}>No</span> end", 0) == f"{LONG} end"
 
 
 def test_math_stays():
     html = f"<body><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><noscript>No</noscript></body>"
-    assert extract(html, page_paths(html)[1]) == f"{LONG} x=2 holds."
+    assert extract(html, best_path(html)) == f"{LONG} x=2 holds."
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -200,3 +200,16 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.pack(spark, now, SF)
     assert pieces.select("doc_id").distinct().count() == kept[3]
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_repeated_ids_lose_no_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 4) for _ in range(60)) for _ in range(4)]
+    rows = [(5, text[0]), (5, text[1]), (3, text[0]), (3, text[2]), (3, text[2]), (7, text[1] + " x"), (None, text[0]), (8, None), (9, ""), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("__row", F.lit(2))
+    got = corpus_pipeline.drop_near_copies(spark, df.repartition(3), SF)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, text[1]), (3, text[0]), (3, text[2]), (None, text[0]), (8, None), (9, ""), (9, "")], key=str)
+    assert corpus_pipeline.drop_near_copies(spark, df.limit(0), SF).count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselwatch.session import discard, ship_package, stored
@@ -65,6 +65,19 @@ def anti_join(big: DataFrame, keys: DataFrame, on: str, rows: int = 1_000_000) -
     return big.join(keys, on, "left_anti")
 
 
+def lookup_join(big: DataFrame, small: DataFrame, on: str, row: Column, rows: int = 100_000, salts: int = 16) -> DataFrame:
+    """Left join to a table with one row for each ``on``.
+
+    It is broadcast if it has at most ``rows`` rows; beyond that both sides shuffle, the rows of a key dealt to
+    ``salts`` partitions by ``row``, a number that differs among them.
+    """
+    if small_enough(small, rows):
+        return big.join(F.broadcast(small), on, "left")
+    (salt,) = free_names(big, "salt")
+    every = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn(salt, F.pmod(row, F.lit(salts)).cast("int")).join(every, [on, salt], "left").drop(salt)
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0

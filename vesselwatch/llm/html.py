@@ -10,14 +10,15 @@ A page that has no container on that path falls back to its own best.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vesselwatch.llm.common import bounded_batches, materialize, small_enough
+from vesselwatch.llm.common import bounded_batches, lookup_join, materialize
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea template iframe noembed noframes xmp svg".split())
@@ -41,22 +42,45 @@ CONTAINERS = frozenset("article main section div td body center table tbody tr u
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption hr th caption details summary thead tfoot html hgroup search".split()) | DROPPED
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - frozenset("td tr th tbody thead tfoot caption html body head".split()) - RAW
-SIBLINGS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+SIBLINGS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]")
 
 
+def path_number(step: str, above: int = 0) -> int:
+    """The number of a path: a 64-bit hash of its last step (tag and classes) and the number of the path above, so of one size at any depth."""
+    return xxhash.xxh3_64_intdigest(step, above & (2**64 - 1)) - 2**63
+
+
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "container", "score", "order", "marks")
+    __slots__ = ("tag", "path", "dropped", "container", "marks")
 
-    def __init__(self, tag: str, path: str, dropped: bool, container: _Element | None, order: int, marks: tuple[int, ...] = ()):
-        self.tag, self.path, self.dropped, self.order, self.score = tag, path, dropped, order, 0
+    def __init__(self, tag: str, path: int, dropped: bool, container: int, marks: tuple[int, ...] = ()):
+        self.tag, self.path, self.dropped = tag, path, dropped
         self.marks = marks  # numbers of the marked elements around it, itself included
         self.container = container  # the nearest one, itself included
 
 
+class _Page:
+    """Blocks (text, characters in links, container, marks) in page order; containers by number, each after those around it."""
+
+    def __init__(self) -> None:
+        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
+        # of containers; the first one is the implied body: it holds what no other holds
+        self.tags, self.paths, self.around, self.marks = ["body"], [0], [-1], [()]
+        self.dropped = [False]
+
+    def new_container(self, element: _Element, around: int) -> int:
+        self.tags.append(element.tag)
+        self.paths.append(element.path)
+        self.around.append(around)
+        self.marks.append(element.marks)
+        self.dropped.append(element.dropped)
+        return len(self.tags) - 1
+
+
 def _is_mark(token: str) -> bool:
     """True for ``sidebar``, ``ad1``, ``cookie-notice``, ``navLeft``; not for ``has-sidebar``, ``ad-free``, ``notice-board``."""
     if re.sub(r"[\W\d_]+", "", token).lower() in MARKS:
@@ -80,11 +104,11 @@ def _marked(attributes: str) -> tuple[str, bool]:
     return "".join(f".{w}" for w in sorted(set(classes)) if w), marked
 
 
-def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
-    """(blocks: text, characters in links, innermost element), (containers in page order)."""
-    root = _Element("body", "", False, None, 0)  # the implied body: holds what no container holds
-    root.container = root
-    stack, containers, blocks = [root], [root], []
+def parse(html: str) -> _Page:
+    """What the markup holds, in one pass: the work doesn't grow with the depth of elements."""
+    page = _Page()
+    stack = [_Element("body", 0, False, 0)]
+    places: dict[str, list[int]] = {}  # by tag: where in the stack its open elements are
     parts: list[str] = []
     linked = in_link = marks = 0
 
@@ -93,23 +117,25 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1].dropped:
-                blocks.append((text, linked, stack[-1]))
+                page.blocks.append((text, linked, stack[-1].container, stack[-1].marks))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
         nonlocal in_link
-        in_link -= sum(e.tag == "a" for e in stack[depth:])
+        for element in stack[depth:]:
+            in_link -= element.tag == "a"
+            places[element.tag].pop()
         del stack[depth:]
 
+    def innermost(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: tuple[str, ...], within: tuple[str, ...]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                flush()
-                pop_to(depth)
-                return
-            if stack[depth].tag in within:
-                return
+        depth = innermost(tags)
+        if depth > innermost(within):
+            flush()
+            pop_to(depth)
 
     at = 0
     while m := _TAG.search(html, at):
@@ -124,12 +150,11 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
         if m[1] or m[4]:
             if tag == "br" or tag in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    if stack[depth].marks != stack[-1].marks or stack[depth].marks != stack[depth - 1].marks:
-                        flush()
-                    pop_to(depth)
-                    break
+            if places.get(tag):
+                depth = places[tag][-1]
+                if stack[depth].marks != stack[-1].marks or stack[depth].marks != stack[depth - 1].marks:
+                    flush()
+                pop_to(depth)
             continue
         if tag == "br":
             parts.append(" ")
@@ -137,7 +162,7 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
         if tag in ENDS_P:
             close(("p",), ("td", "th", "table", "button", "object"))
         if tag in SIBLINGS:
-            close(tuple(SIBLINGS[tag][0].split()), SIBLINGS[tag][1])
+            close(*SIBLINGS[tag])
         if tag in BLOCKS:
             flush()
         if tag in VOID or (attributes.endswith("/") and tag in ("svg", "math")):
@@ -148,118 +173,124 @@ def parse(html: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
             continue
         above = stack[-1]
         classes, marked = _marked(attributes) if attributes else ("", False)
-        dropped = above.dropped or tag in DROPPED
         around = above.marks
         if len(around) < DEEPEST_MARK and (tag == "noscript" or marked and tag not in ("html", "body", "main", "article")):
             marks += 1
             around = (*around, marks)
             flush()  # its text is a block of its own
-        element = _Element(tag, f"{above.path}>{tag}{classes}" if tag in BLOCKS else above.path, dropped, above.container, len(containers), around)
+        path = path_number(f"{tag}{classes}", above.path) if tag in BLOCKS else above.path
+        element = _Element(tag, path, above.dropped or tag in DROPPED, above.container, around)
         if tag in CONTAINERS:
-            element.container = element
-            if not dropped:
-                containers.append(element)
+            element.container = page.new_container(element, above.container)
         in_link += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
         stack.append(element)
     if at < len(html) and not stack[-1].dropped:
         parts.append(html[at:])
     flush()
-    return _unmarked(blocks, containers)
+    return page
 
 
-def _unmarked(blocks: list[tuple[str, int, _Element]], containers: list[_Element]) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
-    """``blocks`` and ``containers`` outside marked elements; all if nothing else is left.
+def _without_marked(page: _Page) -> list[bool]:
+    """Leaves the blocks outside marked elements in ``page``, all if nothing else is left; says which containers may be the main one.
 
     An element that holds most of the page's text isn't boilerplate, however it is marked.
     """
     held: dict[int, int] = {}
-    for text, _, element in blocks:
-        for k in element.marks:
+    for text, _, _, marks in page.blocks:
+        for k in marks:
             held[k] = held.get(k, 0) + len(text)
-    if not held:
-        return blocks, [c for c in containers if not c.marks] if blocks else containers
-    total = sum(len(text) for text, _, _ in blocks)
-    page = {k for k, n in held.items() if n > MOST * total}
-    kept = [b for b in blocks if page.issuperset(b[2].marks)]
-    return (kept, [c for c in containers if page.issuperset(c.marks)]) if kept else (blocks, containers)
+    total = sum(len(text) for text, _, _, _ in page.blocks)
+    whole = {k for k, n in held.items() if n > MOST * total}
+    kept = [b for b in page.blocks if whole.issuperset(b[3])]
+    if page.blocks and not kept:
+        return [not d for d in page.dropped]
+    page.blocks = kept
+    return [not d and whole.issuperset(marks) for d, marks in zip(page.dropped, page.marks, strict=True)]
 
 
-def _chain(element: _Element, up: dict[int, _Element | None]) -> Iterator[_Element]:
-    inner = element.container
-    while inner is not None:
-        yield inner
-        inner = up[id(inner)]
+def _totals(page: _Page, value: Callable[[str, int, int], float], share: float = 1) -> list[float]:
+    """A sum over the blocks in each container; what an inner container holds counts ``share`` in the one around it."""
+    sums = [0.0] * len(page.tags)
+    for text, linked, container, _ in page.blocks:
+        sums[container] += value(text, linked, container)
+    for k in range(len(sums) - 1, 0, -1):
+        sums[page.around[k]] += share * sums[k]
+    return sums
 
 
-def _widened(best: _Element, around: list[_Element], held: list[tuple[str, int, list[_Element]]]) -> _Element:
-    """The smallest container around ``best`` that also holds the prose beside it; ``around``: those around it, inner first.
+def _widened(page: _Page, best: int) -> int:
+    """The smallest container around ``best`` that also holds the prose beside it.
 
     What a wrapper adds must have at most half as many characters in links as outside. The body holds
     other parts of the page too: it is taken only if what it adds stands in no container of its own.
     """
-    best_level = len(around)
-    for level, outer in zip(range(len(around) - 1, -1, -1), around, strict=True):  # from the root, 0
-        inside = lambda chain, c, at: len(chain) > at and chain[-1 - at] is c
-        added = [(len(text), linked, chain) for text, linked, chain in held if inside(chain, outer, level) and not inside(chain, best, best_level)]
-        links = sum(linked for _, linked, _ in added)
-        if 3 * links > sum(n for n, _, _ in added) or (outer.tag == "body" and any(chain[0].tag != "body" for _, _, chain in added)):
+    blocks = _totals(page, lambda *_: 1)
+    size, links = _totals(page, lambda text, *_: len(text)), _totals(page, lambda _, linked, __: linked)
+    elsewhere = _totals(page, lambda _, __, container: page.tags[container] != "body")
+    outer = page.around[best]
+    while outer >= 0:
+        added = blocks[outer] - blocks[best]
+        if 3 * (links[outer] - links[best]) > size[outer] - size[best] or (page.tags[outer] == "body" and elsewhere[outer] > elsewhere[best]):
             break
         if added:
-            best, best_level = outer, level
+            best = outer
+        outer = page.around[outer]
     return best
 
 
-def page_paths(html: str) -> tuple[list[tuple[str, list[str]]], str | None, float]:
-    """(blocks with the paths of their containers, the best container's path or None, its score)."""
-    blocks, containers = parse(html)
-    up: dict[int, _Element | None] = {}
-    for c in containers:  # the container around it: the last earlier one whose path is a proper beginning
-        up[id(c)] = None
-    open_: list[_Element] = []
-    for c in containers:
-        while open_ and not c.path.startswith(open_[-1].path + ">"):
-            open_.pop()
-        up[id(c)] = open_[-1] if open_ else None
-        open_.append(c)
-    out, held = [], []
-    for text, linked, element in blocks:
-        chain = [c for c in _chain(element, up)] if element.container is not None and id(element.container) in up else []
-        out.append((text, [c.path for c in chain]))
-        held.append((text, linked, chain))
-        worth = max(0, len(text) - 2 * linked)
-        for depth, c in enumerate(chain):
-            c.score += worth / 2**depth
-    best = max(containers, key=lambda c: (c.score, -c.order), default=None)
-    if best is None or not best.score:
-        return out, None, 0
-    around = [best]
-    while (above := up[id(around[-1])]) is not None:
-        around.append(above)
+def main_container(page: _Page, allowed: list[bool]) -> int | None:
+    """The number of the best container, None without any text outside links."""
+    scores = _totals(page, lambda text, linked, _: max(0, len(text) - 2 * linked), 0.5)
+    best = max((k for k in range(len(scores)) if allowed[k]), key=lambda k: (scores[k], -k), default=None)
+    if best is None or not scores[best]:
+        return None
+    semantic: dict[str, int] = {}
+    k = best
+    while k >= 0:
+        semantic[page.tags[k]] = k  # the outermost of its tag
+        k = page.around[k]
     for tag in ("article", "main"):
-        if semantic := [c for c in around if c.tag == tag]:
-            return out, semantic[-1].path, semantic[-1].score
-    best = _widened(best, around[1:], held)
-    return out, best.path, best.score
+        if tag in semantic:
+            return semantic[tag]
+    return _widened(page, best)
+
+
+def best_path(html: str) -> int | None:
+    """The number of the best container's path."""
+    page = parse(html)
+    best = main_container(page, _without_marked(page))
+    return None if best is None else page.paths[best]
 
 
-def extract(html: str, path: str | None) -> str:
+def extract(html: str, path: int | None) -> str:
     """The text of the blocks in containers on ``path``; without such, of the page's own best container."""
-    blocks, own, _ = page_paths(html)
-    found = [text for text, paths in blocks if path in paths] if path is not None else []
-    if not found and own is not None:
-        found = [text for text, paths in blocks if own in paths]
+    page = parse(html)
+    allowed = _without_marked(page)
+    found: list[str] = []
+    if path is not None:
+        found = _within(page, [p == path for p in page.paths])
+    if not found and (own := main_container(page, allowed)) is not None:
+        found = _within(page, [p == page.paths[own] for p in page.paths])
     return " ".join(found)
 
 
+def _within(page: _Page, chosen: list[bool]) -> list[str]:
+    """Texts of the blocks in chosen containers, in page order."""
+    for k in range(1, len(chosen)):
+        chosen[k] |= chosen[page.around[k]]
+    return [text for text, _, container, _ in page.blocks if chosen[container]]
+
+
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hosts, paths = [], []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            _, path, score = page_paths(html.as_py() or "")
+            path = best_path(html.as_py() or "")
             if path is not None:
                 hosts.append(host)
                 paths.append(path)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])
+        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64())], names=["host", "path"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,20 +317,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bounded_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("n"))
-    # most votes; ties: the path that comes first
+    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path long").groupBy("host", "path").agg(F.count("*").alias("n"))
+    # most votes; ties: the path of the smallest number
     winners = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), F.col("path"))).alias("path"))
     kind = rows.schema["id"].dataType.simpleString()
     return (
-        _with_winner(rows, winners).select("id", "url", "html", "path")
+        lookup_join(rows, materialize(winners, "paths"), "host", F.xxhash64("id", "url")).select("id", "url", "html", "path")
         .mapInArrow(_extract, f"id {kind}, url string, text string")
         .select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
     )
-
-
-def _with_winner(rows: DataFrame, winners: DataFrame, most: int = 100_000) -> DataFrame:
-    """Winning paths are broadcast if they are of ``most`` hosts at most (some 10 MB), else shuffled."""
-    winners = materialize(winners, "paths")
-    if small_enough(winners, most):
-        winners = F.broadcast(winners)
-    return rows.join(winners, "host", "left")
