@@ -13,39 +13,48 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselwatch.llm.common import anti_join, materialize, semi_join, shared_dir, table
+from vesselwatch.llm.common import anti_join, free_names, materialize, semi_join, table
 from vesselwatch.llm.minhash import near_duplicates
 from vesselwatch.llm.packing import pack_documents
 from vesselwatch.llm.pii import pseudonymise
 from vesselwatch.llm.quality import THRESHOLD, score_quality, train
+from vesselwatch.session import shared_dir
 
 #: Demonstration key; a deployment passes its own secret.
 PII_KEY = "demonstration-key"
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    A null or empty text is scored as the empty one; repeated rows are judged alike; without labels all stay.
+    """
+    (score,) = free_names(docs, "score")
     net = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, net, score_col="__score").where(F.col("__score") >= THRESHOLD).drop("__score")
+    return score_quality(docs, net, score_col=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of the smallest id.
 
-    Of several rows with that id one stays.
+    Rows with a null id or without words stay. Where ids are repeated each row is a document of its own: of those with
+    the smallest id the one with the smallest text stays, of equal rows one.
     """
-    groups = materialize(near_duplicates(docs, width=5, percent=80), "groups")
-    copies = groups.where("not kept").select("doc_id").distinct()
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = anti_join(docs, copies, "doc_id")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return left
-    again = semi_join(left, repeated, "doc_id").dropDuplicates(["doc_id"])
-    return anti_join(left, repeated, "doc_id").unionByName(again)
+        groups = near_duplicates(docs, width=5, percent=80)
+        return anti_join(docs, materialize(groups.where("not kept").select("doc_id"), "copies"), "doc_id")
+    row, component, best = free_names(docs, "row", "component", "best")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.where("doc_id is not null"), id_col=row, width=5, percent=80).where("n_shingles > 0").select(row, F.col("component_id").alias(component))
+    groups = materialize(groups.join(numbered.select(row, "doc_id", F.sha2("text", 256).alias("digest")), row), "groups")
+    first = groups.groupBy(component).agg(F.min(F.struct("doc_id", "digest", row)).alias(best))
+    others = groups.join(first, component).where(F.col(row) != F.col(best)[row]).select(row)
+    return anti_join(numbered, materialize(others, "copies"), row).select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms for personal data; n_chars follows the new text where there is one."""
+    """Documents with pseudonyms for personal data; n_chars follows the new text where there is one; a null text stays null."""
     out = pseudonymise(docs, PII_KEY, count_col=None)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -54,7 +63,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens. A null or empty text is its end token; null and repeated ids are documents of their own."""
     import public_tokenizers
 
     pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
