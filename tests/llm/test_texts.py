@@ -3,8 +3,10 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -149,6 +151,55 @@ def test_marked_parts_go_unless_nothing_else_is_left(mark):
     assert extract(f"<p>{LONG} <span class={mark}>No</span> end", 0) == f"{LONG} end"
 
 
+class _Article(HTMLParser):
+    """The text of article elements by the standard library's parser: any block tag is a break."""
+
+    INLINE = ("a", "b", "i", "em", "span")
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts += [] if tag in self.INLINE else [" "]
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.parts += [] if tag in self.INLINE else [" "]
+
+    def handle_data(self, data):
+        self.parts += [data] if self.depth else []
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_pages_equal_a_naive_extractor(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = pages.collect()
+    got = {r["page_id"]: r for r in main_text(pages.union(pages.limit(3))).collect()}
+    assert rows and set(got) == {r["page_id"] for r in rows}
+    for r in rows:
+        parser = _Article()
+        parser.feed(r["html"])
+        parser.close()
+        text = " ".join("".join(parser.parts).split())
+        assert got[r["page_id"]]["text"] == text and got[r["page_id"]]["n_chars"] == len(text)
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 100_000 + LONG, "<div class=a><p>" * 100_000 + LONG + "</x>" * 100_000, "<p><td>" + "<div>" * 100_000 + f"<p>{LONG}", "<table>" * 50_000 + "<tr><td>" * 50_000 + LONG,
+        "<article>" + "<section><p>x</p>" * 50_000 + LONG, "<li>" * 100_000 + LONG, "<a '>" * 100_000 + LONG, "<a " * 100_000 + ">" + LONG, "<!-- " * 100_000 + "-->" + LONG, "<div class=ad><span class=nav>" * 50_000 + LONG, f"<p>{LONG}</p>" * 50_000,
+    ],
+    ids=range(11),
+)
+def test_nested_and_repeated_tags_end_soon(html):
+    started = time.time()
+    text = extract(html, best_path(html))
+    assert time.time() - started < 20 and text.endswith(LONG)
+
+
 def test_math_stays():
     html = f"<body><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p><noscript>No</noscript></body>"
     assert extract(html, best_path(html)) == f"{LONG} x=2 holds."
