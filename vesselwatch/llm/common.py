@@ -78,16 +78,33 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, row: Column, rows: in
     return big.withColumn(salt, F.pmod(row, F.lit(salts)).cast("int")).join(every, [on, salt], "left").drop(salt)
 
 
+def group_join(rows: DataFrame, groups: DataFrame, on: str, size: str, hot: int = 100_000, most: int = 100_000) -> DataFrame:
+    """Left join of ``rows`` to ``groups``, one row for each ``on``, whose ``size`` says how many rows have that key.
+
+    Rows of groups over ``hot`` don't meet in one task: these few groups are broadcast, if at most ``most``. Nor do rows
+    with a null key, which never match. ``rows`` is read once for each of the three ways.
+    """
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name not in (on, size)]
+    large = groups.where(F.col(size) > hot).drop(size)
+    found = rows.where(F.col(on).isNull()).select("*", *empty)
+    keyed, groups = rows.where(F.col(on).isNotNull()), groups.drop(size)
+    if not large.isEmpty() and small_enough(large, most):
+        found = found.unionByName(keyed.join(F.broadcast(large), on))
+        keyed = keyed.join(F.broadcast(large.select(on)), on, "left_anti")
+    return found.unionByName(keyed.join(groups, on, "left"))
+
+
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"] or 0
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", hub: int = 1_000_000) -> DataFrame:
     """(node, component): the smallest node that each linked node can reach.
 
     Alternates large-star and small-star steps. Every step is a grouped minimum (combined before the
-    shuffle) and an equi-join, so that the centre of a huge star is never gathered in one task.
+    shuffle) and an equi-join. The edges of a node with over ``hub`` of them are joined by broadcast, so that the centre of a
+    huge star is never gathered in one task.
     Nodes without an edge (or only with an edge to themselves) are not returned; nulls are ignored.
     """
     now = materialize(
@@ -99,15 +116,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = _fingerprint(now)
     while seen[0]:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("n"))
+        # fewer edges than a hub has: there is none to look for
+        meet = (lambda rows, least: group_join(rows, least, "u", "n", hub)) if seen[0] > hub else (lambda rows, least: rows.join(least.drop("n"), "u"))
         large = (
-            both.where("v > u").join(low, "u")
+            meet(both.where("v > u"), low)
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low, "u").where("v > m")
+            meet(large, low).where("v > m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()

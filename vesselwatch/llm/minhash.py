@@ -6,12 +6,13 @@ probability 1 - s at most. The signature is split into ``CHUNKS`` chunks. If at
 slots differ, some chunk has at most one wrong slot (pigeonhole: 2 * CHUNKS > DISTANCE), so one
 key for each chunk and each slot left out of it finds *every* pair within the distance.
 
-At similarity 0.8 the distance is Binomial(60, 0.2): over 23 in 3 of 10,000 pairs, and quickly rarer
-above 0.8. Pairs found are confirmed on the full shingle sets; hashes only propose.
+At similarity 0.8 the distance is Binomial(100, 0.2): over 39 in 4 of 1,000,000 pairs, and quickly rarer
+above 0.8. ``exact`` closes that gap too: classes also get keys for the rarest fifth of their shingles, of which two sets
+at the threshold share one. Pairs found are confirmed on the full shingle sets; hashes only propose.
 
-Work is kept linear in large groups: texts with equal sets become one class; each key links its
+Work is kept linear in large groups: texts of equal words become one class; each key links its
 members to its smallest member only (a star); once these stars are confirmed and joined to components,
-only keys that still hold several components are paired in full.
+only keys that still hold several components are paired in full, in blocks of members of like size.
 
 Before a pair's texts are fetched it must pass two bounds. Sizes: a similarity of s needs sizes within a
 factor s. Odd sketches: a bit for each bin that holds an odd number of a set's shingles; two sketches differ
@@ -20,6 +21,7 @@ in at most as many bits as the sets differ in shingles, so no pair over the thre
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vesselwatch.llm.common import bounded_batches, connected_components, materialize, semi_join
+from vesselwatch.llm.common import bounded_batches, connected_components, group_join, materialize, semi_join
+from vesselwatch.session import discard
 
-SLOTS, CHUNKS, DISTANCE = 60, 12, 23
+SLOTS, CHUNKS, DISTANCE = 100, 20, 39
 #: Bits of a slot; a chunk's slots lie side by side in one 64-bit number.
 BITS, WIDE = 12, SLOTS // CHUNKS
+#: Members of a key that are compared with as many others in one group.
+BLOCK = 512
+#: Classes whose shingles say which are frequent, and how many of these are told apart. They only steer the work.
+FREQUENT_SAMPLE, FREQUENT = 20_000, 100_000
 #: Numbers of 64 bits in an odd sketch.
 ODD = 16
 SKETCH = [f"o{k}" for k in range(ODD)]
@@ -116,17 +123,18 @@ def _features(width: int):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 1024):
-                sets = [shingle_hashes(words(t), width, known) for t in texts[at : at + 1024].to_pylist()]
+                all_words = [words(t) for t in texts[at : at + 1024].to_pylist()]
+                sets = [shingle_hashes(ws, width, known) for ws in all_words]
                 full = [k for k, s in enumerate(sets) if len(s)]
                 chunks = signatures([sets[k] for k in full])
-                set_ids, packed, odd = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+                text_ids, packed, odd = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 for row, k in enumerate(full):
-                    set_ids[k] = xxhash.xxh3_128_digest(sets[k].tobytes())
+                    text_ids[k] = hashlib.blake2b(b" ".join(all_words[k]), digest_size=16).digest()
                     packed[k] = chunks[row].tobytes()
                     odd[k] = odd_sketch(sets[k])
                 yield pa.record_batch(
-                    [ids[at : at + 1024], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (set_ids, packed, odd))],
-                    names=["id", "n_shingles", "set_id", "chunks", "odd"],
+                    [ids[at : at + 1024], pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.binary()) for x in (text_ids, packed, odd))],
+                    names=["id", "n_shingles", "text_id", "chunks", "odd"],
                 )
 
     return run
@@ -202,15 +210,82 @@ def confirm_pairs(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -
     )
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+def _rare_keys(width: int, percent: int, frequent):
+    """A key for each of the rarest shingles of a class: as many as it can differ by from a set at the threshold, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                keys, owners = [], []
+                for cls, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    hashes = shingle_hashes(words(text), width, known)
+                    # any order common to all sets serves: frequent ones last, so that they are seldom keys
+                    place = np.minimum(np.searchsorted(frequent.value, hashes), max(len(frequent.value) - 1, 0))
+                    often = frequent.value[place] == hashes if len(frequent.value) else np.zeros(len(hashes), bool)
+                    first = np.concatenate([hashes[~often], hashes[often]])[: len(hashes) - -(-percent * len(hashes) // 100) + 1]
+                    keys.append(_mix(first + np.uint64(0x2545F4914F6CDD1D)))
+                    owners.append(np.full(len(first), cls))
+                yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners).astype(np.int64))], names=["key", "cls"])
+
+    return run
+
+
+def _shingle_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHashes()
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.record_batch([pa.array(shingle_hashes(words(text.as_py()), width, known).view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def rare_shingle_keys(classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(key, cls): two classes at or above the threshold share a key (prefix filter)."""
+    texts = docs.withColumnRenamed("id", "cls").join(classes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sample = texts.orderBy(F.xxhash64("cls")).limit(FREQUENT_SAMPLE).select("text").mapInArrow(_shingle_rows(width), "shingle long")
+    often = sample.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(FREQUENT)  # at most so many rows
+    frequent = np.sort(np.array([r["shingle"] for r in often.collect()], np.int64).view(np.uint64))
+    return texts.select("cls", "text").mapInArrow(_rare_keys(width, percent, docs.sparkSession.sparkContext.broadcast(frequent)), "key long, cls long")
+
+
+def _open_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """(a, b): candidate pairs of different labels in the keys of ``rest`` (key, cls, label, n, sketch).
+
+    The smaller class is _a. Only sizes within the threshold meet: those of one band or of neighbouring ones. The members
+    of a key and band are cut into blocks, and each pair of blocks is a group of its own.
+    """
+    columns = ("cls", "label", "n", *SKETCH)
+    rest = rest.withColumn("band", F.floor(F.log("n") / float(np.log(100.0001 / percent))))
+    blocks = rest.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+
+    def side(name: str, other: str, to: int) -> DataFrame:
+        """Rows with their own block, copied to every block of the band on the other side."""
+        mine = rest.join(blocks.withColumnRenamed("blocks", "own"), ["key", "band"]).withColumn("other", F.explode(F.array("band", F.col("band") + to)))
+        met = mine.join(blocks.withColumnRenamed("band", "other").withColumnRenamed("blocks", "theirs"), ["key", "other"])
+        return met.select(
+            "key", F.col("band").alias(f"band_{name}"), F.col("other").alias(f"band_{other}"), F.pmod(F.xxhash64("cls"), "own").alias(f"block_{name}"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)).alias(f"block_{other}"), *(F.col(c).alias(f"{c}_{name}") for c in columns),
+        )
+
+    met = side("a", "b", 1).join(side("b", "a", -1), ["key", "band_a", "band_b", "block_a", "block_b"])
+    once = (F.col("band_a") < F.col("band_b")) | (F.col("cls_a") < F.col("cls_b"))
+    pairs = met.where(once & (F.col("label_a") != F.col("label_b")) & _candidate(percent))
+    return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, exact: bool = False) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of ``width``-word
     shingles (words lower-cased in A-Z; fewer words: the whole sequence is the one shingle).
-    ``component_id`` is the smallest id reachable over links, ``kept`` marks that document.
+    ``component_id`` is the smallest id reachable over links, ``kept`` marks that document. ``exact``: no link is
+    lost, whatever the signatures' distance; it costs a key for each of the rarest fifth of a class's shingles.
 
     Defined cases: a null or empty text, or one of white space only, has an empty set and links with
-    nothing. Texts with equal sets are one class whatever their number. Rows with a null id are one
+    nothing. Texts with equal words are one class whatever their number. Rows with a null id are one
     another's strangers: each is returned with a null component and kept. Repeated ids are repeated
     rows of one document. An empty table gives an empty result. Other columns are ignored.
     """
@@ -218,12 +293,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = materialize(
-        docs.mapInArrow(_features(width), "id long, n_shingles long, set_id binary, chunks binary, odd binary"), "shingles"
+        docs.mapInArrow(_features(width), "id long, n_shingles long, text_id binary, chunks binary, odd binary"), "shingles"
     )
     known = features.where("n_shingles > 0 and id is not null")
     first = [F.first(c).alias(c) for c in ("chunks", "odd", "n_shingles")]
-    classes = materialize(known.groupBy("set_id").agg(F.min("id").alias("cls"), *first), "classes")
+    classes = materialize(known.groupBy("text_id").agg(F.min("id").alias("cls"), F.count("*").alias("copies"), *first), "classes")
     keys = classes.select("cls", "chunks").mapInArrow(_keys, "key long, cls long")
+    if exact:
+        keys = keys.union(rare_shingle_keys(classes, docs, width, percent))
     columns = ["n", *SKETCH]
     numbers = materialize(
         classes.select("cls", "n_shingles", "odd").mapInArrow(_numbers, ", ".join(f"{c} long" for c in ["cls", *columns])), "numbers"
@@ -242,20 +319,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("label"))
     open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     rest = materialize(placed.join(open_keys, "key").join(numbers, "cls"), "open")
-    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "label", *columns))) for s in "ab")
-    pairs = (
-        a.join(b, "key")
-        .where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _candidate(percent))
-        .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = materialize(confirm_pairs(materialize(pairs, "pairs"), docs, width, percent), "links")
-    stars = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    labels = connected_components(stars.union(more))
-
-    roots = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", F.coalesce("component", "cls").alias("root"))
-    return features.join(roots, "set_id", "left").select(
+    pairs = materialize(_open_pairs(rest, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(confirm_pairs(pairs, docs, width, percent), "links")
+    joined = materialize(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "joined")
+    discard(members, tried, linked, rest, pairs, more, numbers)
+    labels = connected_components(joined)
+
+    # texts of many copies are looked up apart
+    roots = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("text_id", F.coalesce("component", "cls").alias("root"), "copies")
+    return group_join(features.select("id", "n_shingles", "text_id"), roots, "text_id", "copies").select(
         F.col("id").alias(id_col),
         "n_shingles",
         F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("id")).alias("component_id"),
