@@ -1,9 +1,12 @@
 """Quality, packing, HTML, archives and the pipeline."""
 
+import glob
+import gzip
 import hashlib
 import os
 import random
 import time
+import uuid
 import zlib
 from collections import defaultdict
 from html.parser import HTMLParser
@@ -49,6 +52,41 @@ def test_chunks_cover_every_byte():
     assert len(ByteNet().scores([b"", b"a" * 3000])) == 2
 
 
+def _naive_score(net, text):
+    """Chunk by chunk and position by position, with the filters as they are."""
+    logits = []
+    for lo in range(0, max(len(text) - 32, 1), 480):
+        chunk = text[lo : lo + 512]
+        padded = chunk + (text[lo + 512 :] + bytes(16))
+        best = np.zeros(16)
+        for at in range(0, max(len(chunk) - 8, 0) + 4, 4):
+            window = padded[at : at + 8]
+            if at == 0 or at < len(chunk) - 8 + 4:
+                best = np.maximum(best, np.sum([net.filters[256 * j + c].astype(np.float64) for j, c in enumerate(window)], axis=0))
+        logits.append(best @ net.weights.astype(np.float64) + float(net.offset))
+    return 1 / (1 + np.exp(-np.mean(logits)))
+
+
+def test_scores_equal_a_naive_convolution():
+    rng = random.Random(4)
+    net = ByteNet()
+    net.offset = np.float32(0.2)
+    texts = [bytes(rng.randrange(1, 256) for _ in range(n)) for n in (0, 1, 7, 8, 9, 12, 13, 100, 479, 480, 511, 512, 513, 544, 545, 1000, 3001)]
+    assert np.allclose(net.scores(texts), [_naive_score(net, t) for t in texts], atol=1e-5)
+    assert np.allclose(net.scores(texts), np.concatenate([net.scores([t]) for t in texts]), atol=1e-6)
+
+
+def test_quality_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"{k} " + "word " * 2000) for k in range(60)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    nets = [train(docs, labels, epochs=1, sample_bytes=n) for n in (50_000, 10**9)]
+    assert not np.allclose(nets[0].filters, nets[1].filters)
+    scored = score_quality(docs.withColumn("score", F.lit("x")), nets[0])
+    assert scored.schema["score"].dataType.simpleString() == "double" and scored.count() == 120
+    assert scored.groupBy("doc_id").agg(F.countDistinct("score").alias("n")).where("n > 1").count() == 0
+    assert score_quality(docs.limit(0), nets[0]).count() == 0
+
+
 def _check_packing(rows, pieces, size=2048):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tokens = {k: np.array(t.encode(x or "", add_special_tokens=False).ids + [1], "<u4") for k, x in rows}
@@ -210,6 +248,7 @@ def test_arc_round_trip(version):
     records = [("http://a/b c\n", "20010203040506", "text/html", b"x\r\n\r\nfiledesc://not a header 1 2 3\n"), ("", "20010203040506", "text/html", b"")]
     back = list(archives.read_arc(archives.write_arc(version, records)))
     assert [(r["url"], r["date"], r["block"]) for r in back] == [("http://a/b%20c%0A", "20010203040506", records[0][3]), ("-", "20010203040506", b"")]
+    assert list(archives.read_arc(gzip.compress(archives.write_arc(version, records)))) == back
     with pytest.raises(ValueError, match="ends within"):
         list(archives.read_arc(archives.write_arc(version, records)[:-20] if version == 2 else archives.write_arc(version, records[:1])[:-5]))
 
@@ -234,6 +273,50 @@ def test_archives(spark):
     assert archives.archive_pages(df.limit(0)).count() == 0
 
 
+FOREIGN = [
+    "filedesc://IA-001102.arc 0.0.0.0 19960923142103 text/plain 76\n1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n",
+    "\nhttp://www.example.org/a b.html 192.0.2.1 19961104142103 text/html {0}\nHTTP/1.0 200 Document follows\nContent-type: text/html\n\n{1}",
+    "\nhttp://www.example.org/again 192.0.2.1 199611041421 text/html {0}\r\nHTTP/1.0 200 Document follows\nContent-type: text/html\n\n{1}",
+    "\ndns:www.example.org 192.0.2.9 19961104142000 text/dns 9\n192.0.2.1\n\n\n", "ftp://example.org/x 192.0.2.1 19961104142000 text/plain 2\nhi",
+]
+
+
+def test_foreign_archives_are_converted(spark, tmp_path):
+    page = "<p>" + "words " * 40 + "</p>"
+    size = len("HTTP/1.0 200 Document follows\nContent-type: text/html\n\n") + len(page)
+    head = FOREIGN[0].split("\n", 1)[1]
+    data = ("".join([FOREIGN[0].replace(" 76\n", f" {len(head)}\n"), *FOREIGN[1:]])).format(size, page).encode()
+    arcs = spark.createDataFrame([("one.arc", data), ("two.arc.gz", gzip.compress(data[:-2] + b"ho"))], "name string, archive binary").withColumn("url", F.lit(1))
+    archives.arc_to_warc(arcs, str(tmp_path / "warc"))
+    rows = archives.read_warc_files(spark, str(tmp_path / "warc")).collect()
+    assert len(rows) == 8 and len({r["number"] for r in rows}) == 8
+    first = min((r for r in rows if "example.org/a" in r["target_uri"]), key=lambda r: r["number"])
+    for r in rows:
+        if r["target_uri"].startswith("http://"):
+            assert r["payload_digest"] == hashlib.sha256(page.encode()).hexdigest() and r["target_uri"] in ("http://www.example.org/a b.html", "http://www.example.org/again")
+            assert (r["record_type"], r["refers_to"]) == (("response", None) if r["number"] == first["number"] else ("revisit", first["number"]))
+        else:
+            assert r["record_type"] == ("response" if r["target_uri"].startswith("dns:") else "resource")
+    assert {r["date"] for r in rows if r["target_uri"].endswith("again")} == {"1996-11-04T14:21:00Z"}
+    assert len({r["payload_digest"] for r in rows if r["target_uri"].startswith("ftp")}) == 2
+    # the files are plain WARC to any reader of gzip
+    found = [h for f in glob.glob(str(tmp_path / "warc/part-*")) for h, _ in archives.read_warc(gzip.open(f))]
+    assert len(found) == 8 and all(uuid.UUID(h["warc-record-id"][10:-1]) for h in found)
+
+
+def test_damage_is_found(spark, tmp_path):
+    path = str(tmp_path / "warc")
+    archives.archive_pages(spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string"), path).collect()
+    (file,) = glob.glob(path + "/part-*")
+    data = bytearray(open(file, "rb").read())
+    data[60] ^= 255
+    open(file, "wb").write(data)
+    (crc,) = glob.glob(path + "/.part-*.crc")
+    os.remove(crc)
+    with pytest.raises(Exception, match="damaged|not a record"):
+        archives.read_warc_files(spark, path).collect()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from vesselwatch.llm.common import bounded_batches
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 512, 32, 8, 4, 16
-#: Labelled texts that the network is fitted on, at most, and passes over them.
-SAMPLE, EPOCHS = 6000, 10
+#: Labelled texts that the network is fitted on, at most, their bytes, about, and passes over them.
+SAMPLE, SAMPLE_BYTES, EPOCHS = 6000, 48 << 20, 10
 #: Chunks of one text that a step of the fit draws, about.
 STEP_CHUNKS = 12
 #: Texts up to this score count as low quality.
@@ -143,11 +143,11 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> ByteNet | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS, sample_bytes: int = SAMPLE_BYTES) -> ByteNet | None:
     """A network fitted on at most ``sample`` labelled texts outside the held-out fifth; None without any.
 
     ``docs``: (doc_id, text), ``labels``: (doc_id, quality 0/1). The sample is that of the smallest hashes of
-    ids; both classes keep their shares.
+    ids, as far as it has ``sample_bytes`` bytes; both classes keep their shares. Of repeated ids in ``docs`` all rows count.
     """
     known = (
         labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
@@ -156,10 +156,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     )
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows: broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    if not rows:
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # two numbers of each, to see how many fit
+    sizes = np.array([r["n"] for r in rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(*order, "n").limit(sample).collect()])
+    fit = int(np.searchsorted(np.cumsum(sizes), sample_bytes, "right"))
+    found = rows.orderBy(*order, F.octet_length("text")).limit(max(1, fit)).collect() if len(sizes) else []
+    if not found:
         return None
-    return ByteNet().fit([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64), epochs)
+    return ByteNet().fit([r["text"].encode() for r in found], np.array([r["quality"] for r in found], np.float64), epochs)
 
 
 def _scorer(net):
@@ -176,8 +180,8 @@ def score_quality(docs: DataFrame, net: ByteNet | None, text_col: str = "text",
     """``docs`` with ``score_col``: the probability that a text is of good quality, from its whole text alone.
 
     Defined cases: null and empty texts get the score of the empty text; without a network (no labels)
-    every score is 0.5; long texts are read whole; an empty table gives an empty result; other columns
-    pass through.
+    every score is 0.5; long texts are read whole; repeated rows are scored alike; an empty table gives an empty
+    result; a column called as ``score_col`` is replaced, all others pass through.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -40,11 +40,7 @@ def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.topk import exact_top_k
 
-    whole = F.transform("embedding", lambda x: F.floor(1024 * x.cast("double")).cast("double"))
-    vectors = table(spark, sf_dir, "embeddings").where(
-        F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    )
-    return exact_top_k(vectors.select("vec_id", whole.alias("embedding")), F.col("vec_id") % 100 == 0, k=10)
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
 #: Demonstration key; a deployment passes its own secret.
@@ -93,7 +89,7 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vesselwatch.llm.archives import archive_pages
 
-    return archive_pages(table(spark, sf_dir, "pages")).drop("target_uri")
+    return archive_pages(table(spark, sf_dir, "pages")).drop("target_uri", "date")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,16 @@ A vector is cut into segments; a segment's mean and deviation bound distances fr
 |q - x|^2 >= sum over segments of length * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), hence inner products
 from above: q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= sum of length * (mean_q mean_x + dev_q dev_x).
 The bounds tighten from coarse to fine segments. Rows whose bound falls below a query's k-th best exact
-score so far are dropped; the survivors of the finest level are scored exactly.
+score so far are dropped; the survivors of the finest level are scored exactly. A whole block of rows is
+passed over if the ranges of its statistics allow no score that high.
+
+Each query brings a first limit: its k-th best score among a bounded sample of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,12 +24,18 @@ from vesselwatch.llm.common import bounded_batches
 
 #: Segments of the levels, coarse to fine (as far as the width allows).
 LEVELS = (2, 4, 8, 16)
-#: Candidates and queries of one task.
-ROWS, QUERIES = 4096, 256
+#: Candidates and queries of one task, at most, and bytes of its candidates, about.
+ROWS, QUERIES, BYTES = 32_768, 4096, 1 << 25
 #: Candidates are cut into so many blocks at least, to keep all executors busy on small tables.
 LEAST_BLOCKS = 24
-#: Slack for the rounding of bounds, far below the distance of two integer scores.
-SLACK = 0.25
+#: Rows of a block that is passed over as a whole.
+LEAF = 1024
+#: Rows that give the first limits, at most, and bytes of them, about.
+SAMPLE, SAMPLE_BYTES = 2048, 1 << 24
+#: Slack for the rounding of bounds: far below the distance of two integer scores, and a share of the largest score possible.
+SLACK, SHARE = 0.25, 1e-12
+#: Products of norms up to here have scores that doubles hold exactly.
+EXACT = 2.0**53
 
 
 def summaries(x: np.ndarray, segments: int) -> np.ndarray:
@@ -37,63 +48,139 @@ def summaries(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of q, row of x, score) of the k best of ``x`` for each query; ``x`` sorted by id."""
+def leaves(features: np.ndarray, rows: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
+    """``rows`` halved at the median of the widest statistic until a part has at most ``size``."""
+    if len(rows) <= size:
+        return [rows]
+    widest = int(np.ptp(features[rows], axis=0).argmax())
+    order = rows[np.argsort(features[rows, widest], kind="stable")]
+    return leaves(features, order[: len(order) // 2], size) + leaves(features, order[len(order) // 2 :], size)
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, limit: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(row of q, id of x, score) of the k best of ``x`` for each query that may be among its best; ``limit``: scores below don't count."""
     levels = [(summaries(q, s), summaries(x, s)) for s in LEVELS if s <= x.shape[1]] or [(summaries(q, 1), summaries(x, 1))]
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(q), 64):
-        rows = np.arange(at, min(at + 64, len(q)))
-        bound = levels[0][0][rows] @ levels[0][1].T
-        own = q_ids[rows][:, None] == x_ids
-        bound[own] = -np.inf
-        # exact scores of the most promising rows give the first limit
-        first = np.argpartition(-bound, min(2 * k, len(x) - 1), axis=1)[:, : 2 * k]
-        scores = np.where(np.take_along_axis(own, first, 1), -np.inf, np.einsum("ijk,ik->ij", x[first], q[rows]))
-        limit = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(rows), -np.inf)
-        a, b = (bound >= limit[:, None] - SLACK).nonzero()
-        keep = ~own[a, b]
-        a, b = a[keep], b[keep]
-        for fine_q, fine_x in levels[1:]:
-            ok = np.empty(len(a), bool)
-            for s in range(0, len(a), 1 << 15):
-                part = slice(s, s + (1 << 15))
-                ok[part] = np.einsum("ij,ij->i", fine_q[rows[a[part]]], fine_x[b[part]]) >= limit[a[part]] - SLACK
-            a, b = a[ok], b[ok]
-        exact = np.empty(len(a))
-        for s in range(0, len(a), 1 << 15):
-            part = slice(s, s + (1 << 15))
-            exact[part] = np.einsum("ij,ij->i", q[rows[a[part]]], x[b[part]])
-        order = np.lexsort((x_ids[b], -exact, a))
-        a, b, exact = a[order], b[order], exact[order]
-        starts = np.searchsorted(a, np.arange(len(rows)))
-        best = np.arange(len(a)) - starts[a] < k
-        out.append((rows[a[best]], b[best], exact[best].astype(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
+    norm_q, norm_x = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
+    slack = SLACK + SHARE * norm_q * norm_x.max()
+    limit = np.full(len(q), -np.inf) if limit is None else limit.copy()
+    scores, ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    large: dict[int, list[tuple[int, int]]] = {}  # by query: exact scores that doubles don't hold, and ids
+    fine_q, fine_x = levels[-1]
+    parts = leaves(fine_x, np.arange(len(x)))
+    low, high = (np.array([f(fine_x[p], axis=0) for p in parts]) for f in (np.min, np.max))
+    top = np.maximum(fine_q, 0) @ high.T + np.minimum(fine_q, 0) @ low.T  # of each query in each part
+    for p in np.argsort(-top.mean(axis=0), kind="stable"):
+        part = parts[p]
+        asked = np.flatnonzero(top[:, p] >= limit - slack)
+        for at in range(0, len(asked), 512):
+            rows = asked[at : at + 512]
+            least = (limit - slack)[rows][:, None]
+            open_ = q_ids[rows][:, None] != x_ids[part]
+            for level_q, level_x in levels:
+                open_ = _still(open_, level_q[rows], level_x[part], least)
+            a, b = open_.nonzero()
+            if len(a):
+                exact = _products(open_, q[rows], x[part])
+                for n in np.flatnonzero(norm_q[rows[a]] * norm_x[part[b]] >= EXACT):
+                    score = sum(int(u) * int(v) for u, v in zip(q[rows[a[n]]], x[part[b[n]]], strict=True))
+                    exact[n] = float(score)
+                    large.setdefault(int(rows[a[n]]), []).append((score, int(x_ids[part[b[n]]])))
+                a = np.concatenate([a, np.repeat(np.arange(len(rows)), k)])
+                s, i = np.concatenate([exact, scores[rows].ravel()]), np.concatenate([x_ids[part[b]], ids[rows].ravel()])
+                order = np.lexsort((i, -s, a))
+                best = order[np.searchsorted(a[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+                scores[rows], ids[rows] = s[best], i[best]
+                limit[rows] = np.maximum(limit[rows], scores[rows, k - 1])
+    out = []
+    for row in range(len(q)):
+        found = [(int(v), int(i)) for v, i in zip(scores[row], ids[row], strict=True) if v > -np.inf]
+        if row in large:  # all of these are kept by their exact score
+            known = {i for _, i in large[row]}
+            found = sorted([f for f in found if f[1] not in known] + large[row], key=lambda f: (-f[0], f[1]))[:k]
+        out += [(row, i, v) for v, i in found]
+    return out
+
+
+def _still(open_: np.ndarray, fq: np.ndarray, fx: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Pairs whose bound at this level reaches the limit; of few open pairs only their own bounds are computed."""
+    if np.count_nonzero(open_) > open_.size // 16:
+        return open_ & (fq @ fx.T >= least)
+    a, b = open_.nonzero()
+    keep = np.einsum("ij,ij->i", fq[a], fx[b]) >= least[a, 0]
+    out = np.zeros_like(open_)
+    out[a[keep], b[keep]] = True
+    return out
+
+
+def _products(open_: np.ndarray, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    a, b = open_.nonzero()
+    return (q @ x.T)[a, b] if len(a) > open_.size // 16 else np.einsum("ij,ij->i", q[a], x[b])
+
+
+def _rows(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
+
+def _limits(sample, k: int):
+    """The k-th best score of each query among the sample, minus infinity if that has fewer rows of its width."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            limit = np.full(len(batch), -np.inf)
+            widths, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            for w in np.unique(widths):
+                others_ids, others = sample.value.get(int(w), (np.empty(0, np.int64), np.empty((0, int(w)))))
+                rows = np.flatnonzero(widths == w)
+                if len(others) >= k:
+                    q = _rows(batch.column(1).take(pa.array(rows)), int(w))
+                    s = np.where(ids[rows][:, None] != others_ids, q @ others.T, -np.inf)
+                    limit[rows] = np.partition(s, -k, axis=1)[:, -k]
+            yield pa.record_batch([*batch.columns, pa.array(limit)], names=["id", "vector", "width", "limit"])
+
+    return run
 
 
 def _task(k: int):
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        width = table.column("width")[0].as_py()
-        x = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        limit, ids = table.column("limit").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+        x = _rows(table.column("vector"), table.column("width")[0].as_py())
+        asks = ~np.isnan(limit)
         q, there = np.flatnonzero(asks), np.flatnonzero(~asks)
-        there = there[np.argsort(ids[there], kind="stable")]
-        if not len(q) or not len(there):
-            q = there = np.empty(0, int)
-        a, b, score = search_block(x[q], ids[q], x[there], ids[there], k) if len(q) else (np.empty(0, int),) * 3
-        return pa.table({"query_id": pa.array(ids[q][a], pa.int64()), "vec_id": pa.array(ids[there][b], pa.int64()), "score": pa.array(score, pa.int64())})
+        found = search_block(x[q], ids[q], x[there], ids[there], k, limit[q]) if len(q) and len(there) else []
+        least, most = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        return pa.table({
+            "query_id": pa.array([int(ids[q[a]]) for a, _, _ in found], pa.int64()), "vec_id": pa.array([i for _, i, _ in found], pa.int64()),
+            "score": pa.array([min(max(v, least), most) for _, _, v in found], pa.int64()),
+        })
+
+    return run
+
+
+def _scaled(scale: float | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = batch.column(1)
+            if scale is not None:
+                with np.errstate(over="ignore"):
+                    flat = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False))
+                vectors = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(pa.compute.list_value_length(vectors).to_numpy()))).astype(np.int32)), pa.array(flat))
+            yield pa.record_batch([batch.column(0), vectors, batch.column(2)], names=["id", "vector", "asks"])
 
     return run
 
 
-def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query, ties to smaller ids.
 
-    ``vectors`` holds integer components (as doubles, magnitudes below 2^20 so that sums are exact);
-    ``is_query`` says which rows are queries. Every row but those of the query's own id is a candidate.
+    ``vectors`` holds integer components (as doubles), or ``scale`` makes them so: each becomes floor(scale * x).
+    Scores are exact whatever their size: beyond 2^53 they are computed as integers; beyond 64 bits the result
+    shows the largest (smallest) long and ties there go to smaller ids. ``is_query`` says which rows are queries. Every row
+    but those of the query's own id is a candidate.
+
+    Queries and candidates meet in blocks, each candidate once for ``QUERIES`` queries.
 
-    Defined cases: rows with a null id or vector, an empty vector, or null or non-finite components take no
+    Defined cases: rows with a null id or vector, an empty vector, or null or non-finite components (also after scaling) take no
     part. Candidates of a query are the vectors of its width, whatever widths others have. Repeated ids are candidates of their own; a repeated
     query is answered once. A query with fewer than k candidates gets all. Empty tables give an empty
     result; other columns are ignored.
@@ -101,18 +188,27 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     spark = vectors.sparkSession
     bounded_batches(spark)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = (
-        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-        .where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
-        .withColumn("width", F.size("vector")).where("width > 0")
-    )
-    facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    n, q = facts["n"], facts["q"]
-    x_blocks, q_blocks = max(LEAST_BLOCKS, -(-n // ROWS)), max(1, -(-q // QUERIES))
+    given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    given = given.where(F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    if scale is not None:
+        given = given.mapInArrow(_scaled(scale), "id long, vector array<double>, asks boolean").where(finite)
+    rows = given.withColumn("width", F.size("vector")).where("width > 0")
+    facts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.coalesce(F.max("width"), F.lit(1)).alias("w")).first()
+    n, q, widest = facts["n"], facts["q"], facts["w"]
+    x_blocks = max(LEAST_BLOCKS, -(-n // max(1, min(ROWS, BYTES // (8 * widest)))))
+    q_blocks = max(1, -(-q // max(1, min(QUERIES, BYTES // (8 * widest)))))
+    picked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    few = max(k, min(SAMPLE, SAMPLE_BYTES // (8 * widest)))
+    for r in rows.orderBy(F.xxhash64("id"), "id").limit(few).select("id", "vector", "width").toArrow().to_pylist():  # at most so many rows
+        ids, x = picked.setdefault(r["width"], ([], []))
+        ids.append(r["id"])
+        x.append(r["vector"])
+    sample = spark.sparkContext.broadcast({w: (np.array(ids), np.array(x)) for w, (ids, x) in picked.items()})
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     lot = lambda m, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(m)).cast("int")
-    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "vector", "width", F.lit(True).alias("asks"), lot(q_blocks, 1).alias("qb")).select("*", every(x_blocks).alias("xb"))
-    there = rows.select("id", "vector", "width", F.lit(False).alias("asks"), lot(x_blocks, 2).alias("xb")).select("*", every(q_blocks).alias("qb"))
+    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "vector", "width").mapInArrow(_limits(sample, k), "id long, vector array<double>, width int, limit double")
+    asked = asked.withColumn("qb", lot(q_blocks, 1)).select("*", every(x_blocks).alias("xb"))
+    there = rows.select("id", "vector", "width", F.lit(float("nan")).alias("limit"), lot(x_blocks, 2).alias("xb")).select("*", every(q_blocks).alias("qb"))
     best = asked.unionByName(there).groupBy("xb", "qb", "width").applyInArrow(_task(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vesselwatch.llm.common import lookup_join, materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Lower posterior bound: mean - Z standard deviations (5 % one-sided).
 Z = 1.645
@@ -72,16 +74,16 @@ def match_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]
     return found
 
 
-def _strength(members: DataFrame, parent: str) -> Column:
+def _strength() -> Column:
     """Pseudo-counts of a level's prior from Kleinman's moment estimate of the intra-class correlation.
 
-    ``members``: n, bad and the prior mean ``p`` for each member. Aggregates to one value.
+    Aggregates the members' n, bad and prior mean ``p`` to one value.
     """
     spread = F.sum(F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("p"), 2))
     noise = F.sum(F.col("p") * (1 - F.col("p")))
     most = F.sum(F.col("n") * F.col("p") * (1 - F.col("p")))
     rho = F.when(most > noise, (spread - noise) / (most - noise))
-    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.when(rho > 0, (1 - rho) / rho).otherwise(F.lit(MOST)))).alias(parent)
+    return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), F.when(rho > 0, (1 - rho) / rho).otherwise(F.lit(MOST))))
 
 
 def _shrink(members: DataFrame, key: str, up: str, prior: DataFrame) -> DataFrame:
@@ -91,11 +93,11 @@ def _shrink(members: DataFrame, key: str, up: str, prior: DataFrame) -> DataFram
     add up (``free``: what is left of p(1-p) below them), so it has the fewer pseudo-counts the further that is.
     """
     joined = members.join(prior.select(F.col(up), F.col("p"), F.col("free")), up)
-    labelled = joined.where("n > 0")
-    strength = labelled.agg(_strength(labelled, "s"))
+    strength = joined.where("n > 0").agg(_strength()).first()[0]  # one number
+    joined = joined.withColumn("s", F.lit(strength))
     own = F.col("n") > 0
     free = F.when(own, 1.0).otherwise(F.col("free") * F.col("s") / (F.col("s") + 1))
-    return joined.crossJoin(F.broadcast(strength)).select(  # one row by construction: an aggregate without keys
+    return joined.select(
         key, up, "n", "bad", ((F.col("bad") + F.col("s") * F.col("p")) / (F.col("n") + F.col("s"))).alias("p"),
         F.when(own, F.col("n") + F.col("s")).otherwise(1 / (1 - F.col("free") * F.col("s") / (F.col("s") + 1)) - 1).alias("k"), free.alias("free"),
     )
@@ -111,17 +113,18 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame | None = None) -> Data
     counted = outcomes.where("host is not null and bad is not null").select("host", F.lit(1.0).alias("n"), F.col("bad").cast("double").alias("bad"))
     if hosts is not None:
         counted = counted.union(hosts.where("host is not null").select("host", F.lit(0.0), F.lit(0.0)))
-    hosts = (
+    hosts = materialize(
         counted.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         .withColumn("domain", domain_of(F.col("host")))
-        .withColumn("suffix", F.substring_index("domain", ".", -1))
+        .withColumn("suffix", F.substring_index("domain", ".", -1)),
+        "hosts",
     )
     total = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains = hosts.groupBy("domain", "suffix").agg(*total)
     suffixes = domains.groupBy("suffix").agg(*total).withColumn("root", F.lit(0))
     root = suffixes.groupBy("root").agg(*total).where("n > 0").select("root", ((F.col("bad") + 1) / (F.col("n") + 2)).alias("p"), F.lit(1.0).alias("free"))
-    by_suffix = _shrink(suffixes, "suffix", "root", root)
-    by_domain = _shrink(domains, "domain", "suffix", by_suffix)
+    by_suffix = materialize(_shrink(suffixes, "suffix", "root", root), "suffixes")
+    by_domain = materialize(_shrink(domains, "domain", "suffix", by_suffix), "domains")
     by_host = _shrink(hosts.drop("suffix"), "host", "domain", by_domain)
     sd = F.sqrt(F.col("p") * (1 - F.col("p")) / (F.col("k") + 1))
     return by_host.select("host", F.col("p").alias("bad_mean"), (F.col("p") - Z * sd).alias("bad_bound"))
@@ -147,7 +150,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     outcomes = named.select("id", "host").distinct().join(worst, "id").select("host", "bad")
     found = match_rule(F.col("host"), F.col("path"), rules)
     return (
-        judged.join(host_reputation(outcomes, named.select("host").distinct()), "host", "left")
+        lookup_join(judged, materialize(host_reputation(outcomes, named.select("host").distinct()), "reputation"), "host", F.xxhash64("id", "path"))
         .withColumn("found", found)
         .select(
             F.col("id").alias(id_col), "host", "path", F.col("found.rule").alias("rule"),
