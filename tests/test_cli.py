@@ -1,6 +1,7 @@
 import csv
 import glob
 
+import pytest
 from vesselwatch import cli
 
 HEAD = "# Timestamp,Type of mobile,MMSI,Latitude,Longitude,SOG,Draught\n"
@@ -20,3 +21,12 @@ def test_end_to_end(spark, tmp_path, capsys):
     assert [(r["MMSI"], r["DFSI"], r["record_count"], r["going_dark_events"], r["teleportation_d1_events"]) for r in rows] == [("223456789", "38.000000", "3", "1", "1"), ("223456780", "0.000000", "2", "0", "0")]
     (path,) = glob.glob(str(tmp_path / "out/jumps_d1/*.csv"))
     assert list(csv.DictReader(open(path)))[0]["point_a_timestamp"] == "2025-09-01T06:00:00"
+
+
+@pytest.mark.parametrize("change", [["--top", "0"], ["--track-seconds", "-1"], ["--ports", "/nowhere.csv"], []])
+def test_input_guards(spark, tmp_path, change):
+    (tmp_path / "in.csv").write_text(HEAD if change else "MMSI\n1\n")
+    with pytest.raises(SystemExit):
+        cli.main([str(tmp_path / "in.csv"), "--out", str(tmp_path / "out"), *change])
+    with pytest.raises(SystemExit):
+        cli.main([str(tmp_path / "missing.csv"), "--out", str(tmp_path / "out")])

@@ -2,12 +2,12 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from vesselwatch.config import Detection, Sampling
+from vesselwatch.config import Detection
 from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import tracks
 
 START = datetime(2025, 1, 1)
-HALF_HOURS = Detection(sampling=Sampling(meeting_seconds=1800))
+HALF_HOURS = Detection(meeting_sample_s=1800)
 
 
 def records(spark, *rows):
@@ -108,7 +108,7 @@ def test_sessions_equal_a_walk_over_the_buckets(spark):
         chosen = {k: v for k, v in observed.items() if k[0] >= sub * 2}
         pts = spark.createDataFrame([(b,) for v in chosen.values() for b in v], "bucket long")
         got = meet.meeting_sessions(pairs_df.where(f"mmsi_a >= {sub * 2}"), pts, config).collect()
-        want = _walk(chosen, sorted({b for v in chosen.values() for b in v} & keep), config.continuation_seconds)
+        want = _walk(chosen, sorted({b for v in chosen.values() for b in v} & keep), config.continuation_s)
         assert sorted(((r["mmsi_a"], r["mmsi_b"]), r["start_epoch"], r["end_epoch"], r["observations"]) for r in got) == want
 
 

@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
-from vesselwatch.config import Detection, DraughtChange, Jump, Sampling, Silence
+from vesselwatch.config import Detection
 from vesselwatch.functions.geo import land_by_cell, nearest_port, ports_by_cell, with_near_port, with_on_land
 from vesselwatch.operators import score, tracks
 from vesselwatch.sources.tables import land_from_rings
@@ -50,13 +50,13 @@ def test_detectors(spark, points, expected):
 
 
 def test_thresholds_and_ports(spark):
-    far = Detection(silence=Silence(min_distance_km=5.0), jump=Jump(min_distance_km=500.0))
+    far = Detection(silence_km=5.0, jump_km=500.0)
     assert found(spark, [(0, 10, 20, 8.0), (360, 10.01, 20, 8.0)], far)["A"] == 0
     change = [(0, 10, 20, 10.0), (180, 10.2, 20, 11.0)]
     assert found(spark, change, port_rows=[(10, 20, 5)])["C"] == 0
     assert found(spark, change, port_rows=[(0, 0, 5)])["C"] == 1
     assert found(spark, change, port_rows=[])["C"] == 1
-    wide = Detection(draught=DraughtChange(minimum_port_radius_km=30.0))
+    wide = Detection(draught_port_km=30.0)
     assert found(spark, change, wide, port_rows=[(10.4, 20, 1)])["C"] == 0
 
 
@@ -64,7 +64,7 @@ def test_samples_are_the_first_of_buckets(spark):
     points = [(0, 1, 1, None), (1, 1, 1, None), (5, 1, 1, None), (9, 1, 1, None)]
     t = tracks.with_track_columns(records(spark, *points), Detection()).orderBy("ts")
     assert [r["is_sample"] for r in t.collect()] == [True, False, True, False]
-    every = Detection(sampling=Sampling(track_seconds=0))
+    every = Detection(track_sample_s=0)
     assert tracks.with_track_columns(records(spark, *points), every).where("is_sample").count() == 4
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import replace
 
-from vesselwatch.config import Detection, Sampling
-from vesselwatch.operators import report, score
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from vesselwatch.config import LIMITS, Detection
+from vesselwatch.operators import report
 from vesselwatch.plans.detection import run_detection
-from vesselwatch.session import get_session
+from vesselwatch.session import get_session, stored
 from vesselwatch.sources import sinks, tables
 
 
@@ -16,15 +18,15 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vesselwatch", description=__doc__)
     p.add_argument("reports", nargs="+", help="CSV files of position reports, in time order")
     p.add_argument("--ports", help="CSV catalogue of ports")
-    p.add_argument("--land", help="JSON lines of land polygons")
+    p.add_argument("--land", help="land polygons: GeoJSON, or JSON lines of edges")
     p.add_argument("--out", required=True, help="folder for the CSV tables")
     p.add_argument("--top", type=int, default=10, help="vessels to print")
     p.add_argument("--encoding", default="utf-8")
     p.add_argument("--no-meetings", action="store_true", help="leave out detector B")
     p.add_argument("--exact-grid", action="store_true", help="find meetings at high latitudes too")
     p.add_argument("--strict-gap", action="store_true", help="end a meeting after any long gap")
-    p.add_argument("--track-seconds", type=int, default=Sampling().track_seconds)
-    p.add_argument("--meeting-seconds", type=int, default=Sampling().meeting_seconds)
+    p.add_argument("--track-seconds", type=int, default=LIMITS["track_sample_s"])
+    p.add_argument("--meeting-seconds", type=int, default=LIMITS["meeting_sample_s"])
     p.add_argument("--master", help="Spark master")
     return p
 
@@ -34,19 +36,24 @@ def main(argv: list[str] | None = None) -> None:
     if args.top <= 0:
         raise SystemExit("--top must be positive")
     spark = get_session(master=args.master)
-    config = replace(Detection(), sampling=Sampling(args.track_seconds, args.meeting_seconds))
-    records = tables.valid_records(tables.read_raw(spark, args.reports, args.encoding))
-    ports = tables.read_ports(spark, args.ports) if args.ports else None
-    land = tables.read_land(spark, args.land) if args.land else None
-    found = run_detection(records, ports, land, config, not args.no_meetings, args.exact_grid, args.strict_gap)
-    ranked = found.ranked().cache()
+    try:
+        config = Detection(track_sample_s=args.track_seconds, meeting_sample_s=args.meeting_seconds)
+        raw = tables.read_raw(spark, args.reports, args.encoding)
+        ports = tables.read_ports(spark, args.ports) if args.ports else None
+        land = tables.read_land(spark, args.land) if args.land else None
+    except (ValueError, AnalysisException) as e:  # limits, missing columns, missing files
+        raise SystemExit(str(e)) from e
+    # parsed once, each kind of event found once, whatever the number of reports
+    records = stored(tables.valid_records(raw), "records")
+    found = run_detection(records, ports, land, config, not args.no_meetings, args.exact_grid, args.strict_gap).kept()
+    ranked = stored(found.ranked(), "vessels")
     sinks.write_vessels(ranked, f"{args.out}/vessels")
     sinks.write_map_table(report.silence_map(found.silences), sinks.SILENCES, f"{args.out}/silences")
     for name, subtype in (("jumps", None), ("jumps_d1", "D1"), ("jumps_d2", "D2")):
         sinks.write_map_table(report.jump_map(found.jumps, subtype), sinks.JUMPS, f"{args.out}/{name}")
     if not args.no_meetings:
         sinks.write_map_table(report.meeting_map(found.meetings), sinks.MEETINGS, f"{args.out}/meetings")
-    score.top_vessels(found.vessels, args.top).orderBy("rank").select("rank", "mmsi", "score", "record_count").show(args.top, truncate=False)
+    ranked.where(F.col("rank") <= args.top).orderBy("rank").select("rank", "mmsi", "score", "record_count").show(args.top, truncate=False)
 
 
 if __name__ == "__main__":

@@ -25,14 +25,13 @@ def meeting_points(tracks: DataFrame, config: Detection, ports: DataFrame | None
 
     Without a catalogue (None) there are none; an empty catalogue excludes nothing.
     """
-    m = config.meeting
     sog = F.col("sog")
-    points = tracks.where("is_meeting_sample").where((sog < m.max_sog_knots) | F.isnan(sog))
+    points = tracks.where("is_meeting_sample").where((sog < config.meeting_knots) | F.isnan(sog))
     if ports is None:
         points = points.where(F.lit(False))
     else:
-        points = with_near_port(points, ports_by_cell(ports, m.minimum_port_radius_km), "latitude", "longitude", "near_port").where(~F.col("near_port"))
-    return points.select("mmsi", bucket(epoch("ts"), max(m.bucket_seconds, 1)).alias("bucket"), "latitude", "longitude", "seq")
+        points = with_near_port(points, ports_by_cell(ports, config.meeting_port_km), "latitude", "longitude", "near_port").where(~F.col("near_port"))
+    return points.select("mmsi", bucket(epoch("ts"), max(config.meeting_bucket_s, 1)).alias("bucket"), "latitude", "longitude", "seq")
 
 
 def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = False) -> DataFrame:
@@ -41,7 +40,7 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
     The grid joins a cell with its eight neighbours, an equi-join on (bucket, cell). Its longitude cells do
     not shrink with latitude, so pairs at high latitudes can be missed; ``exact_grid`` finds all.
     """
-    size = grid_degrees(config.meeting.max_distance_km)
+    size = grid_degrees(config.meeting_km)
     lat, lon = F.col("latitude"), F.col("longitude")
     celled = points.withColumn("cy", F.floor(lat / size))
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
@@ -59,7 +58,7 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
     a = left.select("bucket", "band", F.col("cx").alias("to_x"), *(F.col(c).alias(f"{c}_a") for c in ("mmsi", "latitude", "longitude", "seq")))
     b = right.select("bucket", "band", "to_x", *(F.col(c).alias(f"{c}_b") for c in ("mmsi", "latitude", "longitude", "seq")))
     km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
-    close = a.join(b, ["bucket", "band", "to_x"]).where((F.col("mmsi_a") < F.col("mmsi_b")) & (km <= config.meeting.max_distance_km)).withColumn("km", km)
+    close = a.join(b, ["bucket", "band", "to_x"]).where((F.col("mmsi_a") < F.col("mmsi_b")) & (km <= config.meeting_km)).withColumn("km", km)
     best = F.min_by(F.struct("latitude_a", "longitude_a", "latitude_b", "longitude_b", "km"), F.struct("km", "seq_a", "seq_b"))
     return close.groupBy("mmsi_a", "mmsi_b", "bucket").agg(best.alias("o")).select("mmsi_a", "mmsi_b", "bucket", "o.*")
 
@@ -86,7 +85,7 @@ def meeting_sessions(pairs: DataFrame, points: DataFrame, config: Detection, str
     ``strict_gap``: the plain rule, a new session after any gap beyond the limit.
     """
     w = Window.partitionBy("mmsi_a", "mmsi_b").orderBy("bucket")
-    gap = config.continuation_seconds
+    gap = config.continuation_s
     # one row per occupied bucket, at most 288 a day: joined by equality, whichever way the planner picks
     seen = pairs.join(previous_occupied(points), "bucket", "left").withColumn("last", F.lag("bucket").over(w))
     reference: Column = F.col("bucket") if strict_gap else F.col("before")
@@ -107,7 +106,7 @@ def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFram
     config = config or Detection()
     points = meeting_points(tracks, config, ports)
     sessions = meeting_sessions(pair_observations(points, config, exact_grid), points, config, strict_gap)
-    return sessions.where(F.col("duration_hours") >= config.meeting.min_duration_hours).drop("session")
+    return sessions.where(F.col("duration_hours") >= config.meeting_h).drop("session")
 
 
 def by_vessel(events: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def with_episode_starts(detected: DataFrame, config: Detection) -> DataFrame:
     """``starts_episode``: a D1 jump that begins more than the episode gap after all earlier ones ended."""
     d1 = F.col("subtype") == "D1"
     ended = F.max(F.when(d1, F.col("ts"))).over(in_track().rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.unix_seconds(F.col("prev.ts")) > F.unix_seconds(ended) + F.lit(int(config.jump.episode_hours * 3600))
+    apart = F.unix_seconds(F.col("prev.ts")) > F.unix_seconds(ended) + F.lit(int(config.clone_episode_h * 3600))
     return detected.withColumn("starts_episode", F.coalesce(d1 & (ended.isNull() | apart), F.lit(False)))
 
 

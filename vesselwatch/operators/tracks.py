@@ -44,8 +44,8 @@ def with_track_columns(records: DataFrame, config: Detection) -> DataFrame:
     flagged = records.select(
         "mmsi", "seq", *POINT, "sog",
         F.lag(here).over(in_track()).alias("prev"),
-        first_in_bucket(config.sampling.track_seconds).alias("is_sample"),
-        first_in_bucket(config.sampling.meeting_seconds).alias("is_meeting_sample"),
+        first_in_bucket(config.track_sample_s).alias("is_sample"),
+        first_in_bucket(config.meeting_sample_s).alias("is_meeting_sample"),
     )
     before = in_track().rowsBetween(Window.unboundedPreceding, -1)
     return flagged.withColumn("sample", F.last(F.when(F.col("is_sample"), here), ignorenulls=True).over(before))
@@ -66,17 +66,17 @@ def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame
     of event is pushed below the look-ups, which are left joins.
     """
     config = config or Detection()
-    return _with_quality(_without_port_changes(candidates(records, config), config, ports), config, ports, land)
+    return with_quality(without_port_changes(candidates(records, config), config, ports), config, ports, land)
 
 
 def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
     """``candidates`` with draught changes at sea only."""
-    return _without_port_changes(candidates(records, config), config, ports)
+    return without_port_changes(candidates(records, config), config, ports)
 
 
 def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
     """``candidates`` with the quality of jumps."""
-    return _with_quality(candidates(records, config), config, ports, land)
+    return with_quality(candidates(records, config), config, ports, land)
 
 
 def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame:
@@ -86,7 +86,6 @@ def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame
     (``subtype`` D1 or D2, else null) consecutive records.
     """
     config = config or Detection()
-    a, c, d = config.silence, config.draught, config.jump
     t = with_track_columns(records, config).select(
         "*",
         (_gap_seconds("sample") / 3600.0).alias("sample_hours"), _km("sample").alias("sample_km"),
@@ -96,34 +95,34 @@ def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame
     old, new = F.col("sample.draught"), F.col("draught")
     change = F.when(old > 0, F.abs(new - old) / F.when(old > 0, old))
     sample = F.col("is_sample")
-    silent = sample & (F.col("sample_hours") > a.min_gap_hours) & (F.col("sample_km") > a.min_distance_km)
-    changed = sample & (F.col("sample_hours") > c.min_gap_hours) & (F.isnan(old) | (change > c.min_relative_change))
+    silent = sample & (F.col("sample_hours") > config.silence_h) & (F.col("sample_km") > config.silence_km)
+    changed = sample & (F.col("sample_hours") > config.draught_h) & (F.isnan(old) | (change > config.draught_share))
     changed = changed & old.isNotNull() & new.isNotNull()
     off_origin = lambda lat, lon: (F.col(lat) != 0) | (F.col(lon) != 0)
     knots = speed_knots(F.col("prev_km"), F.col("prev_hours"))
     fast = (
-        (F.col("prev_seconds") >= d.min_gap_seconds) & off_origin("latitude", "longitude") & off_origin("prev.latitude", "prev.longitude")
-        & (F.col("prev_km") > d.min_distance_km) & (knots > d.max_speed_knots)
+        (F.col("prev_seconds") >= config.jump_least_s) & off_origin("latitude", "longitude") & off_origin("prev.latitude", "prev.longitude")
+        & (F.col("prev_km") > config.jump_km) & (knots > config.jump_knots)
     )
-    subtype = F.when(fast & (F.col("prev_hours") <= d.d1_max_gap_hours), "D1").when(fast & (F.col("prev_hours") <= d.d2_max_gap_hours), "D2")
+    subtype = F.when(fast & (F.col("prev_hours") <= config.clone_h), "D1").when(fast & (F.col("prev_hours") <= config.jump_h), "D2")
     return t.select(
         "*", F.coalesce(silent, F.lit(False)).alias("is_silence"), F.coalesce(changed, F.lit(False)).alias("is_draught_change"),
         knots.alias("knots"), subtype.alias("subtype"),
     )
 
 
-def _without_port_changes(t: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
+def without_port_changes(t: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
     """Draught changes count only if both ends of the silence are at sea."""
     if ports is None:
         return t
-    cells = ports_by_cell(ports, config.draught.minimum_port_radius_km)
+    cells = ports_by_cell(ports, config.draught_port_km)
     t = t.withColumns({"__lat": F.col("sample.latitude"), "__lon": F.col("sample.longitude")})
     t = with_near_port(t, cells, "latitude", "longitude", "__near_end", F.col("is_draught_change"))
     t = with_near_port(t, cells, "__lat", "__lon", "__near_start", F.col("is_draught_change"))
     return t.withColumn("is_draught_change", F.col("is_draught_change") & ~F.col("__near_end") & ~F.col("__near_start")).drop("__lat", "__lon", "__near_end", "__near_start")
 
 
-def _with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
+def with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
     """start_on_land, end_on_land, quality and counts of jumps; D1 are ok and count."""
     d2 = F.coalesce(F.col("subtype") == "D2", F.lit(False))
     t = t.withColumns({"__lat": F.col("prev.latitude"), "__lon": F.col("prev.longitude")})
@@ -132,7 +131,7 @@ def _with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land
     t = with_on_land(t, masks, "latitude", "longitude", "end_on_land", d2)
     near = F.lit(False)
     if ports is not None:
-        cells = ports_by_cell(ports, max(config.jump.minimum_port_radius_km, config.jump.d2_port_proximity_km))
+        cells = ports_by_cell(ports, config.jump_port_km)
         t = with_near_port(t, cells, "__lat", "__lon", "__near_start", d2)
         t = with_near_port(t, cells, "latitude", "longitude", "__near_end", d2)
         near = F.col("__near_start") | F.col("__near_end")

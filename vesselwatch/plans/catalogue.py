@@ -5,22 +5,24 @@ Doubles are rounded to six places on both sides; times are seconds since 1970 or
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselwatch.config import Detection, Meeting, Sampling
+from vesselwatch.config import Detection
 from vesselwatch.functions.geo import land_by_cell, nearest_port, ports_by_cell, with_near_port, with_on_land
 from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import report, runs, score, tracks
 from vesselwatch.plans.detection import Result, run_detection
+from vesselwatch.session import shared_dir, stored
 from vesselwatch.sources import demo, tables
-from vesselwatch.streaming.detector import run_available, stream_events
+from vesselwatch.streaming.detector import judged, run_available, stream_events
+from vesselwatch.streaming.meetings import close_meetings, rolling_meetings
 
 #: Twelve-hour buckets: the demonstration data are too sparse for meetings within minutes.
-SPARSE = Detection(meeting=Meeting(bucket_seconds=43200, min_duration_hours=48.0), sampling=Sampling(meeting_seconds=43200))
+SPARSE = Detection(meeting_bucket_s=43200, meeting_h=48.0, meeting_sample_s=43200)
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def reject_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def multi_file_union(spark: SparkSession, d: str) -> DataFrame:
     """Raw rows written as two CSV files of different column orders and read again."""
-    base = f"{_scratch(spark)}/csv-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     names = {ours: header for header, ours in tables.COLUMNS.items()}
     raw = demo.raw_rows(spark, d)
     paths = []
@@ -80,10 +82,6 @@ def multi_file_union(spark: SparkSession, d: str) -> DataFrame:
     return tables.valid_records(tables.read_raw(spark, paths)).groupBy("mmsi", F.col("seq.file_no").alias("file_no")).agg(F.count("*").alias("n"), F.round(F.sum("latitude"), 6).alias("latitudes"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-vesselwatch-")).rstrip("/")
-
-
 def track_pairs(spark: SparkSession, d: str) -> DataFrame:
     t = tracks.detect(demo.records(spark, d), SPARSE).where("prev is not null")
     return plain(t.select("mmsi", "seq", "prev_seconds", "prev_km", "prev_hours"))
@@ -153,21 +151,80 @@ def memory_timeline(spark: SparkSession, d: str) -> DataFrame:
     return plain(runs.mean_timeline(profile_samples(spark, d)))
 
 
+def _arrivals(df: DataFrame, by: str, path: str, n: int = 3):
+    """Adds ``df`` to ``path`` in ``n`` parts of rising ``by``, one after another: how a stream's input arrives."""
+    df = stored(df, "arrivals")
+    low, high = df.agg(F.min(by), F.max(by)).first()
+    for k in range(n):
+        part = df.where(F.least(F.lit(n - 1), F.floor((F.col(by) - low) * n / F.greatest(F.lit(1), F.lit(high - low)))) == k)
+        part.write.mode("append").parquet(path)
+        yield k
+
+
 def _stream(spark: SparkSession, d: str) -> DataFrame:
-    """Events of a stream over the reports' files, run until all is read: one micro-batch, ordered within each vessel."""
-    base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
-    demo.records(spark, d).select("mmsi", F.unix_seconds("ts").alias("epoch"), "seq", "latitude", "longitude").write.parquet(f"{base}/in")
-    source = spark.readStream.schema("mmsi long, epoch long, seq long, latitude double, longitude double").parquet(f"{base}/in")
-    run_available(stream_events(source), f"{base}/out", f"{base}/state")
-    return plain(spark.read.parquet(f"{base}/out"))
+    """Events of a stream over the reports' files, which come in three parts: a micro-batch and a restart for each."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for _ in _arrivals(demo.records(spark, d).select("mmsi", F.unix_seconds("ts").alias("epoch"), "seq", "latitude", "longitude", "draught"), "epoch", f"{base}/in"):
+        source = spark.readStream.schema("mmsi long, epoch long, seq long, latitude double, longitude double, draught double").parquet(f"{base}/in")
+        run_available(stream_events(source), f"{base}/out", f"{base}/state")
+    found = judged(spark.read.parquet(f"{base}/out"), SPARSE, demo.ports(spark, d), demo.land(spark))
+    return plain(found.withColumnsRenamed({"start_epoch": "start_ts", "end_epoch": "end_ts"}))
 
 
 def streaming_going_dark(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d).where("kind = 'A'").select("mmsi", F.col("start_epoch").alias("start_ts"), F.col("end_epoch").alias("end_ts"), "gap_hours", "distance_km")
+    return _stream(spark, d).where("kind = 'A'").select("mmsi", "start_ts", "end_ts", "gap_hours", "distance_km")
 
 
 def streaming_teleport(spark: SparkSession, d: str) -> DataFrame:
-    return _stream(spark, d).where("kind <> 'A'").select("mmsi", F.col("kind").alias("subtype"), F.col("start_epoch").alias("start_ts"), F.col("end_epoch").alias("end_ts"), "gap_hours", "distance_km", "implied_speed_knots")
+    return _stream(spark, d).where("kind in ('D1', 'D2')").select("mmsi", F.col("kind").alias("subtype"), "start_ts", "end_ts", "gap_hours", "distance_km", "implied_speed_knots")
+
+
+def streaming_d2_quality(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).where("kind = 'D2'").select("mmsi", "start_ts", "end_ts", "distance_km", "start_on_land", "end_on_land", "quality_flag", "counts")
+
+
+def streaming_draught(spark: SparkSession, d: str) -> DataFrame:
+    return _stream(spark, d).where("kind = 'C'").select("mmsi", "start_ts", "end_ts", "gap_hours", "start_draught", "end_draught")
+
+
+def streaming_meetings(spark: SparkSession, d: str) -> DataFrame:
+    """Meetings of a stream of points, which come in three parts."""
+    base = f"{shared_dir(spark)}/meetings-{uuid.uuid4().hex}"
+    for _ in _arrivals(_points(spark, d), "bucket", f"{base}/in"):
+        source = spark.readStream.schema("mmsi long, bucket long, latitude double, longitude double, seq long").parquet(f"{base}/in")
+        rolling_meetings(source, f"{base}/table", f"{base}/state", SPARSE)
+    close_meetings(spark, f"{base}/table", SPARSE)
+    return plain(spark.read.parquet(f"{base}/table/events").drop("batch"))
+
+
+def default_meetings(exact_grid: bool):
+    """Meetings by the default limits, of vessels at berths."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        config = Detection()
+        return plain(meet.meetings(tracks.with_track_columns(demo.berths(spark, d), config), config, demo.ports(spark, d), exact_grid))
+
+    return run
+
+
+def file_catalogues(spark: SparkSession, d: str) -> DataFrame:
+    """Reports near ports and on land, both read from files."""
+    base = f"{shared_dir(spark)}/catalogues-{uuid.uuid4().hex}"
+    ports = demo.ports(spark, d).select("port_name", F.lit("XX").alias("country"), "latitude", "longitude", "radius_km")
+    ports.write.option("header", True).csv(f"{base}/ports")
+    shapes = [{"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[*ring, ring[0]] for ring in rings]}} for rings in demo.LAND]
+    spark.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": shapes}),)], "value string").coalesce(1).write.text(f"{base}/land")
+    near = with_near_port(demo.records(spark, d), ports_by_cell(tables.read_ports(spark, f"{base}/ports"), 15.0), "latitude", "longitude", "near")
+    return with_on_land(near, land_by_cell(tables.read_land(spark, f"{base}/land")), "latitude", "longitude", "on_land", F.lit(True)).select("seq", "near", "on_land")
+
+
+def benchmark_files(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of benchmark runs whose profiles lie in folders named after their settings."""
+    base = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    named = profile_samples(spark, d).withColumn("folder", F.concat("run", F.lit("_w"), "workers", F.lit("_c"), "chunk_size"))
+    named.select("folder", "elapsed_time_sec", "total_rss_mb").write.partitionBy("folder").option("header", True).csv(base)
+    totals = runs.run_totals(runs.read_runs(spark, f"{base}/*/*.csv", "folder=[^/]*"))
+    return plain(totals.withColumn("run", F.regexp_replace("run", "^folder=", "")))
 
 
 QUERIES = {
@@ -203,6 +260,13 @@ QUERIES = {
     "lat_cluster_split": lambda s, d: plain(report.latitude_split(_found(s, d).jumps)),
     "streaming_going_dark": streaming_going_dark,
     "streaming_teleport": streaming_teleport,
+    "streaming_draught": streaming_draught,
+    "streaming_d2_quality": streaming_d2_quality,
+    "streaming_meetings": streaming_meetings,
+    "b_default_events": default_meetings(False),
+    "b_default_exact_events": default_meetings(True),
+    "file_catalogues": file_catalogues,
+    "benchmark_files": benchmark_files,
     "speedup_table": speedup_table,
     "parallel_share": parallel_share,
     "memory_timeline": memory_timeline,
@@ -299,6 +363,17 @@ _PROFILE = """prof as (select 'run' || (event_id % 3) as run, (event_id % 4 + 1)
 tot as (select run, workers, chunk_size, max(elapsed_time_sec) as e, max(total_rss_mb) as m from prof group by all),
 sp as (select chunk_size, workers, avg(e) as elapsed_time_sec, max(m) as peak_memory_mb from tot group by all),
 su as (select *, first_value(elapsed_time_sec) over (partition by chunk_size order by workers) / elapsed_time_sec as speedup from sp)"""
+_GRID = "\n  and abs(floor(x.latitude/(0.5e0/111e0*1.2e0)) - floor(y.latitude/(0.5e0/111e0*1.2e0))) <= 1 and abs(floor(x.longitude/(0.5e0/111e0*1.2e0)) - floor(y.longitude/(0.5e0/111e0*1.2e0))) <= 1"
+
+
+def _default_meetings(exact: bool) -> str:
+    """Meetings of the vessels at berths by the default limits; the exact grid is no grid."""
+    text = _AIS.replace(_GRID, "") if exact else _AIS
+    for old, new in ((f"cast(epoch(ts) as bigint) as t from ({demo.RECORDS})", f"epoch_s as t from ({demo.BERTHS})"), ("t // 43200 * 43200", "t // 300 * 300"), ("t // 43200", "t // 1200"), ("> 86400", "> 1500"), (">= 48", ">= 2")):
+        text = text.replace(old, new)
+    return f"with {text}\nselect {_SESSION} from b"
+
+
 _A_STREAM = "mmsi, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km"
 
 ORACLES = {
@@ -338,6 +413,13 @@ round(end_longitude,6) as lon_destination, round(gap_hours,6) as gap_hours, roun
 (select distinct start_latitude as lat from d union select distinct end_latitude from d)) where south is not null"""),
     "streaming_going_dark": _q(f"select {_A_STREAM} from a"),
     "streaming_teleport": _q(f"select mmsi, subtype, start_ts, end_ts, {_SPEEDS} from d"),
+    "streaming_draught": _q("select mmsi, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(start_draught,6) as start_draught, round(end_draught,6) as end_draught from c"),
+    "streaming_d2_quality": _q("select mmsi, start_ts, end_ts, round(distance_km,6) as distance_km, start_on_land, end_on_land, quality_flag, counts from d where subtype = 'D2'"),
+    "streaming_meetings": _q(f"select {_SESSION} from b"),
+    "b_default_events": _default_meetings(False),
+    "b_default_exact_events": _default_meetings(True),
+    "file_catalogues": _q(f"select seq, {_near('ais.latitude', 'ais.longitude', 15)} as near, {demo.LAND_SQL.format(lat='latitude', lon='longitude')} as on_land from ais"),
+    "benchmark_files": f"with {_PROFILE} select run, workers, chunk_size, round(max(elapsed_time_sec),6) as elapsed_time_sec, round(max(total_rss_mb),6) as peak_memory_mb, count(*) as samples from prof group by all",
     "speedup_table": f"with {_PROFILE} select chunk_size, workers, round(elapsed_time_sec,6) as elapsed_time_sec, round(peak_memory_mb,6) as peak_memory_mb, round(speedup,6) as speedup from su",
     "parallel_share": f"with {_PROFILE} select chunk_size, round(greatest(0e0, least(1e0, sum((1-1e0/workers)*(1-1e0/speedup)) / nullif(sum((1-1e0/workers)*(1-1e0/workers)),0))),6) as parallel_share from su group by chunk_size",
     "memory_timeline": f"""with {_PROFILE}, num as (select *, row_number() over (partition by run, workers, chunk_size order by elapsed_time_sec) as sample_no from prof),

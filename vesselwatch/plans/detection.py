@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from vesselwatch.config import Detection
 from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import score, tracks
+from vesselwatch.session import stored
 
 
 class Result:
@@ -48,6 +49,18 @@ class Result:
     def ranked(self) -> DataFrame:
         return score.ranked(self.vessels)
 
+    def kept(self) -> Result:
+        """The same with each kind of event written once: for several reports of one run."""
+        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap)
+        for name in ("silences", "draught_changes", "jumps", "meetings"):
+            again.__dict__[name] = stored(getattr(self, name), name)
+        return again
+
+    def metrics(self) -> dict[str, int]:
+        """Rows of each result: records, vessels, and events by kind."""
+        counted = {"records": self.records, "vessels": self.records.select("mmsi").distinct(), "silences": self.silences, "draught_changes": self.draught_changes, "jumps": self.jumps, "meetings": self.meetings}
+        return {name: df.count() for name, df in counted.items()}
+
 
 def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False) -> Result:
     """All detectors and the vessel table."""

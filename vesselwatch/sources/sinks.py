@@ -1,10 +1,12 @@
-"""CSV outputs: one file each, in a fixed column order."""
+"""CSV outputs in a fixed column order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vesselwatch.config import Detection
+
 #: Fixed values of the output format: header names over our columns, with a number format where one applies.
 VESSELS = [
     ("MMSI", "mmsi", None), ("DFSI", "score", "%.6f"), ("record_count", "record_count", None), ("max_gap_hours", "max_gap_hours", "%.3f"),
@@ -24,21 +26,59 @@ MEETINGS = [
 ]
 
 
-def _one_file(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+#: Rows that are written to a single file, at most; more stay ordered in several.
+ONE_FILE = 1_000_000
+#: Fixed values of the profile's header: where each comes from in a stream's progress.
+PROFILE = {
+    "chunk_id": lambda p, o: p["batchId"], "raw_row_count": lambda p, o: o.get("raw", p["numInputRows"]), "valid_record_count": lambda p, o: o.get("valid"), "vessel_count": lambda p, o: o.get("vessels"),
+    "ac_sampled_record_count": lambda p, o: o.get("track_samples"), "loitering_sampled_record_count": lambda p, o: o.get("meeting_samples"),
+    "worker_elapsed_sec": lambda p, o: _seconds(p, "addBatch"), "queue_wait_sec": lambda p, o: _seconds(p, "latestOffset", "getBatch", "queryPlanning"), "merge_elapsed_sec": lambda p, o: _seconds(p, "walCommit", "commitOffsets"),
+    "pending_results_before_merge": lambda p, o: _state(p, "numRowsTotal") - _state(p, "numRowsUpdated"), "pending_results_after_merge": lambda p, o: _state(p, "numRowsTotal"),
+    "main_rss_mb_after_merge": lambda p, o: _state(p, "memoryUsedBytes") / 1e6,
+}
+
+
+def _seconds(progress, *phases: str) -> float:
+    return sum(progress["durationMs"].get(x, 0) for x in phases) / 1000
+
+
+def _state(progress, name: str) -> float:
+    return sum(s.get(name, 0) for s in progress.get("stateOperators") or [])
+
+
+def _ordered(df: DataFrame, order: list[str], columns: list, path: str) -> None:
+    """Rows in order: one file of a few, else part files whose names sort as their rows do."""
+    few = df.limit(ONE_FILE + 1).count() <= ONE_FILE
+    df = df.orderBy(*order).select(*columns)
+    (df.coalesce(1) if few else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_vessels(ranked: DataFrame, path: str) -> None:
-    """The ranked vessel table; rows keep rank order (range-sorted, then one file)."""
-    columns = [(F.format_string(f, F.col(c)) if f else F.col(c)).alias(h) for h, c, f in VESSELS]
-    _one_file(ranked.orderBy("rank").select(*columns), path)
+    """The ranked vessel table in rank order."""
+    _ordered(ranked, ["rank"], [(F.format_string(f, F.col(c)) if f else F.col(c)).alias(h) for h, c, f in VESSELS], path)
 
 
 def write_map_table(rows: DataFrame, columns: list[str], path: str) -> None:
-    _one_file(rows.orderBy("event_index").select(*columns), path)
+    _ordered(rows, ["event_index"], columns, path)
+
+
+def profiled(raw: DataFrame, valid: Column, config: Detection) -> DataFrame:
+    """``raw`` (typed rows: mmsi, ts) with the counts that a stream's progress needs for its profile; distinct ones are approximate."""
+    at = F.unix_seconds("ts")
+    distinct = lambda *c: F.approx_count_distinct(F.when(valid, F.struct(*c)), 0.02)
+    buckets = [F.floor(at / max(s, 1)).alias("b") for s in (config.track_sample_s, config.meeting_sample_s)]
+    return raw.observe(
+        "profile", F.count("*").alias("raw"), F.count_if(valid).alias("valid"), distinct("mmsi").alias("vessels"), distinct("mmsi", buckets[0]).alias("track_samples"), distinct("mmsi", buckets[1]).alias("meeting_samples")
+    )
 
 
-def write_profile(progress: list[dict], spark, path: str) -> None:
-    """Metrics of a stream's micro-batches (its recent progress), a row each."""
-    rows = [(p["batchId"], p["numInputRows"], float(p.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0))) for p in progress]
-    _one_file(spark.createDataFrame(rows, "batch_id long, input_rows long, rows_per_second double, trigger_ms long").orderBy("batch_id"), path)
+def write_profile(progress: list, spark: SparkSession, path: str) -> None:
+    """A row for each of a stream's micro-batches (its recent progress): rows, times in seconds, rows and MB of state."""
+    rows = []
+    for p in progress:
+        seen = (p["observedMetrics"] or {}).get("profile")
+        counts = seen.asDict() if hasattr(seen, "asDict") else dict(seen or {})
+        rows.append([None if (v := f(p, counts)) is None else float(v) for f in PROFILE.values()])
+    whole = [c for c in PROFILE if c.endswith(("_id", "_count", "_merge")) and "rss" not in c]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in PROFILE))
+    _ordered(table, ["chunk_id"], [F.col(c).cast("long").alias(c) if c in whole else F.round(c, 3).alias(c) for c in PROFILE], path)

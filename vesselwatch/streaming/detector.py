@@ -1,100 +1,126 @@
-"""Silences and jumps over a stream of reports, with state per vessel.
+"""Silences, draught changes and jumps over a stream of reports, with state per vessel.
 
-The state holds a vessel's last record, its last track sample and that sample's bucket. A micro-batch is
-ordered by time within each vessel; records not later than the state are late and dropped (counted in the
-vessel's state). On input in order the events equal the batch detectors', however it is cut into batches.
+The state holds a vessel's last record and its last track sample. A micro-batch is ordered by time within
+each vessel; records not later than the state are late: they are counted in the vessel's state and, if
+asked for, returned. On input in order the events equal the batch detectors', however it is cut into batches.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import EARTH_RADIUS_KM, KM_PER_NAUTICAL_MILE
+from vesselwatch.operators.tracks import with_quality, without_port_changes
 from vesselwatch.session import ship_package
 
-EVENTS = "mmsi long, kind string, start_epoch long, end_epoch long, gap_hours double, distance_km double, implied_speed_knots double"
-STATE = "epoch long, latitude double, longitude double, sample_epoch long, sample_latitude double, sample_longitude double, late long"
-
-
-def _km(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-    half_lat, half_lon = math.radians(lat2 - lat1) / 2, math.radians(lon2 - lon1) / 2
-    a = math.sin(half_lat) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(half_lon) ** 2
-    a = min(1.0, max(0.0, a))
-    return 2 * EARTH_RADIUS_KM * math.atan2(math.sqrt(a), math.sqrt(1 - a))
-
-
-def _step(config: Detection):
-    a, d, seconds = config.silence, config.jump, config.sampling.track_seconds
+_MEASURES = ["gap_hours", "distance_km", "implied_speed_knots", "start_latitude", "start_longitude", "end_latitude", "end_longitude", "start_draught", "end_draught"]
+EVENTS = "mmsi long, kind string, start_epoch long, end_epoch long, " + ", ".join(f"{c} double" for c in _MEASURES)
+_NAMES = [c.split()[0] for c in EVENTS.split(", ")]
+_POINT = "epoch long, latitude double, longitude double, draught double"
+STATE = f"{_POINT}, {', '.join(f'sample_{c}' for c in _POINT.split(', '))}, late long"
+
+
+def _km(lat1, lon1, lat2, lon2):
+    half_lat, half_lon = np.radians(lat2 - lat1) / 2, np.radians(lon2 - lon1) / 2
+    a = np.sin(half_lat) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(half_lon) ** 2
+    a = np.clip(a, 0.0, 1.0)
+    return 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+
+
+def _pairs(points: np.ndarray) -> pd.DataFrame:
+    """Neighbouring rows of (epoch, latitude, longitude, draught) as the columns of an event."""
+    a, b = points[:-1], points[1:]
+    gap, km = (b[:, 0] - a[:, 0]) / 3600, _km(a[:, 1], a[:, 2], b[:, 1], b[:, 2])
+    knots = km / KM_PER_NAUTICAL_MILE / np.where(gap > 0, gap, np.nan)
+    values = [gap, km, knots, a[:, 1], a[:, 2], b[:, 1], b[:, 2], a[:, 3], b[:, 3]]
+    return pd.DataFrame({"start_epoch": a[:, 0].astype(np.int64), "end_epoch": b[:, 0].astype(np.int64)} | dict(zip(_MEASURES, values, strict=True)))
+
+
+def _step(config: Detection, forget_s: float | None, with_late: bool):
+    def events(t: np.ndarray, samples: np.ndarray) -> list[pd.DataFrame]:
+        d, s = _pairs(t), _pairs(samples)
+        seconds = d["end_epoch"] - d["start_epoch"]
+        off = lambda side: (d[f"{side}_latitude"] != 0) | (d[f"{side}_longitude"] != 0)
+        fast = (seconds >= config.jump_least_s) & off("start") & off("end") & (d["distance_km"] > config.jump_km) & (d["implied_speed_knots"] > config.jump_knots) & (d["gap_hours"] <= config.jump_h)
+        change = (s["end_draught"] - s["start_draught"]).abs() / s["start_draught"].where(s["start_draught"] > 0)
+        silent = (s["gap_hours"] > config.silence_h) & (s["distance_km"] > config.silence_km)
+        changed = (s["gap_hours"] > config.draught_h) & (change > config.draught_share)
+        out = [d[fast].assign(kind=np.where(d["gap_hours"][fast] <= config.clone_h, "D1", "D2"))]
+        out += [s[rows].assign(kind=kind, implied_speed_knots=np.nan) for rows, kind in ((silent, "A"), (changed, "C"))]
+        return out
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (mmsi,) = key
-        now = list(state.get) if state.exists else None
-        out = []
+        if state.hasTimedOut:
+            state.remove()
+            return
         batch = pd.concat(list(frames)).sort_values(["epoch", "seq"], kind="stable")
-        start = now[0] if now else None  # what arrived earlier than this is late
-        late = now[6] if now else 0
-        for t, lat, lon in zip(batch["epoch"].tolist(), batch["latitude"].tolist(), batch["longitude"].tolist(), strict=True):
-            if start is not None and t < start:
-                late += 1
-                continue
-            if now is None:
-                now = [t, lat, lon, t, lat, lon, late]
-                continue
-            gap = t - now[0]
-            km = _km(now[1], now[2], lat, lon)
-            if gap >= d.min_gap_seconds and (lat or lon) and (now[1] or now[2]) and km > d.min_distance_km and gap <= d.d2_max_gap_hours * 3600:
-                knots = km / KM_PER_NAUTICAL_MILE / (gap / 3600)
-                if knots > d.max_speed_knots:
-                    out.append((mmsi, "D1" if gap <= d.d1_max_gap_hours * 3600 else "D2", now[0], t, gap / 3600, km, knots))
-            if seconds <= 0 or t // seconds != now[0] // seconds:
-                gap, km = t - now[3], _km(now[4], now[5], lat, lon)
-                if gap / 3600 > a.min_gap_hours and km > a.min_distance_km:
-                    out.append((mmsi, "A", now[3], t, gap / 3600, km, None))
-                now[3:6] = [t, lat, lon]
-            now[0:3] = [t, lat, lon]
-        if now is not None:
-            now[6] = late
-            state.update(tuple(now))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        rows = batch[["epoch", "latitude", "longitude", "draught"]].to_numpy(np.float64)
+        known = list(state.get) if state.exists else None
+        late = rows[:, 0] < known[0] if known else np.zeros(len(rows), bool)
+        dropped, rows = rows[late], rows[~late]
+        out = []
+        if with_late and len(dropped):
+            out.append(pd.DataFrame({"kind": "late", "start_epoch": dropped[:, 0].astype(np.int64), "end_epoch": known[0], "start_latitude": dropped[:, 1], "start_longitude": dropped[:, 2]}))
+        if len(rows):
+            track = np.vstack([np.array([known[:4]], np.float64), rows]) if known else rows
+            bucket = track[:, 0] // config.track_sample_s if config.track_sample_s > 0 else np.arange(len(track))
+            first = bucket[1:] != bucket[:-1]
+            samples = np.vstack([np.array([known[4:8]], np.float64) if known else track[:1], track[1:][first]])
+            out += events(track, samples)
+            plain = lambda p: [int(p[0]), *(None if np.isnan(x) else float(x) for x in p[1:])]
+            known = [*plain(track[-1]), *plain(samples[-1]), known[8] if known else 0]
+        known[8] += len(dropped)
+        state.update(tuple(known))
+        if forget_s is not None:
+            state.setTimeoutTimestamp(max(int((known[0] + forget_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        for found in out:
+            if len(found):
+                yield found.assign(mmsi=mmsi).reindex(columns=_NAMES)
 
     return run
 
 
-def stream_events(records: DataFrame, config: Detection | None = None) -> DataFrame:
-    """Events A, D1 and D2 (``kind``) of a streaming DataFrame with mmsi, epoch, seq, latitude, longitude."""
-    ship_package(records.sparkSession)
-    needed = records.select("mmsi", "epoch", "seq", "latitude", "longitude")
-    return needed.groupBy("mmsi").applyInPandasWithState(_step(config or Detection()), EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
-
+def stream_events(records: DataFrame, config: Detection | None = None, forget_hours: float | None = None, watermark: str = "1 hour", with_late: bool = False) -> DataFrame:
+    """Events A, C, D1 and D2 (``kind``) of a streaming DataFrame with mmsi, epoch, seq, latitude, longitude and, for C, draught.
 
-def run_available(stream: DataFrame, path: str, checkpoint: str):
-    """Process what there is and append the events to Parquet at ``path``; repeated runs go on where the last one ended."""
-    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-    query.awaitTermination()
-    return query
+    ``forget_hours``: a vessel's state ends so long after its last record, by the watermark (records older than
+    that are dropped and counted by Spark, ``numRowsDroppedByWatermark``); a longer silence is then none. Without it states stay.
+    ``with_late``: late records are returned too (kind ``late``, end_epoch: the vessel's last time).
+    """
+    ship_package(records.sparkSession)
+    draught = F.col("draught") if "draught" in records.columns else F.lit(None).cast("double")
+    needed = records.select("mmsi", "epoch", "seq", "latitude", "longitude", draught.alias("draught"))
+    timeout = GroupStateTimeout.NoTimeout
+    if forget_hours is not None:
+        needed, timeout = needed.withColumn("ts", F.timestamp_seconds("epoch")).withWatermark("ts", watermark), GroupStateTimeout.EventTimeTimeout
+    step = _step(config or Detection(), None if forget_hours is None else forget_hours * 3600, with_late)
+    return needed.groupBy("mmsi").applyInPandasWithState(step, EVENTS, STATE, "append", timeout)
 
 
-def rolling_meetings(points: DataFrame, table: str, checkpoint: str, horizon_seconds: int, recompute) -> object:
-    """Meetings over a stream of candidate points: each micro-batch appends its points to the Parquet ``table`` and
-    ``recompute(points of the open horizon, batch id)`` derives the sessions that are still open.
+def judged(events: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None) -> DataFrame:
+    """``events`` of a stream (or its results) after the look-ups: draught changes at sea only, jumps with their quality.
 
-    A micro-batch writes its own folder, replaced when the batch is repeated, so no point counts twice.
+    The catalogues are static, so this holds for a streaming DataFrame as for a stored one.
     """
+    config = config or Detection()
+    start = F.struct(F.col("start_latitude").alias("latitude"), F.col("start_longitude").alias("longitude"))
+    is_jump = F.col("kind").isin("D1", "D2")
+    t = events.withColumns({"prev": start, "sample": start, "latitude": F.col("end_latitude"), "longitude": F.col("end_longitude"), "is_draught_change": F.col("kind") == "C", "subtype": F.when(is_jump, F.col("kind"))})
+    t = with_quality(without_port_changes(t, config, ports), config, ports, land)
+    kept = t.where((F.col("kind") != "C") | F.col("is_draught_change")).withColumn("counts", F.when(is_jump, F.col("counts")))
+    return kept.select(*events.columns, "start_on_land", "end_on_land", "quality_flag", "counts")
 
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
-        held = spark.read.parquet(table)
-        newest = held.agg({"bucket": "max"}).first()[0]
-        if newest is not None:
-            recompute(held.where(held["bucket"] >= newest - horizon_seconds), number)
 
-    query = points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, path: str, checkpoint: str):
+    """Process what there is and append the events to Parquet at ``path``; repeated runs go on where the last one ended."""
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
     query.awaitTermination()
     return query
