@@ -52,7 +52,9 @@ def test_high_latitude_needs_the_exact_grid(spark):
     assert len(events(spark, rows, exact_grid=True)) == 1
 
 
-def test_exact_grid_finds_all_close_pairs(spark):
+@pytest.mark.parametrize("dense", [7, 1000])
+def test_exact_grid_finds_all_close_pairs(spark, monkeypatch, dense):
+    monkeypatch.setattr(meet, "DENSE", dense)
     rng = random.Random(2)
     rows = [(k, 0, 65 + rng.random() * 0.03, rng.random() * 0.05 - 0.02, 0.1) for k in range(150)]
     points = meet.meeting_points(tracks.with_track_columns(records(spark, *rows), HALF_HOURS), HALF_HOURS, no_ports(spark))

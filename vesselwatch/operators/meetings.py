@@ -15,7 +15,10 @@ from pyspark.sql.window import Window
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import grid_degrees, haversine_km, ports_by_cell, with_near_port
 from vesselwatch.operators.tracks import bucket, epoch
+from vesselwatch.session import stored
 
+#: Points of a cell and bucket that are compared with its neighbourhood in one group.
+DENSE = 1000
 #: Ranges that occupied buckets are ordered in, so that no single task orders all of them.
 RANGE_BUCKETS = 4096
 
@@ -38,7 +41,8 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
     """(mmsi_a < mmsi_b, bucket, positions, km): each pair's closest observation of a bucket.
 
     The grid joins a cell with its eight neighbours, an equi-join on (bucket, cell). Its longitude cells do
-    not shrink with latitude, so pairs at high latitudes can be missed; ``exact_grid`` finds all.
+    not shrink with latitude, so pairs at high latitudes can be missed; ``exact_grid`` finds all. A cell with over
+    ``DENSE`` points of a bucket, such as an anchorage, is cut into blocks, which meet the neighbourhood one by one.
     """
     size = grid_degrees(config.meeting_km)
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -55,10 +59,15 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
         left = celled.withColumn("cx", F.floor(lon / size)).withColumn("band", F.col("cy"))
         right = celled.select("*", F.explode(near).alias("dy")).withColumn("band", F.col("cy") + F.col("dy"))
         right = right.select("*", F.explode(F.transform(near, lambda k: F.floor(lon / size) + k)).alias("to_x")).drop("dy")
+    cell = ["bucket", "band", "to_x"]
+    blocks = left.groupBy("bucket", "band", F.col("cx").alias("to_x")).agg(F.ceil(F.count("*") / DENSE).cast("int").alias("blocks")).where("blocks > 1")
+    cut = lambda side: side.join(blocks, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     a = left.select("bucket", "band", F.col("cx").alias("to_x"), *(F.col(c).alias(f"{c}_a") for c in ("mmsi", "latitude", "longitude", "seq")))
     b = right.select("bucket", "band", "to_x", *(F.col(c).alias(f"{c}_b") for c in ("mmsi", "latitude", "longitude", "seq")))
     km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
-    close = a.join(b, ["bucket", "band", "to_x"]).where((F.col("mmsi_a") < F.col("mmsi_b")) & (km <= config.meeting_km)).withColumn("km", km)
+    a = cut(a).withColumn("block", F.pmod(F.xxhash64("mmsi_a"), "blocks").cast("int")).drop("blocks")
+    b = cut(b).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    close = a.join(b, [*cell, "block"]).where((F.col("mmsi_a") < F.col("mmsi_b")) & (km <= config.meeting_km)).withColumn("km", km)
     best = F.min_by(F.struct("latitude_a", "longitude_a", "latitude_b", "longitude_b", "km"), F.struct("km", "seq_a", "seq_b"))
     return close.groupBy("mmsi_a", "mmsi_b", "bucket").agg(best.alias("o")).select("mmsi_a", "mmsi_b", "bucket", "o.*")
 
@@ -104,7 +113,7 @@ _SIDES = {"lat_a": "latitude_a", "lon_a": "longitude_a", "lat_b": "latitude_b",
 def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, exact_grid: bool = False, strict_gap: bool = False) -> DataFrame:
     """Events B: sessions of at least the least duration (inclusive)."""
     config = config or Detection()
-    points = meeting_points(tracks, config, ports)
+    points = stored(meeting_points(tracks, config, ports), "points")  # few of the records, and read from several sides
     sessions = meeting_sessions(pair_observations(points, config, exact_grid), points, config, strict_gap)
     return sessions.where(F.col("duration_hours") >= config.meeting_h).drop("session")
 

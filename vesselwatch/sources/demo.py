@@ -21,7 +21,7 @@ RECORDS = f"""select cast(200000000 + user_id as bigint) as mmsi, date_trunc('se
 #: Forty vessels in tens of berths, a report every ten minutes: meetings within minutes, at a latitude where the plain grid misses some.
 BERTHS = """select cast(210000000 + event_id % 40 as bigint) as mmsi, cast(floor(event_id / 40e0) as bigint) * 600 as epoch_s, event_id as seq,
   54e0 + floor(event_id % 40 / 4e0) * 5e-1 + (event_id % 3) * 1e-4 as latitude,
-  8e0 + floor(event_id % 40 / 4e0) * 6e-1 + (event_id % 4) * 2e-3 + (event_id % 7) * 1e-4 + case when (cast(floor(event_id / 800e0) as bigint) + event_id % 40) % 5 = 0 then 5e-2 else 0e0 end as longitude,
+  8e0 + floor(event_id % 40 / 4e0) * 6e-1 + (event_id % 4) * 24e-4 + (event_id % 7) * 1e-4 + case when (cast(floor(event_id / 800e0) as bigint) + event_id % 40) % 5 = 0 then 5e-2 else 0e0 end as longitude,
   case when event_id % 23 = 0 then 2e0 else (event_id % 9) * 1e-1 end as sog, cast(null as double) as draught from events"""
 PORTS = "select n_nationkey as port_no, n_name as port_name, 54e0 + n_nationkey * 4e-1 as latitude, 8e0 + n_nationkey * 6e-1 as longitude, 3e0 as radius_km from nation where n_nationkey < 3"
 #: Two rectangles of land: (longitude, latitude) corners, north of all unshifted positions.
