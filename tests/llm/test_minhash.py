@@ -4,33 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from tests_llm_helpers import brute_components
 from vesselwatch.llm import common, minhash
 from vesselwatch.llm.common import connected_components
 from vesselwatch.llm.minhash import near_duplicates, odd_sketch, shingle_hashes, words
 
 
-def _brute(rows, width, percent):
-    sets = {}
-    for i, t in rows:
-        ws = (t or "").encode().lower().split()
-        sets.setdefault(i, set(zip(*(ws[j:] for j in range(width)), strict=False)) if len(ws) >= width else ({tuple(ws)} if ws else set()))
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= percent * len(x | y):
-                u, v = find(a), find(b)
-                root[max(u, v)] = min(u, v)
-    return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
-
-
 def _corpus(n, seed):
     """Families of copies with a few to many changed words, exact copies, a shared passage, odd texts."""
     rng = random.Random(seed)
@@ -55,7 +34,7 @@ def _corpus(n, seed):
 def test_equals_all_pairs(spark, width, seed, exact):
     rows = _corpus(300, seed)
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), width=width, exact=exact).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == _brute(rows, width, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == brute_components(rows, width, 80)
     assert len(out) == len(rows)
 
 
@@ -91,7 +70,7 @@ def test_keys_that_stay_open_are_paired_in_blocks(spark, block, monkeypatch):
         if k % 5 == 0:
             rows.append((100 + k, " ".join(words_[:-1])))
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=1).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == _brute(rows, 1, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in out} == brute_components(rows, 1, 80)
 
 
 def test_long_texts_and_many_copies(spark, monkeypatch):
