@@ -24,7 +24,7 @@ def test_profile_sink(spark, tmp_path):
     progress = [{"batchId": 1, "numInputRows": 5, "processedRowsPerSecond": None, "durationMs": {"triggerExecution": 7}}, {"batchId": 0, "numInputRows": 9, "processedRowsPerSecond": 2.5, "durationMs": {}}]
     sinks.write_profile(progress, spark, str(tmp_path / "p"))
     (path,) = glob.glob(str(tmp_path / "p/*.csv"))
-    assert [r["batch_id"] for r in csv.DictReader(open(path))] == ["0", "1"]
+    assert [(r["chunk_id"], r["raw_row_count"]) for r in csv.DictReader(open(path))] == [("0", "9"), ("1", "5")]
 
 
 @pytest.mark.parametrize(("lats", "threshold"), [([54.0, 54.5, 57.5], 56.0), ([10.0, 10.2, 10.3], 10.1), ([1.0, 2.0, 3.0], 1.5), ([5.0, 5.0], None)])

@@ -76,7 +76,7 @@ def write_profile(progress: list, spark: SparkSession, path: str) -> None:
     """A row for each of a stream's micro-batches (its recent progress): rows, times in seconds, rows and MB of state."""
     rows = []
     for p in progress:
-        seen = (p["observedMetrics"] or {}).get("profile")
+        seen = (p.get("observedMetrics") or {}).get("profile")
         counts = seen.asDict() if hasattr(seen, "asDict") else dict(seen or {})
         rows.append([None if (v := f(p, counts)) is None else float(v) for f in PROFILE.values()])
     whole = [c for c in PROFILE if c.endswith(("_id", "_count", "_merge")) and "rss" not in c]
