@@ -37,7 +37,7 @@ SLOTS, CHUNKS, DISTANCE = 100, 20, 39
 #: Bits of a slot; a chunk's slots lie side by side in one 64-bit number.
 BITS, WIDE = 12, SLOTS // CHUNKS
 #: Members of a key that are compared with as many others in one group.
-BLOCK = 512
+BLOCK = 2048
 #: Classes whose shingles say which are frequent, and how many of these are told apart. They only steer the work.
 FREQUENT_SAMPLE, FREQUENT = 20_000, 100_000
 #: Numbers of 64 bits in an odd sketch.
@@ -254,24 +254,24 @@ def rare_shingle_keys(classes: DataFrame, docs: DataFrame, width: int, percent:
 def _open_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """(a, b): candidate pairs of different labels in the keys of ``rest`` (key, cls, label, n, sketch).
 
-    The smaller class is _a. Only sizes within the threshold meet: those of one band or of neighbouring ones. The members
-    of a key and band are cut into blocks, and each pair of blocks is a group of its own.
+    In a key the members outside its largest component (_a) meet all others (_b): of one large component with
+    few strangers, only these are copied. Only sizes within the threshold meet: those of one band or of neighbouring
+    ones. Both sides of a key and band are cut into blocks, and each pair of blocks is a group of its own.
     """
     columns = ("cls", "label", "n", *SKETCH)
-    rest = rest.withColumn("band", F.floor(F.log("n") / float(np.log(100.0001 / percent))))
-    blocks = rest.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-
-    def side(name: str, other: str, to: int) -> DataFrame:
-        """Rows with their own block, copied to every block of the band on the other side."""
-        mine = rest.join(blocks.withColumnRenamed("blocks", "own"), ["key", "band"]).withColumn("other", F.explode(F.array("band", F.col("band") + to)))
-        met = mine.join(blocks.withColumnRenamed("band", "other").withColumnRenamed("blocks", "theirs"), ["key", "other"])
-        return met.select(
-            "key", F.col("band").alias(f"band_{name}"), F.col("other").alias(f"band_{other}"), F.pmod(F.xxhash64("cls"), "own").alias(f"block_{name}"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("theirs") - 1)).alias(f"block_{other}"), *(F.col(c).alias(f"{c}_{name}") for c in columns),
-        )
-
-    met = side("a", "b", 1).join(side("b", "a", -1), ["key", "band_a", "band_b", "block_a", "block_b"])
-    once = (F.col("band_a") < F.col("band_b")) | (F.col("cls_a") < F.col("cls_b"))
+    main = rest.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    rest = rest.join(main, "key").withColumn("band", F.floor(F.log("n") / float(np.log(100.0001 / percent))))
+    some = rest.where(F.col("label") != F.col("main")).withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
+    cut = lambda side, name: side.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+    blocks = cut(some, "blocks_a").join(cut(rest, "blocks_b"), ["key", "band"])
+
+    def dealt(side: DataFrame, name: str, other: str) -> DataFrame:
+        """Rows with their own block, copied to every block of the other side."""
+        mine, every = F.pmod(F.xxhash64("cls"), f"blocks_{name}").alias(f"block_{name}"), F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"blocks_{other}") - 1)).alias(f"block_{other}")
+        return side.join(blocks, ["key", "band"]).select("key", "band", mine, every, *(F.col(c).alias(f"{c}_{name}") for c in columns), F.col("main").alias(f"main_{name}"))
+
+    met = dealt(some, "a", "b").join(dealt(rest, "b", "a"), ["key", "band", "block_a", "block_b"])
+    once = (F.col("label_b") == F.col("main_b")) | (F.col("cls_a") < F.col("cls_b"))
     pairs = met.where(once & (F.col("label_a") != F.col("label_b")) & _candidate(percent))
     return pairs.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b")).distinct()
 
