@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import land_by_cell, nearest_port, ports_by_cell, with_near_port, with_on_land
 from vesselwatch.operators import score, tracks
+from vesselwatch.plans.detection import run_detection
 from vesselwatch.sources.tables import land_from_rings
 
 START = datetime(2025, 1, 1)
@@ -120,3 +122,22 @@ def test_score_and_rank(spark):
     got = score.ranked(score.with_score(df)).orderBy("rank").collect()
     assert [(r["mmsi"], r["score"], r["rank"]) for r in got] == [(1, 50.0, 1), (3, 50.0, 2), (4, 35.0, 3), (2, 0.0, 4)]
     assert [r["mmsi"] for r in score.top_vessels(score.with_score(df), 2).orderBy("rank").collect()] == [1, 3]
+
+
+def test_slices_change_nothing(spark):
+    rng = random.Random(7)
+    rows = []
+    for v in range(3):
+        t = 0
+        for _ in range(150):
+            t += rng.choice([0, 20, 60, 200, 1200, 20_000, 90_000])
+            rows.append((210000000 + v, START + timedelta(seconds=t), len(rows), 10 + rng.random() * rng.choice([0.001, 5]), 20.0, rng.choice([0.5, None]), rng.choice([5.0, 6.0, None])))
+    df = spark.createDataFrame(rows, "mmsi long, ts timestamp, seq long, latitude double, longitude double, sog double, draught double")
+    plain, sliced = (run_detection(df, ports(spark), None, Detection(), slice_s=s) for s in (None, 3600))
+    for a, b in ((plain.detected, sliced.detected), (plain.vessels, sliced.vessels), (plain.jumps, sliced.jumps)):
+        columns = sorted(a.columns)
+        rows_of = lambda x: sorted((str(r) for r in x.select(*columns).collect()))  # noqa: B023, E731
+        assert sorted(b.columns) == columns and rows_of(a) == rows_of(b)
+    assert plain.vessels.agg(F.sum("d1_episodes")).first()[0] > 0
+    with pytest.raises(ValueError, match="whole sampling buckets"):
+        tracks.with_track_columns(df, Detection(), 1000)

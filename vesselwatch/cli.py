@@ -27,6 +27,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strict-gap", action="store_true", help="end a meeting after any long gap")
     p.add_argument("--track-seconds", type=int, default=LIMITS["track_sample_s"])
     p.add_argument("--meeting-seconds", type=int, default=LIMITS["meeting_sample_s"])
+    p.add_argument("--slice-seconds", type=int, help="cut tracks into slices, for vessels with very many records")
     p.add_argument("--master", help="Spark master")
     return p
 
@@ -45,7 +46,7 @@ def main(argv: list[str] | None = None) -> None:
         raise SystemExit(str(e)) from e
     # parsed once, each kind of event found once, whatever the number of reports
     records = stored(tables.valid_records(raw), "records")
-    found = run_detection(records, ports, land, config, not args.no_meetings, args.exact_grid, args.strict_gap).kept()
+    found = run_detection(records, ports, land, config, not args.no_meetings, args.exact_grid, args.strict_gap, args.slice_seconds).kept()
     ranked = stored(found.ranked(), "vessels")
     sinks.write_vessels(ranked, f"{args.out}/vessels")
     sinks.write_map_table(report.silence_map(found.silences), sinks.SILENCES, f"{args.out}/silences")

@@ -24,11 +24,15 @@ def with_episode_starts(detected: DataFrame, config: Detection) -> DataFrame:
     return detected.withColumn("starts_episode", F.coalesce(d1 & (ended.isNull() | apart), F.lit(False)))
 
 
-def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None) -> DataFrame:
-    """One row per vessel with at least one valid record; the detectors' partitioning by vessel is reused."""
+def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None, sliced: bool = False) -> DataFrame:
+    """One row per vessel with at least one valid record; the detectors' partitioning by vessel is reused.
+
+    ``sliced``: episodes are counted among the D1 jumps alone, so that no group holds all of a vessel's records.
+    """
     config = config or Detection()
     d2 = F.col("subtype") == "D2"
-    summary = with_episode_starts(detected, config).groupBy("mmsi").agg(
+    starts = detected.withColumn("starts_episode", F.lit(False)) if sliced else with_episode_starts(detected, config)
+    summary = starts.groupBy("mmsi").agg(
         F.count("*").alias("record_count"),
         F.coalesce(F.max(F.when(F.col("is_silence"), F.col("sample_hours"))), F.lit(0.0)).alias("max_gap_hours"),
         F.coalesce(F.sum(F.when(d2 & F.col("counts"), F.col("prev_km"))), F.lit(0.0)).alias("impossible_jump_km"),
@@ -41,6 +45,9 @@ def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, confi
         F.count_if(d2 & F.col("counts")).alias("d2_valid_events"),
         F.count_if(d2 & ~F.col("counts")).alias("d2_flagged_events"),
     )
+    if sliced:
+        found = with_episode_starts(detected.where("subtype = 'D1'"), config).groupBy("mmsi").agg(F.count_if("starts_episode").alias("found"))
+        summary = summary.join(found, "mmsi", "left").withColumn("d1_episodes", F.coalesce("found", F.lit(0))).drop("found")
     if meetings is None:
         return summary.withColumn("meeting_events", F.lit(0).cast("long"))
     met = by_vessel(meetings).groupBy("mmsi").agg(F.count("*").alias("met"))

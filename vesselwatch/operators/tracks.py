@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import haversine_km, land_by_cell, ports_by_cell, speed_knots, with_near_port, with_on_land
@@ -26,29 +26,52 @@ def bucket(c: Column, seconds: int) -> Column:
     return F.floor(c / seconds).cast("long") * seconds
 
 
-def first_in_bucket(seconds: int) -> Column:
+def first_in_bucket(seconds: int, w: WindowSpec) -> Column:
     """True for a vessel's first record of each bucket; every record for no seconds."""
     if seconds <= 0:
         return F.lit(True)
     own = bucket(epoch("ts"), seconds)
-    return ~own.eqNullSafe(F.lag(own).over(in_track()))
+    return ~own.eqNullSafe(F.lag(own).over(w))
 
 
-def with_track_columns(records: DataFrame, config: Detection) -> DataFrame:
+def with_track_columns(records: DataFrame, config: Detection, slice_s: int | None = None) -> DataFrame:
     """Records with their predecessor (``prev``), sample flags and the preceding track sample (``sample``).
 
     ``records``: mmsi, ts, seq (any type that sorts; breaks ties of time), latitude, longitude, sog, draught. All window
     functions share one partitioning and one order, so there is one exchange and one sort.
+
+    ``slice_s``: a vessel's track is cut into slices of so many seconds, each a group of its own, and what the first
+    records of a slice need of earlier ones is carried over in a row for each slice. For inputs in which single vessels
+    have very many records; the result is the same.
     """
     here = F.struct(*POINT)
-    flagged = records.select(
-        "mmsi", "seq", *POINT, "sog",
-        F.lag(here).over(in_track()).alias("prev"),
-        first_in_bucket(config.track_sample_s).alias("is_sample"),
-        first_in_bucket(config.meeting_sample_s).alias("is_meeting_sample"),
-    )
-    before = in_track().rowsBetween(Window.unboundedPreceding, -1)
-    return flagged.withColumn("sample", F.last(F.when(F.col("is_sample"), here), ignorenulls=True).over(before))
+    if slice_s is None:
+        flagged = _flagged(records, config, in_track())
+        return flagged.withColumn("sample", _last_sample(in_track()))
+    if any(s > 0 and slice_s % s for s in (config.track_sample_s, config.meeting_sample_s)):
+        raise ValueError("a slice must hold whole sampling buckets")  # so that its first record begins new ones
+    records = records.withColumn("__slice", bucket(epoch("ts"), slice_s))
+    w = Window.partitionBy("mmsi", "__slice").orderBy("ts", "seq")
+    flagged = _flagged(records, config, w, "__slice").withColumn("sample", _last_sample(w))
+    order = F.struct("ts", "seq")
+    ends = flagged.groupBy("mmsi", "__slice").agg(F.max_by(here, order).alias("end"), F.max_by(here, F.when(F.col("is_sample"), order)).alias("end_sample"))
+    slices = Window.partitionBy("mmsi").orderBy("__slice")
+    carried = ends.select("mmsi", "__slice", F.lag("end").over(slices).alias("__prev"), F.lag("end_sample").over(slices).alias("__sample"))
+    joined = flagged.join(carried, ["mmsi", "__slice"])
+    return joined.withColumns({"prev": F.coalesce("prev", "__prev"), "sample": F.coalesce("sample", "__sample")}).drop("__slice", "__prev", "__sample")
+
+
+def _flagged(records: DataFrame, config: Detection, w: WindowSpec, *more: str) -> DataFrame:
+    return records.select(
+        "mmsi", *more, "seq", *POINT, "sog",
+        F.lag(F.struct(*POINT)).over(w).alias("prev"),
+        first_in_bucket(config.track_sample_s, w).alias("is_sample"),
+        first_in_bucket(config.meeting_sample_s, w).alias("is_meeting_sample"),
+    )
+
+
+def _last_sample(w: WindowSpec) -> Column:
+    return F.last(F.when(F.col("is_sample"), F.struct(*POINT)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
 
 
 def _gap_seconds(start: str) -> Column:
@@ -59,34 +82,34 @@ def _km(start: str) -> Column:
     return haversine_km(F.col(f"{start}.latitude"), F.col(f"{start}.longitude"), F.col("latitude"), F.col("longitude"))
 
 
-def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None) -> DataFrame:
+def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, slice_s: int | None = None) -> DataFrame:
     """``candidates`` after the look-ups: draught changes at sea only, jumps with their quality.
 
     ``ports`` None: draught changes count everywhere; ``land`` None: no D2 can be trusted. A filter on either kind
     of event is pushed below the look-ups, which are left joins.
     """
     config = config or Detection()
-    return with_quality(without_port_changes(candidates(records, config), config, ports), config, ports, land)
+    return with_quality(without_port_changes(candidates(records, config, slice_s), config, ports), config, ports, land)
 
 
-def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
+def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None, slice_s: int | None = None) -> DataFrame:
     """``candidates`` with draught changes at sea only."""
-    return without_port_changes(candidates(records, config), config, ports)
+    return without_port_changes(candidates(records, config, slice_s), config, ports)
 
 
-def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
+def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, slice_s: int | None = None) -> DataFrame:
     """``candidates`` with the quality of jumps."""
-    return with_quality(candidates(records, config), config, ports, land)
+    return with_quality(candidates(records, config, slice_s), config, ports, land)
 
 
-def candidates(records: DataFrame, config: Detection | None = None) -> DataFrame:
+def candidates(records: DataFrame, config: Detection | None = None, slice_s: int | None = None) -> DataFrame:
     """Tracks with the findings of A, C and D beside each record, before any look-up; flags are never null.
 
     Silence (``is_silence``) and draught change (``is_draught_change``) compare track samples, jumps
     (``subtype`` D1 or D2, else null) consecutive records.
     """
     config = config or Detection()
-    t = with_track_columns(records, config).select(
+    t = with_track_columns(records, config, slice_s).select(
         "*",
         (_gap_seconds("sample") / 3600.0).alias("sample_hours"), _km("sample").alias("sample_km"),
         _gap_seconds("prev").alias("prev_seconds"), _km("prev").alias("prev_km"),

@@ -15,43 +15,43 @@ from vesselwatch.session import stored
 class Result:
     """Lazy results over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
 
-    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool):
+    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool, slice_s: int | None):
         self.records, self.ports, self.land, self.config = records, ports, land, config
-        self.with_meetings, self.exact_grid, self.strict_gap = with_meetings, exact_grid, strict_gap
+        self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s = with_meetings, exact_grid, strict_gap, slice_s
 
     @cached_property
     def detected(self) -> DataFrame:
         """The shared plan behind all but silences and meetings, which need no look-up."""
-        return tracks.detect(self.records, self.config, self.ports, self.land)
+        return tracks.detect(self.records, self.config, self.ports, self.land, self.slice_s)
 
     @cached_property
     def silences(self) -> DataFrame:
-        return tracks.silences(tracks.candidates(self.records, self.config))
+        return tracks.silences(tracks.candidates(self.records, self.config, self.slice_s))
 
     @cached_property
     def draught_changes(self) -> DataFrame:
-        return tracks.draught_changes(tracks.detect_draught(self.records, self.config, self.ports))
+        return tracks.draught_changes(tracks.detect_draught(self.records, self.config, self.ports, self.slice_s))
 
     @cached_property
     def jumps(self) -> DataFrame:
-        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land))
+        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land, self.slice_s))
 
     @cached_property
     def meetings(self) -> DataFrame:
-        points = tracks.with_track_columns(self.records, self.config)
+        points = tracks.with_track_columns(self.records, self.config, self.slice_s)
         return meet.meetings(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
 
     @cached_property
     def vessels(self) -> DataFrame:
         """One scored row per vessel."""
-        return score.with_score(score.vessel_summary(self.detected, self.meetings if self.with_meetings else None, self.config))
+        return score.with_score(score.vessel_summary(self.detected, self.meetings if self.with_meetings else None, self.config, self.slice_s is not None))
 
     def ranked(self) -> DataFrame:
         return score.ranked(self.vessels)
 
     def kept(self) -> Result:
         """The same with each kind of event written once: for several reports of one run."""
-        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap)
+        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s)
         for name in ("silences", "draught_changes", "jumps", "meetings"):
             again.__dict__[name] = stored(getattr(self, name), name)
         return again
@@ -62,6 +62,6 @@ class Result:
         return {name: df.count() for name, df in counted.items()}
 
 
-def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False) -> Result:
-    """All detectors and the vessel table."""
-    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap)
+def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False, slice_s: int | None = None) -> Result:
+    """All detectors and the vessel table; ``slice_s`` as in ``with_track_columns``."""
+    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap, slice_s)
