@@ -32,18 +32,28 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(shutil.make_archive(f"{made}/vesselwatch-package", "zip", f"{made}/tree"))
 
 
+#: By application: the temporary folder of one that has none set.
+_own_folders: dict[str, str] = {}
+
+
+def _setting(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, below ``spark.checkpoint.dir``; it goes when the application ends.
 
     Where that setting is missing a session on one machine gets a temporary folder; on a cluster only the
     user knows a folder that driver and executors share.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _setting(spark)
     if not base:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folders:
+            _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+        base = _own_folders[app]
     path = f"{base.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
     folder, files = _folder(spark, path)
     files.deleteOnExit(folder)
