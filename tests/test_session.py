@@ -18,6 +18,6 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(session, "_setting", lambda _: None)
     own = session.shared_dir(spark)
     assert own.startswith("file:///") and own == session.shared_dir(spark)
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda _: "spark://host:7077"))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="driver and executors share"):
         session.shared_dir(spark)
