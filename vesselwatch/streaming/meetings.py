@@ -8,6 +8,7 @@ the events equal the batch's, however the stream is cut.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ def _known(spark: SparkSession, table: str, before: int) -> tuple[int | None, in
     """(bucket that the open time begins with, last bucket that was processed) after the micro-batches before this one."""
     try:
         rows = spark.read.parquet(f"{table}/progress").where(F.col("batch") < before)
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing was written yet
             return None, None
         raise
     last = rows.orderBy(F.desc("batch")).first()
