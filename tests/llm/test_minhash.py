@@ -74,7 +74,7 @@ def test_keys_that_stay_open_are_paired_in_blocks(spark, block, monkeypatch):
 
 
 def test_long_texts_and_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(common.group_join, "__defaults__", (3, 100_000))
+    monkeypatch.setattr(common.group_join, "__defaults__", (3, 100_000, True))
     rng = random.Random(10)
     long = " ".join(f"w{rng.randrange(5000)}" for _ in range(30_000))
     rows = [(k, "the same words") for k in range(50)] + [(60, long), (61, long + " end"), (62, None), (63, "")]

@@ -244,7 +244,9 @@ def test_identifiers_carry_numbers(number):
     assert archives.uuid_number(archives.record_uuid(number)) == number
 
 
-def test_archives(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_archives(spark, monkeypatch, small):
+    monkeypatch.setattr(archives, "small_enough", lambda *_: small)
     long = "WARC/1.1\r\nContent-Length: 5\r\n\r\n" + "é" * 100_000
     rows = [(5, "u", "x" * 100), (3, "http://h/ ü", "x" * 100), (4, None, "y" * 99), (2, "u", "y" * 99), (9, "u", None), (8, "u", ""), (7, "u", long), (1, "u", long), (None, "u", long), (3, "u", "x" * 100), (-6, "u", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1)).repartition(3)

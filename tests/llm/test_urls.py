@@ -52,3 +52,10 @@ def test_registered_domain(spark):
     cases = [("a.b.co.uk", "b.co.uk"), ("b.co.uk:80", "b.co.uk"), ("co.uk", "co.uk"), ("u:p@w.x.com.", "x.com"), ("x.com.:1", "x.com"), ("10.1.2.3:80", "10.1.2.3"), ("[::1]:80", "[::1]"), ("com", "com"), ("", "")]
     df = spark.createDataFrame(cases, "host string, domain string")
     assert df.where(domain_of(F.col("host")) != F.col("domain")).collect() == []
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://" + "a." * 50_000 + "spam.org/" + "x/" * 50_000 + "?q"
+    pages = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "h" * 100_000), (None, None)], "page_id long, url string").withColumn("domain", F.lit("mine"))
+    got = judge_urls(pages, spark.createDataFrame([(1, 1)], "id long, bad int"), URL_RULES).collect()
+    assert len(got) == 4 and {(len(r["host"]), len(r["path"])) for r in got} == {(100_008, 100_001), (100_000, 0), (0, 0)}

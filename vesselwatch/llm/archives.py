@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vesselwatch.llm.common import bounded_batches, group_join
+from vesselwatch.llm.common import bounded_batches, group_join, materialize, small_enough
 from vesselwatch.session import shared_dir
 
 #: The fields of a header line in either version of the format.
@@ -291,7 +291,11 @@ def shared_payloads(records: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
 
 def to_warc(records: DataFrame, shared: DataFrame) -> DataFrame:
     """(member): a gzipped WARC record for each of ``records``; those in ``shared`` but its first ones are revisits."""
-    linked = group_join(records, shared, "digest", "copies", 10_000)
+    shared = materialize(shared, "shared")
+    if small_enough(shared, 200_000):  # some 60 bytes each: payloads needn't move
+        linked = records.join(F.broadcast(shared.drop("copies")), "digest", "left")
+    else:
+        linked = group_join(records, shared, "digest", "copies", 10_000, nulls=False)
     refers = F.when(F.col("number") != F.col("first"), F.col("first"))
     return linked.select(*(c.split()[0] for c in RECORDS.split(", ")), refers.alias("refers")).mapInArrow(_to_warc, "member binary")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,20 +80,20 @@ def lookup_join(big: DataFrame, small: DataFrame, on: str, row: Column, rows: in
     return big.withColumn(salt, F.pmod(row, F.lit(salts)).cast("int")).join(every, [on, salt], "left").drop(salt)
 
 
-def group_join(rows: DataFrame, groups: DataFrame, on: str, size: str, hot: int = 100_000, most: int = 100_000) -> DataFrame:
+def group_join(rows: DataFrame, groups: DataFrame, on: str, size: str, hot: int = 100_000, most: int = 100_000, nulls: bool = True) -> DataFrame:
     """Left join of ``rows`` to ``groups``, one row for each ``on``, whose ``size`` says how many rows have that key.
 
     Rows of groups over ``hot`` don't meet in one task: these few groups are broadcast, if at most ``most``. Nor do rows
-    with a null key, which never match. ``rows`` is read once for each of the three ways.
+    with a null key, which never match (``nulls``: whether there may be any). ``rows`` is read once for each way.
     """
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name not in (on, size)]
     large = groups.where(F.col(size) > hot).drop(size)
-    found = rows.where(F.col(on).isNull()).select("*", *empty)
-    keyed, groups = rows.where(F.col(on).isNotNull()), groups.drop(size)
+    found = [rows.where(F.col(on).isNull()).select("*", *empty)] if nulls else []
+    keyed, groups = rows.where(F.col(on).isNotNull()) if nulls else rows, groups.drop(size)
     if not large.isEmpty() and small_enough(large, most):
-        found = found.unionByName(keyed.join(F.broadcast(large), on))
+        found.append(keyed.join(F.broadcast(large), on))
         keyed = keyed.join(F.broadcast(large.select(on)), on, "left_anti")
-    return found.unionByName(keyed.join(groups, on, "left"))
+    return reduce(DataFrame.unionByName, found, keyed.join(groups, on, "left"))
 
 
 def _fingerprint(edges: DataFrame) -> tuple[int, int]:
