@@ -252,7 +252,17 @@ def rare_shingle_keys(classes: DataFrame, docs: DataFrame, width: int, percent:
 
 
 def _open_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """(a, b): candidate pairs of different labels in the keys of ``rest`` (key, cls, label, n, sketch).
+    """(a, b): candidate pairs of different labels in the keys of ``rest`` (key, cls, label, n, sketch)."""
+    largest = rest.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+    if largest > BLOCK:
+        return _pairs_in_blocks(rest, percent)
+    a, b = (rest.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "label", "n", *SKETCH))) for s in "ab")
+    pairs = a.join(b, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & _candidate(percent))
+    return pairs.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
+
+
+def _pairs_in_blocks(rest: DataFrame, percent: int) -> DataFrame:
+    """The same where some key is large.
 
     In a key the members outside its largest component (_a) meet all others (_b): of one large component with
     few strangers, only these are copied. Only sizes within the threshold meet: those of one band or of neighbouring
