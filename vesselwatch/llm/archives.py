@@ -231,6 +231,11 @@ def _parsed(number_header: str | None):
     return run
 
 
+def _through_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages to ARC archives and these to their records, archive by archive in one worker."""
+    yield from _parsed(NUMBER)(_to_arc(batches))
+
+
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -340,5 +345,5 @@ def archive_pages(
     # digests straight from the pages: the archives' bytes are made once
     html = F.coalesce(F.col("html"), F.lit(""))
     shared = shared_payloads(rows.select(F.col("id").alias("number"), F.unhex(F.sha2(html, 256)).alias("digest"), F.octet_length(html).cast("long").alias("payload_bytes")), least)
-    write_warc(to_warc(arc_records(pages_to_arc(rows), NUMBER), shared), path)
+    write_warc(to_warc(rows.mapInArrow(_through_arc, RECORDS), shared), path)
     return read_warc_files(spark, path).withColumnRenamed("number", id_col)
