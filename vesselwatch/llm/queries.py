@@ -98,6 +98,20 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from vesselwatch.llm.counting import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding": op2_embedding,
@@ -109,6 +123,8 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_warc": op9_warc,
     "op10_minhash": op10_minhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_spelling": op12_spelling,
 }
 
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
