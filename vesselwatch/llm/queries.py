@@ -112,6 +112,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vesselwatch.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_embedding": op2_embedding,
@@ -125,6 +131,7 @@ QUERIES = {
     "op10_minhash": op10_minhash,
     "op11_token_counts": op11_token_counts,
     "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
