@@ -1,11 +1,13 @@
 """Encoding and decoding against the sentencepiece library."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from vesselwatch.llm import pieces
 from vesselwatch.llm.pieces import SPACE, PieceModel, round_trip
 from vesselwatch.llm.wordtable import WordTable
 
@@ -36,6 +38,29 @@ def test_ids_equal_the_library(model, library):
         assert ids[offsets[k] : offsets[k + 1]].tolist() == library.encode(text), repr(text)
 
 
+@pytest.mark.parametrize("letters", ["ab", "aab ", "etaoin", "abcdefghijklmnopqrstuvwxyz", "01", "é日本🙂ab", " ", "=-", "the "])
+def test_words_joined_of_parts(model, library, letters, monkeypatch):
+    """Short parts, so that many borders don't fit at first; periodic texts, whose pieces follow from their beginning."""
+    monkeypatch.setattr(pieces, "LONG_WORD", 6)
+    monkeypatch.setattr(pieces, "PART", 5)
+    rng = random.Random(letters)
+    for _ in range(150):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 120)))
+        if rng.random() < 0.3:
+            text = text[:7] * rng.randrange(1, 30)
+        assert model.encode_words([" " + text])[0].tolist() == library.encode(text), repr(text)
+
+
+@pytest.mark.parametrize("letters", [" ", "a", "ab", "abcdefghijklmnopqrstuvwxyz", "ABCDabcd0123+/"])
+def test_very_long_words_take_time_by_their_length(model, library, letters):
+    rng = random.Random(6)
+    text = "".join(rng.choice(letters) for _ in range(200_000)) if len(letters) > 2 else letters * (200_000 // len(letters))
+    started = time.monotonic()
+    ids = model.encode_words([" " + text])[0].tolist()
+    assert time.monotonic() - started < 20
+    assert ids == library.encode(text)
+
+
 def test_decoding_equals_the_library(model, library):
     rng = random.Random(4)
     lists = [library.encode(t) for t in _texts()]

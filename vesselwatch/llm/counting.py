@@ -409,7 +409,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     Defined cases: a null text counts as the empty one (0 bytes, 0 tokens, not over the limit); null and repeated ids
     pass through, a row each; texts of any length are counted whole; the strings of added tokens inside a text are one token each;
-    an empty table gives an empty result; other columns are ignored.
+    an empty table gives an empty result; other columns are ignored. Letters and cases are those of Python's Unicode tables.
     """
     tokenizer = load_tokenizer(docs.sparkSession, path)
     counted = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), count_tokens(F.col(text_col), tokenizer).alias("n_tokens"))

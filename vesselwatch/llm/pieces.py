@@ -29,6 +29,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Symbols of characters that the vocabulary lacks start here (plus the code point).
 LACKING = 1 << 22
 NEVER = np.iinfo(np.int32).max
+#: Characters from which on a word is encoded in parts, and of such a part: rounds are as many as a part's characters at most.
+LONG_WORD, PART = 256, 64
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -144,7 +146,71 @@ class PieceModel:
         self.starts_with_space = np.array([p.startswith(SPACE) and k == NORMAL for p, k in zip(self.pieces, self.kinds, strict=True)])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids of each word)."""
+        """(all ids, ids of each word). Long words are encoded in parts that are joined."""
+        long = [k for k, w in enumerate(words) if len(w) > LONG_WORD]
+        if not long:
+            return self._fall_back(*self._merged(words), len(words))
+        short = [w if len(w) <= LONG_WORD else "" for w in words]
+        sym, word = self._merged(short)
+        joined = [self._joined(words[k]) for k in long]
+        sym = np.concatenate([sym, *joined])
+        word = np.concatenate([word, np.repeat(np.array(long, np.int32), [len(j) for j in joined])])
+        order = np.argsort(word, kind="stable")
+        return self._fall_back(sym[order], word[order], len(words))
+
+    def _joined(self, text: str) -> np.ndarray:
+        """Symbols of a long word in time that grows with its length.
+
+        A sequence of symbols is the encoding of its text if each two neighbours are that of theirs: the first merge across
+        a border would be the first one across it among the two alone, too, as merges elsewhere change neither what they hold nor
+        which of their merges comes next. So parts are encoded by themselves, and where two of them don't fit, the symbols around the border
+        are encoded anew, more of them each time.
+        """
+        parts = [(p, 4) for p in self._split_merged([text[k : k + PART] for k in range(0, len(text), PART)])]
+        fits: dict[tuple[int, int], bool] = {}
+        while True:
+            borders = [(int(a[0][-1]), int(b[0][0])) for a, b in zip(parts[:-1], parts[1:], strict=True)]
+            fresh = [x for x in dict.fromkeys(borders) if x not in fits]
+            for pair, encoded in zip(fresh, self._split_merged([self._text(x) for x in fresh]), strict=True):
+                fits[pair] = tuple(encoded.tolist()) == pair
+            bad = [k for k, x in enumerate(borders) if not fits[x]]
+            if not bad:
+                return np.concatenate([p for p, _ in parts])
+            rows, taken, free = [], [], 0
+            for k in bad:
+                if k < free:
+                    continue  # lies in a window already
+                m = max(parts[k][1], parts[k + 1][1])
+                lo, left = k, len(parts[k][0])
+                while left < m and lo > free:
+                    lo -= 1
+                    left += len(parts[lo][0])
+                hi, right = k + 1, len(parts[k + 1][0])
+                while right < m and hi + 1 < len(parts):
+                    hi += 1
+                    right += len(parts[hi][0])
+                spare, rest = max(left - m, 0), max(right - m, 0)
+                window = np.concatenate([p for p, _ in parts[lo : hi + 1]])
+                rows += parts[free:lo]
+                if spare:
+                    rows.append((window[:spare], parts[lo][1]))
+                rows.append((len(taken), 2 * m))
+                taken.append(window[spare : len(window) - rest])
+                if rest:
+                    rows.append((window[len(window) - rest :], parts[hi][1]))
+                free = hi + 1
+            windows = self._split_merged([self._text(w) for w in taken])
+            parts = [(windows[p], m) if isinstance(p, int) else (p, m) for p, m in rows + parts[free:]]
+
+    def _text(self, symbols) -> str:
+        return "".join(self.pieces[s] if s < LACKING else chr(s - LACKING) for s in map(int, symbols))
+
+    def _split_merged(self, words: list[str]) -> list[np.ndarray]:
+        sym, word = self._merged(words)
+        return np.split(sym, np.cumsum(np.bincount(word, minlength=len(words)))[:-1]) if words else []
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols of all words, the word of each) after all merges."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         sym = self.chars[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
@@ -175,7 +241,7 @@ class PieceModel:
             sym, word = sym[keep], word[keep]
         sym, word = np.concatenate(done_sym) if done_sym else sym, np.concatenate(done_word) if done_word else word
         order = np.argsort(word, kind="stable")
-        return self._fall_back(sym[order], word[order], len(words))
+        return sym[order], word[order]
 
     def _fall_back(self, sym: np.ndarray, word: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         lacking = np.flatnonzero(sym >= LACKING)

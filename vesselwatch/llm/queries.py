@@ -176,5 +176,40 @@ e as (select a, b from l union all select b, a from l),
 r(node, reach) as (select doc_id, doc_id from w union select r.node, e.b from r join e on e.a = r.reach)
 select node as doc_id, coalesce(max(n.n), 0)::bigint as n_shingles, min(reach) as component_id, node = min(reach) as kept from r left join n on n.doc_id = node group by node"""
 
+def _crc32(text: str) -> str:
+    """The checksum of a text of code points below 256, bit by bit."""
+    code = f"list_transform(string_split({text}, ''), lambda c: ord(c))"
+    data = f"flatten(list_transform({code}, lambda k: case when k < 128 then [k] else [192 + (k >> 6), 128 + (k & 63)] end))"
+    bits = f"flatten(list_transform({data}, lambda b: list_transform(range(8), lambda i: ((b >> i) & 1)::bigint)))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda c, b: xor(c >> 1, ((xor(c, b) & 1) * 3988292384)::bigint)), 4294967295::bigint)"
+
+
+_SPELLING_SQL = rf"""with recursive r as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) as run from documents),
+c as (select doc_id, run, count(*) as n from r group by all),
+h as (select run, n, {_crc32("coalesce(doc_id::varchar, '') || ':' || run")} as h from c),
+w as (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, (h % length(run)) + 2) else run end as word, n from h),
+v as materialized (select word, sum(n)::bigint as n from w where length(word) >= 5 group by word having sum(n) >= 3),
+x as (select word, n, unnest(range(1, length(word) + 1)) as k from v),
+less as (select distinct x.word as a, v.word as b from x join v on v.word = substr(x.word, 1, k - 1) || substr(x.word, k + 1)),
+mask as (select word, substr(word, 1, k - 1) || '_' || substr(word, k + 1) as m from x),
+near as (select a, b from less union all select b, a from less union all select p.word, q.word from mask p join mask q on p.m = q.m and p.word <> q.word),
+best as (select a as word, count(*) as n_near, arg_min(b, (-n, b)) as form, max(n) as form_n from near join v on v.word = b group by a),
+f as materialized (select v.word, case when form_n >= 2 * n then form end as form, n, coalesce(n_near, 0)::bigint as n_near, case when form_n >= 2 * n then form_n end as form_n from v left join best using (word)),
+up(word, node) as (select word, word from f union all select up.word, f.form from up join f on f.word = up.node where f.form is not null)
+select f.word, f.form, up.node as root, f.n, f.n_near, f.form_n from f join up on up.word = f.word join f g on g.word = up.node and g.form is null"""
+
+_TRIE_SQL = f"""with t as (select conv_id, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 as place
+  from conversations where conv_id is not null),
+c as (select conv_id, {_crc32('conv_id::varchar')} % 9 as h, conv_id - conv_id % 5 as s from (select distinct conv_id from t)),
+b as (select c.conv_id, 0 as part, place, r, x from c join t on t.conv_id = s and place < h union all select c.conv_id, 1, place, r, x from c join t on t.conv_id = c.conv_id and place >= h),
+l as (select c.conv_id, coalesce(list({{'r': r, 'x': x}} order by part, place) filter (where r is not null), []) as u from c left join b on b.conv_id = c.conv_id group by c.conv_id),
+p as (select conv_id, len(u) as total, d, u[1:d] as pre from (select conv_id, u, unnest(range(0, len(u) + 1)) as d from l)),
+n as materialized (select pre, d, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(case when total = d then conv_id::varchar end, ',' order by conv_id), '')) as ends_sha256 from p group by pre, d),
+k as (select pre[1:d - 1] as above, count(*) as n_children from n where d > 0 group by 1),
+m as materialized (select n.*, coalesce(n_children, 0) as n_children, case when d = 0 then 0 else (n_convs - 1) * strlen(pre[d].x) end as own from n left join k on k.above = n.pre),
+s as (select pre[1:e] as top, count(*) filter (where n_children = 0) as n_leaves, sum(own)::bigint as saved_tokens from (select *, unnest(range(0, d + 1)) as e from m) group by 1)
+select m.conv_id, m.d::bigint as depth, q.conv_id as parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+from m join s on s.top = m.pre left join n q on m.d > 0 and q.pre = m.pre[1:m.d - 1]"""
+
 #: The others are tested against brute force or a library; SQL can't express them.
-ORACLES: dict[str, str] = {"op3_topk": _TOPK_SQL, "op5_urls": _URLS_SQL, "op9_warc": _WARC_SQL, "op10_minhash": _NEAR_SQL}
+ORACLES: dict[str, str] = {"op3_topk": _TOPK_SQL, "op5_urls": _URLS_SQL, "op9_warc": _WARC_SQL, "op10_minhash": _NEAR_SQL, "op12_spelling": _SPELLING_SQL, "op13_prefix_trie": _TRIE_SQL}
