@@ -37,12 +37,10 @@ def meeting_points(tracks: DataFrame, config: Detection, ports: DataFrame | None
     return points.select("mmsi", bucket(epoch("ts"), max(config.meeting_bucket_s, 1)).alias("bucket"), "latitude", "longitude", "seq")
 
 
-def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = False) -> DataFrame:
-    """(mmsi_a < mmsi_b, bucket, positions, km): each pair's closest observation of a bucket.
+def cell_sides(points: DataFrame, config: Detection, exact_grid: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The sides of an equi-join on (bucket, band, to_x): each point in its cell, and in its own and the eight neighbouring cells.
 
-    The grid joins a cell with its eight neighbours, an equi-join on (bucket, cell). Its longitude cells do
-    not shrink with latitude, so pairs at high latitudes can be missed; ``exact_grid`` finds all. A cell with over
-    ``DENSE`` points of a bucket, such as an anchorage, is cut into blocks, which meet the neighbourhood one by one.
+    Longitude cells do not shrink with latitude, so pairs at high latitudes can be missed; ``exact_grid`` finds all.
     """
     size = grid_degrees(config.meeting_km)
     lat, lon = F.col("latitude"), F.col("longitude")
@@ -52,17 +50,27 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
         farthest = F.least(F.lit(90.0), F.greatest(F.abs("band"), F.abs(F.col("band") + 1)) * size + size)
         cells = F.greatest(F.lit(1), F.floor(360 * F.greatest(F.lit(0.0), F.cos(F.radians(farthest))) / size)).cast("long")
         cx = F.floor(F.pmod(lon + 180, F.lit(360.0)) / (F.lit(360.0) / cells))
-        left = celled.withColumn("band", F.col("cy")).withColumn("cx", F.pmod(cx, cells))
+        left = celled.withColumn("band", F.col("cy")).withColumn("to_x", F.pmod(cx, cells))
         right = celled.select("*", F.explode(near).alias("dy")).withColumn("band", F.col("cy") + F.col("dy"))
-        right = right.select("*", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(cx + k, cells)))).alias("to_x")).drop("dy")
+        right = right.select("*", F.explode(F.array_distinct(F.transform(near, lambda k: F.pmod(cx + k, cells)))).alias("to_x"))
     else:
-        left = celled.withColumn("cx", F.floor(lon / size)).withColumn("band", F.col("cy"))
+        left = celled.withColumn("to_x", F.floor(lon / size)).withColumn("band", F.col("cy"))
         right = celled.select("*", F.explode(near).alias("dy")).withColumn("band", F.col("cy") + F.col("dy"))
-        right = right.select("*", F.explode(F.transform(near, lambda k: F.floor(lon / size) + k)).alias("to_x")).drop("dy")
+        right = right.select("*", F.explode(F.transform(near, lambda k: F.floor(lon / size) + k)).alias("to_x"))
+    return left.drop("cy"), right.drop("cy", "dy")
+
+
+def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = False) -> DataFrame:
+    """(mmsi_a < mmsi_b, bucket, positions, km): each pair's closest observation of a bucket.
+
+    An equi-join by grid cell (``cell_sides``). A cell with over ``DENSE`` points of a bucket, such as an anchorage, is cut into blocks,
+    which meet the neighbourhood one by one.
+    """
+    left, right = cell_sides(points, config, exact_grid)
     cell = ["bucket", "band", "to_x"]
-    blocks = left.groupBy("bucket", "band", F.col("cx").alias("to_x")).agg(F.ceil(F.count("*") / DENSE).cast("int").alias("blocks")).where("blocks > 1")
+    blocks = left.groupBy(*cell).agg(F.ceil(F.count("*") / DENSE).cast("int").alias("blocks")).where("blocks > 1")
     cut = lambda side: side.join(blocks, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    a = left.select("bucket", "band", F.col("cx").alias("to_x"), *(F.col(c).alias(f"{c}_a") for c in ("mmsi", "latitude", "longitude", "seq")))
+    a = left.select("bucket", "band", "to_x", *(F.col(c).alias(f"{c}_a") for c in ("mmsi", "latitude", "longitude", "seq")))
     b = right.select("bucket", "band", "to_x", *(F.col(c).alias(f"{c}_b") for c in ("mmsi", "latitude", "longitude", "seq")))
     km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
     a = cut(a).withColumn("block", F.pmod(F.xxhash64("mmsi_a"), "blocks").cast("int")).drop("blocks")
@@ -88,26 +96,40 @@ def previous_occupied(points: DataFrame) -> DataFrame:
     return inside.join(F.broadcast(before_part.where("part is not null")), "part", "left").select("bucket", F.coalesce("before", "last_before").alias("before"))
 
 
-def meeting_sessions(pairs: DataFrame, points: DataFrame, config: Detection, strict_gap: bool = False) -> DataFrame:
-    """All sessions with their duration, also those too short to be events.
+def as_pieces(pairs: DataFrame) -> DataFrame:
+    """Observations as pieces of sessions: from ``since`` to ``bucket``, with sums and the positions at either end."""
+    at = F.struct(F.col("latitude_a").alias("lat_a"), F.col("longitude_a").alias("lon_a"), F.col("latitude_b").alias("lat_b"), F.col("longitude_b").alias("lon_b"))
+    return pairs.select("mmsi_a", "mmsi_b", "bucket", F.col("bucket").alias("since"), F.lit(1).cast("long").alias("observations"), F.col("km").alias("least_km"), F.col("km").alias("sum_km"), at.alias("start"), at.alias("end"))
+
+
+def joined_pieces(pieces: DataFrame, occupied: DataFrame, config: Detection, strict_gap: bool = False) -> DataFrame:
+    """Pieces put together to sessions, one piece each. ``occupied``: (bucket, before); a piece that comes first needs none.
 
     ``strict_gap``: the plain rule, a new session after any gap beyond the limit.
     """
     w = Window.partitionBy("mmsi_a", "mmsi_b").orderBy("bucket")
-    gap = config.continuation_s
     # one row per occupied bucket, at most 288 a day: joined by equality, whichever way the planner picks
-    seen = pairs.join(previous_occupied(points), "bucket", "left").withColumn("last", F.lag("bucket").over(w))
+    seen = pieces.join(occupied, "bucket", "left").withColumn("previous", F.lag("bucket").over(w))
     reference: Column = F.col("bucket") if strict_gap else F.col("before")
-    seen = seen.withColumn("session", F.sum(F.when(F.col("last").isNull() | (reference - F.col("last") > gap), 1).otherwise(0)).over(w))
-    first = {f"start_{c}": F.min_by(x, "bucket") for c, x in _SIDES.items()}
-    last = {f"end_{c}": F.max_by(x, "bucket") for c, x in _SIDES.items()}
+    seen = seen.withColumn("session", F.sum(F.when(F.col("previous").isNull() | (reference - F.col("previous") > config.continuation_s), 1).otherwise(0)).over(w))
     return seen.groupBy("mmsi_a", "mmsi_b", "session").agg(
-        F.min("bucket").alias("start_epoch"), F.max("bucket").alias("end_epoch"), ((F.max("bucket") - F.min("bucket")) / 3600.0).alias("duration_hours"),
-        F.count("*").alias("observations"), F.min("km").alias("min_distance_km"), F.avg("km").alias("avg_distance_km"), *(v.alias(k) for k, v in (first | last).items()),
+        F.max("bucket").alias("bucket"), F.min("since").alias("since"), F.sum("observations").alias("observations"), F.min("least_km").alias("least_km"), F.sum("sum_km").alias("sum_km"),
+        F.min_by("start", "since").alias("start"), F.max_by("end", "bucket").alias("end"),
     )
 
 
-_SIDES = {"lat_a": "latitude_a", "lon_a": "longitude_a", "lat_b": "latitude_b", "lon_b": "longitude_b"}
+def as_sessions(pieces: DataFrame) -> DataFrame:
+    """The columns of a session; ``session`` is kept if it is there."""
+    places = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("start", "end") for c in ("lat_a", "lon_a", "lat_b", "lon_b")]
+    return pieces.select(
+        "mmsi_a", "mmsi_b", *(c for c in ("session",) if c in pieces.columns), F.col("since").alias("start_epoch"), F.col("bucket").alias("end_epoch"),
+        ((F.col("bucket") - F.col("since")) / 3600.0).alias("duration_hours"), "observations", F.col("least_km").alias("min_distance_km"), (F.col("sum_km") / F.col("observations")).alias("avg_distance_km"), *places,
+    )
+
+
+def meeting_sessions(pairs: DataFrame, points: DataFrame, config: Detection, strict_gap: bool = False) -> DataFrame:
+    """All sessions with their duration, also those too short to be events."""
+    return as_sessions(joined_pieces(as_pieces(pairs), previous_occupied(points), config, strict_gap))
 
 
 def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, exact_grid: bool = False, strict_gap: bool = False) -> DataFrame:

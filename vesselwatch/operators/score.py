@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import nautical_miles
 from vesselwatch.operators.meetings import by_vessel
-from vesselwatch.operators.tracks import in_track
+from vesselwatch.operators.tracks import POINT, in_track
 from vesselwatch.session import discard, stored
 
 #: Fixed values of the score: points for each unit.
@@ -17,22 +17,28 @@ GAP_HOURS_PER_POINT, MILES_PER_POINT, DRAUGHT_POINTS, EPISODE_POINTS = 2.0, 10.0
 
 
 def with_episode_starts(detected: DataFrame, config: Detection) -> DataFrame:
-    """``starts_episode``: a D1 jump that begins more than the episode gap after all earlier ones ended."""
+    """``starts_episode``: a D1 jump that begins more than the episode gap after all earlier ones ended.
+
+    On sliced tracks this looks at the jumps of the same slice only; ``merged`` then holds the first ones against earlier slices.
+    """
     d1 = F.col("subtype") == "D1"
-    ended = F.max(F.when(d1, F.col("ts"))).over(in_track().rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.unix_seconds(F.col("prev.ts")) > F.unix_seconds(ended) + F.lit(int(config.clone_episode_h * 3600))
+    w = in_track(*(["part"] if "part" in detected.columns else []))
+    ended = F.max(F.when(d1, F.col("ts"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.unix_seconds(F.col("prev.ts")) > F.unix_seconds(ended) + _gap(config)
     return detected.withColumn("starts_episode", F.coalesce(d1 & (ended.isNull() | apart), F.lit(False)))
 
 
-def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None, sliced: bool = False) -> DataFrame:
-    """One row per vessel with at least one valid record; the detectors' partitioning by vessel is reused.
+def _gap(config: Detection) -> Column:
+    return F.lit(int(config.clone_episode_h * 3600))
 
-    ``sliced``: episodes are counted among the D1 jumps alone, so that no group holds all of a vessel's records.
-    """
-    config = config or Detection()
+
+#: Columns that add up over parts of a vessel's track; ``max_gap_hours`` is the largest one's.
+SUMS = ["record_count", "impossible_jump_km", "silence_events", "draught_events", "jump_events", "d1_events", "d1_episodes", "d2_events", "d2_valid_events", "d2_flagged_events"]
+
+
+def _partial(starts: DataFrame, config: Detection, group: list[str], *more: Column) -> DataFrame:
     d2 = F.col("subtype") == "D2"
-    starts = detected.withColumn("starts_episode", F.lit(False)) if sliced else with_episode_starts(detected, config)
-    summary = starts.groupBy("mmsi").agg(
+    return starts.groupBy("mmsi", *group).agg(
         F.count("*").alias("record_count"),
         F.coalesce(F.max(F.when(F.col("is_silence"), F.col("sample_hours"))), F.lit(0.0)).alias("max_gap_hours"),
         F.coalesce(F.sum(F.when(d2 & F.col("counts"), F.col("prev_km"))), F.lit(0.0)).alias("impossible_jump_km"),
@@ -44,10 +50,56 @@ def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, confi
         F.count_if(d2).alias("d2_events"),
         F.count_if(d2 & F.col("counts")).alias("d2_valid_events"),
         F.count_if(d2 & ~F.col("counts")).alias("d2_flagged_events"),
+        *more,
     )
-    if sliced:
-        found = with_episode_starts(detected.where("subtype = 'D1'"), config).groupBy("mmsi").agg(F.count_if("starts_episode").alias("found"))
-        summary = summary.join(found, "mmsi", "left").withColumn("d1_episodes", F.coalesce("found", F.lit(0))).drop("found")
+
+
+def track_summaries(detected: DataFrame, config: Detection) -> DataFrame:
+    """Mergeable summaries, a row for each vessel or slice of its track (``part``): sums, the last record and sample, and of D1 jumps
+    the latest end with the beginnings that are an episode's as far as the slice can tell.
+
+    Their grouping is that of the detectors' windows, so nothing is shuffled for it. Beginnings within a slice lie further apart
+    than the episode gap.
+    """
+    here, order = F.struct(*POINT), F.struct("ts", "seq")
+    starts = with_episode_starts(detected, config)
+    if "part" not in detected.columns:
+        starts = starts.withColumn("part", F.lit(None).cast("long"))
+    found = _partial(
+        starts, config, ["part"], F.unix_seconds(F.max(F.when(F.col("subtype") == "D1", F.col("ts")))).alias("d1_end"),
+        F.collect_list(F.when(F.col("starts_episode"), F.unix_seconds("prev.ts"))).alias("d1_starts"),
+        F.max_by(here, order).alias("last"), F.max_by(F.when(F.col("is_sample"), here), F.when(F.col("is_sample"), order)).alias("last_sample"),
+    )
+    return found.withColumn("d1_episodes", F.lit(0).cast("long"))
+
+
+def merged(summaries: DataFrame, config: Detection, earlier: DataFrame | None = None) -> DataFrame:
+    """One summary for each vessel, of its slices and of what ``earlier`` runs merged (the result of this function).
+
+    Episodes need the latest end of all jumps before a slice: a running maximum over slices, a few rows for each vessel;
+    within slices it has been taken already.
+    """
+    rows = summaries.withColumn("place", F.coalesce("part", F.lit(0)))
+    if earlier is not None:  # before all slices
+        rows = rows.unionByName(earlier.withColumns({"part": F.lit(None).cast("long"), "place": F.lit(-(1 << 62)), "d1_starts": F.array().cast("array<long>")}))
+    before = F.max("d1_end").over(Window.partitionBy("mmsi").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("before", before).withColumn("d1_episodes", F.col("d1_episodes") + F.size(F.filter("d1_starts", lambda s: F.col("before").isNull() | (s > F.col("before") + _gap(config)))))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(f"{c}.ts", "place"))).alias(c)
+    return rows.groupBy("mmsi").agg(*(F.sum(c).alias(c) for c in SUMS), F.max("max_gap_hours").alias("max_gap_hours"), F.max("d1_end").alias("d1_end"), latest("last"), latest("last_sample"))
+
+
+def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None) -> DataFrame:
+    """One row per vessel with at least one valid record; the detectors' partitioning by vessel (or slice) is reused."""
+    config = config or Detection()
+    if "part" in detected.columns:
+        summary = merged(track_summaries(detected, config), config).drop("d1_end", "last", "last_sample")
+    else:
+        summary = _partial(with_episode_starts(detected, config), config, [])
+    return with_meetings(summary, meetings)
+
+
+def with_meetings(summary: DataFrame, meetings: DataFrame | None) -> DataFrame:
+    """``meeting_events``: a vessel's meetings; a busy vessel's are counted before they move."""
     if meetings is None:
         return summary.withColumn("meeting_events", F.lit(0).cast("long"))
     met = by_vessel(meetings).groupBy("mmsi").agg(F.count("*").alias("met"))

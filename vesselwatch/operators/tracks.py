@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -12,9 +15,9 @@ from vesselwatch.functions.geo import haversine_km, land_by_cell, ports_by_cell,
 POINT = ["ts", "latitude", "longitude", "draught"]
 
 
-def in_track():
-    """The window of all track functions: a vessel's records in time."""
-    return Window.partitionBy("mmsi").orderBy("ts", "seq")
+def in_track(*group: str) -> WindowSpec:
+    """The window of all track functions: a vessel's records in time, within ``group`` if given."""
+    return Window.partitionBy("mmsi", *group).orderBy("ts", "seq")
 
 
 def epoch(c: str) -> Column:
@@ -26,52 +29,89 @@ def bucket(c: Column, seconds: int) -> Column:
     return F.floor(c / seconds).cast("long") * seconds
 
 
-def first_in_bucket(seconds: int, w: WindowSpec) -> Column:
-    """True for a vessel's first record of each bucket; every record for no seconds."""
+def first_in_bucket(seconds: int, w: WindowSpec, before: Column | None = None) -> Column:
+    """True for a vessel's first record of each bucket; every record for no seconds. ``before``: time of the last record before the window."""
     if seconds <= 0:
         return F.lit(True)
     own = bucket(epoch("ts"), seconds)
-    return ~own.eqNullSafe(F.lag(own).over(w))
+    last = F.lag(own).over(w)
+    return ~own.eqNullSafe(last if before is None else F.coalesce(last, bucket(F.unix_seconds(before), seconds)))
+
+
+def whole_buckets(config: Detection) -> int:
+    """Seconds of the least slice that holds whole sampling buckets."""
+    return math.lcm(*(max(1, int(s)) for s in (config.track_sample_s, config.meeting_sample_s)))
+
+
+def hot_vessels(records: DataFrame, share: float = 1 / 200, least: int = 1_000_000, tracked: int = 10_000) -> list[int]:
+    """Vessels with over ``share`` and over ``least`` of the records, by a sketch of frequent items: one pass over one column.
+
+    At most ``1 / share`` vessels can be found. The sketch never counts too few, and at most a few ``1 / tracked`` of all rows too many.
+    """
+    found = records.agg(F.count("mmsi").alias("n"), F.expr(f"approx_top_k(mmsi, {int(1 / share) + 1}, {tracked})").alias("top")).first()
+    return sorted(x["item"] for x in found["top"] or [] if x["count"] > max(least, share * found["n"]))
 
 
-def with_track_columns(records: DataFrame, config: Detection, slice_s: int | None = None) -> DataFrame:
+def with_track_columns(records: DataFrame, config: Detection, slice_s: int | None = None, hot: Sequence[int] = (), carried: DataFrame | None = None) -> DataFrame:
     """Records with their predecessor (``prev``), sample flags and the preceding track sample (``sample``).
 
     ``records``: mmsi, ts, seq (any type that sorts; breaks ties of time), latitude, longitude, sog, draught. All window
     functions share one partitioning and one order, so there is one exchange and one sort.
 
-    ``slice_s``: a vessel's track is cut into slices of so many seconds, each a group of its own, and what the first
-    records of a slice need of earlier ones is carried over in a row for each slice. For inputs in which single vessels
-    have very many records; the result is the same.
+    The tracks of ``hot`` vessels, or all with ``slice_s`` (seconds), are cut into slices (column ``part``, null for whole tracks), each a
+    group of its own; what the first records of a slice need of earlier ones is looked up in a small table with a row for
+    each slice. The result is the same.
+
+    ``carried`` (mmsi, last, last_sample; both structs of ``POINT``) is what earlier runs left: tracks go on from there.
     """
-    here = F.struct(*POINT)
-    if slice_s is None:
-        flagged = _flagged(records, config, in_track())
-        return flagged.withColumn("sample", _last_sample(in_track()))
-    if any(s > 0 and slice_s % s for s in (config.track_sample_s, config.meeting_sample_s)):
+    here, order = F.struct(*POINT), F.struct("ts", "seq")
+    sliced = slice_s is not None or len(hot) > 0
+    if slice_s is not None and any(s > 0 and slice_s % s for s in (config.track_sample_s, config.meeting_sample_s)):
         raise ValueError("a slice must hold whole sampling buckets")  # so that its first record begins new ones
-    records = records.withColumn("__slice", bucket(epoch("ts"), slice_s))
-    w = Window.partitionBy("mmsi", "__slice").orderBy("ts", "seq")
-    flagged = _flagged(records, config, w, "__slice").withColumn("sample", _last_sample(w))
-    order = F.struct("ts", "seq")
-    ends = flagged.groupBy("mmsi", "__slice").agg(F.max_by(here, order).alias("end"), F.max_by(here, F.when(F.col("is_sample"), order)).alias("end_sample"))
-    slices = Window.partitionBy("mmsi").orderBy("__slice")
-    carried = ends.select("mmsi", "__slice", F.lag("end").over(slices).alias("__prev"), F.lag("end_sample").over(slices).alias("__sample"))
-    joined = flagged.join(carried, ["mmsi", "__slice"])
-    return joined.withColumns({"prev": F.coalesce("prev", "__prev"), "sample": F.coalesce("sample", "__sample")}).drop("__slice", "__prev", "__sample")
-
-
-def _flagged(records: DataFrame, config: Detection, w: WindowSpec, *more: str) -> DataFrame:
-    return records.select(
-        "mmsi", *more, "seq", *POINT, "sog",
-        F.lag(F.struct(*POINT)).over(w).alias("prev"),
-        first_in_bucket(config.track_sample_s, w).alias("is_sample"),
-        first_in_bucket(config.meeting_sample_s, w).alias("is_meeting_sample"),
+    group: list[str] = []
+    before: dict[str, Column] = {"last": F.lit(None), "last_sample": F.lit(None)}
+    if sliced:
+        group = ["part"]
+        cut = bucket(epoch("ts"), slice_s or whole_buckets(config))
+        records = records.withColumn("part", cut if slice_s is not None else F.when(F.col("mmsi").isin(list(hot)), cut))
+        edges = _slice_edges(records.where("part is not null"), config, carried)
+        if carried is not None and slice_s is None:
+            edges = edges.unionByName(carried.where(~F.col("mmsi").isin(list(hot))).select("mmsi", F.lit(None).cast("long").alias("part"), "last", "last_sample"))
+    elif carried is not None:
+        edges = carried.select("mmsi", "last", "last_sample")
+    if sliced or carried is not None:
+        edges = edges.withColumnsRenamed({c: f"__{c}" for c in ("mmsi", "part", "last", "last_sample")})
+        same = F.col("mmsi") == F.col("__mmsi")
+        records = records.join(edges, same & F.col("part").eqNullSafe(F.col("__part")) if sliced else same, "left")
+        before = {c: F.col(f"__{c}") for c in before}
+    w = in_track(*group)
+    last_ts = before["last"]["ts"] if sliced or carried is not None else None
+    flagged = records.select(
+        "mmsi", *group, "seq", *POINT, "sog", *(F.col(f"__{c}") for c in before if last_ts is not None),
+        F.lag(here).over(w).alias("prev"),
+        first_in_bucket(config.track_sample_s, w, last_ts).alias("is_sample"),
+        first_in_bucket(config.meeting_sample_s, w, last_ts).alias("is_meeting_sample"),
     )
-
-
-def _last_sample(w: WindowSpec) -> Column:
-    return F.last(F.when(F.col("is_sample"), F.struct(*POINT)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    sample = F.last(F.when(F.col("is_sample"), here), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if last_ts is None:
+        return flagged.withColumn("sample", sample)
+    return flagged.withColumn("sample", F.coalesce(sample, "__last_sample")).withColumn("prev", F.coalesce("prev", "__last")).drop("__last", "__last_sample")
+
+
+def _slice_edges(records: DataFrame, config: Detection, carried: DataFrame | None) -> DataFrame:
+    """(mmsi, part, last, last_sample): the records before each slice. Both are grouped extremes, combined before the shuffle."""
+    here, order = F.struct(*POINT), F.struct("ts", "seq")
+    seconds = config.track_sample_s
+    own = bucket(epoch("ts"), seconds).alias("own") if seconds > 0 else F.col("ts").alias("own")
+    by_bucket = records.groupBy("mmsi", "part", own).agg(F.max_by(here, order).alias("last"), F.min_by(here, order).alias("first"))
+    sample = F.max_by("first", "own") if seconds > 0 else F.max_by("last", "own")
+    ends = by_bucket.groupBy("mmsi", "part").agg(F.max_by("last", "own").alias("last"), sample.alias("last_sample"))
+    slices = Window.partitionBy("mmsi").orderBy("part")  # a row for each slice of a vessel
+    edges = ends.select("mmsi", "part", *(F.lag(c).over(slices).alias(c) for c in ("last", "last_sample")))
+    if carried is None:
+        return edges
+    old = carried.select("mmsi", F.col("last").alias("old"), F.col("last_sample").alias("old_sample"))
+    return edges.join(old, "mmsi", "left").select("mmsi", "part", F.coalesce("last", "old").alias("last"), F.coalesce("last_sample", "old_sample").alias("last_sample"))
 
 
 def _gap_seconds(start: str) -> Column:
@@ -82,34 +122,34 @@ def _km(start: str) -> Column:
     return haversine_km(F.col(f"{start}.latitude"), F.col(f"{start}.longitude"), F.col("latitude"), F.col("longitude"))
 
 
-def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, slice_s: int | None = None) -> DataFrame:
+def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, **tracks) -> DataFrame:
     """``candidates`` after the look-ups: draught changes at sea only, jumps with their quality.
 
     ``ports`` None: draught changes count everywhere; ``land`` None: no D2 can be trusted. A filter on either kind
-    of event is pushed below the look-ups, which are left joins.
+    of event is pushed below the look-ups, which are left joins. ``tracks``: further arguments of ``with_track_columns``.
     """
     config = config or Detection()
-    return with_quality(without_port_changes(candidates(records, config, slice_s), config, ports), config, ports, land)
+    return with_quality(without_port_changes(candidates(records, config, **tracks), config, ports), config, ports, land)
 
 
-def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None, slice_s: int | None = None) -> DataFrame:
+def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None, **tracks) -> DataFrame:
     """``candidates`` with draught changes at sea only."""
-    return without_port_changes(candidates(records, config, slice_s), config, ports)
+    return without_port_changes(candidates(records, config, **tracks), config, ports)
 
 
-def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, slice_s: int | None = None) -> DataFrame:
+def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, **tracks) -> DataFrame:
     """``candidates`` with the quality of jumps."""
-    return with_quality(candidates(records, config, slice_s), config, ports, land)
+    return with_quality(candidates(records, config, **tracks), config, ports, land)
 
 
-def candidates(records: DataFrame, config: Detection | None = None, slice_s: int | None = None) -> DataFrame:
+def candidates(records: DataFrame, config: Detection | None = None, **tracks) -> DataFrame:
     """Tracks with the findings of A, C and D beside each record, before any look-up; flags are never null.
 
     Silence (``is_silence``) and draught change (``is_draught_change``) compare track samples, jumps
     (``subtype`` D1 or D2, else null) consecutive records.
     """
     config = config or Detection()
-    t = with_track_columns(records, config, slice_s).select(
+    t = with_track_columns(records, config, **tracks).select(
         "*",
         (_gap_seconds("sample") / 3600.0).alias("sample_hours"), _km("sample").alias("sample_km"),
         _gap_seconds("prev").alias("prev_seconds"), _km("prev").alias("prev_km"),

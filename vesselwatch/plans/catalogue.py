@@ -15,11 +15,14 @@ from vesselwatch.config import Detection
 from vesselwatch.functions.geo import land_by_cell, nearest_port, ports_by_cell, with_near_port, with_on_land
 from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import report, runs, score, tracks
+from vesselwatch.plans.daily import DailyDetection
 from vesselwatch.plans.detection import Result, run_detection
 from vesselwatch.session import shared_dir, stored
 from vesselwatch.sources import demo, tables
 from vesselwatch.streaming.detector import judged, run_available, stream_events
 from vesselwatch.streaming.meetings import close_meetings, rolling_meetings
+from vesselwatch.streaming.pairs import MEETINGS, POINTS, last_point, run_meetings
+from vesselwatch.streaming.reports import record_stream, report_stream
 
 #: Twelve-hour buckets: the demonstration data are too sparse for meetings within minutes.
 SPARSE = Detection(meeting_bucket_s=43200, meeting_h=48.0, meeting_sample_s=43200)
@@ -227,6 +230,65 @@ def benchmark_files(spark: SparkSession, d: str) -> DataFrame:
     return plain(totals.withColumn("run", F.regexp_replace("run", "^folder=", "")))
 
 
+def streaming_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Events of reports that arrive as CSV files, in three parts by time; the second part is delivered twice."""
+    base = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    names = {ours: header for header, ours in tables.COLUMNS.items()}
+    raw = stored(tables.typed(demo.raw_rows(spark, d)).select(*names, F.unix_seconds("ts").alias("at")), "raw")
+    low, high = raw.agg(F.min("at"), F.max("at")).first()
+    part = F.coalesce(F.least(F.lit(2), F.floor((F.col("at") - (low or 0)) * 3 / max(1, (high or 0) - (low or 0)))), F.lit(0))
+    for k in (0, 1, 1, 2):
+        rows = raw.where(part == k).select(*(F.col(c).alias(h) for c, h in names.items()))
+        rows.coalesce(1).write.mode("append").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{base}/in")
+        records = record_stream(report_stream(spark, f"{base}/in", list(names.values())), replay="60 days")
+        run_available(stream_events(records), f"{base}/out", f"{base}/state")
+    found = spark.read.parquet(f"{base}/out").withColumnsRenamed({"start_epoch": "start_ts", "end_epoch": "end_ts"})
+    return plain(found.select("mmsi", "kind", "start_ts", "end_ts", "gap_hours", "distance_km"))
+
+
+def streaming_meetings_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Meetings of vessels at berths, by state for each pair: points in three parts, every seventh in the part after its own."""
+    base, config = f"{shared_dir(spark)}/pairs-{uuid.uuid4().hex}", Detection()
+    points = stored(meet.meeting_points(tracks.with_track_columns(demo.berths(spark, d), config), config, demo.ports(spark, d)), "points")
+    low, high = points.agg(F.min("bucket"), F.max("bucket")).first()
+    low, high = low or 0, high or 0
+    part = F.least(F.lit(2), F.floor((F.col("bucket") - low) * 3 / max(1, high - low)) + F.when(F.col("seq") % 7 == 0, 1).otherwise(0))
+    arrivals = [points.where(part == k).coalesce(1) for k in range(3)] + [last_point(spark, high + 10**7)]
+    for arrival in arrivals:
+        arrival.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(POINTS).parquet(f"{base}/in")
+        run_meetings(source, f"{base}/out", f"{base}/state", config, delay=f"{high - low + 300} seconds")
+    return plain(spark.read.schema(MEETINGS).parquet(f"{base}/out"))
+
+
+#: By application and tables: runs that several queries look at.
+_daily_runs: dict[tuple[str, str], DailyDetection] = {}
+
+
+def _daily(spark: SparkSession, d: str, days: int = 3) -> DailyDetection:
+    """The reports in ``days`` runs of rising time, cut wherever the time range is divided; made once for an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _daily_runs:
+        return _daily_runs[key]
+    runs = _daily_runs[key] = DailyDetection(spark, f"{shared_dir(spark)}/daily-{uuid.uuid4().hex}", SPARSE, demo.ports(spark, d), demo.land(spark))
+    records = demo.records(spark, d)
+    low, high = records.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    for k in range(days if low is not None else 0):
+        part = F.least(F.lit(days - 1), F.floor((F.unix_seconds("ts") - low) * days / max(1, high - low)))
+        runs.add(records.where(part == k), k)
+        runs.add(records.where(part == k), k)  # a run that comes again is passed over
+    runs.close()
+    return runs
+
+
+def daily(kind: str):
+    return lambda spark, d: plain(_daily(spark, d).events(kind))
+
+
+def daily_vessels(spark: SparkSession, d: str) -> DataFrame:
+    return plain(_daily(spark, d).vessels())
+
+
 QUERIES = {
     "suspicion_ranking": flagship,
     "suspicion_topn": top_n,
@@ -263,6 +325,12 @@ QUERIES = {
     "streaming_draught": streaming_draught,
     "streaming_d2_quality": streaming_d2_quality,
     "streaming_meetings": streaming_meetings,
+    "streaming_csv": streaming_csv,
+    "streaming_meetings_keyed": streaming_meetings_keyed,
+    "daily_vessels": daily_vessels,
+    "daily_meetings": daily("meetings"),
+    "daily_jumps": lambda s, d: plain(_daily(s, d).events("jumps").select("mmsi", "subtype", "start_ts", "end_ts", "gap_hours", "distance_km", "implied_speed_knots")),
+    "daily_silences": daily("silences"),
     "b_default_events": default_meetings(False),
     "b_default_exact_events": default_meetings(True),
     "file_catalogues": file_catalogues,
@@ -366,9 +434,17 @@ su as (select *, first_value(elapsed_time_sec) over (partition by chunk_size ord
 _GRID = "\n  and abs(floor(x.latitude/(0.5e0/111e0*1.2e0)) - floor(y.latitude/(0.5e0/111e0*1.2e0))) <= 1 and abs(floor(x.longitude/(0.5e0/111e0*1.2e0)) - floor(y.longitude/(0.5e0/111e0*1.2e0))) <= 1"
 
 
-def _default_meetings(exact: bool) -> str:
+#: Reports as text, and without the look-ups.
+_CSV = _AIS.replace(f"({demo.RECORDS})", f"(select mmsi, ts, event_id as seq, latitude, longitude, sog, draught from ({_REASON}) where reason is null)")
+for _side in (("slat", "slon"), ("sm.latitude", "sm.longitude")):
+    _CSV = _CSV.replace(f" and not {_near(*_side, 0)}", "")
+
+
+def _default_meetings(exact: bool, strict: bool = False) -> str:
     """Meetings of the vessels at berths by the default limits; the exact grid is no grid."""
     text = _AIS.replace(_GRID, "") if exact else _AIS
+    if strict:
+        text = text.replace("before - last >", "bucket - last >")
     for old, new in ((f"cast(epoch(ts) as bigint) as t from ({demo.RECORDS})", f"epoch_s as t from ({demo.BERTHS})"), ("t // 43200 * 43200", "t // 300 * 300"), ("t // 43200", "t // 1200"), ("> 86400", "> 1500"), (">= 48", ">= 2")):
         text = text.replace(old, new)
     return f"with {text}\nselect {_SESSION} from b"
@@ -416,6 +492,12 @@ round(end_longitude,6) as lon_destination, round(gap_hours,6) as gap_hours, roun
     "streaming_draught": _q("select mmsi, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(start_draught,6) as start_draught, round(end_draught,6) as end_draught from c"),
     "streaming_d2_quality": _q("select mmsi, start_ts, end_ts, round(distance_km,6) as distance_km, start_on_land, end_on_land, quality_flag, counts from d where subtype = 'D2'"),
     "streaming_meetings": _q(f"select {_SESSION} from b"),
+    "streaming_csv": f"with {_CSV} select mmsi, 'A' as kind, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km from a union all select mmsi, 'C', start_ts, end_ts, round(gap_hours,6), round({_hav('start_latitude', 'start_longitude', 'end_latitude', 'end_longitude')},6) from c union all select mmsi, subtype, start_ts, end_ts, round(gap_hours,6), round(distance_km,6) from d",
+    "streaming_meetings_keyed": _default_meetings(False, True),
+    "daily_vessels": _q(f"select {_SUMMARY}, round(score,6) as score from sc"),
+    "daily_meetings": _q(f"select {_SESSION} from b"),
+    "daily_jumps": _q(f"select mmsi, subtype, start_ts, end_ts, {_SPEEDS} from d"),
+    "daily_silences": _q(f"select {_ENDS}, round(distance_km,6) as distance_km from a"),
     "b_default_events": _default_meetings(False),
     "b_default_exact_events": _default_meetings(True),
     "file_catalogues": _q(f"select seq, {_near('ais.latitude', 'ais.longitude', 15)} as near, {demo.LAND_SQL.format(lat='latitude', lon='longitude')} as on_land from ais"),

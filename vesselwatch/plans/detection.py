@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from functools import cached_property
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from vesselwatch.config import Detection
 from vesselwatch.operators import meetings as meet
@@ -15,53 +17,73 @@ from vesselwatch.session import stored
 class Result:
     """Lazy results over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
 
-    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool, slice_s: int | None):
+    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool, slice_s: int | None, share: float | None = None, least: int = 1_000_000):
         self.records, self.ports, self.land, self.config = records, ports, land, config
-        self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s = with_meetings, exact_grid, strict_gap, slice_s
+        self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s, self.share, self.least = with_meetings, exact_grid, strict_gap, slice_s, share, least
+        self.observed: dict[str, Observation] = {}
+
+    @cached_property
+    def tracks(self) -> dict:
+        """How tracks are cut: as asked for, else those of vessels that a sketch finds to be hot."""
+        if self.slice_s is not None or self.share is None:
+            return {"slice_s": self.slice_s}
+        return {"hot": tracks.hot_vessels(self.records, self.share, self.least)}
+
+    @cached_property
+    def _parts(self) -> DataFrame:
+        return tracks.detect(self.records, self.config, self.ports, self.land, **self.tracks)
 
     @cached_property
     def detected(self) -> DataFrame:
         """The shared plan behind all but silences and meetings, which need no look-up."""
-        return tracks.detect(self.records, self.config, self.ports, self.land, self.slice_s)
+        return self._parts.drop("part")
 
     @cached_property
     def silences(self) -> DataFrame:
-        return tracks.silences(tracks.candidates(self.records, self.config, self.slice_s))
+        return tracks.silences(tracks.candidates(self.records, self.config, **self.tracks))
 
     @cached_property
     def draught_changes(self) -> DataFrame:
-        return tracks.draught_changes(tracks.detect_draught(self.records, self.config, self.ports, self.slice_s))
+        return tracks.draught_changes(tracks.detect_draught(self.records, self.config, self.ports, **self.tracks))
 
     @cached_property
     def jumps(self) -> DataFrame:
-        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land, self.slice_s))
+        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land, **self.tracks))
 
     @cached_property
     def meetings(self) -> DataFrame:
-        points = tracks.with_track_columns(self.records, self.config, self.slice_s)
+        points = tracks.with_track_columns(self.records, self.config, **self.tracks)
         return meet.meetings(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
 
     @cached_property
     def vessels(self) -> DataFrame:
         """One scored row per vessel."""
-        return score.with_score(score.vessel_summary(self.detected, self.meetings if self.with_meetings else None, self.config, self.slice_s is not None))
+        return score.with_score(score.vessel_summary(self._parts, self.meetings if self.with_meetings else None, self.config))
 
     def ranked(self) -> DataFrame:
         return score.ranked(self.vessels)
 
     def kept(self) -> Result:
-        """The same with each kind of event written once: for several reports of one run."""
-        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s)
-        for name in ("silences", "draught_changes", "jumps", "meetings"):
-            again.__dict__[name] = stored(getattr(self, name), name)
+        """The same with each kind of event and the vessels written once: for several reports of one run. Rows are counted as they are written."""
+        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s, self.share, self.least)
+        again.__dict__["tracks"] = self.tracks
+        for name in ("silences", "draught_changes", "jumps", "meetings", "vessels"):  # the vessels' meetings are read, not found again
+            seen = Observation(f"{name}-{uuid4().hex}")
+            counts = [F.count(F.lit(1)).alias("rows")] + ([F.coalesce(F.sum("record_count"), F.lit(0)).alias("records")] if name == "vessels" else [])
+            again.__dict__[name] = stored(getattr(again, name).observe(seen, *counts), name)
+            again.observed[name] = seen
         return again
 
     def metrics(self) -> dict[str, int]:
-        """Rows of each result: records, vessels, and events by kind."""
-        counted = {"records": self.records, "vessels": self.records.select("mmsi").distinct(), "silences": self.silences, "draught_changes": self.draught_changes, "jumps": self.jumps, "meetings": self.meetings}
-        return {name: df.count() for name, df in counted.items()}
-
-
-def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False, slice_s: int | None = None) -> Result:
-    """All detectors and the vessel table; ``slice_s`` as in ``with_track_columns``."""
-    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap, slice_s)
+        """Rows of each result: records, vessels, and events by kind. Of ``kept`` results they were observed while those were written: no job."""
+        if not self.observed:
+            return self.kept().metrics()
+        found = {name: seen.get for name, seen in self.observed.items()}
+        return {"records": found["vessels"]["records"]} | {name: counts["rows"] for name, counts in found.items()}
+
+
+def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False, slice_s: int | None = None, share: float | None = 1 / 200, least: int = 1_000_000) -> Result:
+    """All detectors and the vessel table. Tracks of vessels with over ``share`` and over ``least`` of all records are cut into slices, if
+    there are any (``share`` None: none is looked for); with ``slice_s`` all are.
+    """
+    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap, slice_s, share, least)

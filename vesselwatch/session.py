@@ -83,3 +83,17 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         folder, files = _folder(df.sparkSession, _stored.pop(df))
         files.delete(folder, True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data if it is there."""
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def write_small_file(spark: SparkSession, path: str, text: str) -> None:
+    """A file of a few lines in any store that Spark reaches, replaced if it is there."""
+    file, files = _folder(spark, path)
+    out = files.create(file, True)
+    out.write(bytearray(text.encode()))
+    out.close()

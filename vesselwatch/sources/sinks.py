@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from vesselwatch.config import Detection
+from vesselwatch.session import write_small_file
 
 #: Fixed values of the output format: header names over our columns, with a number format where one applies.
 VESSELS = [
@@ -28,22 +33,59 @@ MEETINGS = [
 
 #: Rows that are written to a single file, at most; more stay ordered in several.
 ONE_FILE = 1_000_000
+#: A micro-batch's progress as Spark reports it, in part.
+PROGRESS = """id string, batchId long, numInputRows long, durationMs map<string, long>, stateOperators array<struct<numRowsTotal long, numRowsUpdated long, memoryUsedBytes long>>,
+  observedMetrics struct<profile struct<raw long, valid long, vessels long, track_samples long, meeting_samples long>>"""
+
+
+def _seconds(*phases: str) -> str:
+    return "(" + " + ".join(f"coalesce(durationMs['{x}'], 0)" for x in phases) + ") / 1000"
+
+
+def _state(name: str) -> str:
+    return f"aggregate(coalesce(stateOperators, array()), 0L, (n, s) -> n + coalesce(s.{name}, 0L))"
+
+
 #: Fixed values of the profile's header: where each comes from in a stream's progress.
 PROFILE = {
-    "chunk_id": lambda p, o: p["batchId"], "raw_row_count": lambda p, o: o.get("raw", p["numInputRows"]), "valid_record_count": lambda p, o: o.get("valid"), "vessel_count": lambda p, o: o.get("vessels"),
-    "ac_sampled_record_count": lambda p, o: o.get("track_samples"), "loitering_sampled_record_count": lambda p, o: o.get("meeting_samples"),
-    "worker_elapsed_sec": lambda p, o: _seconds(p, "addBatch"), "queue_wait_sec": lambda p, o: _seconds(p, "latestOffset", "getBatch", "queryPlanning"), "merge_elapsed_sec": lambda p, o: _seconds(p, "walCommit", "commitOffsets"),
-    "pending_results_before_merge": lambda p, o: _state(p, "numRowsTotal") - _state(p, "numRowsUpdated"), "pending_results_after_merge": lambda p, o: _state(p, "numRowsTotal"),
-    "main_rss_mb_after_merge": lambda p, o: _state(p, "memoryUsedBytes") / 1e6,
+    "chunk_id": "batchId", "raw_row_count": "coalesce(observedMetrics.profile.raw, numInputRows)", "valid_record_count": "observedMetrics.profile.valid", "vessel_count": "observedMetrics.profile.vessels",
+    "ac_sampled_record_count": "observedMetrics.profile.track_samples", "loitering_sampled_record_count": "observedMetrics.profile.meeting_samples",
+    "worker_elapsed_sec": _seconds("addBatch"), "queue_wait_sec": _seconds("latestOffset", "getBatch", "queryPlanning"), "merge_elapsed_sec": _seconds("walCommit", "commitOffsets"),
+    "pending_results_before_merge": f"{_state('numRowsTotal')} - {_state('numRowsUpdated')}", "pending_results_after_merge": _state("numRowsTotal"),
+    "main_rss_mb_after_merge": f"{_state('memoryUsedBytes')} / 1e6",
 }
 
 
-def _seconds(progress, *phases: str) -> float:
-    return sum(progress["durationMs"].get(x, 0) for x in phases) / 1000
+class ProgressLog(StreamingQueryListener):
+    """Keeps the progress of every micro-batch of a stream in a folder, a small file each, however long the stream runs.
+
+    Spark itself keeps the last ones only. A micro-batch that is repeated after a restart replaces its file. ``query``: the id of the stream
+    to follow, else all.
+    """
 
+    def __init__(self, spark: SparkSession, path: str, query: str | None = None):
+        self.spark, self.path, self.query, self.ended = spark, path, query, threading.Event()
+        spark.streams.addListener(self)
 
-def _state(progress, name: str) -> float:
-    return sum(s.get(name, 0) for s in progress.get("stateOperators") or [])
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if self.query in (None, str(p.id)):
+            write_small_file(self.spark, f"{self.path}/{p.id}-{p.batchId:012d}.json", json.dumps(json.loads(p.json)))
+
+    def onQueryTerminated(self, event) -> None:
+        if self.query in (None, str(event.id)):
+            self.ended.set()
+
+    def stop(self, seconds: float = 30) -> None:
+        """After the stream's end: waits for its last progress, which comes a little later."""
+        self.ended.wait(seconds)
+        self.spark.streams.removeListener(self)
 
 
 def _ordered(df: DataFrame, order: list[str], columns: list, path: str) -> None:
@@ -72,13 +114,22 @@ def profiled(raw: DataFrame, valid: Column, config: Detection) -> DataFrame:
     )
 
 
-def write_profile(progress: list, spark: SparkSession, path: str) -> None:
-    """A row for each of a stream's micro-batches (its recent progress): rows, times in seconds, rows and MB of state."""
-    rows = []
-    for p in progress:
-        seen = (p.get("observedMetrics") or {}).get("profile")
-        counts = seen.asDict() if hasattr(seen, "asDict") else dict(seen or {})
-        rows.append([None if (v := f(p, counts)) is None else float(v) for f in PROFILE.values()])
+def write_profile(progress: list | str, spark: SparkSession, path: str) -> None:
+    """A row for each of a stream's micro-batches: rows, times in seconds, rows and MB of state.
+
+    ``progress``: the folder of a ``ProgressLog``, or a list of progress reports, such as a query's recent ones. Of a micro-batch that
+    was reported more than once (also without new input) the report with the most rows counts.
+    """
+    if isinstance(progress, str):
+        lines = spark.read.text(progress)
+    else:
+        lines = spark.createDataFrame([(p.json if hasattr(p, "json") else json.dumps(p, default=_plain),) for p in progress], "value string")
+    reports = lines.select(F.from_json("value", PROGRESS).alias("p"))
+    reports = reports.groupBy("p.id", "p.batchId").agg(F.max_by("p", "p.numInputRows").alias("p")).select("p.*")
     whole = [c for c in PROFILE if c.endswith(("_id", "_count", "_merge")) and "rss" not in c]
-    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in PROFILE))
-    _ordered(table, ["chunk_id"], [F.col(c).cast("long").alias(c) if c in whole else F.round(c, 3).alias(c) for c in PROFILE], path)
+    table = reports.select(*(F.expr(f"cast({x} as {'long' if c in whole else 'double'})").alias(c) for c, x in PROFILE.items()))
+    _ordered(table, ["chunk_id"], [F.col(c) if c in whole else F.round(c, 3).alias(c) for c in PROFILE], path)
+
+
+def _plain(value):
+    return value.asDict() if hasattr(value, "asDict") else str(value)

@@ -29,7 +29,7 @@ PORT_SCHEMA = "port_name string, country string, latitude double, longitude doub
 _AUTHORITY = "^file:/+"
 
 
-def _last_of(columns: Sequence[str], name: str) -> str | None:
+def header_column(columns: Sequence[str], name: str) -> str | None:
     """The column of a header name: of repeated headers, which Spark numbers by their place, the last one."""
     numbered = [c for k, c in enumerate(columns) if c == f"{name}{k}"]
     return name if name in columns else numbered[-1] if len(numbered) > 1 else None
@@ -49,7 +49,7 @@ def read_raw(spark: SparkSession, paths: str | Sequence[str], encoding: str = "u
         headers = list(pool.map(lambda path: tuple(spark.read.options(**options).csv(path).columns), given))
     groups: dict[tuple[str, ...], list[int]] = {}
     for number, (path, columns) in enumerate(zip(given, headers, strict=True)):
-        if missing := sorted(n for n in COLUMNS if _last_of(columns, n) is None) if columns else []:
+        if missing := sorted(n for n in COLUMNS if header_column(columns, n) is None) if columns else []:
             raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
         if columns:
             groups.setdefault(columns, []).append(number)
@@ -58,7 +58,7 @@ def read_raw(spark: SparkSession, paths: str | Sequence[str], encoding: str = "u
     frames = []
     for columns, numbers in groups.items():
         df = spark.read.options(**options).schema(", ".join(f"`{c.replace('`', '``')}` string" for c in columns)).csv([given[k] for k in numbers])
-        bound = [F.col(f"`{_last_of(columns, n)}`").alias(ours) for n, ours in COLUMNS.items()]
+        bound = [F.col(f"`{header_column(columns, n)}`").alias(ours) for n, ours in COLUMNS.items()]
         df = df.select(*bound, F.regexp_replace("_metadata.file_path", _AUTHORITY, "file:/").alias("__file"), F.col("_metadata.file_block_start").alias("file_block"), F.monotonically_increasing_id().alias("row_no"))
         if len(numbers) == 1:
             df = df.withColumn("file_no", F.lit(numbers[0]))
