@@ -7,11 +7,14 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 EARTH_RADIUS_KM = 6371.0
 KM_PER_NAUTICAL_MILE = 1.852
-#: Degrees of the cells of the port catalogue, and of the bands and columns of the land mask.
-PORT_CELL, LAND_BAND, LAND_COLUMN = 0.25, 0.25, 5.0
+#: Degrees of the cells of the port catalogue and of the land mask.
+PORT_CELL, LAND_CELL = 0.25, 0.25
+#: Where in a land cell its reference point lies, as parts of its sides: not on lines that masks are likely to have corners on.
+REFERENCE_X, REFERENCE_Y = 0.3141592653589793, 0.5772156649015329
 #: Kilometres of a degree of latitude, rounded down so that cells cover a radius.
 KM_PER_DEGREE = 111.0
 #: Ports or edges in a look-up table that is broadcast, at most (some 40 bytes each).
@@ -43,11 +46,11 @@ def _cell(degrees: Column, size: float) -> Column:
 _checked: WeakKeyDictionary[DataFrame, dict[tuple, bool]] = WeakKeyDictionary()
 
 
-def _small(catalogue: DataFrame, cells: DataFrame, content: str, *key: float) -> DataFrame:
-    """Broadcast the cells of a catalogue if all they hold is little (summed once for a catalogue); otherwise the join shuffles."""
+def _small(catalogue: DataFrame, cells: DataFrame, rows: DataFrame, *key: float) -> DataFrame:
+    """Broadcast the cells of a catalogue if all they hold, ``rows``, is little (counted once for a catalogue, and no further); otherwise the join shuffles."""
     known = _checked.setdefault(catalogue, {})
     if key not in known:
-        known[key] = (cells.agg(F.sum(F.expr(content))).first()[0] or 0) <= BROADCAST_ROWS
+        known[key] = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return F.broadcast(cells) if known[key] else cells
 
 
@@ -62,7 +65,7 @@ def ports_by_cell(ports: DataFrame, minimum_radius_km: float) -> DataFrame:
     xs = F.array_distinct(F.transform(F.sequence(_cell(F.col("longitude") - d_lon, PORT_CELL), _cell(F.col("longitude") + d_lon, PORT_CELL)), lambda x: F.pmod(x, F.lit(width))))
     cells = ports.select(row.alias("port"), F.explode(F.sequence(_cell(F.col("latitude") - d_lat, PORT_CELL), _cell(F.col("latitude") + d_lat, PORT_CELL))).alias("cell_y"), xs.alias("xs"))
     cells = cells.select("port", "cell_y", F.explode("xs").alias("cell_x"))
-    return _small(ports, cells.groupBy("cell_y", "cell_x").agg(F.collect_list("port").alias("ports")), "size(ports)", float(minimum_radius_km))
+    return _small(ports, cells.groupBy("cell_y", "cell_x").agg(F.collect_list("port").alias("ports")), cells, float(minimum_radius_km))
 
 
 def with_near_port(df: DataFrame, cells: DataFrame, lat: str, lon: str, out: str, only: Column | None = None) -> DataFrame:
@@ -107,46 +110,79 @@ def nearest_port(points: DataFrame, ports: DataFrame, key: list[str], lat: str =
 
 
 def land_by_cell(land: DataFrame) -> DataFrame:
-    """(land_y, land_x, polygons): by band of latitude and column, the edges of each polygon that a ray to the east can meet.
+    """(land_y, land_x, whole, parts): a cover of the mask by cells; cells without land are left out.
 
-    ``land``: polygon_id, edges array<struct<x1,y1,x2,y2>> in degrees (all rings, holes too). A cell holds the edges
-    that reach into its band and end east of its western border, so a polygon's size doesn't multiply.
+    ``land``: polygon_id, edges array<struct<x1,y1,x2,y2>> in degrees (all rings, holes too); longitudes may go beyond 180. A cell that no
+    edge of a polygon touches lies inside or outside as a whole (``whole``: inside some polygon). A border cell has a part for each polygon: the
+    edges in it, and whether its reference point is inside. So a test looks at a cell's own edges only, whatever
+    the polygon's size.
+    """
+    edge = land.select("edges", F.monotonically_increasing_id().alias("polygon"))
+    lowest, highest = F.array_min(F.transform("edges", lambda e: F.least(e["x1"], e["x2"]))), F.array_max(F.transform("edges", lambda e: F.greatest(e["x1"], e["x2"])))
+    shifts = F.concat(F.array(F.lit(0.0)), F.when(highest > 180, F.array(F.lit(-360.0))).otherwise(F.array()), F.when(lowest < -180, F.array(F.lit(360.0))).otherwise(F.array()))
+    edge = edge.select("polygon", "edges", F.explode(shifts).alias("shift")).select("polygon", "shift", F.explode("edges").alias("e"))  # in this order: an edge's row doesn't carry all edges
+    moved = F.struct((F.col("e.x1") + F.col("shift")).alias("x1"), F.col("e.y1").alias("y1"), (F.col("e.x2") + F.col("shift")).alias("x2"), F.col("e.y2").alias("y2"))
+    edge = edge.select(F.struct("polygon", "shift").alias("polygon"), moved.alias("e"))
+    banded = edge.select("polygon", "e", F.explode(F.sequence(_cell(F.least("e.y1", "e.y2"), LAND_CELL), _cell(F.greatest("e.y1", "e.y2"), LAND_CELL))).alias("land_y"))
+    # the part of the edge in the band, a little wider than it is
+    level, slack = F.col("e.y1") == F.col("e.y2"), 1e-9
+    at = lambda y: _x_at(F.col("e"), F.least(F.greatest(y, F.least("e.y1", "e.y2")), F.greatest("e.y1", "e.y2")))
+    ends = [F.when(level, F.col("e.x1")).otherwise(at(F.col("land_y") * LAND_CELL)), F.when(level, F.col("e.x2")).otherwise(at((F.col("land_y") + 1) * LAND_CELL))]
+    middle = (F.col("land_y") + REFERENCE_Y) * LAND_CELL
+    crossing = F.when((F.col("e.y1") > middle) != (F.col("e.y2") > middle), _x_at(F.col("e"), middle))
+    banded = banded.select("polygon", "e", "land_y", _cell(F.least(*ends) - slack, LAND_CELL).alias("x0"), _cell(F.greatest(*ends) + slack, LAND_CELL).alias("x1"), crossing.alias("crossing"))
+    touched = banded.select("polygon", "land_y", "e", F.explode(F.sequence("x0", "x1")).alias("land_x"))
+    border = touched.groupBy("polygon", "land_y", "land_x").agg(F.collect_list("e").alias("edges"))
+    # a running count of the crossings of the band's reference latitude: at each border cell's western side, and at its reference point
+    none = border.schema["edges"].dataType
+    mark = lambda at, kind, edges: border.select("polygon", "land_y", at.alias("at"), F.lit(kind).alias("kind"), "land_x", edges.alias("edges"))
+    marks = mark(F.col("land_x") * LAND_CELL, 0, F.lit(None).cast(none)).unionByName(mark((F.col("land_x") + REFERENCE_X) * LAND_CELL, 2, F.col("edges")))
+    crossings = banded.where("crossing is not null").select("polygon", "land_y", F.col("crossing").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("land_x"), F.lit(None).cast(none).alias("edges"))
+    band = Window.partitionBy("polygon", "land_y")
+    counted = marks.unionByName(crossings).withColumn("inside", F.count_if(F.col("kind") == 1).over(band.orderBy("at", "kind")) % 2 == 1).where("kind <> 1")
+    cells = counted.where("kind = 0").withColumn("before", F.lag("land_x").over(band.orderBy("land_x")))
+    between = cells.where("inside and land_x > before + 1").select("land_y", F.explode(F.sequence(F.col("before") + 1, F.col("land_x") - 1)).alias("land_x"), F.lit(True).alias("whole"), F.lit(None).cast("struct<inside:boolean,edges:array<struct<x1:double,y1:double,x2:double,y2:double>>>").alias("part"))
+    rows = between.unionByName(counted.where("kind = 2").select("land_y", "land_x", F.lit(False).alias("whole"), F.struct("inside", "edges").alias("part")))
+    # collect_list leaves out the nulls of whole cells
+    return _small(land, rows.groupBy("land_y", "land_x").agg(F.max("whole").alias("whole"), F.collect_list("part").alias("parts")), touched, 0.0)
+
+
+def _x_at(e: Column, y: Column) -> Column:
+    """Longitude of an edge that isn't level at a latitude."""
+    return (e["x2"] - e["x1"]) * (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+
+
+def _inside(lon: Column, lat: Column, part: Column, west: Column, middle: Column) -> Column:
+    """Even-odd rule along a way from the reference point: up or down, then east or west. A point on an edge is outside.
+
+    The way lies an infinitely small step east of that point and a larger one north of the tested point's latitude, so it passes no corner of the mask.
     """
-    edge = land.select("edges", F.monotonically_increasing_id().alias("polygon")).select("polygon", F.explode("edges").alias("e"))
-    low, high = F.least("e.y1", "e.y2"), F.greatest("e.y1", "e.y2")
-    banded = edge.select("polygon", "e", F.explode(F.sequence(_cell(low, LAND_BAND), _cell(high, LAND_BAND))).alias("land_y"))
-    bands = banded.groupBy("polygon", "land_y").agg(
-        F.collect_list("e").alias("edges"), F.min(F.least("e.x1", "e.x2")).alias("x0"), F.max(F.greatest("e.x1", "e.x2")).alias("x1")
-    )
-    cells = bands.select("edges", "land_y", F.explode(F.sequence(_cell(F.col("x0"), LAND_COLUMN), _cell(F.col("x1"), LAND_COLUMN))).alias("land_x"))
-    mine = F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("land_x") * LAND_COLUMN)
-    cells = cells.groupBy("land_y", "land_x").agg(F.collect_list(mine).alias("polygons"))
-    return _small(land, cells, "aggregate(polygons, 0, (n, p) -> n + size(p))")
-
 
-def _inside(lon: Column, lat: Column, edges: Column) -> Column:
-    """Even-odd rule; a point on an edge is outside."""
+    def upward(e: Column) -> Column:
+        y = (e["y2"] - e["y1"]) * (west - e["x1"]) / F.nullif(e["x2"] - e["x1"], F.lit(0.0)) + e["y1"]
+        return F.when((e["x1"] > west) != (e["x2"] > west), (y > lat) != (y > middle)).otherwise(False)
 
-    def crossing(e: Column) -> Column:
-        above = (e["y1"] > lat) != (e["y2"] > lat)
-        return F.when(above, lon < (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]).otherwise(False)
+    def eastward(e: Column) -> Column:
+        x = _x_at(e, lat)
+        return F.when((e["y1"] > lat) != (e["y2"] > lat), ((x > west) | ((x == west) & ((e["x2"] > e["x1"]) == (e["y2"] > e["y1"])) & (e["x1"] != e["x2"]))) != (x > lon)).otherwise(False)
 
     def touching(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (lat - e["y1"]) - (e["y2"] - e["y1"]) * (lon - e["x1"])
         return (cross == 0) & lon.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & lat.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
 
-    return (F.size(F.filter(edges, crossing)) % 2 == 1) & ~F.exists(edges, touching)
+    crossed = F.size(F.filter(part["edges"], upward)) + F.size(F.filter(part["edges"], eastward))
+    return (part["inside"] != (crossed % 2 == 1)) & ~F.exists(part["edges"], touching)
 
 
 def with_on_land(df: DataFrame, cells: DataFrame | None, lat: str, lon: str, out: str, only: Column) -> DataFrame:
     """``df`` with the boolean ``out``: null without a mask or outside ``only``."""
     if cells is None:
         return df.withColumn(out, F.lit(None).cast("boolean"))
-    found = cells.select(F.col("land_y").alias("__y"), F.col("land_x").alias("__x"), F.col("polygons").alias("__land"))
-    y, x = F.when(only, _cell(F.col(lat), LAND_BAND)), F.when(only, _cell(F.col(lon), LAND_COLUMN))
-    inside = F.exists("__land", lambda edges: _inside(F.col(lon), F.col(lat), edges))
+    found = cells.select(F.col("land_y").alias("__y"), F.col("land_x").alias("__x"), F.col("whole").alias("__whole"), F.col("parts").alias("__land"))
+    y, x = F.when(only, _cell(F.col(lat), LAND_CELL)), F.when(only, _cell(F.col(lon), LAND_CELL))
+    inside = F.col("__whole") | F.exists("__land", lambda part: _inside(F.col(lon), F.col(lat), part, (F.col("__x") + REFERENCE_X) * LAND_CELL, (F.col("__y") + REFERENCE_Y) * LAND_CELL))
     joined = df.withColumns({"__cy": y, "__cx": x}).join(found, (F.col("__cy") == F.col("__y")) & (F.col("__cx") == F.col("__x")), "left")
-    return joined.withColumn(out, F.when(only, F.coalesce(inside, F.lit(False)))).drop("__cy", "__cx", "__y", "__x", "__land")
+    return joined.withColumn(out, F.when(only, F.coalesce(inside, F.lit(False)))).drop("__cy", "__cx", "__y", "__x", "__whole", "__land")
 
 
 def grid_degrees(max_km: float) -> float:

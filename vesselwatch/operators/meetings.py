@@ -75,6 +75,9 @@ def pair_observations(points: DataFrame, config: Detection, exact_grid: bool = F
     km = haversine_km(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
     a = cut(a).withColumn("block", F.pmod(F.xxhash64("mmsi_a"), "blocks").cast("int")).drop("blocks")
     b = cut(b).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    # few bytes but up to DENSE comparisons a row: adaptive execution, which goes by bytes, must not put these partitions together
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = a.repartition(n, *cell, "block"), b.repartition(n, *cell, "block")
     close = a.join(b, [*cell, "block"]).where((F.col("mmsi_a") < F.col("mmsi_b")) & (km <= config.meeting_km)).withColumn("km", km)
     best = F.min_by(F.struct("latitude_a", "longitude_a", "latitude_b", "longitude_b", "km"), F.struct("km", "seq_a", "seq_b"))
     return close.groupBy("mmsi_a", "mmsi_b", "bucket").agg(best.alias("o")).select("mmsi_a", "mmsi_b", "bucket", "o.*")

@@ -119,6 +119,11 @@ def on_land_flags(spark: SparkSession, d: str) -> DataFrame:
     return with_on_land(demo.records(spark, d), land_by_cell(demo.land(spark)), "latitude", "longitude", "on_land", F.lit(True)).select("seq", "on_land")
 
 
+def land_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Positions on a mask of cells that are land as a whole and cells that the coast crosses."""
+    return with_on_land(demo.positions(spark, d), land_by_cell(demo.coast(spark)), "latitude", "longitude", "on_land", F.lit(True)).select("seq", "on_land")
+
+
 def nearest(spark: SparkSession, d: str) -> DataFrame:
     return plain(nearest_port(demo.records(spark, d), demo.ports(spark, d), ["seq"]))
 
@@ -312,6 +317,7 @@ QUERIES = {
     "b_vessel_counts": b_vessel_counts,
     "near_port_flags": near_port_flags,
     "on_land_flags": on_land_flags,
+    "land_cover": land_cover,
     "nearest_port": nearest,
     "top_going_dark_map": lambda s, d: plain(report.silence_map(_found(s, d).silences)),
     "top_d_map": lambda s, d: plain(report.jump_map(_found(s, d).jumps)),
@@ -450,6 +456,17 @@ def _default_meetings(exact: bool, strict: bool = False) -> str:
     return f"with {text}\nselect {_SESSION} from b"
 
 
+def _coast_sql() -> str:
+    """Even-odd rule over all edges of each polygon, at a longitude and a full turn to either side; on an edge is outside."""
+    edges = [(n, *a, *b) for n, rings in enumerate(demo.COAST) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    values = ", ".join(f"({n}, {', '.join(f'{float(v)!r}::double' for v in e)})" for n, *e in edges)
+    return f"""with pos as ({demo.POSITIONS}), e(n, x1, y1, x2, y2) as (values {values}), p as (select seq, latitude, longitude + s as x, s from pos, (values (0), (-360), (360)) t(s)),
+c as (select seq, s, n, count(*) filter (where (y1 > latitude) <> (y2 > latitude) and x < (x2-x1)*(latitude-y1)/(y2-y1)+x1) % 2 = 1
+  and not bool_or((x2-x1)*(latitude-y1) - (y2-y1)*(x-x1) = 0 and x between least(x1,x2) and greatest(x1,x2) and latitude between least(y1,y2) and greatest(y1,y2)) as inside
+  from p, e group by seq, s, n)
+select seq, bool_or(inside) as on_land from c group by seq"""
+
+
 _A_STREAM = "mmsi, start_ts, end_ts, round(gap_hours,6) as gap_hours, round(distance_km,6) as distance_km"
 
 ORACLES = {
@@ -475,6 +492,7 @@ ORACLES = {
     "b_vessel_counts": _q("select mmsi, count(*) as n from bv group by mmsi"),
     "near_port_flags": _q(f"select seq, {_near('ais.latitude', 'ais.longitude', 15)} as near from ais"),
     "on_land_flags": _q(f"select seq, {demo.LAND_SQL.format(lat='latitude', lon='longitude')} as on_land from ais"),
+    "land_cover": _coast_sql(),
     "nearest_port": _q(f"""select seq, port_name, round(km,6) as distance_km from (select ais.seq, p.port_name, {_hav('ais.latitude', 'ais.longitude', 'p.latitude', 'p.longitude')} as km,
 row_number() over (partition by ais.seq order by {_hav('ais.latitude', 'ais.longitude', 'p.latitude', 'p.longitude')}, p.port_no) as k from ais cross join ports p) where k = 1"""),
     "top_going_dark_map": _q("""select mmsi, row_number() over (order by start_ts, end_ts) as event_index, round(start_latitude,6) as lat_origin, round(start_longitude,6) as lon_origin, round(end_latitude,6) as lat_destination,

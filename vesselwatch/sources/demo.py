@@ -24,8 +24,17 @@ BERTHS = """select cast(210000000 + event_id % 40 as bigint) as mmsi, cast(floor
   8e0 + floor(event_id % 40 / 4e0) * 6e-1 + (event_id % 4) * 24e-4 + (event_id % 7) * 1e-4 + case when (cast(floor(event_id / 800e0) as bigint) + event_id % 40) % 5 = 0 then 5e-2 else 0e0 end as longitude,
   case when event_id % 23 = 0 then 2e0 else (event_id % 9) * 1e-1 end as sog, cast(null as double) as draught from events"""
 PORTS = "select n_nationkey as port_no, n_name as port_name, 54e0 + n_nationkey * 4e-1 as latitude, 8e0 + n_nationkey * 6e-1 as longitude, 3e0 as radius_km from nation where n_nationkey < 3"
+#: Sixty directions, on a diamond rather than a circle so that they are plain fractions.
+CIRCLE = [((1 - abs(k - 30) / 15) if k <= 60 else 0.0, 1 - abs(((k + 45) % 60) - 30) / 15) for k in range(60)]
 #: Two rectangles of land: (longitude, latitude) corners, north of all unshifted positions.
 LAND = [[[(0.0, 56.9), (8.9, 56.9), (8.9, 80.0), (0.0, 80.0)]], [[(10.9, 56.9), (60.0, 56.9), (60.0, 80.0), (10.9, 80.0)]]]
+#: A coast with a lake in it, an island across longitude 180 (its longitudes go on beyond it), and two that overlap.
+COAST = [
+    [[(8 + (9 + 3 * ((k * 37) % 11) / 11) * x, 55 + (6 + 2 * ((k * 53) % 7) / 7) * y) for k, (x, y) in enumerate(CIRCLE)], [(9 + 2 * x, 55 + y) for x, y in CIRCLE[::3]]],
+    [[(179 + (4 + ((k * 29) % 5) / 5) * x, 10 + 3 * y) for k, (x, y) in enumerate(CIRCLE)]],
+    [[(-60.0, -20.0), (-40.0, -20.0), (-40.0, 0.0), (-60.0, 0.0)]],
+    [[(-50.0, -10.0), (-30.0, -10.0), (-30.0, 10.0)]],
+]
 LAND_SQL = "({lat} > 56.9e0 and ({lon} < 8.9e0 or {lon} > 10.9e0))"
 
 
@@ -49,6 +58,19 @@ def land(spark: SparkSession) -> DataFrame:
     return land_from_rings(spark, LAND)
 
 
+#: Positions all over the earth, a third of them near the coast.
+POSITIONS = """select event_id as seq, case when event_id % 3 = 0 then 46e0 + (event_id * 37 % 1800) / 100e0 else (event_id * 37 % 1700) / 10e0 - 85e0 end as latitude,
+  case when event_id % 3 = 0 then -5e0 + (event_id * 73 % 2600) / 100e0 else (event_id * 73 % 3600) / 10e0 - 180e0 end as longitude from events"""
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, "events", POSITIONS)
+
+
+def coast(spark: SparkSession) -> DataFrame:
+    return land_from_rings(spark, COAST)
+
+
 def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text rows in the input format, some broken in each possible way (by the event's number)."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.date_trunc("second", "ts"))
