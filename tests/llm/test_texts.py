@@ -159,6 +159,28 @@ def test_text_beside_the_best_container(html, want):
     assert extract(html, best_path(html)) == want
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+@pytest.mark.parametrize("words", [(40, 40), (20, 90), (12, 60, 25)])
+def test_unequal_parts_of_the_body_stay_in_order(tag, words):
+    """Parts side by side with classes of their own; a list of links between them and a marked part go."""
+    texts = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate(words)]
+    parts = [f"<{tag} class=part{chr(97 + k)}><p>{t}</p></{tag}>" for k, t in enumerate(texts)]
+    links = "<div class=x><a href=1>A long text of a link to elsewhere</a> <a href=2>Another long text of a link</a></div>"
+    html = f"<body><nav>No</nav>{links.join(parts)}<div class=sidebar><p>{texts[0]}</p></div></body>"
+    assert extract(html, best_path(html)) == " ".join(texts)
+
+
+def test_deep_marks_are_told_apart():
+    inner = f"<p>{LONG}</p>"
+    for _ in range(40):
+        inner = f"<div class=widget>Side note.{inner}</div>"
+    html = f"<body><div class=wrap>{LONG * 30}{inner}</div></body>"
+    assert "Side note" not in extract(html, best_path(html)) and extract(html, best_path(html)).startswith(LONG)
+    started = time.monotonic()
+    assert best_path("<div class=ad>x" * 20_000) is not None
+    assert time.monotonic() - started < 10
+
+
 @pytest.mark.parametrize("mark", ["has-sidebar", "no-sidebar", "ad-free", "social-science", "comment-open", "with-header", "notice-board", "header"])
 @pytest.mark.parametrize("tag", ["div", "main", "article"])
 def test_marks_of_the_whole_page(mark, tag):
@@ -292,6 +314,20 @@ def test_foreign_archives_are_converted(spark, tmp_path):
     assert len(found) == 8 and all(uuid.UUID(h["warc-record-id"][10:-1]) for h in found)
 
 
+def test_payloads_that_hold_the_separator(spark, tmp_path):
+    """Bytes that can't be compressed around empty gzip members, which separate records in a file."""
+    rng = np.random.default_rng(3)
+    noise = lambda n: rng.integers(0, 256, n, np.uint8).tobytes()
+    blocks = [noise(200_000) + archives.SEPARATOR + noise(200_000), archives.SEPARATOR * 3 + noise(300) + archives.SEPARATOR[:9] + archives.SEPARATOR, noise(70_000) + archives.SEPARATOR[:-1]]
+    for block in blocks:
+        member = archives._member(block)
+        assert (member + archives.SEPARATOR).index(archives.SEPARATOR) == len(member) and gzip.decompress(member) == block
+    arcs = spark.createDataFrame([("a.arc", archives.write_arc(1, [(f"http://x/{k}", "20010101000000", "image/x", b) for k, b in enumerate(blocks)]))], "name string, archive binary")
+    archives.arc_to_warc(arcs, str(tmp_path / "warc"))
+    rows = archives.read_warc_files(spark, str(tmp_path / "warc")).collect()
+    assert sorted(r["payload_digest"] for r in rows) == sorted(hashlib.sha256(b).hexdigest() for b in blocks)
+
+
 def test_damage_is_found(spark, tmp_path):
     path = str(tmp_path / "warc")
     archives.archive_pages(spark.createDataFrame([(1, "u", "x" * 500)], "page_id long, url string, html string").coalesce(1), path).collect()

@@ -160,12 +160,25 @@ def warc_record(record: dict, refers_to: int | None) -> bytes:
 
 
 def _member(record: bytes) -> bytes:
-    """A gzip member that doesn't hold the separator."""
-    for level in (6, 9, 1, 4):
-        data = gzip.compress(record, level, mtime=0)
-        if SEPARATOR not in data:
-            return data
-    raise ValueError("a record whose compressed form holds an empty gzip member")
+    """A gzip member that doesn't hold the separator.
+
+    If compression keeps it, as of bytes that can't be compressed, the record is stored in parts: each separator in it is cut behind its first byte, where a
+    flush puts five bytes in between that no separator holds.
+    """
+    data = gzip.compress(record, 6, mtime=0)
+    if SEPARATOR not in data:
+        return data
+    parts = record.split(SEPARATOR)
+    pieces = [parts[0]]
+    for part in parts[1:]:
+        pieces[-1] += SEPARATOR[:1]
+        pieces.append(SEPARATOR[1:] + part)
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    out = [packer.compress(piece) + packer.flush(zlib.Z_FULL_FLUSH) for piece in pieces]
+    data = b"".join(out) + packer.flush()
+    if SEPARATOR in data:  # made by two blocks' borders: 20 bytes by chance
+        raise ValueError("a record whose stored form holds an empty gzip member")
+    return data
 
 
 def read_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict, bytes]]:

@@ -4,13 +4,14 @@ Each page scores its containers by the text that their blocks hold outside links
 best container, widened to the wrapper that also holds its title, lead and further sections, has a path
 (tags and classes, with what varies from page to page removed) that is the page's vote;
 Spark counts votes for each host, and all of a host's pages are extracted again by the winning path.
-A page that has no container on that path falls back to its own best.
+A page that has no container on that path falls back to its own best. Containers
+that stand beside it under the body are part of the text if they hold prose, unless a path holds some on a few of the host's pages only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -35,8 +36,8 @@ QUALIFIERS = frozenset("left right top bottom inner outer container wrapper wrap
 PROPERTIES = frozenset("has have no not non with without show hide is".split())
 #: A marked element with more than this share of the page's text is the page itself.
 MOST = 0.8
-#: Marked elements within each other that are told apart, at most.
-DEEPEST_MARK = 16
+#: Characters of a text outside links from which on a container beside the main one is prose.
+PROSE = 40
 CONTAINERS = frozenset("article main section div td body center table tbody tr ul ol dl blockquote".split())
 #: Elements that begin and end a block of text.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption hr th caption details summary thead tfoot html hgroup search".split()) | DROPPED
@@ -55,28 +56,29 @@ def path_number(step: str, above: int = 0) -> int:
 
 
 class _Element:
-    __slots__ = ("tag", "path", "dropped", "container", "marks")
+    __slots__ = ("tag", "path", "dropped", "container", "mark")
 
-    def __init__(self, tag: str, path: int, dropped: bool, container: int, marks: tuple[int, ...] = ()):
+    def __init__(self, tag: str, path: int, dropped: bool, container: int, mark: int = 0):
         self.tag, self.path, self.dropped = tag, path, dropped
-        self.marks = marks  # numbers of the marked elements around it, itself included
+        self.mark = mark  # number of the innermost marked element around it, itself included; 0: none
         self.container = container  # the nearest one, itself included
 
 
 class _Page:
-    """Blocks (text, characters in links, container, marks) in page order; containers by number, each after those around it."""
+    """Blocks (text, characters in links, container, mark) in page order; containers and marks by number, each after those around it."""
 
     def __init__(self) -> None:
-        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, int, int, int]] = []
+        self.mark_around = [0]  # of marked elements, from 1 on
         # of containers; the first one is the implied body: it holds what no other holds
-        self.tags, self.paths, self.around, self.marks = ["body"], [0], [-1], [()]
+        self.tags, self.paths, self.around, self.marks = ["body"], [0], [-1], [0]
         self.dropped = [False]
 
     def new_container(self, element: _Element, around: int) -> int:
         self.tags.append(element.tag)
         self.paths.append(element.path)
         self.around.append(around)
-        self.marks.append(element.marks)
+        self.marks.append(element.mark)
         self.dropped.append(element.dropped)
         return len(self.tags) - 1
 
@@ -110,14 +112,14 @@ def parse(html: str) -> _Page:
     stack = [_Element("body", 0, False, 0)]
     places: dict[str, list[int]] = {}  # by tag: where in the stack its open elements are
     parts: list[str] = []
-    linked = in_link = marks = 0
+    linked = in_link = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text and not stack[-1].dropped:
-                page.blocks.append((text, linked, stack[-1].container, stack[-1].marks))
+                page.blocks.append((text, linked, stack[-1].container, stack[-1].mark))
             parts.clear()
         linked = 0
 
@@ -152,7 +154,7 @@ def parse(html: str) -> _Page:
                 flush()
             if places.get(tag):
                 depth = places[tag][-1]
-                if stack[depth].marks != stack[-1].marks or stack[depth].marks != stack[depth - 1].marks:
+                if stack[depth].mark != stack[-1].mark or stack[depth].mark != stack[depth - 1].mark:
                     flush()
                 pop_to(depth)
             continue
@@ -173,13 +175,13 @@ def parse(html: str) -> _Page:
             continue
         above = stack[-1]
         classes, marked = _marked(attributes) if attributes else ("", False)
-        around = above.marks
-        if len(around) < DEEPEST_MARK and (tag == "noscript" or marked and tag not in ("html", "body", "main", "article")):
-            marks += 1
-            around = (*around, marks)
+        mark = above.mark
+        if tag == "noscript" or marked and tag not in ("html", "body", "main", "article"):
+            page.mark_around.append(mark)
+            mark = len(page.mark_around) - 1
             flush()  # its text is a block of its own
         path = path_number(f"{tag}{classes}", above.path) if tag in BLOCKS else above.path
-        element = _Element(tag, path, above.dropped or tag in DROPPED, above.container, around)
+        element = _Element(tag, path, above.dropped or tag in DROPPED, above.container, mark)
         if tag in CONTAINERS:
             element.container = page.new_container(element, above.container)
         in_link += tag == "a"
@@ -196,17 +198,19 @@ def _without_marked(page: _Page) -> list[bool]:
 
     An element that holds most of the page's text isn't boilerplate, however it is marked.
     """
-    held: dict[int, int] = {}
-    for text, _, _, marks in page.blocks:
-        for k in marks:
-            held[k] = held.get(k, 0) + len(text)
-    total = sum(len(text) for text, _, _, _ in page.blocks)
-    whole = {k for k, n in held.items() if n > MOST * total}
-    kept = [b for b in page.blocks if whole.issuperset(b[3])]
+    held = [0] * len(page.mark_around)
+    for text, _, _, mark in page.blocks:
+        held[mark] += len(text)
+    total = sum(held)
+    for k in range(len(held) - 1, 0, -1):
+        held[page.mark_around[k]] += held[k]
+    whole = [n > MOST * total for n in held]  # what lies around such an element holds as much
+    whole[0] = True
+    kept = [b for b in page.blocks if whole[b[3]]]
     if page.blocks and not kept:
         return [not d for d in page.dropped]
     page.blocks = kept
-    return [not d and whole.issuperset(marks) for d, marks in zip(page.dropped, page.marks, strict=True)]
+    return [not d and whole[mark] for d, mark in zip(page.dropped, page.marks, strict=True)]
 
 
 def _totals(page: _Page, value: Callable[[str, int, int], float], share: float = 1) -> list[float]:
@@ -256,48 +260,93 @@ def main_container(page: _Page, allowed: list[bool]) -> int | None:
     return _widened(page, best)
 
 
-def best_path(html: str) -> int | None:
-    """The number of the best container's path."""
+def _beside(page: _Page, allowed: list[bool], chosen: list[bool]) -> dict[int, bool]:
+    """Containers of their own beside chosen parts of the body, and whether they hold prose, whatever their sizes.
+
+    Prose has some text outside links, and at most a third of it in them. Beside an article only articles count, beside main nothing.
+    """
+    tops: dict[int, set[str]] = {}
+    for k, c in enumerate(chosen):
+        if c and page.around[k] >= 0 and page.tags[page.around[k]] == "body":
+            tops.setdefault(page.around[k], set()).add(page.tags[k])
+    if not tops:
+        return {}
+    size, links = _totals(page, lambda text, *_: len(text)), _totals(page, lambda _, linked, __: linked)
+    plain = [0] * len(page.tags)
+    for text, linked, container, _ in page.blocks:
+        while container >= 0 and plain[container] < len(text) - linked:
+            plain[container] = len(text) - linked
+            container = page.around[container]
+    out = {}
+    for k, top in enumerate(page.around):
+        tags = tops.get(top)
+        if tags and not chosen[k] and allowed[k] and "main" not in tags and ("article" not in tags or page.tags[k] == "article"):
+            out[k] = plain[k] >= PROSE and 3 * links[k] <= size[k]
+    return out
+
+
+def ballot(html: str) -> tuple[int | None, dict[int, bool]]:
+    """The number of the best container's path, and of the paths beside it with whether they hold prose."""
     page = parse(html)
-    best = main_container(page, _without_marked(page))
-    return None if best is None else page.paths[best]
+    allowed = _without_marked(page)
+    best = main_container(page, allowed)
+    if best is None:
+        return None, {}
+    beside: dict[int, bool] = {}
+    for k, prose in _beside(page, allowed, [p == page.paths[best] for p in page.paths]).items():
+        beside[page.paths[k]] = prose or beside.get(page.paths[k], False)
+    return page.paths[best], beside
+
 
+def best_path(html: str) -> int | None:
+    return ballot(html)[0]
 
-def extract(html: str, path: int | None) -> str:
-    """The text of the blocks in containers on ``path``; without such, of the page's own best container."""
+
+def extract(html: str, path: int | None, rejected: Collection[int] = ()) -> str:
+    """The text of the blocks in containers on ``path``; without such, of the page's own best container. Prose beside them belongs to it but on ``rejected`` paths."""
     page = parse(html)
     allowed = _without_marked(page)
-    found: list[str] = []
-    if path is not None:
-        found = _within(page, [p == path for p in page.paths])
-    if not found and (own := main_container(page, allowed)) is not None:
-        found = _within(page, [p == page.paths[own] for p in page.paths])
-    return " ".join(found)
+    for k in (path, None):
+        if k is None:
+            own = main_container(page, allowed)
+            if own is None:
+                return ""
+            k = page.paths[own]
+        chosen = [p == k for p in page.paths]
+        for beside, prose in _beside(page, allowed, chosen).items():
+            chosen[beside] = prose and page.paths[beside] not in rejected
+        if found := _within(page, chosen):
+            return " ".join(found)
+    return ""
 
 
 def _within(page: _Page, chosen: list[bool]) -> list[str]:
-    """Texts of the blocks in chosen containers, in page order."""
+    """Texts of the blocks in chosen containers, in page order; of the body's own parts not those that hold links for more than a third."""
+    lists: set[int] = set()
+    if any(c and page.tags[k] == "body" for k, c in enumerate(chosen)):
+        size, links = _totals(page, lambda text, *_: len(text)), _totals(page, lambda _, linked, __: linked)
+        lists = {k for k, around in enumerate(page.around) if around >= 0 and page.tags[around] == "body" and page.tags[k] != "body" and 3 * links[k] > size[k]}
     for k in range(1, len(chosen)):
-        chosen[k] |= chosen[page.around[k]]
+        chosen[k] = chosen[k] or (chosen[page.around[k]] and k not in lists)
     return [text for text, _, container, _ in page.blocks if chosen[container]]
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, paths = [], []
+        rows = []
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            path = best_path(html.as_py() or "")
+            path, beside = ballot(html.as_py() or "")
             if path is not None:
-                hosts.append(host)
-                paths.append(path)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(paths, pa.int64())], names=["host", "path"])
+                rows += [(host, path, True, True), *((host, p, False, prose) for p, prose in beside.items())]
+        kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "path", "leads", "prose"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            texts = [extract(h.as_py() or "", p.as_py()) for h, p in zip(part.column(2), part.column(3), strict=True)]
+            texts = [extract(h.as_py() or "", p.as_py(), frozenset(r.as_py() or ())) for h, p, r in zip(*(part.column(k) for k in (2, 3, 4)), strict=True)]
             yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
@@ -317,12 +366,16 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     bounded_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
-    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path long").groupBy("host", "path").agg(F.count("*").alias("n"))
-    # most votes; ties: the path of the smallest number
-    winners = votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("n"), F.col("path"))).alias("path"))
+    votes = rows.select("host", "html").mapInArrow(_vote, "host string, path long, leads boolean, prose boolean")
+    votes = votes.groupBy("host", "path").agg(F.count_if("leads").alias("n"), F.count_if(~F.col("leads")).alias("stands"), F.count_if(~F.col("leads") & F.col("prose")).alias("prose"))
+    # most votes; ties: the path of the smallest number. Against prose beside it: what most of the host's pages don't hold prose in
+    winners = votes.groupBy("host").agg(
+        F.min_by(F.when(F.col("n") > 0, F.col("path")), F.when(F.col("n") > 0, F.struct(-F.col("n"), F.col("path")))).alias("path"),
+        F.collect_list(F.when((F.col("stands") > 1) & (2 * F.col("prose") < F.col("stands")), F.col("path"))).alias("rejected"),
+    )
     kind = rows.schema["id"].dataType.simpleString()
     return (
-        lookup_join(rows, materialize(winners, "paths"), "host", F.xxhash64("id", "url")).select("id", "url", "html", "path")
+        lookup_join(rows, materialize(winners, "paths"), "host", F.xxhash64("id", "url")).select("id", "url", "html", "path", "rejected")
         .mapInArrow(_extract, f"id {kind}, url string, text string")
         .select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
     )
