@@ -1,6 +1,7 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
-from vesselwatch.llm.queries import URL_RULES
+from vesselwatch.llm.queries import ORACLES, URL_RULES
 from vesselwatch.llm.urls import domain_of, host_reputation, judge_urls
 
 CASES = [
@@ -59,3 +60,30 @@ def test_long_and_repeated_urls(spark):
     pages = spark.createDataFrame([(1, long), (1, long), (2, "http://" + "h" * 100_000), (None, None)], "page_id long, url string").withColumn("domain", F.lit("mine"))
     got = judge_urls(pages, spark.createDataFrame([(1, 1)], "id long, bad int"), URL_RULES).collect()
     assert len(got) == 4 and {(len(r["host"]), len(r["path"])) for r in got} == {(100_008, 100_001), (100_000, 0), (0, 0)}
+
+
+def test_sql_has_the_same_domains_and_fallback(spark):
+    """Hosts without labels in good and bad domains and suffixes, two-label suffixes, logins, ports and addresses."""
+    pages, labels = [], []
+    hosts = [("a.bad.zz", 1, 30), ("b.bad.zz", 1, 12), ("c.bad.zz", None, 3), ("good.zz", 0, 25), ("www.good.zz", None, 2), ("x.worse.co.uk", 1, 20), ("y.worse.co.uk", None, 2), ("fine.co.uk", 0, 20), ("new.co.uk", None, 1)]
+    hosts += [("1.2.3.4", 1, 15), ("9.2.3.4", None, 1), ("u:p@d.bad.zz:8080", None, 2), ("bad.zz.", None, 1), ("[::1]:80", None, 1), ("lone", None, 1), ("e.evil.xx", 1, 40), ("other.xx", None, 2), ("mixed.yy", 2, 21)]
+    for host, bad, n in hosts:
+        for _ in range(n):
+            k = len(pages)
+            pages.append((k, f"http://{host}/p{k}?q"))
+            if bad is not None and k % 7:
+                labels.append((k, 0 if bad == 1 or (bad == 2 and k % 2) else 1, 0))
+    pages += [(1000, None), (1001, "no address"), (1002, "HTTP://A.Bad.ZZ#x"), (1002, "HTTP://A.Bad.ZZ#x")]
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0)
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), table.select(F.col("doc_id").alias("id"), bad.alias("bad")), URL_RULES)
+    got = sorted(map(tuple, found.select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.execute("create table labels (doc_id bigint, quality int, toxic int)")
+    con.executemany("insert into pages values (?, ?)", pages)
+    con.executemany("insert into labels values (?, ?, ?)", labels)
+    assert got == sorted(con.execute(ORACLES["op5_urls"]).fetchall(), key=str)
+    verdict = {r[1]: r[4] for r in got}
+    assert verdict["c.bad.zz"] == verdict["u:p@d.bad.zz:8080"] == verdict["y.worse.co.uk"] == verdict["other.xx"] == "block"
+    assert verdict["www.good.zz"] == verdict["new.co.uk"] == verdict["lone"] == "allow"

@@ -138,26 +138,36 @@ _RULES_SQL = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
 
 
 def _level(name: str, members: str, key: str, up: str, prior: str) -> str:
-    """A level of the reputation: prior means joined, the strength estimated, posterior means and pseudo-counts."""
-    return f"""{name}_j as (select m.*, q.p from {members} m join {prior} q using ({up})),
+    """A level of the reputation: prior means joined, the strength estimated, posterior means and pseudo-counts; what has no labels keeps its prior's mean."""
+    return f"""{name}_j as (select m.*, q.p, q.free from {members} m join {prior} q using ({up})),
 {name}_s as (select greatest(1e0, least(1000e0, case when rho > 0 then (1-rho)/rho else 1000e0 end)) as s from (select case when sum(n*p*(1-p)) > sum(p*(1-p))
-  then (sum(n*power(bad/n - p, 2)) - sum(p*(1-p))) / (sum(n*p*(1-p)) - sum(p*(1-p))) end as rho from {name}_j)),
-{name} as (select {key}, (bad + s*p)/(n + s) as p, n + s as k from {name}_j, {name}_s)"""
+  then (sum(n*power(bad/n - p, 2)) - sum(p*(1-p))) / (sum(n*p*(1-p)) - sum(p*(1-p))) end as rho from {name}_j where n > 0)),
+{name} as (select {key}, (bad + s*p)/(n + s) as p, case when n > 0 then n + s else 1/(1 - free*s/(s+1)) - 1 end as k, case when n > 0 then 1e0 else free*s/(s+1) end as free from {name}_j, {name}_s)"""
 
 
-_URLS_SQL = f"""with rules(verdict, rhost, rpath) as (values {_RULES_SQL}),
+def _urls_sql() -> str:
+    from vesselwatch.llm.urls import SECOND_LEVEL
+
+    last = lambda c, n: f"array_to_string(list_slice(string_split({c}, '.'), -{n}, -1), '.')"
+    second = ", ".join(f"'{label}.{country}'" for country, labels in SECOND_LEVEL.items() for label in labels.split())
+    return f"""with rules(verdict, rhost, rpath) as (values {_RULES_SQL}),
 u as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
 w as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 when quality is not null then 0 end) as bad from labels where doc_id is not null group by doc_id),
-o as (select host, bad from (select distinct page_id, host from u where host <> '') join w using (page_id) where bad is not null),
-h as (select host, count(*)::double as n, sum(bad)::double as bad, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as domain, list_extract(string_split(host, '.'), -1) as suffix from o group by host),
-d as (select domain, suffix, sum(n) as n, sum(bad) as bad from h group by all), f as (select suffix, sum(n) as n, sum(bad) as bad, 0 as root from d group by suffix),
-r as (select 0 as root, (sum(bad)+1)/(sum(n)+2) as p from f),
+o as (select host, 1e0 as n, bad::double as bad from (select distinct page_id, host from u where host <> '') join w using (page_id) where bad is not null
+  union all select distinct host, 0e0, 0e0 from u where host <> ''),
+g as (select host, sum(n) as n, sum(bad) as bad, regexp_replace(regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', ''), '[.]$', '') as name from o group by host),
+h as (select host, n, bad, case when regexp_matches(name, '^([0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}|\\[.*\\])$') then name when {last('name', 2)} in ({second}) then {last('name', 3)} else {last('name', 2)} end as domain from g),
+d as (select domain, {last('domain', 1)} as suffix, sum(n) as n, sum(bad) as bad from h group by all), f as (select suffix, sum(n) as n, sum(bad) as bad, 0 as root from d group by suffix),
+r as (select 0 as root, (sum(bad)+1)/(sum(n)+2) as p, 1e0 as free from f having sum(n) > 0),
 {_level('pf', 'f', 'suffix', 'root', 'r')}, {_level('pd', 'd', 'domain', 'suffix', 'pf')}, {_level('ph', 'h', 'host', 'domain', 'pd')},
 m as (select u.*, rule, verdict from u left join lateral (select rhost || rpath as rule, verdict from rules where (u.host = rhost or ends_with(u.host, '.' || rhost)) and starts_with(u.path, rpath)
   order by length(rhost || rpath) desc, length(rhost) desc limit 1) on true)
 select page_id, m.host, path, rule, coalesce(verdict, case when p - 1.645e0*sqrt(p*(1-p)/(k+1)) > 0.5e0 then 'block' else 'allow' end) as verdict from m left join ph on ph.host = m.host"""
 
+
+_URLS_SQL = _urls_sql()
+
 _TOPK_SQL = """with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 100 = 0)
