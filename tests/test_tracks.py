@@ -141,3 +141,14 @@ def test_slices_change_nothing(spark):
     assert plain.vessels.agg(F.sum("d1_episodes")).first()[0] > 0
     with pytest.raises(ValueError, match="whole sampling buckets"):
         tracks.with_track_columns(df, Detection(), 1000)
+
+
+def test_another_rule_for_quality(spark):
+    points = [(0, 10, 20, 8.0), (120, 12, 20, 8.0), (240, 14, 20, 8.0)]
+    land = land_from_rings(spark, [[[(19.0, 9.0), (21.0, 9.0), (21.0, 11.0), (19.0, 11.0)]]])
+    rule = lambda start, end, near: F.when(start, "from_land").otherwise("ok")
+    usual, other = (run_detection(records(spark, *points), ports(spark), land, quality=q) for q in (None, rule))
+    flags = lambda found: [r["quality_flag"] for r in found.jumps.orderBy("end_ts").collect()]
+    assert flags(usual) == ["suspect_land_point", "ok"] and flags(other) == ["from_land", "ok"]
+    everything = run_detection(records(spark, *points), ports(spark), None, quality=lambda start, end, near: F.lit("ok"))
+    assert everything.vessels.first()["d2_valid_events"] == 2 and run_detection(records(spark, *points), ports(spark), None).vessels.first()["d2_valid_events"] == 0

@@ -12,16 +12,18 @@ from vesselwatch.operators import report
 from vesselwatch.plans.detection import run_detection
 from vesselwatch.session import get_session, stored
 from vesselwatch.sources import sinks, tables
+from vesselwatch.sources.shapes import read_shapefile
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="vesselwatch", description=__doc__)
     p.add_argument("reports", nargs="+", help="CSV files of position reports, in time order")
     p.add_argument("--ports", help="CSV catalogue of ports")
-    p.add_argument("--land", help="land polygons: GeoJSON, or JSON lines of edges")
+    p.add_argument("--land", help="land polygons: a shapefile (.shp), GeoJSON, or JSON lines of edges")
     p.add_argument("--out", required=True, help="folder for the CSV tables")
     p.add_argument("--top", type=int, default=10, help="vessels to print")
     p.add_argument("--encoding", default="utf-8")
+    p.add_argument("--multi-line", action="store_true", help="quoted fields may hold line ends (files are then not split)")
     p.add_argument("--no-meetings", action="store_true", help="leave out detector B")
     p.add_argument("--exact-grid", action="store_true", help="find meetings at high latitudes too")
     p.add_argument("--strict-gap", action="store_true", help="end a meeting after any long gap")
@@ -39,9 +41,10 @@ def main(argv: list[str] | None = None) -> None:
     spark = get_session(master=args.master)
     try:
         config = Detection(track_sample_s=args.track_seconds, meeting_sample_s=args.meeting_seconds)
-        raw = tables.read_raw(spark, args.reports, args.encoding)
+        raw = tables.read_raw(spark, args.reports, args.encoding, args.multi_line)
         ports = tables.read_ports(spark, args.ports) if args.ports else None
-        land = tables.read_land(spark, args.land) if args.land else None
+        read_land = read_shapefile if args.land and args.land.lower().endswith(".shp") else tables.read_land
+        land = read_land(spark, args.land) if args.land else None
     except (ValueError, AnalysisException) as e:  # limits, missing columns, missing files
         raise SystemExit(str(e)) from e
     # parsed once, each kind of event found once, whatever the number of reports

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql.window import Window, WindowSpec
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import haversine_km, land_by_cell, ports_by_cell, speed_knots, with_near_port, with_on_land
 
+#: A rule for the quality of a D2.
+Classifier = Callable[[Column, Column, Column], Column]
 POINT = ["ts", "latitude", "longitude", "draught"]
 
 
@@ -122,14 +124,14 @@ def _km(start: str) -> Column:
     return haversine_km(F.col(f"{start}.latitude"), F.col(f"{start}.longitude"), F.col("latitude"), F.col("longitude"))
 
 
-def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, **tracks) -> DataFrame:
+def detect(records: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, quality: Classifier | None = None, **tracks) -> DataFrame:
     """``candidates`` after the look-ups: draught changes at sea only, jumps with their quality.
 
     ``ports`` None: draught changes count everywhere; ``land`` None: no D2 can be trusted. A filter on either kind
-    of event is pushed below the look-ups, which are left joins. ``tracks``: further arguments of ``with_track_columns``.
+    of event is pushed below the look-ups, which are left joins. ``quality`` as in ``with_quality``; ``tracks``: further arguments of ``with_track_columns``.
     """
     config = config or Detection()
-    return with_quality(without_port_changes(candidates(records, config, **tracks), config, ports), config, ports, land)
+    return with_quality(without_port_changes(candidates(records, config, **tracks), config, ports), config, ports, land, quality)
 
 
 def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | None, **tracks) -> DataFrame:
@@ -137,9 +139,9 @@ def detect_draught(records: DataFrame, config: Detection, ports: DataFrame | Non
     return without_port_changes(candidates(records, config, **tracks), config, ports)
 
 
-def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, **tracks) -> DataFrame:
+def detect_jumps(records: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, quality: Classifier | None = None, **tracks) -> DataFrame:
     """``candidates`` with the quality of jumps."""
-    return with_quality(candidates(records, config, **tracks), config, ports, land)
+    return with_quality(candidates(records, config, **tracks), config, ports, land, quality)
 
 
 def candidates(records: DataFrame, config: Detection | None = None, **tracks) -> DataFrame:
@@ -185,8 +187,17 @@ def without_port_changes(t: DataFrame, config: Detection, ports: DataFrame | Non
     return t.withColumn("is_draught_change", F.col("is_draught_change") & ~F.col("__near_end") & ~F.col("__near_start")).drop("__lat", "__lon", "__near_end", "__near_start")
 
 
-def with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None) -> DataFrame:
-    """start_on_land, end_on_land, quality and counts of jumps; D1 are ok and count."""
+def usual_quality(start_on_land: Column, end_on_land: Column, near_port: Column) -> Column:
+    """The flag of a D2: ok with both ends at sea, else suspect; without a mask the ends are null and no D2 is ok."""
+    known = start_on_land.isNotNull() & end_on_land.isNotNull()
+    return F.when(known & ~start_on_land & ~end_on_land, "ok").when(known & near_port, "suspect_land_point_near_port").otherwise("suspect_land_point")
+
+
+def with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land: DataFrame | None, quality: Classifier | None = None) -> DataFrame:
+    """start_on_land, end_on_land, quality and counts of jumps; D1 are ok and count.
+
+    ``quality``: another rule than ``usual_quality``, a function of the same three columns. A D2 that it calls ok counts.
+    """
     d2 = F.coalesce(F.col("subtype") == "D2", F.lit(False))
     t = t.withColumns({"__lat": F.col("prev.latitude"), "__lon": F.col("prev.longitude")})
     masks = land_by_cell(land) if land is not None else None
@@ -198,10 +209,9 @@ def with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land:
         t = with_near_port(t, cells, "__lat", "__lon", "__near_start", d2)
         t = with_near_port(t, cells, "latitude", "longitude", "__near_end", d2)
         near = F.col("__near_start") | F.col("__near_end")
-    known = F.col("start_on_land").isNotNull() & F.col("end_on_land").isNotNull()
-    at_sea = known & ~F.col("start_on_land") & ~F.col("end_on_land")
-    quality = F.when(F.col("subtype") == "D1", "ok").when(d2 & at_sea, "ok").when(d2 & known & near, "suspect_land_point_near_port").when(d2, "suspect_land_point")
-    return t.withColumn("quality_flag", quality).withColumn("counts", F.coalesce(F.col("quality_flag") == "ok", F.lit(False))).drop("__lat", "__lon", "__near_start", "__near_end")
+    flag = (quality or usual_quality)(F.col("start_on_land"), F.col("end_on_land"), near)
+    flag = F.when(F.col("subtype") == "D1", "ok").when(d2, flag)
+    return t.withColumn("quality_flag", flag).withColumn("counts", F.coalesce(F.col("quality_flag") == "ok", F.lit(False))).drop("__lat", "__lon", "__near_start", "__near_end")
 
 
 def _ends(start: str) -> list[Column]:

@@ -50,7 +50,8 @@ def _tracks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return meet.meeting_points(_tracks(spark, d), SPARSE, demo.ports(spark, d))
+    """Written once, as in ``meetings``: pairs read them from several sides."""
+    return stored(meet.meeting_points(_tracks(spark, d), SPARSE, demo.ports(spark, d)), "points")
 
 
 def _sessions(spark: SparkSession, d: str) -> DataFrame:

@@ -17,9 +17,10 @@ from vesselwatch.session import stored
 class Result:
     """Lazy results over ``records`` (mmsi, ts, seq, latitude, longitude, sog, draught)."""
 
-    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool, slice_s: int | None, share: float | None = None, least: int = 1_000_000):
+    def __init__(self, records: DataFrame, ports: DataFrame | None, land: DataFrame | None, config: Detection, with_meetings: bool, exact_grid: bool, strict_gap: bool, slice_s: int | None, share: float | None = None, least: int = 1_000_000, quality: tracks.Classifier | None = None):
         self.records, self.ports, self.land, self.config = records, ports, land, config
         self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s, self.share, self.least = with_meetings, exact_grid, strict_gap, slice_s, share, least
+        self.quality = quality
         self.observed: dict[str, Observation] = {}
 
     @cached_property
@@ -31,7 +32,7 @@ class Result:
 
     @cached_property
     def _parts(self) -> DataFrame:
-        return tracks.detect(self.records, self.config, self.ports, self.land, **self.tracks)
+        return tracks.detect(self.records, self.config, self.ports, self.land, self.quality, **self.tracks)
 
     @cached_property
     def detected(self) -> DataFrame:
@@ -48,7 +49,7 @@ class Result:
 
     @cached_property
     def jumps(self) -> DataFrame:
-        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land, **self.tracks))
+        return tracks.jumps(tracks.detect_jumps(self.records, self.config, self.ports, self.land, self.quality, **self.tracks))
 
     @cached_property
     def meetings(self) -> DataFrame:
@@ -65,7 +66,7 @@ class Result:
 
     def kept(self) -> Result:
         """The same with each kind of event and the vessels written once: for several reports of one run. Rows are counted as they are written."""
-        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s, self.share, self.least)
+        again = Result(self.records, self.ports, self.land, self.config, self.with_meetings, self.exact_grid, self.strict_gap, self.slice_s, self.share, self.least, self.quality)
         again.__dict__["tracks"] = self.tracks
         for name in ("silences", "draught_changes", "jumps", "meetings", "vessels"):  # the vessels' meetings are read, not found again
             seen = Observation(f"{name}-{uuid4().hex}")
@@ -82,8 +83,8 @@ class Result:
         return {"records": found["vessels"]["records"]} | {name: counts["rows"] for name, counts in found.items()}
 
 
-def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False, slice_s: int | None = None, share: float | None = 1 / 200, least: int = 1_000_000) -> Result:
+def run_detection(records: DataFrame, ports: DataFrame | None = None, land: DataFrame | None = None, config: Detection | None = None, with_meetings: bool = True, exact_grid: bool = False, strict_gap: bool = False, slice_s: int | None = None, share: float | None = 1 / 200, least: int = 1_000_000, quality: tracks.Classifier | None = None) -> Result:
     """All detectors and the vessel table. Tracks of vessels with over ``share`` and over ``least`` of all records are cut into slices, if
-    there are any (``share`` None: none is looked for); with ``slice_s`` all are.
+    there are any (``share`` None: none is looked for); with ``slice_s`` all are. ``quality``: a rule for D2 as in ``with_quality``.
     """
-    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap, slice_s, share, least)
+    return Result(records, ports, land, config or Detection(), with_meetings, exact_grid, strict_gap, slice_s, share, least, quality)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vesselwatch.config import Detection
 from vesselwatch.operators.meetings import meeting_sessions, pair_observations
+from vesselwatch.session import discard, stored
 
 _DAY = 86_400
 
@@ -26,7 +27,7 @@ def _known(spark: SparkSession, table: str, before: int) -> tuple[int | None, in
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing was written yet
             return None, None
         raise
-    last = rows.orderBy(F.desc("batch")).first()
+    last = rows.agg(F.max_by(F.struct("since", "upto"), "batch").alias("last")).first()["last"]
     return (last["since"], last["upto"]) if last else (None, None)
 
 
@@ -58,12 +59,13 @@ def _process(batch: DataFrame, number: int, table: str, config: Detection, exact
     if len(newest) == 2:
         gap, before = config.continuation_s, upto
         upto = newest[1]
-        sessions = _sessions(held.where(F.col("bucket") <= upto), config, exact_grid)
+        sessions = stored(_sessions(held.where(F.col("bucket") <= upto), config, exact_grid), "sessions")  # for the events and for what stays open
         closed = F.lit(upto) - F.col("end_epoch") > gap
         told = F.lit(False) if before is None else F.lit(before) - F.col("end_epoch") > gap
         _write(sessions.where(closed & ~told & (F.col("duration_hours") >= config.meeting_h)).drop("session"), table, "events", number)
         earliest = sessions.where(~closed).agg(F.min("start_epoch")).first()[0]
         since = newest[0] if earliest is None else earliest
+        discard(sessions)
     _write(spark.createDataFrame([(since, upto)], "since long, upto long"), table, "progress", number)
 
 
