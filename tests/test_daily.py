@@ -37,16 +37,16 @@ def lines(df):
     return sorted(str(r) for r in df.select(*kinds).collect())
 
 
-@pytest.mark.parametrize("options", [{}, {"share": 0.1, "least": 10}])
-def test_days_equal_one_run(spark, tmp_path, options):
+@pytest.mark.parametrize(("options", "shares"), [({}, (0.2, 0.5)), ({"share": 0.1, "least": 10}, (0.4,))])
+def test_days_equal_one_run(spark, tmp_path, options, shares):
     records = made(spark)
     whole = run_detection(records, ports(spark), None, CONFIG, share=None)
     runs = DailyDetection(spark, f"file://{tmp_path}", CONFIG, ports(spark), None, **options)
     low, high = records.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
-    cuts = [low, low + (high - low) // 5 + 7, low + (high - low) // 2 + 111, high + 1]
+    cuts = [low, *(low + int((high - low) * s) + 7 for s in shares), high + 1]  # wherever in a bucket or meeting
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         assert runs.add(records.where(F.unix_seconds("ts").between(a, b - 1)), k)
-        assert not runs.add(records, k)  # merged already
+    assert not runs.add(records, k)  # merged already
     assert not runs.add(records, 0)
     runs.close()
     for name in DailyDetection.EVENTS:
