@@ -41,6 +41,20 @@ LONG_WORD = 192
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = ["NFC", "Replace", "Lowercase"]
 
+#: Fixed values of Unicode 16 and 17, which Python's tables may lack yet: ranges of letters and of numbers, and (first, last, first lower-case one) of capitals.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF),
+    (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEWER_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+_NEWER_LOWER = {first + k: lower + k for first, last, lower in NEWER_CAPITALS for k in range(last - first + 1)}
+_HAS_NEWER = re.compile("[" + "".join(f"{chr(first)}-{chr(last)}" for first, last, _ in NEWER_CAPITALS) + "]").search
+
 # --- the splitter ---------------------------------------------------------------------------------------------
 
 #: Classes of characters: white space, letters (those that end or begin an ending such as 're apart), numbers, the rest.
@@ -96,6 +110,9 @@ def _classes() -> np.ndarray:
         kind = unicodedata.category(chr(code))[0]
         if kind in "LN":
             out[code] = LETTER if kind == "L" else NUMBER
+    for kind, ranges in ((LETTER, NEWER_LETTERS), (NUMBER, NEWER_NUMBERS)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     out[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
     for letters, kind in (("'", APOSTROPHE), ("stmd", ENDING), ("rv", OPENS_E), ("l", ELL), ("e", E)):
         out[[ord(c) for c in letters]] = kind
@@ -340,7 +357,7 @@ class TokenCounter:
                 out[k] += len(segments) - 1
             for segment in segments:
                 for piece in _spans(segment):
-                    piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()  # character by character: no final sigma
+                    piece = _lowered(piece)
                     pieces.append(piece)
                     owners.append(k)
                     held += len(piece)
@@ -370,6 +387,14 @@ class TokenCounter:
         np.add.at(out, owner, self.counter.counts(data, starts, ends - starts))
 
 
+def _lowered(text: str) -> str:
+    """Composed and lower-cased, character by character: there is no final sigma."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return (text.translate(_NEWER_LOWER) if _HAS_NEWER(text) else text).lower()
+
+
 def _spans(text: str) -> Iterator[str]:
     """Parts of about ``SPAN`` characters, cut before a plain blank or line end, which no word and no composition crosses."""
     at = 0
@@ -409,7 +434,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
 
     Defined cases: a null text counts as the empty one (0 bytes, 0 tokens, not over the limit); null and repeated ids
     pass through, a row each; texts of any length are counted whole; the strings of added tokens inside a text are one token each;
-    an empty table gives an empty result; other columns are ignored. Letters and cases are those of Python's Unicode tables.
+    an empty table gives an empty result; other columns are ignored.
     """
     tokenizer = load_tokenizer(docs.sparkSession, path)
     counted = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), count_tokens(F.col(text_col), tokenizer).alias("n_tokens"))
