@@ -4,6 +4,7 @@ import pytest
 from vesselwatch.config import Detection
 from vesselwatch.operators import crowds
 from vesselwatch.operators import meetings as meet
+from vesselwatch.plans.daily import DailyDetection
 
 CONFIG = Detection()
 
@@ -35,7 +36,8 @@ def test_crowds_equal_the_joins(spark, monkeypatch, place, strict):
         assert rows(crowds.crowded_sessions(told, bounds, CONFIG, exact, strict)) == want[1]
 
 
-def test_pairs_of_a_crowd_are_not_shuffled(spark):
+def test_pairs_of_a_crowd_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", 0)
     points = crowd(spark)
     for df in (meet.pair_observations(points, CONFIG), meet.sessions_of(points, CONFIG, least_h=2.0)):
         plan = df._jdf.queryExecution().executedPlan().toString()
@@ -44,9 +46,32 @@ def test_pairs_of_a_crowd_are_not_shuffled(spark):
     assert crowds.ranges_for(lonely, CONFIG) is None
 
 
-def test_long_or_open_sessions(spark):
+@pytest.mark.parametrize("least_pairs", [0, 1 << 62])
+def test_long_and_open_sessions(spark, monkeypatch, least_pairs):
     points = crowd(spark)
-    all_ = meet.sessions_of(points, CONFIG)
-    want = rows(all_.where("duration_hours >= 1 or end_epoch > 16000"))
-    assert 0 < len(want) < all_.count()
-    assert rows(meet.sessions_of(points, CONFIG, least_h=1.0, open_after=16000)) == want
+    all_ = meet.sessions_of(points, CONFIG).collect()
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", least_pairs)
+    got = meet.sessions_of(points, CONFIG, least_h=1.0, open_after=16000).collect()
+    want = {(r["mmsi_a"], r["mmsi_b"], r["start_epoch"]) for r in all_ if r["duration_hours"] >= 1 and r["end_epoch"] <= 16000}
+    assert {(r["mmsi_a"], r["mmsi_b"], r["start_epoch"]) for r in got if r["mmsi_b"] is not None} == want and want
+    since, told = {}, {}
+    for r in (r for r in all_ if r["end_epoch"] > 16000):
+        for m in (r["mmsi_a"], r["mmsi_b"]):
+            since[m] = min(since.get(m, r["start_epoch"]), r["start_epoch"])
+    for r in (r for r in got if r["mmsi_b"] is None):
+        told[r["mmsi_a"]] = min(told.get(r["mmsi_a"], r["start_epoch"]), r["start_epoch"])
+    assert told == since and since
+
+
+def test_days_keep_no_pairs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", 0)
+    rows = [(210000000 + v, t, v * 1000 + t, 10.0, 20.0, 0.1, None) for v in range(30) for t in range(0, 9600, 1200)]
+    records = spark.createDataFrame(rows, "mmsi long, t long, seq long, latitude double, longitude double, sog double, draught double").selectExpr("mmsi", "timestamp_seconds(t) as ts", "seq", "latitude", "longitude", "sog", "draught")
+    ports = spark.createDataFrame([], "port_no int, port_name string, latitude double, longitude double, radius_km double")
+    runs = DailyDetection(spark, f"file://{tmp_path}", CONFIG, ports)
+    for k in range(2):
+        runs.add(records.where(f"unix_seconds(ts) div 4800 = {k}"), k)
+        kept = [spark.read.parquet(str(p)).count() for p in tmp_path.glob("*/run=*") if p.parent.name not in ("done", "vessels")]
+        assert max(kept) <= len(rows)  # 435 pairs, 240 points
+    runs.close()
+    assert runs.events("meetings").count() == 435

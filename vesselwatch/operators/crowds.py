@@ -27,6 +27,8 @@ CANDIDATES = 2_000_000
 RANGE_POINTS = 200_000
 #: Ranges that vessels are dealt to, at most.
 RANGES = 400
+#: Pairs within cells from which on they may be too many to be shuffled.
+LEAST_PAIRS = 1_000_000
 
 PAIRS = "mmsi_a long, mmsi_b long, bucket long, latitude_a double, longitude_a double, latitude_b double, longitude_b double, km double"
 _PLACES = ["lat_a", "lon_a", "lat_b", "lon_b"]
@@ -46,7 +48,7 @@ def ranges_for(points: DataFrame, config: Detection) -> list[int] | None:
     cells = points.groupBy("bucket", F.floor(F.col("latitude") / size).alias("y"), F.floor(F.col("longitude") / size).alias("x")).agg(F.count("*").alias("n"))
     n, squares = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()
     k = max(1, math.ceil(math.sqrt(2 * squares / CANDIDATES)), math.ceil(n / RANGE_POINTS))
-    if k > RANGES or n * (k + 1) >= squares:
+    if squares < LEAST_PAIRS or k > RANGES or n * (k + 1) >= squares:
         return None
     if k == 1:
         return []
@@ -147,9 +149,9 @@ def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[dict, dict]:
     return sides[0], sides[1]
 
 
-def _told(names: list[str], values: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _told(names: list[str], values: list) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(values[0]), _ROWS_OUT):
-        yield pa.RecordBatch.from_arrays([pa.array(v[k : k + _ROWS_OUT]) for v in values], names=names)
+        yield pa.RecordBatch.from_arrays([v[k : k + _ROWS_OUT] if isinstance(v, pa.Array) else pa.array(v[k : k + _ROWS_OUT]) for v in values], names=names)
 
 
 def _in_groups(points: DataFrame, bounds: list[int], config: Detection, exact: bool, tell: Callable, schema: str) -> DataFrame:
@@ -188,9 +190,16 @@ def crowded_sessions(points: DataFrame, bounds: list[int], config: Detection, ex
         least, mean = np.minimum.reduceat(km, first), np.add.reduceat(km, first) / n
         kept = hours >= least_h
         if open_after is not None:
-            kept |= bucket[last] > open_after
+            ends = bucket[last]
+            going = first[ends > open_after]
+            kept &= ends <= open_after
+            vessels, of = np.unique(np.r_[a["mmsi"][going], b["mmsi"][going]], return_inverse=True)
+            since = np.full(len(vessels), np.iinfo(np.int64).max)
+            np.minimum.at(since, of, np.r_[bucket[going], bucket[going]])
+            nothing = [pa.nulls(len(vessels), pa.int64() if c in ("mmsi_b", "end_epoch", "observations") else pa.float64()) for c in names]
+            yield from _told(names, [vessels if c == "mmsi_a" else since if c == "start_epoch" else none for c, none in zip(names, nothing, strict=True)])
         f, e = first[kept], last[kept]
         places = [side[c][at] for at in (f, e) for side in (a, b) for c in ("latitude", "longitude")]
-        return _told(names, [a["mmsi"][f], b["mmsi"][f], bucket[f], bucket[e], hours[kept], n[kept], least[kept], mean[kept], *places])
+        yield from _told(names, [a["mmsi"][f], b["mmsi"][f], bucket[f], bucket[e], hours[kept], n[kept], least[kept], mean[kept], *places])
 
     return _in_groups(points, bounds, config, exact_grid, tell, SESSIONS)

@@ -139,14 +139,22 @@ def meeting_sessions(pairs: DataFrame, points: DataFrame, config: Detection, str
 
 
 def sessions_of(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0, open_after: int | None = None) -> DataFrame:
-    """The sessions of stored candidate points that last at least ``least_h``, or that end after ``open_after`` if that is given."""
+    """The sessions of stored candidate points that last at least ``least_h``. ``points`` may bring the last occupied bucket before their own (``before``).
+
+    ``open_after``: sessions that end after it are still open. Of these there are only rows of single vessels (``mmsi_b`` null): ``start_epoch`` is
+    the earliest beginning, in the whole result, of the open sessions of ``mmsi_a``.
+    """
+    occupied = points.groupBy("bucket").agg(F.max("before").alias("before")) if "before" in points.columns else previous_occupied(points)
     if (bounds := ranges_for(points, config)) is not None:
-        told = points.join(previous_occupied(points), "bucket", "left")
-        return crowded_sessions(told, bounds, config, exact_grid, strict_gap, least_h, open_after)
-    kept = F.col("duration_hours") >= least_h
-    if open_after is not None:
-        kept |= F.col("end_epoch") > open_after
-    return meeting_sessions(pair_observations(points, config, exact_grid), points, config, strict_gap).where(kept).drop("session")
+        return crowded_sessions(points.drop("before").join(occupied, "bucket", "left"), bounds, config, exact_grid, strict_gap, least_h, open_after)
+    sessions = as_sessions(joined_pieces(as_pieces(pair_observations(points, config, exact_grid)), occupied, config, strict_gap)).drop("session")
+    if open_after is None:
+        return sessions.where(F.col("duration_hours") >= least_h)
+    kinds = dict(sessions.dtypes)
+    row = lambda **given: F.struct(*(given.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in sessions.columns))
+    going = F.array(*(row(mmsi_a=F.col(m), start_epoch=F.col("start_epoch")) for m in ("mmsi_a", "mmsi_b")))
+    told = sessions.where((F.col("duration_hours") >= least_h) | (F.col("end_epoch") > open_after))
+    return told.select(F.inline(F.when(F.col("end_epoch") > open_after, going).otherwise(F.array(row(**{c: F.col(c) for c in sessions.columns})))))
 
 
 def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, exact_grid: bool = False, strict_gap: bool = False) -> DataFrame:

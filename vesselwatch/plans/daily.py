@@ -1,7 +1,8 @@
 """Detection day by day: each run reads its own records and what the runs before it left, never the earlier records.
 
 What stays of a vessel is one row: its summary so far, its last record, last track sample and latest D1 end. What stays of
-meetings are the sessions still open and the points of the newest bucket, which may still get points. Runs in the
+meetings are the points of the newest bucket, which may still get points, and a vessel's points since the earliest of its sessions
+still open began: points, as in a crowd there are far more open sessions. Runs in the
 order of time give the events and summaries of one run over all records, wherever the days are cut.
 """
 
@@ -85,39 +86,42 @@ class DailyDetection:
     def _finish(self, run: int, upto: int | None, last: int | None) -> None:
         self._write(self.spark.createDataFrame([(upto,)], "upto long"), "done", run)
         if last is not None:  # no later run reads these
-            for name in ("vessels", "open", "pending"):
+            for name in ("vessels", "pending"):
                 remove(self.spark, f"{self.path}/{name}/run={last}")
 
     def _meet(self, points: DataFrame | None, last: int | None, run: int, upto: int | None) -> int | None:
         """Closes what is closed by all buckets but the newest, or all (``points`` None); returns the last bucket processed.
 
-        Points of buckets that were processed before are too late for their bucket; they form one of their own at the same time, as
-        a bucket's second arrival does.
+        Points of buckets that were processed before enter them as far as the bucket's other points are still there; sessions
+        closed before are not told again.
         """
         held = self._read("pending", last) if last is not None else None
-        if points is None:
-            points = held
-        elif held is not None:
-            points = points.unionByName(held)
+        if points is not None:
+            points = points.withColumn("before", F.lit(None).cast("long"))
+        if held is not None:
+            points = held if points is None else points.unionByName(held)
         if points is None:
             return upto
         points = stored(points, "points")
         newest = points.agg(F.max("bucket")).first()[0]
         ready = points if run == END else points.where(F.col("bucket") < newest)
-        pieces = meet.as_pieces(meet.pair_observations(ready, self.config, self.exact_grid))
-        occupied = ready.select("bucket")
+        # vessels without open sessions are gone from processed buckets, so these keep what was found when all were there
+        occupied = ready.where("before is null").select("bucket")
         if upto is not None:
             occupied = occupied.unionByName(self.spark.createDataFrame([(upto,)], "bucket long"))
-        before = self._read("open", last) if last is not None else None
-        if before is not None:
-            pieces = pieces.unionByName(before)
-        sessions = stored(meet.joined_pieces(pieces, meet.previous_occupied(occupied), self.config).drop("session"), "sessions")
+        found = meet.previous_occupied(occupied).withColumnRenamed("before", "found")
+        ready = stored(ready.join(found, "bucket", "left").select("mmsi", "bucket", "latitude", "longitude", "seq", F.coalesce("before", "found").alias("before")), "points")
+        gap, told_to = self.config.continuation_s, upto
         upto = max((x for x in (upto, ready.agg(F.max("bucket")).first()[0]) if x is not None), default=None)
-        closed = F.lit(True) if run == END or upto is None else F.lit(upto) - F.col("bucket") > self.config.continuation_s
-        self._write(meet.as_sessions(sessions.where(closed)).where(F.col("duration_hours") >= self.config.meeting_h), "meetings", run)
-        self._write(sessions.where(~closed), "open", run)
-        self._write(points.where(F.col("bucket") >= newest) if run != END else points.where(F.lit(False)), "pending", run)
-        discard(points, sessions)
+        open_after = None if run == END or upto is None else upto - gap - 1
+        # long sessions that are closed, and since when vessels have others that are open: far fewer than all sessions
+        sessions = stored(meet.sessions_of(ready, self.config, self.exact_grid, least_h=self.config.meeting_h, open_after=open_after), "sessions")
+        told = F.lit(False) if told_to is None else F.lit(told_to) - F.col("end_epoch") > gap
+        self._write(sessions.where(F.col("mmsi_b").isNotNull() & ~told), "meetings", run)
+        since = sessions.where("mmsi_b is null").groupBy("mmsi_a").agg(F.min("start_epoch").alias("since"))
+        kept = ready.join(since, F.col("mmsi") == F.col("mmsi_a")).where("bucket >= since").drop("mmsi_a", "since")
+        self._write(kept.unionByName(points.where(F.col("bucket") >= newest)) if run != END else points.where(F.lit(False)), "pending", run)
+        discard(points, ready, sessions)
         return upto
 
     def events(self, kind: str) -> DataFrame | None:
