@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vesselwatch.config import Detection
-from vesselwatch.operators.meetings import meeting_sessions, pair_observations
+from vesselwatch.operators.meetings import sessions_of
 from vesselwatch.session import discard, stored
 
 _DAY = 86_400
@@ -36,9 +36,8 @@ def _held(spark: SparkSession, table: str, since: int | None, number: int) -> Da
     return held if since is None else held.where((F.col("day") >= since // _DAY) & (F.col("bucket") >= since))
 
 
-def _sessions(points: DataFrame, config: Detection, exact_grid: bool) -> DataFrame:
-    points = points.select("mmsi", "bucket", "latitude", "longitude", "seq")
-    return meeting_sessions(pair_observations(points, config, exact_grid), points, config)
+def _sessions(points: DataFrame, config: Detection, exact_grid: bool, open_after: int | None = None) -> DataFrame:
+    return sessions_of(points.select("mmsi", "bucket", "latitude", "longitude", "seq"), config, exact_grid, least_h=config.meeting_h, open_after=open_after)
 
 
 def _write(df: DataFrame, table: str, name: str, number: int) -> None:
@@ -59,10 +58,11 @@ def _process(batch: DataFrame, number: int, table: str, config: Detection, exact
     if len(newest) == 2:
         gap, before = config.continuation_s, upto
         upto = newest[1]
-        sessions = stored(_sessions(held.where(F.col("bucket") <= upto), config, exact_grid), "sessions")  # for the events and for what stays open
-        closed = F.lit(upto) - F.col("end_epoch") > gap
+        # long sessions that are closed, and since when others are open: far fewer than all sessions
+        sessions = stored(_sessions(held.where(F.col("bucket") <= upto), config, exact_grid, upto - gap - 1), "sessions")
+        closed = F.col("mmsi_b").isNotNull()
         told = F.lit(False) if before is None else F.lit(before) - F.col("end_epoch") > gap
-        _write(sessions.where(closed & ~told & (F.col("duration_hours") >= config.meeting_h)).drop("session"), table, "events", number)
+        _write(sessions.where(closed & ~told), table, "events", number)
         earliest = sessions.where(~closed).agg(F.min("start_epoch")).first()[0]
         since = newest[0] if earliest is None else earliest
         discard(sessions)
@@ -88,4 +88,4 @@ def close_meetings(spark: SparkSession, table: str, config: Detection | None = N
     since, upto = _known(spark, table, last)
     sessions = _sessions(_held(spark, table, since, last), config, exact_grid)
     told = F.lit(False) if upto is None else F.lit(upto) - F.col("end_epoch") > config.continuation_s
-    _write(sessions.where(~told & (F.col("duration_hours") >= config.meeting_h)).drop("session"), table, "events", last)
+    _write(sessions.where(~told), table, "events", last)
