@@ -114,3 +114,19 @@ def test_every_micro_batch_is_in_the_profile(spark, tmp_path):
     sinks.write_profile(str(tmp_path / "progress"), spark, str(tmp_path / "profile"))
     rows = spark.read.option("header", True).csv(str(tmp_path / "profile")).collect()
     assert [int(r["chunk_id"]) for r in rows] == list(range(15)) and all(r["raw_row_count"] == "1" for r in rows)
+
+
+def test_numbered_reports_of_one_time_keep_their_order(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [",".join(["Number", *HEADER])]
+    for v in range(8):
+        for number, (hour, lat) in enumerate([(1, 10 + v), (1, 30 + v), (1, 10 + v), (9, 50)]):
+            value = {"# Timestamp": f"01/01/2025 0{hour}:00:00", "Type of mobile": "Class A", "MMSI": str(210000001 + v), "Latitude": str(lat), "Longitude": "10", "SOG": "1", "Draught": "5"}
+            lines.append(",".join([str(10 * v + number), *(value.get(h, "") for h in HEADER)]))
+    (tmp_path / "in/a.csv").write_text("\n".join([lines[0], *reversed(lines[1:])]) + "\n")
+    records = record_stream(report_stream(spark, str(tmp_path / "in"), ["Number", *HEADER], number="Number"), replay="1 day")
+    run_available(stream_events(records), str(tmp_path / "out"), str(tmp_path / "state"))
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    # a sample is the first report of its time, a jump starts at the last one, which is no repetition of the first
+    assert {(r["mmsi"] - 210000001, r["start_latitude"]) for r in found if r["kind"] == "A"} == {(v, 10.0 + v) for v in range(8)}
+    assert {(r["mmsi"] - 210000001, r["start_latitude"]) for r in found if r["kind"] == "D2"} == {(v, 10.0 + v) for v in range(8)}
