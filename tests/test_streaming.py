@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from vesselwatch.config import Detection
@@ -128,3 +129,19 @@ def test_profile(spark, tmp_path):
     sinks.write_profile(query.recentProgress, spark, str(tmp_path / "profile"))
     (row,) = spark.read.option("header", True).csv(str(tmp_path / "profile")).collect()
     assert len(row) == 12 and (row["raw_row_count"], row["valid_record_count"], row["vessel_count"], row["ac_sampled_record_count"]) == ("20", "15", "1", "5")
+
+
+def test_a_step_without_events_builds_no_frames(monkeypatch):
+    from vesselwatch.streaming import detector
+
+    class State:
+        exists, hasTimedOut, kept = False, False, None
+
+        def update(self, value):
+            self.kept = value
+
+    frame, state = pd.DataFrame({"epoch": [1000, 400], "seq": [1, 0], "latitude": [10.0, 10.0], "longitude": [20.0, 20.0], "draught": [5.0, None]}), State()
+    step = detector._step(Detection(), None, False)
+    monkeypatch.setattr(detector.pd, "DataFrame", None)
+    assert list(step((1,), iter([frame]), state)) == []
+    assert state.kept == (1000, 10.0, 20.0, 5.0, 1000, 10.0, 20.0, 5.0, 0)

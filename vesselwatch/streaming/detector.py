@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vesselwatch.config import Detection
-from vesselwatch.functions.geo import EARTH_RADIUS_KM, KM_PER_NAUTICAL_MILE
+from vesselwatch.functions.geo import KM_PER_NAUTICAL_MILE, haversine_km_of
 from vesselwatch.operators.tracks import with_quality, without_port_changes
 from vesselwatch.session import ship_package
 
@@ -27,63 +27,64 @@ _POINT = "epoch long, latitude double, longitude double, draught double"
 STATE = f"{_POINT}, {', '.join(f'sample_{c}' for c in _POINT.split(', '))}, late long"
 
 
-def _km(lat1, lon1, lat2, lon2):
-    half_lat, half_lon = np.radians(lat2 - lat1) / 2, np.radians(lon2 - lon1) / 2
-    a = np.sin(half_lat) ** 2 + np.cos(np.radians(lat1)) * np.cos(np.radians(lat2)) * np.sin(half_lon) ** 2
-    a = np.clip(a, 0.0, 1.0)
-    return 2 * EARTH_RADIUS_KM * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+_km = haversine_km_of
 
 
-def _pairs(points: np.ndarray) -> pd.DataFrame:
-    """Neighbouring rows of (epoch, latitude, longitude, draught) as the columns of an event."""
+def _pairs(points: np.ndarray) -> list[np.ndarray]:
+    """Neighbouring rows of (epoch, latitude, longitude, draught) as the columns of an event from start_epoch on."""
     a, b = points[:-1], points[1:]
     gap, km = (b[:, 0] - a[:, 0]) / 3600, _km(a[:, 1], a[:, 2], b[:, 1], b[:, 2])
     knots = km / KM_PER_NAUTICAL_MILE / np.where(gap > 0, gap, np.nan)
-    values = [gap, km, knots, a[:, 1], a[:, 2], b[:, 1], b[:, 2], a[:, 3], b[:, 3]]
-    return pd.DataFrame({"start_epoch": a[:, 0].astype(np.int64), "end_epoch": b[:, 0].astype(np.int64)} | dict(zip(_MEASURES, values, strict=True)))
+    return [a[:, 0], b[:, 0], gap, km, knots, a[:, 1], a[:, 2], b[:, 1], b[:, 2], a[:, 3], b[:, 3]]
 
 
 def _step(config: Detection, forget_s: float | None, with_late: bool):
-    def events(t: np.ndarray, samples: np.ndarray) -> list[pd.DataFrame]:
+    """A step works on bare arrays: most groups are a few rows of a vessel, for which a frame's set-up costs more than all the rest."""
+
+    def events(t: np.ndarray, samples: np.ndarray) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+        """(kinds, columns) of the events found."""
         d, s = _pairs(t), _pairs(samples)
-        seconds = d["end_epoch"] - d["start_epoch"]
-        off = lambda side: (d[f"{side}_latitude"] != 0) | (d[f"{side}_longitude"] != 0)
-        fast = (seconds >= config.jump_least_s) & off("start") & off("end") & (d["distance_km"] > config.jump_km) & (d["implied_speed_knots"] > config.jump_knots) & (d["gap_hours"] <= config.jump_h)
-        change = (s["end_draught"] - s["start_draught"]).abs() / s["start_draught"].where(s["start_draught"] > 0)
-        silent = (s["gap_hours"] > config.silence_h) & (s["distance_km"] > config.silence_km)
-        changed = (s["gap_hours"] > config.draught_h) & (change > config.draught_share)
-        out = [d[fast].assign(kind=np.where(d["gap_hours"][fast] <= config.clone_h, "D1", "D2"))]
-        out += [s[rows].assign(kind=kind, implied_speed_knots=np.nan) for rows, kind in ((silent, "A"), (changed, "C"))]
-        return out
+        off = lambda lat, lon: (lat != 0) | (lon != 0)
+        fast = (d[1] - d[0] >= config.jump_least_s) & off(d[5], d[6]) & off(d[7], d[8]) & (d[3] > config.jump_km) & (d[4] > config.jump_knots) & (d[2] <= config.jump_h)
+        change = np.abs(s[10] - s[9]) / np.where(s[9] > 0, s[9], np.nan)
+        silent = (s[2] > config.silence_h) & (s[3] > config.silence_km)
+        changed = (s[2] > config.draught_h) & (change > config.draught_share)
+        s[4] = np.full(len(s[4]), np.nan)  # no speed
+        kinds = [(d, fast, np.where(d[2] <= config.clone_h, "D1", "D2")), (s, silent, np.full(len(silent), "A")), (s, changed, np.full(len(changed), "C"))]
+        return [(kind[rows], [c[rows] for c in columns]) for columns, rows, kind in kinds if rows.any()]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (mmsi,) = key
         if state.hasTimedOut:
             state.remove()
             return
-        batch = pd.concat(list(frames)).sort_values(["epoch", "seq"], kind="stable")
-        rows = batch[["epoch", "latitude", "longitude", "draught"]].to_numpy(np.float64)
+        parts = list(frames)
+        join = lambda c, kind: np.concatenate([f[c].to_numpy(kind) for f in parts])
+        seq, epoch = np.concatenate([f["seq"].to_numpy() for f in parts]), join("epoch", np.int64)
+        rows = np.column_stack([epoch, *(join(c, np.float64) for c in ("latitude", "longitude", "draught"))])[np.lexsort((seq, epoch))]
         known = list(state.get) if state.exists else None
         late = rows[:, 0] < known[0] if known else np.zeros(len(rows), bool)
         dropped, rows = rows[late], rows[~late]
-        out = []
         if with_late and len(dropped):
-            out.append(pd.DataFrame({"kind": "late", "start_epoch": dropped[:, 0].astype(np.int64), "end_epoch": known[0], "start_latitude": dropped[:, 1], "start_longitude": dropped[:, 2]}))
+            yield pd.DataFrame({"mmsi": mmsi, "kind": "late", "start_epoch": dropped[:, 0].astype(np.int64), "end_epoch": known[0], "start_latitude": dropped[:, 1], "start_longitude": dropped[:, 2]}).reindex(columns=_NAMES)
+        found = []
         if len(rows):
             track = np.vstack([np.array([known[:4]], np.float64), rows]) if known else rows
             bucket = track[:, 0] // config.track_sample_s if config.track_sample_s > 0 else np.arange(len(track))
             first = bucket[1:] != bucket[:-1]
             samples = np.vstack([np.array([known[4:8]], np.float64) if known else track[:1], track[1:][first]])
-            out += events(track, samples)
+            found = events(track, samples)
             plain = lambda p: [int(p[0]), *(None if np.isnan(x) else float(x) for x in p[1:])]
             known = [*plain(track[-1]), *plain(samples[-1]), known[8] if known else 0]
         known[8] += len(dropped)
         state.update(tuple(known))
         if forget_s is not None:
             state.setTimeoutTimestamp(max(int((known[0] + forget_s) * 1000), state.getCurrentWatermarkMs() + 1))
-        for found in out:
-            if len(found):
-                yield found.assign(mmsi=mmsi).reindex(columns=_NAMES)
+        if found:
+            start, end, *measures = (np.concatenate(c) for c in zip(*(columns for _, columns in found), strict=True))
+            kinds = np.concatenate([kind for kind, _ in found]).astype(object)
+            values = [np.full(len(start), mmsi, np.int64), kinds, start.astype(np.int64), end.astype(np.int64), *measures]
+            yield pd.DataFrame(dict(zip(_NAMES, values, strict=True)))
 
     return run
 
