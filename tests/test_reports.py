@@ -130,3 +130,18 @@ def test_numbered_reports_of_one_time_keep_their_order(spark, tmp_path):
     # a sample is the first report of its time, a jump starts at the last one, which is no repetition of the first
     assert {(r["mmsi"] - 210000001, r["start_latitude"]) for r in found if r["kind"] == "A"} == {(v, 10.0 + v) for v in range(8)}
     assert {(r["mmsi"] - 210000001, r["start_latitude"]) for r in found if r["kind"] == "D2"} == {(v, 10.0 + v) for v in range(8)}
+
+
+def test_a_pair_s_observations_take_few_calls_of_the_state(spark):
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+    from vesselwatch.streaming.pairs import PairMeetings
+
+    handle, n = MagicMock(), 200
+    pair = PairMeetings(1500, 2.0, 300)
+    pair.init(handle)
+    rows = {"bucket": [300 * k for k in range(n)], "km": [0.1] * n, "seq_a": range(n), "seq_b": range(n)} | {c: [1.0] * n for c in ("lat_a", "lon_a", "lat_b", "lon_b")}
+    assert list(pair.handleInputRows((1, 2), iter([pd.DataFrame(rows)]), None)) == []
+    assert handle.registerTimer.call_count == 1
+    assert sum(len(state.method_calls) for state in (pair.pending, pair.open)) <= 2

@@ -44,32 +44,40 @@ class PairMeetings(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "bucket long", _OBSERVATION)
+        self.pending = handle.getListState("pending", f"bucket long, {_OBSERVATION}")
         self.open = handle.getValueState("open", _SESSION)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """All observations are added at once, with one timer for the first of their buckets: each call to the state store takes about a millisecond."""
         best: dict[int, tuple] = {}
         for frame in rows:
             for bucket, *seen in frame[["bucket", "km", "seq_a", "seq_b", *_PLACES]].itertuples(index=False):
                 bucket, seen = int(bucket), (float(seen[0]), int(seen[1]), int(seen[2]), *map(float, seen[3:]))
                 best[bucket] = min(best.get(bucket, seen), seen)
-        for bucket, seen in best.items():
-            if self.pending.containsKey((bucket,)):
-                seen = min(seen, tuple(self.pending.getValue((bucket,))))
-            else:
-                self.handle.registerTimer((bucket + self.bucket_s) * 1000 + 1)
-            self.pending.updateValue((bucket,), seen)
+        if best:
+            self.pending.appendList([(bucket, *seen) for bucket, seen in best.items()])
+            self.handle.registerTimer(self._due(min(best)))
         return iter(())
 
+    def _due(self, bucket: int) -> int:
+        return (bucket + self.bucket_s) * 1000 + 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() // 1000 - self.bucket_s
         session = tuple(self.open.get()) if self.open.exists() else None
         closed = []
-        for bucket in sorted(int(k[0]) for k in self.pending.keys()):
-            if bucket > passed:
-                break
-            km, _, _, *at = tuple(self.pending.getValue((bucket,)))
-            self.pending.removeKey((bucket,))
+        best: dict[int, tuple] = {}
+        for bucket, *seen in self.pending.get():
+            best[bucket] = min(best.get(bucket, tuple(seen)), tuple(seen))
+        waiting = {bucket: seen for bucket, seen in best.items() if bucket > passed}
+        if len(waiting) < len(best):
+            if waiting:
+                self.pending.put([(bucket, *seen) for bucket, seen in waiting.items()])
+                self.handle.registerTimer(self._due(min(waiting)))
+            else:
+                self.pending.clear()
+        for bucket in sorted(best.keys() - waiting.keys()):
+            km, _, _, *at = best[bucket]
             if session is not None and bucket - session[1] <= self.gap:
                 session = (session[0], bucket, session[2] + 1, min(session[3], km), session[4] + km, *session[5:9], *at)
             else:
