@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 import pytest
 from vesselwatch.config import Detection
 from vesselwatch.operators import crowds
 from vesselwatch.operators import meetings as meet
 from vesselwatch.plans.daily import DailyDetection
+from vesselwatch.plans.detection import run_detection
 
 CONFIG = Detection()
 
@@ -75,3 +77,36 @@ def test_days_keep_no_pairs(spark, tmp_path, monkeypatch):
         assert max(kept) <= len(rows)  # 435 pairs, 240 points
     runs.close()
     assert runs.events("meetings").count() == 435
+
+
+@pytest.mark.parametrize("place", [(0.0, 0.0, False, False), (-33.0, 151.0, False, True), (64.0, 179.99, True, True), (89.98, 10.0, True, False)])
+def test_sessions_are_counted_where_they_are_found(spark, monkeypatch, place):
+    lat, lon, exact, strict = place
+    points = crowd(spark, lat, lon)
+    monkeypatch.setattr(meet, "ranges_for", lambda *a: None)
+    want = rows(meet.session_counts(points, CONFIG, exact, strict, 0.5))
+    assert want == rows(meet.counted(meet.sessions_of(points, CONFIG, exact, strict, 0.5))) and len(want) > 5
+    monkeypatch.setattr(crowds, "COUNTED_AT_A_TIME", 500)
+    for bounds in ([], [11, 12, 30]):
+        monkeypatch.setattr(meet, "ranges_for", lambda *a, b=bounds: b)
+        assert rows(meet.session_counts(points, CONFIG, exact, strict, 0.5)) == want
+
+
+def test_counts_at_the_very_distance(spark, monkeypatch):
+    """Pairs whose distance is the limit or next to it: the chord can't tell these."""
+    far = float(crowds.haversine_km_of(*(np.array([v]) for v in (10.0, 20.0, 10.003, 20.002)))[0])
+    points = spark.createDataFrame([(m, 300 * t, 10.0 + 0.003 * m, 20.0 + 0.002 * m, 2 * t + m) for t in range(30) for m in (0, 1)], "mmsi long, bucket long, latitude double, longitude double, seq long")
+    monkeypatch.setattr(meet, "ranges_for", lambda *a: [])
+    for km, met in ((far, 2), (float(np.nextafter(far, 0)), 0), (float(np.nextafter(far, 1)), 2)):
+        assert meet.session_counts(points, Detection(meeting_km=km), least_h=2.0).count() == met
+
+
+def test_vessels_need_no_list_of_meetings(spark, monkeypatch):
+    """A vessel's number of meetings comes from groups of crowds as one row a vessel, not as one for each meeting."""
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", 0)
+    listed = []
+    monkeypatch.setattr(meet, "sessions_of", lambda *a, **k: listed.append(a))
+    records = spark.range(30 * 8).selectExpr("210000000 + id div 8 as mmsi", "timestamp_seconds(id % 8 * 1200) as ts", "id as seq", "10D as latitude", "20D as longitude", "0.1D as sog", "cast(null as double) as draught")
+    ports = spark.createDataFrame([], "port_no int, port_name string, latitude double, longitude double, radius_km double")
+    found = run_detection(records, ports, config=CONFIG)
+    assert {r["meeting_events"] for r in found.vessels.collect()} == {29} and found.meeting_counts.count() == 30 and not listed

@@ -4,6 +4,8 @@ Where many vessels lie close together, the close pairs are far more than the poi
 every two ranges are a group, which gets all points of both, in all buckets. A pair is in one group only, so its observations and
 sessions are found there: what is shuffled are points, one copy for each range. Within a group points meet by sorted
 cells, some vessels at a time, so that memory is bounded by ``CANDIDATES``.
+
+Where only the number of a vessel's sessions is asked for, sessions aren't listed either: a group tells a row for each of its vessels.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vesselwatch.config import Detection
-from vesselwatch.functions.geo import grid_degrees, haversine_km_of
+from vesselwatch.functions.geo import EARTH_RADIUS_KM, grid_degrees, haversine_km_of
 from vesselwatch.session import ship_package
 
 #: Comparisons of a group, about, and at a time within it.
 CANDIDATES = 2_000_000
+#: The same where sessions are only counted: an observation is one number there, so groups can be larger and points have fewer copies.
+COUNTED, COUNTED_AT_A_TIME = 50_000_000, 250_000
 #: Points of a range of vessels, about.
 RANGE_POINTS = 200_000
 #: Ranges that vessels are dealt to, at most.
@@ -32,6 +36,7 @@ LEAST_PAIRS = 1_000_000
 
 PAIRS = "mmsi_a long, mmsi_b long, bucket long, latitude_a double, longitude_a double, latitude_b double, longitude_b double, km double"
 _PLACES = ["lat_a", "lon_a", "lat_b", "lon_b"]
+COUNTS = "mmsi long, n long"
 SESSIONS = (
     "mmsi_a long, mmsi_b long, start_epoch long, end_epoch long, duration_hours double, observations long, min_distance_km double, avg_distance_km double, "
     + ", ".join(f"{side}_{c} double" for side in ("start", "end") for c in _PLACES)
@@ -39,15 +44,15 @@ SESSIONS = (
 _ROWS_OUT = 200_000
 
 
-def ranges_for(points: DataFrame, config: Detection) -> list[int] | None:
+def ranges_for(points: DataFrame, config: Detection, candidates: int | None = None) -> list[int] | None:
     """The first vessel of each range but the first, if pairs are so many that groups of ranges are less work than shuffling pairs; else None.
 
-    Pairs are judged by the squares of the cells' sizes.
+    Pairs are judged by the squares of the cells' sizes. ``candidates``: comparisons of a group, about.
     """
     size = grid_degrees(config.meeting_km)
     cells = points.groupBy("bucket", F.floor(F.col("latitude") / size).alias("y"), F.floor(F.col("longitude") / size).alias("x")).agg(F.count("*").alias("n"))
     n, squares = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n").cast("double") * F.col("n")), F.lit(0.0))).first()
-    k = max(1, math.ceil(math.sqrt(2 * squares / CANDIDATES)), math.ceil(n / RANGE_POINTS))
+    k = max(1, math.ceil(math.sqrt(2 * squares / (candidates or CANDIDATES))), math.ceil(n / RANGE_POINTS))
     if squares < LEAST_PAIRS or k > RANGES or n * (k + 1) >= squares:
         return None
     if k == 1:
@@ -101,14 +106,14 @@ def _spans(a: dict, b: dict, size: float, exact: bool) -> Iterator[tuple[np.ndar
             yield order, first, np.where(there & ~(whole & (shift != 0)), np.maximum(end, first), first)
 
 
-def _observations(a: dict, b: dict, km: float, size: float, exact: bool) -> Iterator[tuple[dict, dict, np.ndarray]]:
-    """(a, b, km) of each pair's closest points in a bucket, ordered by pair and bucket; whole pairs at a time. ``a`` is ordered by vessel."""
+def _candidates(a: dict, b: dict, size: float, exact: bool, at_a_time: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in ``a`` and ``b`` of points that can be close, the smaller vessel in ``a``; whole vessels of ``a`` at a time. ``a`` is ordered by vessel."""
     if not len(a["mmsi"]) or not len(b["mmsi"]):
         return
     spans = list(_spans(a, b, size, exact))
     work = np.cumsum(sum(end - first for _, first, end in spans))
     new = np.flatnonzero(np.r_[True, a["mmsi"][1:] != a["mmsi"][:-1]])  # a vessel's first point
-    share = np.r_[0, work][new] // CANDIDATES
+    share = np.r_[0, work][new] // at_a_time
     cuts = [*new[np.flatnonzero(np.r_[True, share[1:] != share[:-1]])], len(a["mmsi"])]
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         left, right = [], []
@@ -120,7 +125,12 @@ def _observations(a: dict, b: dict, km: float, size: float, exact: bool) -> Iter
             kept = a["mmsi"][rows] < b["mmsi"][other]
             left.append(rows[kept])
             right.append(other[kept])
-        ia, ib = np.concatenate(left), np.concatenate(right)
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def _observations(a: dict, b: dict, km: float, size: float, exact: bool) -> Iterator[tuple[dict, dict, np.ndarray]]:
+    """(a, b, km) of each pair's closest points in a bucket, ordered by pair and bucket; whole pairs at a time. ``a`` is ordered by vessel."""
+    for ia, ib in _candidates(a, b, size, exact, CANDIDATES):
         far = haversine_km_of(a["latitude"][ia], a["longitude"][ia], b["latitude"][ib], b["longitude"][ib])
         near = far <= km
         ia, ib, far = ia[near], ib[near], far[near]
@@ -134,6 +144,63 @@ def _observations(a: dict, b: dict, km: float, size: float, exact: bool) -> Iter
             yield {c: a[c][ia] for c in ("mmsi", "bucket", "before", "latitude", "longitude")}, {c: b[c][ib] for c in ("mmsi", "latitude", "longitude")}, far
 
 
+def _is_near(a: dict, b: dict, km: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test of places in ``a`` and ``b``: by chords, and by the distance itself where a chord is too near to the limit to tell."""
+    ends = []
+    for side in (a, b):
+        lat, lon = np.radians(side["latitude"]), np.radians(side["longitude"])
+        ends.append((np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)))
+    limit = (2 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))) ** 2
+    slack = 1e-6 * limit + 1e-13 * math.sqrt(limit) + 1e-26  # far above the errors of the sums
+
+    def near(ia: np.ndarray, ib: np.ndarray) -> np.ndarray:
+        square = np.zeros(len(ia))
+        for p, q in zip(*ends, strict=True):
+            d = p[ia] - q[ib]
+            square += d * d
+        found = square <= limit
+        unsure = np.flatnonzero(np.abs(square - limit) <= slack)
+        if len(unsure):
+            i, j = ia[unsure], ib[unsure]
+            found[unsure] = haversine_km_of(a["latitude"][i], a["longitude"][i], b["latitude"][j], b["longitude"][j]) <= km
+        return found
+
+    return near
+
+
+def _counts(a: dict, b: dict, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vessel, sessions) of those with any that last long enough; a vessel may come twice. An observation is one number: first vessel, second vessel, bucket."""
+    near = _is_near(a, b, config.meeting_km)
+    vessels_a, of_a = np.unique(a["mmsi"], return_inverse=True)
+    vessels_b, of_b = np.unique(b["mmsi"], return_inverse=True)
+    buckets, at = np.unique(a["bucket"], return_inverse=True)  # a pair's are among them
+    reference = buckets.copy()
+    if not strict_gap:
+        reference[at] = a["before"]
+    bits_b, bits_t = len(vessels_b).bit_length(), len(buckets).bit_length()
+    if len(vessels_a).bit_length() + bits_b + bits_t > 63:
+        raise ValueError("a group of crowds has too many vessels and buckets")
+    key_a, key_b = (of_a.astype(np.int64) << (bits_b + bits_t)) + at, of_b.astype(np.int64) << bits_t
+    met_a, met_b = np.zeros(len(vessels_a), np.int64), np.zeros(len(vessels_b), np.int64)
+    for ia, ib in _candidates(a, b, size, exact, COUNTED_AT_A_TIME):
+        found = near(ia, ib)
+        key = key_a[ia[found]] + key_b[ib[found]]
+        if not len(key):
+            continue
+        key.sort()
+        if a["several"] or b["several"]:
+            key = key[np.r_[True, key[1:] != key[:-1]]]
+        pair, t = key >> bits_t, key & ((1 << bits_t) - 1)
+        bucket = buckets[t]
+        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (reference[t[1:]] - bucket[:-1] > config.continuation_s)])
+        last = np.r_[first[1:], len(key)] - 1
+        met = pair[first[(bucket[last] - bucket[first]) / 3600.0 >= least_h]]
+        met_a += np.bincount(met >> bits_b, minlength=len(vessels_a))
+        met_b += np.bincount(met & ((1 << bits_b) - 1), minlength=len(vessels_b))
+    vessels, met = np.r_[vessels_a, vessels_b], np.r_[met_a, met_b]
+    return vessels[met > 0], met[met > 0]
+
+
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[dict, dict]:
     table = pa.Table.from_batches(list(batches))
     columns = {c: table.column(c).to_numpy() for c in ("mmsi", "bucket", "latitude", "longitude", "tie", "side")}
@@ -154,16 +221,23 @@ def _told(names: list[str], values: list) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([v[k : k + _ROWS_OUT] if isinstance(v, pa.Array) else pa.array(v[k : k + _ROWS_OUT]) for v in values], names=names)
 
 
-def _in_groups(points: DataFrame, bounds: list[int], config: Detection, exact: bool, tell: Callable, schema: str) -> DataFrame:
+def _in_groups(points: DataFrame, bounds: list[int], tell: Callable[[dict, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship_package(points.sparkSession)
-    km, size = config.meeting_km, grid_degrees(config.meeting_km)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(batches)
+        yield from tell(*_sides(batches))
+
+    return _grouped(points, bounds).groupBy("i", "j").applyInArrow(run, schema)
+
+
+def _of_observations(points: DataFrame, bounds: list[int], config: Detection, exact: bool, tell: Callable, schema: str) -> DataFrame:
+    km, size = config.meeting_km, grid_degrees(config.meeting_km)
+
+    def run(a: dict, b: dict) -> Iterator[pa.RecordBatch]:
         for found in _observations(a, b, km, size, exact):
             yield from tell(*found)
 
-    return _grouped(points, bounds).groupBy("i", "j").applyInArrow(run, schema)
+    return _in_groups(points, bounds, run, schema)
 
 
 def crowded_pairs(points: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False) -> DataFrame:
@@ -173,7 +247,7 @@ def crowded_pairs(points: DataFrame, bounds: list[int], config: Detection, exact
     def tell(a: dict, b: dict, km: np.ndarray) -> Iterator[pa.RecordBatch]:
         return _told(names, [a["mmsi"], b["mmsi"], a["bucket"], a["latitude"], a["longitude"], b["latitude"], b["longitude"], km])
 
-    return _in_groups(points.withColumn("before", F.lit(None).cast("long")), bounds, config, exact_grid, tell, PAIRS)
+    return _of_observations(points.withColumn("before", F.lit(None).cast("long")), bounds, config, exact_grid, tell, PAIRS)
 
 
 def crowded_sessions(points: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0, open_after: int | None = None) -> DataFrame:
@@ -202,4 +276,14 @@ def crowded_sessions(points: DataFrame, bounds: list[int], config: Detection, ex
         places = [side[c][at] for at in (f, e) for side in (a, b) for c in ("latitude", "longitude")]
         yield from _told(names, [a["mmsi"][f], b["mmsi"][f], bucket[f], bucket[e], hours[kept], n[kept], least[kept], mean[kept], *places])
 
-    return _in_groups(points, bounds, config, exact_grid, tell, SESSIONS)
+    return _of_observations(points, bounds, config, exact_grid, tell, SESSIONS)
+
+
+def crowded_counts(points: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
+    """As ``meetings.session_counts``; ``points`` have ``before`` as for ``crowded_sessions``. Groups tell a row for each vessel with sessions, at most two for a group of one range."""
+    size = grid_degrees(config.meeting_km)
+
+    def tell(a: dict, b: dict) -> Iterator[pa.RecordBatch]:
+        return _told(["mmsi", "n"], list(_counts(a, b, config, size, exact_grid, strict_gap, least_h)))
+
+    return _in_groups(points, bounds, tell, COUNTS).groupBy("mmsi").agg(F.sum("n").alias("n"))

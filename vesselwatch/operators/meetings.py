@@ -14,7 +14,8 @@ from pyspark.sql.window import Window
 
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import grid_degrees, haversine_km, ports_by_cell, with_near_port
-from vesselwatch.operators.crowds import crowded_pairs, crowded_sessions, ranges_for
+from vesselwatch.operators import crowds
+from vesselwatch.operators.crowds import crowded_counts, crowded_pairs, crowded_sessions, ranges_for
 from vesselwatch.operators.tracks import bucket, epoch
 from vesselwatch.session import stored
 
@@ -138,13 +139,17 @@ def meeting_sessions(pairs: DataFrame, points: DataFrame, config: Detection, str
     return as_sessions(joined_pieces(as_pieces(pairs), previous_occupied(points), config, strict_gap))
 
 
+def _occupied(points: DataFrame) -> DataFrame:
+    return points.groupBy("bucket").agg(F.max("before").alias("before")) if "before" in points.columns else previous_occupied(points)
+
+
 def sessions_of(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0, open_after: int | None = None) -> DataFrame:
     """The sessions of stored candidate points that last at least ``least_h``. ``points`` may bring the last occupied bucket before their own (``before``).
 
     ``open_after``: sessions that end after it are still open. Of these there are only rows of single vessels (``mmsi_b`` null): ``start_epoch`` is
     the earliest beginning, in the whole result, of the open sessions of ``mmsi_a``.
     """
-    occupied = points.groupBy("bucket").agg(F.max("before").alias("before")) if "before" in points.columns else previous_occupied(points)
+    occupied = _occupied(points)
     if (bounds := ranges_for(points, config)) is not None:
         return crowded_sessions(points.drop("before").join(occupied, "bucket", "left"), bounds, config, exact_grid, strict_gap, least_h, open_after)
     sessions = as_sessions(joined_pieces(as_pieces(pair_observations(points, config, exact_grid)), occupied, config, strict_gap)).drop("session")
@@ -164,6 +169,24 @@ def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFram
     return sessions_of(points, config, exact_grid, strict_gap, config.meeting_h)
 
 
+def session_counts(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
+    """(mmsi, n) of vessels with any: how many of the sessions of ``sessions_of`` they have. In crowds these are counted where they are found, and never rows."""
+    if (bounds := ranges_for(points, config, crowds.COUNTED)) is not None:
+        return crowded_counts(points.drop("before").join(_occupied(points), "bucket", "left"), bounds, config, exact_grid, strict_gap, least_h)
+    return counted(sessions_of(points, config, exact_grid, strict_gap, least_h))
+
+
+def meeting_counts(tracks: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, exact_grid: bool = False, strict_gap: bool = False) -> DataFrame:
+    """(mmsi, n) of vessels with any: how many of the events of ``meetings`` they take part in."""
+    config = config or Detection()
+    return session_counts(stored(meeting_points(tracks, config, ports), "points"), config, exact_grid, strict_gap, config.meeting_h)
+
+
+def counted(events: DataFrame) -> DataFrame:
+    """(mmsi, n) of the vessels of given meetings; a busy vessel's are counted before they move."""
+    return by_vessel(events).groupBy("mmsi").agg(F.count("*").alias("n"))
+
+
 def by_vessel(events: DataFrame) -> DataFrame:
     """Each meeting once for either vessel (``mmsi``)."""
     return events.select(F.explode(F.array("mmsi_a", "mmsi_b")).alias("mmsi"), "*")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from vesselwatch.config import Detection
 from vesselwatch.functions.geo import nautical_miles
-from vesselwatch.operators.meetings import by_vessel
+from vesselwatch.operators.meetings import counted
 from vesselwatch.operators.tracks import POINT, in_track
 from vesselwatch.session import discard, stored
 
@@ -88,21 +88,21 @@ def merged(summaries: DataFrame, config: Detection, earlier: DataFrame | None =
     return rows.groupBy("mmsi").agg(*(F.sum(c).alias(c) for c in SUMS), F.max("max_gap_hours").alias("max_gap_hours"), F.max("d1_end").alias("d1_end"), latest("last"), latest("last_sample"))
 
 
-def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None) -> DataFrame:
-    """One row per vessel with at least one valid record; the detectors' partitioning by vessel (or slice) is reused."""
+def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, config: Detection | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """One row per vessel with at least one valid record; the detectors' partitioning by vessel (or slice) is reused. ``counts``: see ``with_meetings``."""
     config = config or Detection()
     if "part" in detected.columns:
         summary = merged(track_summaries(detected, config), config).drop("d1_end", "last", "last_sample")
     else:
         summary = _partial(with_episode_starts(detected, config), config, [])
-    return with_meetings(summary, meetings)
+    return with_meetings(summary, meetings, counts)
 
 
-def with_meetings(summary: DataFrame, meetings: DataFrame | None) -> DataFrame:
-    """``meeting_events``: a vessel's meetings; a busy vessel's are counted before they move."""
-    if meetings is None:
+def with_meetings(summary: DataFrame, meetings: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
+    """``meeting_events``: a vessel's meetings. ``counts`` (mmsi, n): their numbers, where no one needs the meetings themselves."""
+    if meetings is None and counts is None:
         return summary.withColumn("meeting_events", F.lit(0).cast("long"))
-    met = by_vessel(meetings).groupBy("mmsi").agg(F.count("*").alias("met"))
+    met = (counted(meetings) if counts is None else counts).select("mmsi", F.col("n").alias("met"))
     return summary.join(met, "mmsi", "left").withColumn("meeting_events", F.coalesce("met", F.lit(0))).drop("met")
 
 

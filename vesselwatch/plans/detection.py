@@ -56,10 +56,18 @@ class Result:
         points = tracks.with_track_columns(self.records, self.config, **self.tracks)
         return meet.meetings(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
 
+    @cached_property
+    def meeting_counts(self) -> DataFrame:
+        """(mmsi, n): the numbers of vessels' meetings. Meetings that have been asked for are counted, else none is listed."""
+        if "meetings" in self.__dict__:
+            return meet.counted(self.meetings)
+        points = tracks.with_track_columns(self.records, self.config, **self.tracks)
+        return meet.meeting_counts(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
+
     @cached_property
     def vessels(self) -> DataFrame:
         """One scored row per vessel."""
-        return score.with_score(score.vessel_summary(self._parts, self.meetings if self.with_meetings else None, self.config))
+        return score.with_score(score.vessel_summary(self._parts, None, self.config, self.meeting_counts if self.with_meetings else None))
 
     def ranked(self) -> DataFrame:
         return score.ranked(self.vessels)
