@@ -70,10 +70,10 @@ def _grouped(points: DataFrame, bounds: list[int]) -> DataFrame:
     own = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("mmsi"))) if bounds else F.lit(0)
     ranked = ranked.withColumn("own", own)
     group = F.transform(F.sequence(F.lit(0), F.lit(len(bounds))), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
-    dealt = ranked.withColumn("g", F.explode(group)).select("g.*", "mmsi", "bucket", "latitude", "longitude", "before", "tie")
-    # few bytes but many comparisons: adaptive execution, which goes by bytes, must not put these partitions together
+    dealt = ranked.withColumn("g", F.explode(group)).select(F.expr("cast(g.j * (g.j + 1) / 2 as int) + g.i").alias("group"), "g.side", "mmsi", "bucket", "latitude", "longitude", "before", "tie")
+    # by their numbers groups are dealt evenly; few bytes but many comparisons: adaptive execution, which goes by bytes, must not put these partitions together
     groups = (len(bounds) + 1) * (len(bounds) + 2) // 2
-    return dealt.repartition(max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 2000)), "i", "j")
+    return dealt.repartitionById(groups, "group") if groups <= 2000 else dealt.repartition(2000, "group")
 
 
 def _spans(a: dict, b: dict, size: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -115,6 +115,7 @@ def _candidates(a: dict, b: dict, size: float, exact: bool, at_a_time: int) -> I
     new = np.flatnonzero(np.r_[True, a["mmsi"][1:] != a["mmsi"][:-1]])  # a vessel's first point
     share = np.r_[0, work][new] // at_a_time
     cuts = [*new[np.flatnonzero(np.r_[True, share[1:] != share[:-1]])], len(a["mmsi"])]
+    apart = a["mmsi"].max() < b["mmsi"].min()  # different ranges
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
         left, right = [], []
         for order, first, end in spans:
@@ -122,9 +123,11 @@ def _candidates(a: dict, b: dict, size: float, exact: bool, at_a_time: int) -> I
             rows = np.repeat(np.arange(low, high), n)
             at = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[low:high], n)
             other = order[at]
-            kept = a["mmsi"][rows] < b["mmsi"][other]
-            left.append(rows[kept])
-            right.append(other[kept])
+            if not apart:
+                kept = a["mmsi"][rows] < b["mmsi"][other]
+                rows, other = rows[kept], other[kept]
+            left.append(rows)
+            right.append(other)
         yield np.concatenate(left), np.concatenate(right)
 
 
@@ -177,6 +180,7 @@ def _counts(a: dict, b: dict, config: Detection, size: float, exact: bool, stric
     reference = buckets.copy()
     if not strict_gap:
         reference[at] = a["before"]
+    back = np.arange(len(buckets)) - np.searchsorted(buckets, reference - config.continuation_s)
     bits_b, bits_t = len(vessels_b).bit_length(), len(buckets).bit_length()
     if len(vessels_a).bit_length() + bits_b + bits_t > 63:
         raise ValueError("a group of crowds has too many vessels and buckets")
@@ -184,17 +188,19 @@ def _counts(a: dict, b: dict, config: Detection, size: float, exact: bool, stric
     met_a, met_b = np.zeros(len(vessels_a), np.int64), np.zeros(len(vessels_b), np.int64)
     for ia, ib in _candidates(a, b, size, exact, COUNTED_AT_A_TIME):
         found = near(ia, ib)
-        key = key_a[ia[found]] + key_b[ib[found]]
+        if not found.all():
+            ia, ib = ia[found], ib[found]
+        key = key_a[ia] + key_b[ib]
         if not len(key):
             continue
         key.sort()
         if a["several"] or b["several"]:
             key = key[np.r_[True, key[1:] != key[:-1]]]
-        pair, t = key >> bits_t, key & ((1 << bits_t) - 1)
-        bucket = buckets[t]
-        first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (reference[t[1:]] - bucket[:-1] > config.continuation_s)])
+        t = key & ((1 << bits_t) - 1)
+        # a session goes on from an observation of the pair at most so many buckets before
+        first = np.flatnonzero(np.r_[True, key[:-1] < key[1:] - back[t[1:]]])
         last = np.r_[first[1:], len(key)] - 1
-        met = pair[first[(bucket[last] - bucket[first]) / 3600.0 >= least_h]]
+        met = key[first[(buckets[t[last]] - buckets[t[first]]) / 3600.0 >= least_h]] >> bits_t
         met_a += np.bincount(met >> bits_b, minlength=len(vessels_a))
         met_b += np.bincount(met & ((1 << bits_b) - 1), minlength=len(vessels_b))
     vessels, met = np.r_[vessels_a, vessels_b], np.r_[met_a, met_b]
@@ -227,7 +233,7 @@ def _in_groups(points: DataFrame, bounds: list[int], tell: Callable[[dict, dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from tell(*_sides(batches))
 
-    return _grouped(points, bounds).groupBy("i", "j").applyInArrow(run, schema)
+    return _grouped(points, bounds).groupBy("group").applyInArrow(run, schema)
 
 
 def _of_observations(points: DataFrame, bounds: list[int], config: Detection, exact: bool, tell: Callable, schema: str) -> DataFrame:
