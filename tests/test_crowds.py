@@ -5,6 +5,7 @@ import pytest
 from vesselwatch.config import Detection
 from vesselwatch.operators import crowds
 from vesselwatch.operators import meetings as meet
+from vesselwatch.operators import tracks
 from vesselwatch.plans.daily import DailyDetection
 from vesselwatch.plans.detection import run_detection
 
@@ -110,3 +111,54 @@ def test_vessels_need_no_list_of_meetings(spark, monkeypatch):
     ports = spark.createDataFrame([], "port_no int, port_name string, latitude double, longitude double, radius_km double")
     found = run_detection(records, ports, config=CONFIG)
     assert {r["meeting_events"] for r in found.vessels.collect()} == {29} and found.meeting_counts.count() == 30 and not listed
+
+
+@pytest.mark.parametrize("gap_s", [600, 9000])
+def test_counts_over_many_buckets(spark, monkeypatch, gap_s):
+    """More buckets than a number has bits: windows, or single observations if a gap may be too long for these."""
+    rng = random.Random(8)
+    rows_ = [(m, 300 * t, rng.random() * 0.012, rng.random() * 0.02, m * 1000 + t) for m in range(24) for t in range(0, 230) if t % 50 < 44 and rng.random() < 0.4]
+    points = spark.createDataFrame(rows_, "mmsi long, bucket long, latitude double, longitude double, seq long")
+    config = Detection(meeting_gap_s=gap_s)
+    monkeypatch.setattr(meet, "ranges_for", lambda *a: None)
+    want = rows(meet.session_counts(points, config, least_h=1.0))
+    assert len(want) > 5
+    monkeypatch.setattr(meet, "ranges_for", lambda *a: [11])
+    assert rows(meet.session_counts(points, config, least_h=1.0)) == want
+
+
+def test_a_crowd_is_compared_by_places(monkeypatch):
+    """Where all points of two places are close their vessels are compared, not their points."""
+    vessels, buckets = 300, 40
+    mmsi, bucket = np.repeat(np.arange(vessels), buckets), np.tile(np.arange(buckets) * 300, vessels)
+    side = {"mmsi": mmsi, "bucket": bucket, "latitude": 10 + mmsi % 7 * 2e-4, "longitude": 20 + bucket // 300 % 5 * 2e-4, "no": mmsi, "vessels": np.arange(vessels)}
+    compared, plain = [], crowds._candidates
+
+    def seen(*given):
+        for found in plain(*given):
+            compared.append(len(found[0]))
+            yield found
+
+    monkeypatch.setattr(crowds, "_candidates", seen)
+    occupied = np.arange(buckets) * 300
+    told, n = crowds._counts(side, side, occupied, np.r_[crowds.NEVER, occupied[:-1]], CONFIG, crowds.grid_degrees(CONFIG.meeting_km), False, False, 2.0)
+    assert np.bincount(told, n).tolist() == [vessels - 1] * vessels
+    assert sum(compared) < vessels  # by points: 1,794,000
+
+
+def test_vessels_take_one_pass_over_the_tracks(spark, monkeypatch):
+    """Sums and meeting points come from the same windows; slices of hot tracks give the same."""
+    rows_ = [(210000000 + v, t * 600, v * 1000 + t, 10.0 + (3.0 if t % 40 == 39 else 0.0), 20.0, 0.1, 5.0 + t % 3) for v in range(6) for t in range(60) if v == 0 or t % 7]
+    records = spark.createDataFrame(rows_, "mmsi long, t long, seq long, latitude double, longitude double, sog double, draught double").selectExpr("mmsi", "timestamp_seconds(t) as ts", "seq", "latitude", "longitude", "sog", "draught")
+    ports = spark.createDataFrame([(1, "a", 13.0, 20.0, 3.0)], "port_no int, port_name string, latitude double, longitude double, radius_km double")
+    passes, plain = [], tracks.with_track_columns
+    monkeypatch.setattr(tracks, "with_track_columns", lambda *a, **k: passes.append(a) or plain(*a, **k))
+    got = []
+    for options in ({"share": None}, {"share": 0.15, "least": 10}):
+        passes.clear()
+        found = run_detection(records, ports, config=CONFIG, **options)
+        got.append(rows(found.vessels))
+        assert len(passes) == 1
+        listed = run_detection(records, ports, config=CONFIG, **options)
+        assert listed.meetings.count() > 0 and rows(listed.vessels) == got[-1]  # with meetings listed
+    assert got[0] == got[1] and max(r["meeting_events"] for r in found.vessels.collect()) > 0

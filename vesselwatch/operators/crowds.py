@@ -5,7 +5,8 @@ every two ranges are a group, which gets all points of both, in all buckets. A p
 sessions are found there: what is shuffled are points, one copy for each range. Within a group points meet by sorted
 cells, some vessels at a time, so that memory is bounded by ``CANDIDATES``.
 
-Where only the number of a vessel's sessions is asked for, sessions aren't listed either: a group tells a row for each of its vessels.
+Where only the number of a vessel's sessions is asked for, sessions aren't listed either: a group gets a row for each vessel and tells one.
+The buckets that a vessel spends at a place are the bits of a number there, and those of a pair the bits that both have (``_counts``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,8 +27,16 @@ from vesselwatch.session import ship_package
 
 #: Comparisons of a group, about, and at a time within it.
 CANDIDATES = 2_000_000
-#: The same where sessions are only counted: an observation is one number there, so groups can be larger and points have fewer copies.
-COUNTED, COUNTED_AT_A_TIME = 50_000_000, 250_000
+#: The same where sessions are only counted: a pair is one number there, so groups can be larger and points have fewer copies. At a time: pairs.
+COUNTED, COUNTED_AT_A_TIME = 400_000_000, 1 << 16
+#: Groups for each core where sessions are only counted, about.
+GROUPS_PER_CORE = 3
+#: Places are cells, cut into so many each way.
+CUTS = 4
+#: Buckets of a number, and beginnings that one must be able to hold if there are more buckets.
+BITS, LEAST_STARTS = 64, 8
+#: Buckets of a vessel in a row, at most.
+ROW_BUCKETS = 4096
 #: Points of a range of vessels, about.
 RANGE_POINTS = 200_000
 #: Ranges that vessels are dealt to, at most.
@@ -37,6 +47,8 @@ LEAST_PAIRS = 1_000_000
 PAIRS = "mmsi_a long, mmsi_b long, bucket long, latitude_a double, longitude_a double, latitude_b double, longitude_b double, km double"
 _PLACES = ["lat_a", "lon_a", "lat_b", "lon_b"]
 COUNTS = "mmsi long, n long"
+#: The occupied bucket before the first.
+NEVER = -(1 << 62)
 SESSIONS = (
     "mmsi_a long, mmsi_b long, start_epoch long, end_epoch long, duration_hours double, observations long, min_distance_km double, avg_distance_km double, "
     + ", ".join(f"{side}_{c} double" for side in ("start", "end") for c in _PLACES)
@@ -55,27 +67,53 @@ def ranges_for(points: DataFrame, config: Detection, candidates: int | None = No
     k = max(1, math.ceil(math.sqrt(2 * squares / (candidates or CANDIDATES))), math.ceil(n / RANGE_POINTS))
     if squares < LEAST_PAIRS or k > RANGES or n * (k + 1) >= squares:
         return None
+    least = math.ceil(math.sqrt(2 * GROUPS_PER_CORE * points.sparkSession.sparkContext.defaultParallelism))
+    if candidates and n * (least + 1) < squares:
+        k = max(k, least)
     if k == 1:
         return []
     (found,) = points.agg(F.percentile_approx("mmsi", [i / k for i in range(1, k)], 10_000)).first()
     return sorted({int(m) for m in found})
 
 
-def _grouped(points: DataFrame, bounds: list[int]) -> DataFrame:
-    """Each point for all groups (i, j) of its vessel's range; ``side``: 0 the first range, 1 the second, 2 both."""
-    usable = points.where("mmsi is not null and bucket is not null and not isnan(latitude) and not isnan(longitude) and latitude is not null and longitude is not null")
-    # of several points of a vessel in a bucket the order matters, not what it is made of
-    ties = F.row_number().over(Window.partitionBy("mmsi", "bucket").orderBy("seq")).alias("tie")
-    ranked = usable.select("mmsi", "bucket", "latitude", "longitude", "before", ties)
+def _usable(points: DataFrame) -> DataFrame:
+    return points.where("mmsi is not null and bucket is not null and not isnan(latitude) and not isnan(longitude) and latitude is not null and longitude is not null")
+
+
+def _dealt(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """Each row for all groups (i, j) of its vessel's range; ``side``: 0 the first range, 1 the second, 2 both."""
     own = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("mmsi"))) if bounds else F.lit(0)
-    ranked = ranked.withColumn("own", own)
     group = F.transform(F.sequence(F.lit(0), F.lit(len(bounds))), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
-    dealt = ranked.withColumn("g", F.explode(group)).select(F.expr("cast(g.j * (g.j + 1) / 2 as int) + g.i").alias("group"), "g.side", "mmsi", "bucket", "latitude", "longitude", "before", "tie")
+    return rows.withColumn("own", own).withColumn("g", F.explode(group)).select(F.expr("cast(g.j * (g.j + 1) / 2 as int) + g.i").alias("group"), "g.side", *rows.columns)
+
+
+def _by_group(dealt: DataFrame, bounds: list[int]) -> DataFrame:
     # by their numbers groups are dealt evenly; few bytes but many comparisons: adaptive execution, which goes by bytes, must not put these partitions together
-    groups = (len(bounds) + 1) * (len(bounds) + 2) // 2
+    groups = _groups(bounds)
     return dealt.repartitionById(groups, "group") if groups <= 2000 else dealt.repartition(2000, "group")
 
 
+def _groups(bounds: list[int]) -> int:
+    return (len(bounds) + 1) * (len(bounds) + 2) // 2
+
+
+def _grouped(points: DataFrame, bounds: list[int]) -> DataFrame:
+    # of several points of a vessel in a bucket the order matters, not what it is made of
+    ties = F.row_number().over(Window.partitionBy("mmsi", "bucket").orderBy("seq")).alias("tie")
+    return _by_group(_dealt(_usable(points).select("mmsi", "bucket", "latitude", "longitude", "before", ties), bounds), bounds)
+
+
+def _grouped_vessels(points: DataFrame, occupied: DataFrame, bounds: list[int], config: Detection) -> DataFrame:
+    """A row of arrays for a vessel, or for each ``ROW_BUCKETS`` of its buckets, and for every group the occupied buckets (``side`` 3)."""
+    part = F.floor(F.col("bucket") / (max(config.meeting_bucket_s, 1) * ROW_BUCKETS)).alias("part")
+    rows = _usable(points).groupBy("mmsi", part).agg(F.collect_list(F.struct("bucket", "latitude", "longitude")).alias("p"))
+    rows = _dealt(rows.select("mmsi", "p.bucket", "p.latitude", "p.longitude"), bounds)
+    given = occupied.where("bucket is not null").groupBy(part).agg(F.collect_list(F.struct("bucket", F.coalesce("before", F.lit(NEVER)).alias("before"))).alias("p"))
+    none = F.array().cast("array<double>")
+    given = given.select(F.explode(F.sequence(F.lit(0), F.lit(_groups(bounds) - 1))).alias("group"), F.lit(3).alias("side"), F.lit(0).cast("long").alias("mmsi"), "p.bucket", none.alias("latitude"), none.alias("longitude"), "p.before")
+    return _by_group(rows.withColumn("before", F.array().cast("array<long>")).unionByName(given), bounds)
+
+
 def _spans(a: dict, b: dict, size: float, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(order of b, first, end): for each point of ``a`` places in that order which hold all of ``b`` that can be close, in several lists."""
     band = lambda p, d=0: (np.floor(p["latitude"] / size) + d).astype(np.int64)
@@ -171,8 +209,8 @@ def _is_near(a: dict, b: dict, km: float) -> Callable[[np.ndarray, np.ndarray],
     return near
 
 
-def _counts(a: dict, b: dict, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vessel, sessions) of those with any that last long enough; a vessel may come twice. An observation is one number: first vessel, second vessel, bucket."""
+def _counts_by_keys(a: dict, b: dict, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_counts``, whatever the limits. An observation is one number: first vessel, second vessel, bucket."""
     near = _is_near(a, b, config.meeting_km)
     vessels_a, of_a = np.unique(a["mmsi"], return_inverse=True)
     vessels_b, of_b = np.unique(b["mmsi"], return_inverse=True)
@@ -207,10 +245,264 @@ def _counts(a: dict, b: dict, config: Detection, size: float, exact: bool, stric
     return vessels[met > 0], met[met > 0]
 
 
+def _windows(buckets: np.ndarray, back: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, int]] | None:
+    """(first, end, first beginning, end of beginnings): windows of at most ``BITS`` buckets, in each of which sessions that begin at its beginnings can be judged; None if they hold too few.
+
+    What goes on from a bucket lies within the largest ``back``; a session from t is long enough if it doesn't end before ``need``.
+    """
+    total = len(buckets)
+    if total <= BITS:
+        return [(0, total, 0, total)]
+    reach, long = int(back.max()), int(np.where(need < total, need - np.arange(total), 0).max())
+    if (stride := BITS - 2 * reach - long) < LEAST_STARTS:
+        return None
+    return [(max(0, t - reach), min(total, t - reach + BITS), t, min(total, t + stride)) for t in range(0, total, stride)]
+
+
+def _long_sessions(met: np.ndarray, back: np.ndarray, span: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many sessions of each pair begin at ``starts`` (booleans) and last ``span`` buckets; ``met``: a bit for each bucket in which the pair was observed."""
+    n = len(back)
+    bits = lambda wanted: np.uint64(sum(1 << int(t) for t in np.flatnonzero(wanted)))
+    before, after, part = np.zeros_like(met), np.zeros_like(met), np.empty_like(met)
+    for d in range(1, int(back.max(initial=0)) + 1):
+        go_on = (back >= d) | (np.arange(n) < d)  # the bits that a shift by d loses need no care
+        seen = met if go_on.all() else met & bits(go_on)
+        before |= np.left_shift(met, np.uint64(d), out=part) if go_on.all() else np.left_shift(met, np.uint64(d), out=part) & bits(go_on)
+        after |= np.right_shift(seen, np.uint64(d), out=part)
+    begins = met & ~before
+    begins &= bits(starts)
+    ends = met & ~after
+    for d in range(int(span[starts].max(initial=0))):  # an end too early
+        longer = (span > d) | ~starts
+        early = np.right_shift(ends, np.uint64(d), out=part)
+        begins &= ~early if longer.all() else ~(early & bits(longer))
+    return np.bitwise_count(begins)
+
+
+class _Places:
+    """The points of a side by places: parts of cells, each with a ball around its points. Balls tell of two places whether all, none or some of their points are close."""
+
+    def __init__(self, side: dict, size: float, exact: bool):
+        lat, lon = side["latitude"], side["longitude"]
+        y, x = (np.floor(v / size) for v in (lat, (lon + 180) % 360.0 if exact else lon))
+        cut = lambda v, cell: np.clip(((v / size - cell) * CUTS).astype(np.int64), 0, CUTS - 1)
+        keys = [cut((lon + 180) % 360.0 if exact else lon, x), x, cut(lat, y), y]
+        order = np.lexsort(keys)
+        new = np.r_[True, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)]
+        self.of = np.empty(len(lat), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        self.n = int(new.sum())
+        first = order[np.flatnonzero(new)]
+        self.as_points = {"latitude": lat[first], "longitude": lon[first], "bucket": np.zeros(self.n, np.int64)}
+        sphere = np.stack([np.cos(np.radians(lat)) * np.cos(np.radians(lon)), np.cos(np.radians(lat)) * np.sin(np.radians(lon)), np.sin(np.radians(lat))])
+        self.centre = np.stack([np.bincount(self.of, v, self.n) for v in sphere]) / np.bincount(self.of, minlength=self.n)
+        self.radius = np.zeros(self.n)
+        np.maximum.at(self.radius, self.of, np.sqrt(((sphere - self.centre[:, self.of]) ** 2).sum(axis=0)))
+
+
+def _near_places(a: _Places, b: _Places, km: float, size: float, exact: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each place of ``a`` those of ``b``: all of whose points are close to all of its own, and some of whose points may be."""
+    chord = 2 * math.sin(min(km / (2 * EARTH_RADIUS_KM), math.pi / 2))
+    sure, unsure = [], []
+    numbered = lambda p, at: p.as_points | {"mmsi": np.arange(p.n) + at}
+    for i, j in _candidates(numbered(a, 0), numbered(b, a.n), size, exact, CANDIDATES):
+        apart, slack = np.sqrt(((a.centre[:, i] - b.centre[:, j]) ** 2).sum(axis=0)), a.radius[i] + b.radius[j]
+        all_near = apart + slack <= chord * (1 - 1e-6) - 1e-13
+        may_be = ~all_near & (apart - slack <= chord * (1 + 1e-6) + 1e-13)
+        sure.append(np.stack([i[all_near], j[all_near]]))
+        unsure.append(np.stack([i[may_be], j[may_be]]))
+    told = []
+    for pairs in (sure, unsure):
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        order = np.lexsort((j, i))
+        told.append(np.split(j[order], np.searchsorted(i[order], np.arange(1, a.n))))
+    return told[0], told[1]
+
+
+def _counting(n: np.ndarray) -> np.ndarray:
+    """From 0 up to each of the numbers, one after another."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _joined(*keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, each with all its bits."""
+    order = np.lexsort(keys[::-1])
+    keys = tuple(k[order] for k in keys)
+    first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)]) if len(order) else order
+    return *(k[first] for k in keys), np.bitwise_or.reduceat(bits[order], first) if len(first) else bits
+
+
+class _Window:
+    """A window's observations of two sides: bits of vessels by class of places (``a``) or by place (``b``), and the points of places that aren't wholly close."""
+
+    def __init__(self, a: dict, b: dict, t_a: np.ndarray, t_b: np.ndarray, at: _Places, other: _Places, classes: np.ndarray, near: list[np.ndarray], unsure: list[np.ndarray], is_near: Callable):
+        self.near, self.is_near, self.place_a, self.t_a = near, is_near, at.of, t_a
+        self.unsure, self.unsure_first = np.concatenate([*unsure, np.zeros(0, np.int64)]), np.cumsum([0, *map(len, unsure)])
+        one = np.uint64(1)
+        inside = np.flatnonzero((t_a >= 0) & (classes[at.of] >= 0))
+        self.vessel, self.kind, self.bits = _joined(a["no"][inside], classes[at.of[inside]], bits=one << t_a[inside].astype(np.uint64))
+        inside = np.flatnonzero(t_b >= 0)
+        self.b_place, self.b_vessel, self.b_bits = _joined(other.of[inside], b["no"][inside], bits=one << t_b[inside].astype(np.uint64))
+        self.b_first = np.searchsorted(self.b_place, np.arange(other.n + 1))
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        # points of a that need a look at single points of b, by vessel; those of b by place and bucket
+        self.edge = np.flatnonzero((t_a >= 0) & (np.diff(self.unsure_first) > 0)[at.of])
+        self.edge = self.edge[np.argsort(a["no"][self.edge], kind="stable")]
+        self.edge_no, self.b_no = a["no"][self.edge], b["no"]
+        key = other.of[inside] * BITS + t_b[inside]
+        self.b_points = inside[np.argsort(key, kind="stable")]
+        self.b_key = np.sort(key)
+
+    def others(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vessels of ``b`` wholly close to a class, with their bits."""
+        if kind not in self.known:
+            if sum(len(v) for v, _ in self.known.values()) > CANDIDATES:
+                self.known.clear()
+            first, n = self.b_first[self.near[kind]], np.diff(self.b_first)[self.near[kind]]
+            at = np.repeat(first, n) + _counting(n)
+            self.known[kind] = _joined(self.b_vessel[at], bits=self.b_bits[at])
+        return self.known[kind]
+
+    def single(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vessels of ``b`` with points close to single points of a vessel, its edges from ``low`` to ``high``, and the bits of these."""
+        if low == high:
+            return self.b_no[:0], self.bits[:0]
+        edge = self.edge[low:high]
+        n = self.unsure_first[self.place_a[edge] + 1] - self.unsure_first[self.place_a[edge]]
+        point = np.repeat(edge, n)
+        key = self.unsure[np.repeat(self.unsure_first[self.place_a[edge]], n) + _counting(n)] * BITS + self.t_a[point]
+        first, end = np.searchsorted(self.b_key, key, "left"), np.searchsorted(self.b_key, key, "right")
+        n = end - first
+        point, at = np.repeat(point, n), self.b_points[np.repeat(first, n) + _counting(n)]
+        near = self.is_near(point, at)
+        return _joined(self.b_no[at[near]], bits=np.uint64(1) << self.t_a[point[near]].astype(np.uint64))
+
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(vessels of a, vessels of b, the bits of each pair), some vessels of ``a`` at a time, those of one main class together."""
+        vessels = np.unique(np.r_[self.vessel, self.edge_no])
+        first = np.searchsorted(self.vessel, vessels)
+        end = np.searchsorted(self.vessel, vessels, "right")
+        edge_first, edge_end = np.searchsorted(self.edge_no, vessels), np.searchsorted(self.edge_no, vessels, "right")
+        by_bits = np.lexsort((-np.bitwise_count(self.bits).astype(np.int64), self.vessel))
+        main = np.where(end > first, self.kind[by_bits[np.minimum(first, len(by_bits) - 1)]] if len(by_bits) else -1, -1)
+        taken, kinds, wide, singles = [], set(), 0, []
+        for v in np.argsort(main, kind="stable"):
+            mine = {int(k) for k in self.kind[first[v] : end[v]]} - kinds
+            single = self.single(edge_first[v], edge_end[v])
+            more = sum(len(self.others(k)[0]) for k in mine) + len(single[0])
+            if taken and (len(taken) + 1) * (wide + more) > COUNTED_AT_A_TIME:
+                yield self._block(vessels[taken], first[taken], end[taken], kinds, singles)
+                taken, kinds, singles = [], set(), []
+                mine = {int(k) for k in self.kind[first[v] : end[v]]}
+                wide, more = 0, sum(len(self.others(k)[0]) for k in mine) + len(single[0])
+            singles += [(len(taken), *single)] if len(single[0]) else []
+            taken.append(v)
+            kinds |= mine
+            wide += more
+        if taken:
+            yield self._block(vessels[taken], first[taken], end[taken], kinds, singles)
+
+    def _block(self, vessels: np.ndarray, first: np.ndarray, end: np.ndarray, kinds: set[int], singles: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cols = np.unique(np.concatenate([np.zeros(0, np.int64), *(self.others(k)[0] for k in kinds), *(s[1] for s in singles)]))
+        met = np.zeros((len(vessels), len(cols)), np.uint64)
+        entry = np.repeat(first, end - first) + _counting(end - first)
+        row_of = np.repeat(np.arange(len(vessels)), end - first)
+        order = np.argsort(self.kind[entry], kind="stable")
+        entry, row_of = entry[order], row_of[order]
+        for kind in kinds:
+            low, high = np.searchsorted(self.kind[entry], kind), np.searchsorted(self.kind[entry], kind, "right")
+            rows, bits = row_of[low:high], self.bits[entry[low:high]]
+            others, their = self.others(kind)
+            at = np.searchsorted(cols, others)
+            if 4 * len(rows) * len(at) < met.size:
+                met[np.ix_(rows, at)] |= bits[:, None] & their[None, :]
+                continue
+            whole, whole_b = np.zeros(len(vessels), np.uint64), np.zeros(len(cols), np.uint64)
+            whole[rows], whole_b[at] = bits, their
+            met |= whole[:, None] & whole_b[None, :]
+        for row, others, bits in singles:
+            met[row, np.searchsorted(cols, others)] |= bits
+        return vessels, cols, met
+
+
+def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vessel, sessions) of those with any that last long enough; a vessel may come twice. ``buckets``, ``before``: the occupied ones, in order.
+
+    A side has ``no`` beside its points, the place of their vessel among its ``vessels``. Places of ``a`` to which the same places of ``b`` are wholly close are a class. For a vessel
+    the buckets in a class are bits, as are for another the buckets in places close to it; what both have is when they met.
+    """
+    common = np.intersect1d(a["bucket"], b["bucket"])
+    nothing = np.zeros(0, np.int64)
+    if not len(common):
+        return nothing, nothing
+    reference = common if strict_gap else before[np.searchsorted(buckets, common)]
+    back = np.arange(len(common)) - np.searchsorted(common, reference - config.continuation_s)
+    back[0] = 0
+    least = max(0, math.floor(least_h * 3600) - 2)
+    while least / 3600.0 < least_h:
+        least += 1
+    need = np.searchsorted(common, common + least)
+    windows = _windows(common, np.maximum(back, 0), need)
+    if windows is None:
+        for side in (a, b):
+            side["before"] = before[np.searchsorted(buckets, side["bucket"])]
+            order = np.lexsort((side["bucket"], side["mmsi"]))
+            side |= {c: side[c][order] for c in ("mmsi", "bucket", "latitude", "longitude", "before")}
+            side["several"] = bool(((side["mmsi"][1:] == side["mmsi"][:-1]) & (side["bucket"][1:] == side["bucket"][:-1])).any())
+        return _counts_by_keys(a, b, config, size, exact, strict_gap, least_h)
+    same = a is b  # each pair is met from either side, and told for one
+    places, others = _Places(a, size, exact), None if same else _Places(b, size, exact)
+    others = others or places
+    sure, unsure = _near_places(places, others, config.meeting_km, size, exact)
+    numbers: dict[bytes, int] = {}
+    classes = np.array([numbers.setdefault(q.tobytes(), len(numbers)) if len(q) else -1 for q in sure], np.int64)
+    near = [np.frombuffer(q, np.int64) for q in numbers]
+    at_a, at_b = (np.where(np.isin(side["bucket"], common), np.searchsorted(common, side["bucket"]), -1) for side in (a, b))
+    met_a, met_b = np.zeros(len(a["vessels"]), np.int64), np.zeros(len(b["vessels"]), np.int64)
+    is_near = _is_near(a, b, config.meeting_km)
+    for first, end, start, last in windows:
+        t_a, t_b = (np.where((t >= first) & (t < end), t - first, -1) for t in (at_a, at_b))
+        here, t = np.arange(first, end), np.arange(end - first)
+        starts = (here >= start) & (here < last) & (need[first:end] < len(common))
+        reach = np.minimum(np.maximum(back[first:end], 0), t)
+        for rows, cols, met in _Window(a, b, t_a, t_b, places, others, classes, near, unsure, is_near).blocks():
+            if not len(cols):
+                continue
+            if same:
+                at = np.minimum(np.searchsorted(cols, rows), len(cols) - 1)
+                mine = np.flatnonzero(cols[at] == rows)
+                met[mine, at[mine]] = 0
+            n = _long_sessions(met, reach, need[first:end] - here, starts)
+            met_a[rows] += n.sum(axis=1, dtype=np.int64)
+            if not same:
+                met_b[cols] += n.sum(axis=0, dtype=np.int64)
+    vessels, met = np.r_[a["vessels"], b["vessels"]], np.r_[met_a, met_b]
+    return vessels[met > 0], met[met > 0]
+
+
+def _vessel_sides(table: pa.Table) -> tuple[dict, dict, np.ndarray, np.ndarray]:
+    """The sides of a group as ``_counts`` takes them, one and the same if the group is of one range; the occupied buckets and those before them."""
+    column = lambda c: table.column(c).combine_chunks()
+    side, sizes = column("side").to_numpy(), pc.list_value_length(column("bucket")).to_numpy(zero_copy_only=False)
+    of_point = np.repeat(side, sizes)
+    flat = {c: column(c).flatten().to_numpy() for c in ("bucket", "latitude", "longitude", "before")}
+    order = np.argsort(flat["bucket"][of_point == 3])
+    buckets, before = flat["bucket"][of_point == 3][order], flat["before"][order]
+    columns = {"mmsi": np.repeat(column("mmsi").to_numpy(), sizes)[of_point != 3], "bucket": flat["bucket"][of_point != 3], "latitude": flat["latitude"], "longitude": flat["longitude"]}
+    of_point = of_point[of_point != 3]
+    sides = []
+    for mine in ((2,), ()) if (of_point == 2).any() else ((0,), (1,)):
+        if mine:
+            found = {c: v[np.isin(of_point, mine)] for c, v in columns.items()}
+            found["vessels"], found["no"] = np.unique(found["mmsi"], return_inverse=True)
+        sides.append(found)
+    return sides[0], sides[1], buckets, before
+
+
 def _sides(batches: Iterator[pa.RecordBatch]) -> tuple[dict, dict]:
     table = pa.Table.from_batches(list(batches))
     columns = {c: table.column(c).to_numpy() for c in ("mmsi", "bucket", "latitude", "longitude", "tie", "side")}
-    columns["before"] = table.column("before").fill_null(-(1 << 62)).to_numpy()
+    columns["before"] = table.column("before").fill_null(NEVER).to_numpy()
     order = np.lexsort((columns["bucket"], columns["mmsi"]))
     columns = {c: v[order] for c, v in columns.items()}
     sides = []
@@ -285,11 +577,13 @@ def crowded_sessions(points: DataFrame, bounds: list[int], config: Detection, ex
     return _of_observations(points, bounds, config, exact_grid, tell, SESSIONS)
 
 
-def crowded_counts(points: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
-    """As ``meetings.session_counts``; ``points`` have ``before`` as for ``crowded_sessions``. Groups tell a row for each vessel with sessions, at most two for a group of one range."""
+def crowded_counts(points: DataFrame, occupied: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
+    """As ``meetings.session_counts``; ``occupied`` as for ``joined_pieces``. Groups tell a row for each vessel with sessions, at most two for a group of one range."""
     size = grid_degrees(config.meeting_km)
+    ship_package(points.sparkSession)
 
-    def tell(a: dict, b: dict) -> Iterator[pa.RecordBatch]:
-        return _told(["mmsi", "n"], list(_counts(a, b, config, size, exact_grid, strict_gap, least_h)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, buckets, before = _vessel_sides(pa.Table.from_batches(list(batches)))
+        yield from _told(["mmsi", "n"], list(_counts(a, b, buckets, before, config, size, exact_grid, strict_gap, least_h)))
 
-    return _in_groups(points, bounds, tell, COUNTS).groupBy("mmsi").agg(F.sum("n").alias("n"))
+    return _grouped_vessels(points, occupied, bounds, config).groupBy("group").applyInArrow(run, COUNTS).groupBy("mmsi").agg(F.sum("n").alias("n"))

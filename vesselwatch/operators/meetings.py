@@ -30,13 +30,29 @@ def meeting_points(tracks: DataFrame, config: Detection, ports: DataFrame | None
 
     Without a catalogue (None) there are none; an empty catalogue excludes nothing.
     """
-    sog = F.col("sog")
-    points = tracks.where("is_meeting_sample").where((sog < config.meeting_knots) | F.isnan(sog))
+    points = tracks.where("is_meeting_sample").where(_slow(config))
     if ports is None:
         points = points.where(F.lit(False))
     else:
         points = with_near_port(points, ports_by_cell(ports, config.meeting_port_km), "latitude", "longitude", "near_port").where(~F.col("near_port"))
-    return points.select("mmsi", bucket(epoch("ts"), max(config.meeting_bucket_s, 1)).alias("bucket"), "latitude", "longitude", "seq")
+    return points.select("mmsi", *_point(config))
+
+
+def _slow(config: Detection) -> Column:
+    return (F.col("sog") < config.meeting_knots) | F.isnan("sog")
+
+
+def _point(config: Detection) -> list[Column]:
+    return [bucket(epoch("ts"), max(config.meeting_bucket_s, 1)).alias("bucket"), F.col("latitude"), F.col("longitude"), F.col("seq")]
+
+
+def with_meeting_point(tracks: DataFrame, config: Detection, ports: DataFrame | None) -> DataFrame:
+    """``meeting_point``: beside each record that is one of ``meeting_points`` its columns there but for the vessel, else null."""
+    if ports is None:
+        return tracks.withColumn("meeting_point", F.when(F.lit(False), F.struct(*_point(config))))
+    wanted = F.coalesce(F.col("is_meeting_sample") & _slow(config), F.lit(False))
+    near = with_near_port(tracks, ports_by_cell(ports, config.meeting_port_km), "latitude", "longitude", "__near_port", wanted)
+    return near.withColumn("meeting_point", F.when(wanted & ~F.col("__near_port"), F.struct(*_point(config)))).drop("__near_port")
 
 
 def cell_sides(points: DataFrame, config: Detection, exact_grid: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -172,7 +188,7 @@ def meetings(tracks: DataFrame, config: Detection | None = None, ports: DataFram
 def session_counts(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
     """(mmsi, n) of vessels with any: how many of the sessions of ``sessions_of`` they have. In crowds these are counted where they are found, and never rows."""
     if (bounds := ranges_for(points, config, crowds.COUNTED)) is not None:
-        return crowded_counts(points.drop("before").join(_occupied(points), "bucket", "left"), bounds, config, exact_grid, strict_gap, least_h)
+        return crowded_counts(points, _occupied(points), bounds, config, exact_grid, strict_gap, least_h)
     return counted(sessions_of(points, config, exact_grid, strict_gap, least_h))
 
 

@@ -59,10 +59,10 @@ def track_summaries(detected: DataFrame, config: Detection) -> DataFrame:
     the latest end with the beginnings that are an episode's as far as the slice can tell.
 
     Their grouping is that of the detectors' windows, so nothing is shuffled for it. Beginnings within a slice lie further apart
-    than the episode gap.
+    than the episode gap. ``detected`` may be ``narrowed``.
     """
     here, order = F.struct(*POINT), F.struct("ts", "seq")
-    starts = with_episode_starts(detected, config)
+    starts = _with_starts(detected, config)
     if "part" not in detected.columns:
         starts = starts.withColumn("part", F.lit(None).cast("long"))
     found = _partial(
@@ -94,10 +94,22 @@ def vessel_summary(detected: DataFrame, meetings: DataFrame | None = None, confi
     if "part" in detected.columns:
         summary = merged(track_summaries(detected, config), config).drop("d1_end", "last", "last_sample")
     else:
-        summary = _partial(with_episode_starts(detected, config), config, [])
+        summary = _partial(_with_starts(detected, config), config, [])
     return with_meetings(summary, meetings, counts)
 
 
+def _with_starts(detected: DataFrame, config: Detection) -> DataFrame:
+    return detected if "starts_episode" in detected.columns else with_episode_starts(detected, config)
+
+
+def narrowed(detected: DataFrame, config: Detection, *more: str) -> DataFrame:
+    """Of each record what its vessel's summary takes, and the columns ``more``: written once, they need no window again."""
+    d2 = (F.col("subtype") == "D2") & F.col("counts")
+    own = [F.when(F.col("is_silence"), F.col("sample_hours")).alias("sample_hours"), F.when(d2, F.col("prev_km")).alias("prev_km")]
+    sliced = ["part", "seq", *POINT, "is_sample", F.struct("prev.ts").alias("prev")] if "part" in detected.columns else []
+    return with_episode_starts(detected, config).select("mmsi", *sliced, "is_silence", "is_draught_change", "subtype", "counts", "starts_episode", *own, *more)
+
+
 def with_meetings(summary: DataFrame, meetings: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     """``meeting_events``: a vessel's meetings. ``counts`` (mmsi, n): their numbers, where no one needs the meetings themselves."""
     if meetings is None and counts is None:

@@ -66,7 +66,13 @@ class Result:
 
     @cached_property
     def vessels(self) -> DataFrame:
-        """One scored row per vessel."""
+        """One scored row per vessel. Meetings that no one has asked for are counted from the tracks' points, which one pass over the tracks keeps beside what the vessels' sums take."""
+        if self.with_meetings and not {"meetings", "meeting_counts"} & set(self.__dict__):
+            detected = meet.with_meeting_point(self._parts, self.config, self.ports)
+            records = stored(score.narrowed(detected, self.config, "meeting_point"), "records")
+            points = records.where("meeting_point is not null").select("mmsi", "meeting_point.*")
+            counts = meet.session_counts(points, self.config, self.exact_grid, self.strict_gap, self.config.meeting_h)
+            return score.with_score(score.vessel_summary(records, None, self.config, counts))
         return score.with_score(score.vessel_summary(self._parts, None, self.config, self.meeting_counts if self.with_meetings else None))
 
     def ranked(self) -> DataFrame:
