@@ -200,7 +200,7 @@ def with_quality(t: DataFrame, config: Detection, ports: DataFrame | None, land:
     """
     d2 = F.coalesce(F.col("subtype") == "D2", F.lit(False))
     t = t.withColumns({"__lat": F.col("prev.latitude"), "__lon": F.col("prev.longitude")})
-    masks = land_by_cell(land) if land is not None else None
+    masks = land if land is None or "land_y" in land.columns else land_by_cell(land)  # a cover, or a mask to be covered
     t = with_on_land(t, masks, "__lat", "__lon", "start_on_land", d2)
     t = with_on_land(t, masks, "latitude", "longitude", "end_on_land", d2)
     near = F.lit(False)

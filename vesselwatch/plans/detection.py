@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vesselwatch.config import Detection
+from vesselwatch.functions.geo import land_by_cell
 from vesselwatch.operators import meetings as meet
 from vesselwatch.operators import score, tracks
 from vesselwatch.session import stored
@@ -68,7 +69,9 @@ class Result:
     def vessels(self) -> DataFrame:
         """One scored row per vessel. Meetings that no one has asked for are counted from the tracks' points, which one pass over the tracks keeps beside what the vessels' sums take."""
         if self.with_meetings and not {"meetings", "meeting_counts"} & set(self.__dict__):
-            detected = meet.with_meeting_point(self._parts, self.config, self.ports)
+            land = stored(land_by_cell(self.land), "land") if self.land is not None else None  # its long plan would be part of the tracks' for either end of a jump
+            detected = tracks.detect(self.records, self.config, self.ports, land, self.quality, **self.tracks)
+            detected = meet.with_meeting_point(detected, self.config, self.ports)
             records = stored(score.narrowed(detected, self.config, "meeting_point"), "records")
             points = records.where("meeting_point is not null").select("mmsi", "meeting_point.*")
             counts = meet.session_counts(points, self.config, self.exact_grid, self.strict_gap, self.config.meeting_h)
