@@ -42,3 +42,19 @@ def test_sessions_by_bits_equal_the_joins(spark, monkeypatch, place, limits):
         by_points.append((rows(told.where("mmsi_b is not null")), sorted(map(tuple, told.where("mmsi_b is null").groupBy("mmsi_a").agg({"start_epoch": "min"}).collect()))))
     assert by_points[0] == by_points[1] == by_points[2] and len(by_points[0][0]) > 20
     assert bool(by_points[0][1]) == ("open_after" in limits)
+
+
+@pytest.mark.parametrize("slices", [2000, 7])
+def test_pairs_are_found_by_bucket(spark, monkeypatch, slices):
+    points = crowd(spark, 0.0, 0.0)
+    monkeypatch.setattr(meet, "ranges_for", lambda *a: None)
+    want = rows(meet.pair_observations(points, CONFIG))
+    monkeypatch.setattr(crowds, "SLICES", slices)
+    sizes, plain = [], crowds._dealt
+    monkeypatch.setattr(crowds, "_dealt", lambda rows, bounds: sizes.append(len(bounds) + 1) or plain(rows, bounds))
+    assert rows(crowds.crowded_pairs(points, [], CONFIG)) == want == rows(crowds.crowded_pairs(points, [15], CONFIG))
+    monkeypatch.undo()
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", 0)
+    monkeypatch.setattr(crowds, "CANDIDATES", 500)
+    dense = spark.range(60 * 40).selectExpr("id div 40 as mmsi", "id % 40 * 300 as bucket", "10D as latitude", "20D as longitude", "id as seq")
+    assert crowds.ranges_for(dense, CONFIG, None, True) == []  # one copy of each point; by pairs: 24
