@@ -58,3 +58,26 @@ def test_pairs_are_found_by_bucket(spark, monkeypatch, slices):
     monkeypatch.setattr(crowds, "CANDIDATES", 500)
     dense = spark.range(60 * 40).selectExpr("id div 40 as mmsi", "id % 40 * 300 as bucket", "10D as latitude", "20D as longitude", "id as seq")
     assert crowds.ranges_for(dense, CONFIG, None, True) == []  # one copy of each point; by pairs: 24
+
+
+@pytest.mark.parametrize("place", [(0.0, 0.0, False, False), (-33.0, 151.0, False, True), (64.0, 179.99, True, False)])
+def test_meetings_of_one_vessel(spark, place):
+    """The same as of all meetings, and no pair of others is looked for."""
+    lat, lon, exact, strict = place
+    points = crowd(spark, lat, lon)
+    points = points.unionByName(points.where("mmsi % 3 = 0 and bucket % 900 = 0").selectExpr("mmsi", "bucket", "latitude + 0.001 as latitude", "longitude", "seq + 100000 as seq"))
+    all_ = meet.sessions_of(points, CONFIG, exact, strict, 0.5)
+    for vessel in (0, 17, 39):
+        want = rows(all_.where(f"{vessel} in (mmsi_a, mmsi_b)"))
+        assert rows(meet.sessions_with(points, vessel, CONFIG, exact, strict, 0.5)) == want and want
+
+
+def test_the_map_of_meetings_lists_no_others(spark, monkeypatch):
+    from vesselwatch.plans import catalogue
+
+    listed, plain = [], meet.sessions_of
+    monkeypatch.setattr(meet, "sessions_of", lambda *a, **k: listed.append(a) or plain(*a, **k))
+    assert catalogue.QUERIES["top_b_map"](spark, "/root/testdata/sf0.01").count() > 0 and len(listed) == 1  # sparse points: counted from the list
+    monkeypatch.setattr(crowds, "LEAST_PAIRS", 0)
+    catalogue.QUERIES["top_b_map"](spark, "/root/testdata/sf0.1").count()
+    assert len(listed) == 1  # crowds: counted without it

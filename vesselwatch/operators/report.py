@@ -14,11 +14,14 @@ ISO = "yyyy-MM-dd'T'HH:mm:ss"
 def of_top_vessel(events: DataFrame) -> DataFrame:
     """Events of the vessel (``mmsi``) with most of them, ties to the smallest; numbered in time as ``event_index``."""
     top = events.groupBy("mmsi").count().orderBy(F.desc("count"), "mmsi").limit(1).select("mmsi")
-    mine = events.join(F.broadcast(top), "mmsi", "left_semi")  # one row
+    return _numbered(events.join(F.broadcast(top), "mmsi", "left_semi"))  # one row
+
+
+def _numbered(events: DataFrame) -> DataFrame:
     starts = [c for c in ("start_ts", "start_epoch") if c in events.columns]
     ends = [c for c in ("end_ts", "end_epoch") if c in events.columns]
     rest = [c for c in ("mmsi_a", "mmsi_b") if c in events.columns]
-    return mine.withColumn("event_index", F.row_number().over(Window.partitionBy("mmsi").orderBy(*starts, *ends, *rest)))
+    return events.withColumn("event_index", F.row_number().over(Window.partitionBy("mmsi").orderBy(*starts, *ends, *rest)))
 
 
 def _flag(c: str) -> Column:
@@ -46,9 +49,10 @@ def silence_map(events: DataFrame) -> DataFrame:
     )
 
 
-def meeting_map(events: DataFrame) -> DataFrame:
+def meeting_map(events: DataFrame, of_one: bool = False) -> DataFrame:
+    """Map rows of the top vessel by meetings. ``of_one``: ``events`` are those of the top vessel, which is their ``mmsi``."""
     iso = lambda c: F.date_format(F.timestamp_seconds(F.col(c)), ISO)
-    top = of_top_vessel(by_vessel(events))
+    top = _numbered(events) if of_one else of_top_vessel(by_vessel(events))
     return top.select(
         F.col("mmsi").alias("focus_mmsi"), "event_index", "mmsi_a", "mmsi_b", iso("start_epoch").alias("start_timestamp"), iso("end_epoch").alias("end_timestamp"), "duration_hours",
         "start_lat_a", "start_lon_a", "start_lat_b", "start_lon_b", "end_lat_a", "end_lon_a", "end_lat_b", "end_lon_b", "min_distance_km", "avg_distance_km",

@@ -65,6 +65,15 @@ class Result:
         points = tracks.with_track_columns(self.records, self.config, **self.tracks)
         return meet.meeting_counts(points, self.config, self.ports if self.with_meetings else None, self.exact_grid, self.strict_gap)
 
+    @cached_property
+    def top_meetings(self) -> DataFrame:
+        """Meetings of the vessel (``mmsi``) with most of them, ties to the smallest. All are counted, but none is listed of others."""
+        points = tracks.with_track_columns(self.records, self.config, **self.tracks)
+        points = stored(meet.meeting_points(points, self.config, self.ports if self.with_meetings else None), "points")
+        options = (self.config, self.exact_grid, self.strict_gap, self.config.meeting_h)
+        top = meet.session_counts(points, *options).orderBy(F.desc("n"), "mmsi").first()
+        return meet.sessions_with(points, -1 if top is None else top["mmsi"], *options).select(F.lit(-1 if top is None else top["mmsi"]).cast("long").alias("mmsi"), "*")
+
     @cached_property
     def vessels(self) -> DataFrame:
         """One scored row per vessel. Meetings that no one has asked for are counted from the tracks' points, which one pass over the tracks keeps beside what the vessels' sums take."""
