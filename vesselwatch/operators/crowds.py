@@ -52,6 +52,8 @@ LEAST_PAIRS = 1_000_000
 PAIRS = "mmsi_a long, mmsi_b long, bucket long, latitude_a double, longitude_a double, latitude_b double, longitude_b double, km double"
 _PLACES = ["lat_a", "lon_a", "lat_b", "lon_b"]
 COUNTS = "mmsi long, n long"
+#: Sessions of which only those are wanted that end from the first bucket on (None: whichever) and before the second.
+Ends = tuple[int | None, int | None] | None
 #: The occupied bucket before the first.
 NEVER = -(1 << 62)
 SESSIONS = (
@@ -234,7 +236,7 @@ def _is_near(a: dict, b: dict, km: float) -> Callable[[np.ndarray, np.ndarray],
     return near
 
 
-def _counts_by_keys(a: dict, b: dict, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
+def _counts_by_keys(a: dict, b: dict, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float, ends: Ends = None) -> tuple[np.ndarray, np.ndarray]:
     """As ``_counts``, whatever the limits. An observation is one number: first vessel, second vessel, bucket."""
     near = _is_near(a, b, config.meeting_km)
     vessels_a, of_a = np.unique(a["mmsi"], return_inverse=True)
@@ -263,29 +265,37 @@ def _counts_by_keys(a: dict, b: dict, config: Detection, size: float, exact: boo
         # a session goes on from an observation of the pair at most so many buckets before
         first = np.flatnonzero(np.r_[True, key[:-1] < key[1:] - back[t[1:]]])
         last = np.r_[first[1:], len(key)] - 1
-        met = key[first[(buckets[t[last]] - buckets[t[first]]) / 3600.0 >= least_h]] >> bits_t
+        long = (buckets[t[last]] - buckets[t[first]]) / 3600.0 >= least_h
+        met = key[first[long if ends is None else long & _within(buckets[t[last]], ends)]] >> bits_t
         met_a += np.bincount(met >> bits_b, minlength=len(vessels_a))
         met_b += np.bincount(met & ((1 << bits_b) - 1), minlength=len(vessels_b))
     vessels, met = np.r_[vessels_a, vessels_b], np.r_[met_a, met_b]
     return vessels[met > 0], met[met > 0]
 
 
-def _windows(buckets: np.ndarray, back: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, int]] | None:
+def _within(buckets: np.ndarray, ends: tuple[int | None, int | None]) -> np.ndarray:
+    low, high = ends
+    return (buckets >= (NEVER if low is None else low)) & (buckets < (-NEVER if high is None else high))
+
+
+def _windows(buckets: np.ndarray, back: np.ndarray, need: np.ndarray, by_end: bool = False) -> list[tuple[int, int, int, int]] | None:
     """(first, end, first beginning, end of beginnings): windows of at most ``BITS`` buckets, in each of which sessions that begin at its beginnings can be judged; None if they hold too few.
 
-    What goes on from a bucket lies within the largest ``back``; a session from t is long enough if it doesn't end before ``need``.
+    What goes on from a bucket lies within the largest ``back``; a session from t is long enough if it doesn't end before ``need``. ``by_end``: the same of ends,
+    where a session up to t is long enough if it begins at ``need`` at the latest, -1 if none is.
     """
     total = len(buckets)
     if total <= BITS:
         return [(0, total, 0, total)]
-    reach, long = int(back.max()), int(np.where(need < total, need - np.arange(total), 0).max())
+    reach, long = int(back.max()), int(np.where((need >= 0) & (need < total), np.abs(need - np.arange(total)), 0).max())
     if (stride := BITS - 2 * reach - long) < LEAST_STARTS:
         return None
-    return [(max(0, t - reach), min(total, t - reach + BITS), t, min(total, t + stride)) for t in range(0, total, stride)]
+    earlier = reach + long if by_end else reach
+    return [(max(0, t - earlier), min(total, t - earlier + BITS), t, min(total, t + stride)) for t in range(0, total, stride)]
 
 
-def _long_sessions(met: np.ndarray, back: np.ndarray, span: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many sessions of each pair begin at ``starts`` (booleans) and last ``span`` buckets; ``met``: a bit for each bucket in which the pair was observed."""
+def _long_sessions(met: np.ndarray, back: np.ndarray, span: np.ndarray, starts: np.ndarray, by_end: bool = False) -> np.ndarray:
+    """How many sessions of each pair begin at ``starts`` (booleans; ``by_end``: end there) and last ``span`` buckets; ``met``: a bit for each bucket in which the pair was observed."""
     n = len(back)
     bits = lambda wanted: np.uint64(sum(1 << int(t) for t in np.flatnonzero(wanted)))
     before, after, part = np.zeros_like(met), np.zeros_like(met), np.empty_like(met)
@@ -294,9 +304,15 @@ def _long_sessions(met: np.ndarray, back: np.ndarray, span: np.ndarray, starts:
         seen = met if go_on.all() else met & bits(go_on)
         before |= np.left_shift(met, np.uint64(d), out=part) if go_on.all() else np.left_shift(met, np.uint64(d), out=part) & bits(go_on)
         after |= np.right_shift(seen, np.uint64(d), out=part)
-    begins = met & ~before
+    begins, ends = met & ~before, met & ~after
+    if by_end:
+        ends &= bits(starts)
+        for d in range(int(span[starts].max(initial=0))):  # a beginning too late
+            longer = (span > d) | ~starts
+            late = np.left_shift(begins, np.uint64(d), out=part)
+            ends &= ~late if longer.all() else ~(late & bits(longer))
+        return np.bitwise_count(ends)
     begins &= bits(starts)
-    ends = met & ~after
     for d in range(int(span[starts].max(initial=0))):  # an end too early
         longer = (span > d) | ~starts
         early = np.right_shift(ends, np.uint64(d), out=part)
@@ -455,10 +471,15 @@ def _limits(common: np.ndarray, buckets: np.ndarray, before: np.ndarray, config:
     reference = common if strict_gap else before[np.searchsorted(buckets, common)]
     back = np.arange(len(common)) - np.searchsorted(common, reference - config.continuation_s)
     back[0] = 0
+    return back, np.searchsorted(common, common + _least_s(least_h))
+
+
+def _least_s(least_h: float) -> int:
+    """The least whole seconds that last so many hours."""
     least = max(0, math.floor(least_h * 3600) - 2)
     while least / 3600.0 < least_h:
         least += 1
-    return back, np.searchsorted(common, common + least)
+    return least
 
 
 def _at(side: dict, common: np.ndarray) -> np.ndarray:
@@ -530,8 +551,8 @@ def _session_observations(a: dict, b: dict, buckets: np.ndarray, before: np.ndar
             yield told, {c: b[c][ib] for c in ("mmsi", "latitude", "longitude")}, far
 
 
-def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float) -> tuple[np.ndarray, np.ndarray]:
-    """(vessel, sessions) of those with any that last long enough; a vessel may come twice. ``buckets``, ``before``: the occupied ones, in order.
+def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: Detection, size: float, exact: bool, strict_gap: bool, least_h: float, ends: Ends = None) -> tuple[np.ndarray, np.ndarray]:
+    """(vessel, sessions) of those with any that last long enough; a vessel may come twice. ``buckets``, ``before``: the occupied ones, in order. ``ends``: only sessions that end from the first on and before the second.
 
     A side has ``no`` beside its points, the place of their vessel among its ``vessels``. For a vessel the buckets in a class of places (``_windows_of``) are bits, as are for another the buckets in places close to it; what both have is when they met.
     """
@@ -540,11 +561,15 @@ def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: D
     if not len(common):
         return nothing, nothing
     back, need = _limits(common, buckets, before, config, strict_gap, least_h)
-    windows = _windows(common, np.maximum(back, 0), need)
+    wanted = need < len(common)
+    if ends is not None:  # the last place to begin at, instead of the first to end at
+        need = np.searchsorted(common, common - _least_s(least_h), "right") - 1
+        wanted = (need >= 0) & _within(common, ends)
+    windows = _windows(common, np.maximum(back, 0), need, ends is not None)
     if windows is None:
         for side in (a, b):
             _in_order(side, buckets, before)
-        return _counts_by_keys(a, b, config, size, exact, strict_gap, least_h)
+        return _counts_by_keys(a, b, config, size, exact, strict_gap, least_h, ends)
     same = a is b  # each pair is met from either side, and told for one
     met_a, met_b = np.zeros(len(a["vessels"]), np.int64), np.zeros(len(b["vessels"]), np.int64)
     at_a, at_b = _at(a, common), _at(b, common)
@@ -552,7 +577,9 @@ def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: D
     for first, end, start, last in windows:
         t_a, t_b = (np.where((t >= first) & (t < end), t - first, -1) for t in (at_a, at_b))
         here, t = np.arange(first, end), np.arange(end - first)
-        starts = (here >= start) & (here < last) & (need[first:end] < len(common))
+        starts = (here >= start) & (here < last) & wanted[first:end]
+        if not starts.any():
+            continue
         reach = np.minimum(np.maximum(back[first:end], 0), t)
         for rows, cols, met in window(t_a, t_b).blocks():
             if not len(cols):
@@ -561,7 +588,7 @@ def _counts(a: dict, b: dict, buckets: np.ndarray, before: np.ndarray, config: D
                 at = np.minimum(np.searchsorted(cols, rows), len(cols) - 1)
                 mine = np.flatnonzero(cols[at] == rows)
                 met[mine, at[mine]] = 0
-            n = _long_sessions(met, reach, need[first:end] - here, starts)
+            n = _long_sessions(met, reach, np.abs(need[first:end] - here), starts, ends is not None)
             met_a[rows] += n.sum(axis=1, dtype=np.int64)
             if not same:
                 met_b[cols] += n.sum(axis=0, dtype=np.int64)
@@ -672,13 +699,13 @@ def crowded_sessions(points: DataFrame, bounds: list[int], config: Detection, ex
     return _grouped_vessels(points, occupied, bounds, config, ordered=True).groupBy("group").applyInArrow(run, SESSIONS)
 
 
-def crowded_counts(points: DataFrame, occupied: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
+def crowded_counts(points: DataFrame, occupied: DataFrame, bounds: list[int], config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0, ends: Ends = None) -> DataFrame:
     """As ``meetings.session_counts``; ``occupied`` as for ``joined_pieces``. Groups tell a row for each vessel with sessions, at most two for a group of one range."""
     size = grid_degrees(config.meeting_km)
     ship_package(points.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, buckets, before = _vessel_sides(pa.Table.from_batches(list(batches)))
-        yield from _told(["mmsi", "n"], list(_counts(a, b, buckets, before, config, size, exact_grid, strict_gap, least_h)))
+        yield from _told(["mmsi", "n"], list(_counts(a, b, buckets, before, config, size, exact_grid, strict_gap, least_h, ends)))
 
     return _grouped_vessels(points, occupied, bounds, config).groupBy("group").applyInArrow(run, COUNTS).groupBy("mmsi").agg(F.sum("n").alias("n"))

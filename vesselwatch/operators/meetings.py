@@ -200,11 +200,16 @@ def sessions_with(points: DataFrame, vessel: int, config: Detection, exact_grid:
     return as_sessions(joined_pieces(as_pieces(pairs), _occupied(points), config, strict_gap)).drop("session").where(F.col("duration_hours") >= least_h)
 
 
-def session_counts(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0) -> DataFrame:
-    """(mmsi, n) of vessels with any: how many of the sessions of ``sessions_of`` they have. In crowds these are counted where they are found, and never rows."""
+def session_counts(points: DataFrame, config: Detection, exact_grid: bool = False, strict_gap: bool = False, least_h: float = 0.0, ends: crowds.Ends = None) -> DataFrame:
+    """(mmsi, n) of vessels with any: how many of the sessions of ``sessions_of`` they have. In crowds these are counted where they are found, and never rows.
+
+    ``ends``: only those that end from the first bucket on and before the second.
+    """
     if (bounds := ranges_for(points, config, crowds.COUNTED)) is not None:
-        return crowded_counts(points, _occupied(points), bounds, config, exact_grid, strict_gap, least_h)
-    return counted(sessions_of(points, config, exact_grid, strict_gap, least_h))
+        return crowded_counts(points, _occupied(points), bounds, config, exact_grid, strict_gap, least_h, ends)
+    low, high = ends or (None, None)
+    sessions = sessions_of(points, config, exact_grid, strict_gap, least_h)
+    return counted(sessions.where(F.lit(True) if low is None else F.col("end_epoch") >= low).where(F.lit(True) if high is None else F.col("end_epoch") < high))
 
 
 def meeting_counts(tracks: DataFrame, config: Detection | None = None, ports: DataFrame | None = None, exact_grid: bool = False, strict_gap: bool = False) -> DataFrame:

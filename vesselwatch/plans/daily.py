@@ -2,12 +2,15 @@
 
 What stays of a vessel is one row: its summary so far, its last record, last track sample and latest D1 end. What stays of
 meetings are the points of the newest bucket, which may still get points, and a vessel's points since the earliest of its sessions
-still open began: points, as in a crowd there are far more open sessions. Runs in the
+still open began: points, as in a crowd there are far more open sessions. Where meetings are only counted (``list_meetings`` False) it is the points of as
+many buckets as tell whether a session that ends later is long enough. Runs in the
 order of time give the events and summaries of one run over all records, wherever the days are cut.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +33,9 @@ class DailyDetection:
 
     EVENTS = ("silences", "draught_changes", "jumps", "meetings")
 
-    def __init__(self, spark: SparkSession, path: str, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, with_meetings: bool = True, exact_grid: bool = False, share: float | None = 1 / 200, least: int = 1_000_000):
+    def __init__(self, spark: SparkSession, path: str, config: Detection | None = None, ports: DataFrame | None = None, land: DataFrame | None = None, with_meetings: bool = True, exact_grid: bool = False, share: float | None = 1 / 200, least: int = 1_000_000, list_meetings: bool = True):
         self.spark, self.path, self.config, self.ports, self.land = spark, path, config or Detection(), ports, land
-        self.with_meetings, self.exact_grid, self.share, self.least = with_meetings, exact_grid, share, least
+        self.with_meetings, self.exact_grid, self.share, self.least, self.list_meetings = with_meetings, exact_grid, share, least, list_meetings
 
     def _read(self, name: str, run: int | None = None) -> DataFrame | None:
         try:
@@ -114,6 +117,10 @@ class DailyDetection:
         gap, told_to = self.config.continuation_s, upto
         upto = max((x for x in (upto, ready.agg(F.max("bucket")).first()[0]) if x is not None), default=None)
         open_after = None if run == END or upto is None else upto - gap - 1
+        if not self.list_meetings:
+            self._count(ready, points.where(F.col("bucket") >= newest), run, told_to, upto)
+            discard(points, ready)
+            return upto
         # long sessions that are closed, and since when vessels have others that are open: far fewer than all sessions
         sessions = stored(meet.sessions_of(ready, self.config, self.exact_grid, least_h=self.config.meeting_h, open_after=open_after), "sessions")
         told = F.lit(False) if told_to is None else F.lit(told_to) - F.col("end_epoch") > gap
@@ -124,6 +131,23 @@ class DailyDetection:
         discard(points, ready, sessions)
         return upto
 
+    def _count(self, ready: DataFrame, newest: DataFrame, run: int, told_to: int | None, upto: int | None) -> None:
+        """Vessels' numbers of the long sessions that are closed by now and weren't before; keeps the points that later ones take."""
+        gap = self.config.continuation_s
+        ends = (None if told_to is None else told_to - gap, None if run == END or upto is None else upto - gap)
+        self._write(meet.session_counts(ready, self.config, self.exact_grid, least_h=self.config.meeting_h, ends=ends), "meeting_counts", run)
+        if run == END or upto is None:
+            kept = ready.where(F.lit(False))
+        else:  # a session that ends from upto - gap on, as far back as it must reach, and what its first buckets may go on from
+            since = upto - gap - math.ceil(self.config.meeting_h * 3600)
+            before = ready.where(F.col("bucket") >= since).agg(F.min("before")).first()[0]
+            kept = ready.where(F.col("bucket") >= min(since, since if before is None else before) - gap)
+        self._write(kept if run == END else kept.unionByName(newest), "pending", run)
+
+    def _counts(self) -> DataFrame | None:
+        last, found = self._last()[0], self._read("meeting_counts")
+        return None if found is None else found.where(F.col("run") <= last).groupBy("mmsi").agg(F.sum("n").alias("n"))
+
     def events(self, kind: str) -> DataFrame | None:
         """All events of a kind (``EVENTS``) of the runs that are done."""
         last, found = self._last()[0], self._read(kind)
@@ -135,4 +159,5 @@ class DailyDetection:
         if last is None:
             return None
         summary = self._read("vessels", last).drop("d1_end", "last", "last_sample")
-        return score.with_score(score.with_meetings(summary, self.events("meetings") if self.with_meetings else None))
+        listed = self.with_meetings and self.list_meetings
+        return score.with_score(score.with_meetings(summary, self.events("meetings") if listed else None, self._counts() if self.with_meetings and not listed else None))
