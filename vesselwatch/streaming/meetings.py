@@ -8,13 +8,14 @@ the events equal the batch's, however the stream is cut.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vesselwatch.config import Detection
 from vesselwatch.operators.meetings import sessions_of
-from vesselwatch.session import discard, stored
 
 _DAY = 86_400
 
@@ -58,14 +59,12 @@ def _process(batch: DataFrame, number: int, table: str, config: Detection, exact
     if len(newest) == 2:
         gap, before = config.continuation_s, upto
         upto = newest[1]
-        # long sessions that are closed, and since when others are open: far fewer than all sessions
-        sessions = stored(_sessions(held.where(F.col("bucket") <= upto), config, exact_grid, upto - gap - 1), "sessions")
-        closed = F.col("mmsi_b").isNotNull()
+        # long sessions that are closed, and since when others are open: far fewer than all sessions. The latter is observed while the former are written, once
+        closed, seen = F.col("mmsi_b").isNotNull(), Observation(f"open-{uuid4().hex}")
+        sessions = _sessions(held.where(F.col("bucket") <= upto), config, exact_grid, upto - gap - 1).observe(seen, F.min(F.when(~closed, F.col("start_epoch"))).alias("since"))
         told = F.lit(False) if before is None else F.lit(before) - F.col("end_epoch") > gap
         _write(sessions.where(closed & ~told), table, "events", number)
-        earliest = sessions.where(~closed).agg(F.min("start_epoch")).first()[0]
-        since = newest[0] if earliest is None else earliest
-        discard(sessions)
+        since = newest[0] if (earliest := seen.get["since"]) is None else earliest
     _write(spark.createDataFrame([(since, upto)], "since long, upto long"), table, "progress", number)
 
 
